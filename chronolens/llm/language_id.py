@@ -8,6 +8,7 @@ while the likelihood with a penalty for each language doesn't fall.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ DOCS_PER_LANGUAGE = 4000
 #: Hashed n-grams; lengths of n-grams; languages that a model may have.
 BUCKETS, LENGTHS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 200
 #: EM rounds for each set of languages.
-ROUNDS = 12
+ROUNDS = 8
 UNKNOWN = "und"
 #: Words that a Python worker remembers before it starts anew.
 CACHE_WORDS = 400_000
@@ -31,16 +32,28 @@ CACHE_WORDS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def ngram_buckets(word: str) -> list[int]:
-    s = f" {word} "
-    out = []
-    for n in LENGTHS:
-        for i in range(len(s) - n + 1):
-            h = 7
-            for ch in s[i : i + n]:
-                h = (h * 31337 + ord(ch) * 7919 + n) & 0xFFFFFFFF
-            out.append((h ^ (h >> 15)) % BUCKETS)
-    return out
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that start at each place of the words, written one after the other with a space before each.
+
+    Returns buckets [LENGTHS, places] (-1: the n-gram would leave its word; a space at either
+    end is part of it), each place's word, and the place where each word starts.
+    """
+    text = " " + " ".join(words) + " "
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n, space = len(c) - 1, c == 32
+    out = np.full((len(LENGTHS), n), -1, np.int64)
+    h = np.full(n, 7, np.uint64)
+    for k in range(max(LENGTHS)):
+        h[: n - k] = (h[: n - k] * np.uint64(31337) + c[k : n] * np.uint64(7919) + np.uint64(1)) & np.uint64(0xFFFFFFFF)
+        m = n - k  # n-grams of k + 1 letters that end before the closing space are whole
+        if k + 1 in LENGTHS:
+            inside = ~space[:m] if k == 0 else np.ones(m, bool)
+            for j in range(1, k):
+                inside &= ~space[j : m + j]
+            g = (h[:m] ^ (h[:m] >> np.uint64(15))) % np.uint64(BUCKETS)
+            out[LENGTHS.index(k + 1), :m] = np.where(inside, g.astype(np.int64), -1)
+    starts = np.flatnonzero(space[:n])
+    return out, np.cumsum(space[:n]) - 1, starts
 
 
 @dataclass
@@ -69,19 +82,26 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str =
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known = np.zeros((len(languages), BUCKETS), np.int64), {}
+        total = np.zeros((len(languages), BUCKETS + 1), np.int64)
+
+        def add(seen: dict[str, Counter]) -> None:
+            for k, words in seen.items():
+                if words:
+                    buckets, owner, _ = gram_buckets(list(words))
+                    n = np.fromiter(words.values(), np.int64, len(words))[owner]
+                    for b in buckets:
+                        total[index[k]] += np.bincount(np.where(b < 0, BUCKETS, b), n, BUCKETS + 1).astype(np.int64)
+            seen.clear()
+
+        seen: dict[str, Counter] = defaultdict(Counter)
         for pdf in batches:
             for t, k in zip(pdf["text"], pdf["lang"], strict=True):
-                row = total[index[k]]
-                for w in _LETTERS.findall(t.lower()):
-                    b = known.get(w)
-                    if b is None:
-                        if len(known) > CACHE_WORDS:
-                            known.clear()
-                        b = known[w] = np.array(ngram_buckets(w))
-                    np.add.at(row, b, 1)
+                seen[k].update(_LETTERS.findall(t.lower()))
+            if sum(map(len, seen.values())) > CACHE_WORDS:
+                add(seen)
+        add(seen)
         for i in range(len(languages)):
-            at = np.flatnonzero(total[i])
+            at = np.flatnonzero(total[i, :BUCKETS])
             if len(at):
                 yield pd.DataFrame({"l": np.int32(i), "b": at, "n": total[i][at]})
 
@@ -93,54 +113,79 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str =
     return Model(languages, np.log((n + 0.5) / (n.sum(0) + 0.5 * BUCKETS)))
 
 
-def mixtures(p: np.ndarray, doc: np.ndarray, n_docs: int, weight: np.ndarray | None = None, penalty: float = 1.0) -> np.ndarray:
-    """Proportions [n_docs, languages] from word likelihoods p [words, languages]; ``doc``: each word's document, sorted.
+def mixtures(p: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = 1.0) -> np.ndarray:
+    """Proportions [languages, n_docs] from word likelihoods p [languages, words]; ``doc``: each word's document, ascending.
 
-    The penalty for a language is ``penalty + log(words) / 2``.
+    The penalty for a language is ``penalty + log(words) / 2``. Documents without words get zeros.
     """
-    k = p.shape[1]
-    words = np.bincount(doc, minlength=n_docs).astype(float)
-    starts = np.searchsorted(doc, np.arange(n_docs))
-    some = words > 0
+    k = len(p)
+    words = np.bincount(doc, minlength=n_docs).astype(np.float64)
 
     def em(mask: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(which[doc])
-        q, d = p[at], doc[at]
         ids = np.flatnonzero(which)
-        cut = np.searchsorted(d, ids)
-        pi = np.zeros((n_docs, k))
-        pi[ids] = mask[ids] / mask[ids].sum(1, keepdims=True)
-        for _ in range(ROUNDS):
-            r = q * pi[d]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-            pi[ids] = np.add.reduceat(r, cut, axis=0) / words[ids, None]
-        log = np.log(np.maximum((q * pi[d]).sum(1), 1e-300))
-        out = np.full(n_docs, -np.inf)
-        out[ids] = np.add.reduceat(log, cut)
-        return pi, out
-
-    if not some.any() or not k:
-        return np.zeros((n_docs, k))
-    del starts
-    mask = np.ones((n_docs, k))
-    pi, ll = em(mask, some)
+        if len(ids) < n_docs:
+            at = np.flatnonzero(which[doc])
+            q, size = p[:, at], words[ids].astype(np.int64)
+        else:
+            q, size = p, words.astype(np.int64)
+        cut, n = np.cumsum(size) - size, size.astype(np.float32)
+        share = (mask[:, ids] / mask[:, ids].sum(0)).astype(np.float32)
+        for r in range(ROUNDS + 1):
+            parts = np.repeat(share, size, axis=1)
+            parts *= q
+            total = np.maximum(parts.sum(0), np.float32(1e-30))
+            if r == ROUNDS:
+                break
+            parts /= total
+            share = np.add.reduceat(parts, cut, axis=1) / n
+        pi, ll = np.zeros((k, n_docs)), np.full(n_docs, -np.inf)
+        pi[:, ids] = share
+        ll[ids] = np.add.reduceat(np.log(total).astype(np.float64), cut)
+        return pi, ll
+
+    active = words > 0
+    if not active.any() or not k:
+        return np.zeros((k, n_docs))
+    mask = np.ones((k, n_docs))
+    pi, ll = em(mask, active)
     cost = penalty + 0.5 * np.log(np.maximum(words, 1))
-    active = some.copy()
     for _ in range(k - 1):
-        rest = np.where(mask > 0, pi, np.inf)
-        out = rest.argmin(1)
+        out = np.where(mask > 0, pi, np.inf).argmin(0)
         trial = mask.copy()
-        trial[np.arange(n_docs), out] = 0
-        active &= trial.sum(1) > 0
+        trial[out, np.arange(n_docs)] = 0
+        active &= trial.sum(0) > 0
         if not active.any():
             break
         new_pi, new_ll = em(trial, active)
-        better = active & (new_ll + cost >= ll)
-        mask[better], pi[better], ll[better] = trial[better], new_pi[better], new_ll[better]
-        active = better
+        active = active & (new_ll + cost >= ll)
+        mask[:, active], pi[:, active], ll[active] = trial[:, active], new_pi[:, active], new_ll[active]
     return pi
 
 
+class _Words(dict):
+    """Word -> column of its likelihoods; grows by what is looked up."""
+
+    def __init__(self, log_p: np.ndarray):
+        super().__init__()
+        self.log_p, self.new, self.table = log_p.astype(np.float32), [], np.zeros((log_p.shape[1], 0), np.float32)
+
+    def __missing__(self, w: str) -> int:
+        self.new.append(w)
+        self[w] = n = len(self)
+        return n
+
+    def likelihoods(self) -> np.ndarray:
+        """[languages, words] relative to the likeliest language; the words new since the last call are worked out together."""
+        if self.new:
+            buckets, _, starts = gram_buckets(self.new)
+            padded = np.vstack([self.log_p, np.zeros((1, self.log_p.shape[1]), np.float32)])
+            sums = sum(np.add.reduceat(padded[b], starts, axis=0) for b in buckets)
+            rel = np.exp(np.maximum(sums - sums.max(1, keepdims=True), -60))
+            self.table = np.concatenate([self.table, rel.T.astype(np.float32)], axis=1)
+            self.new.clear()
+        return self.table
+
+
 def predict(model: Model, text: Column) -> Column:
     """A struct column: lang_pred, score (its share, 0 to 1), shares (language -> share of those in the set).
 
@@ -151,37 +196,27 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf(spark_type)
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-        find = _LETTERS.findall
+        words, find = _Words(log_p), _LETTERS.findall
         for s in texts:
-            if len(index) > CACHE_WORDS:
-                index, rows = {}, []
+            if len(words) > CACHE_WORDS:
+                words = _Words(log_p)
             ids, sizes = [], []
             for t in s:
-                words = find(t.lower()) if t is not None and languages else []
-                for w in words:
-                    i = index.get(w)
-                    if i is None:
-                        i = index[w] = len(rows)
-                        if any(ch.isalpha() for ch in w):
-                            row = log_p[ngram_buckets(w)].sum(0)
-                            rows.append(np.exp(row - row.max()))
-                        else:
-                            rows.append(np.full(len(languages), np.nan))
-                    ids.append(i)
-                sizes.append(len(words))
-            doc = np.repeat(np.arange(len(s)), sizes)
-            p = np.array(rows)[ids] if ids else np.zeros((0, len(languages)))
-            letters = ~np.isnan(p).any(axis=1) if len(p) else np.zeros(0, bool)
-            pi = mixtures(p[letters], doc[letters], len(s))
-            best = pi.argmax(1) if languages else np.zeros(len(s), int)
-            known = pi.sum(1) > 0 if languages else np.zeros(len(s), bool)
+                before = len(ids)
+                if t is not None and languages:
+                    found = find(t.lower())
+                    if found and not found[0].isalpha():  # signs such as a raised 2: only words with a letter count
+                        found = [w for w in found if any(map(str.isalpha, w))]
+                    ids.extend(map(words.__getitem__, found))
+                sizes.append(len(ids) - before)
+            pi = mixtures(words.likelihoods()[:, ids], np.repeat(np.arange(len(s)), sizes), len(s)) if languages else np.zeros((0, len(s)))
+            best = pi.argmax(0) if languages else np.zeros(len(s), int)
+            known = pi.sum(0) > 0
             yield pd.DataFrame(
                 {
                     "lang_pred": [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
-                    "score": [float(min(1.0, r[b])) if k else 0.0 for r, b, k in zip(pi, best, known, strict=True)],
-                    "shares": [{languages[j]: float(r[j]) for j in np.flatnonzero(r > 0)} for r in pi],
+                    "score": [float(min(1.0, pi[b, i])) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))],
+                    "shares": [{languages[j]: float(min(1.0, r[j])) for j in np.flatnonzero(r > 0)} for r in pi.T],
                 }
             )
 
