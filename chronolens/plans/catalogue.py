@@ -1,4 +1,963 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, each with the same result as SQL where SQL has the functions.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for the model: events are series (source user_id, detector event_type, re
+value, im the number in props), lineitem holds draws, orders evidences, supplier and customer
+source catalogues, embeddings short blocks.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import registry, scalar
+from ..operators import background, changepoints, infer, phase, population, posterior, segments, series, spectra
+from ..sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+KEY = ["source", "detector"]
+DAY0 = 1704067200000000  # microseconds: the first day of events
+HOUR, MINUTE, DAY = 3_600_000_000, 60_000_000, 86_400_000_000
+#: The series as SQL.
+S = "s as (select user_id as source, event_type as detector, event_id, epoch_us(ts) as t, value as re, cast(regexp_extract(props, '-?[0-9]+') as double) as im from events)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("source"), F.col("event_type").alias("detector"), "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("re"), F.get_json_object("props", "$.k").cast("double").alias("im"),
+    )
+
+
+def draws(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("dets"), F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("score"),
+        F.col("l_orderkey").alias("draw"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+    )
+
+
+def r6(c: str | Column, name: str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def lng(c: str | Column, name: str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long").alias(name)
+
+
+CLEAN = f"""{S},
+d as (select * from s qualify row_number() over (partition by source, detector, t order by event_id) = 1),
+m as (select source, detector, median(re) as mr, median(im) as mi from d group by all),
+a as (select source, detector, median(abs(re - mr)) as ar, median(abs(im - mi)) as ai from d join m using (source, detector) group by all),
+o as (select d.*, coalesce(0.6745 * abs(re - mr) / nullif(ar, 0) > 3.5, false) or coalesce(0.6745 * abs(im - mi) / nullif(ai, 0) > 3.5, false) as outlier
+      from d join m using (source, detector) join a using (source, detector))"""
+
+
+@query(f"""with {CLEAN},
+v as (select source, detector, (sum(re*re+im*im) - sum(re+im)*sum(re+im)/(2*count(*))) / nullif(2*count(*)-1, 0) as var, sum(re*re+im*im) as p from o where not outlier group by all)
+select source, round(sqrt(sum(p / nullif(var, 0))), 6) as coherent_snr from v group by source""")
+def coherent_snr(spark, d):
+    """Dedupe, drop outliers, one chunk's variance, weighted sums, and the root of the sum of squares by source."""
+    clean = series.remove_outliers(series.dedupe_times(events(spark, d), "event_id"))
+    var = changepoints.chunk_variance(clean, KEY).select(*KEY, F.sqrt(F.nullif("var", F.lit(0.0))).alias("sigma"))
+    snr = infer.signal_snr(clean.join(var, KEY), KEY, "re", "im")
+    return infer.coherent_snr(snr, ["source"]).select("source", r6("coherent_snr", "coherent_snr"))
+
+
+@query(f"with {S} select source, detector, t // {HOUR} as hour, min(event_id) as event_id from s group by all")
+def dedupe_times(spark, d):
+    rows = events(spark, d).withColumn("t", F.floor(F.col("t") / HOUR).cast("long"))
+    return series.dedupe_times(rows, "event_id").select("source", "detector", lng("t", "hour"), "event_id")
+
+
+@query(f"with {S} select event_id, t, re from s where t >= {DAY0 + 3 * DAY} and t < {DAY0 + 9 * DAY}")
+def crop_series(spark, d):
+    return series.crop(events(spark, d), DAY0 + 3 * DAY, DAY0 + 9 * DAY).select("event_id", "t", "re")
+
+
+@query(f"""with {S}, z as (select *, min(t) over (partition by detector) as t0 from s)
+select event_id, t from z where (t - t0) // {HOUR} >= ({DAY0 + 3 * DAY + 7} - t0) // {HOUR} and (t - t0) // {HOUR} < ({DAY0 + 5 * DAY + 7} - t0) // {HOUR}""")
+def crop_regular(spark, d):
+    return series.crop(events(spark, d), DAY0 + 3 * DAY + 7, DAY0 + 5 * DAY + 7, HOUR, ["detector"]).select("event_id", "t")
+
+
+@query(f"with {S} select detector, count(*) as n, round(sum(re), 6) as total from s where detector in ('view', 'click') group by detector")
+def select_detectors(spark, d):
+    return series.select_detectors(events(spark, d), ["view", "click"]).groupBy("detector").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("re"), "total"))
+
+
+@query(f"with {CLEAN} select event_id, outlier from o")
+def find_outliers(spark, d):
+    return series.flag_outliers(series.dedupe_times(events(spark, d), "event_id")).select("event_id", "outlier")
+
+
+@query(f"with {CLEAN} select source, detector, count(*) as n from o where not outlier group by all")
+def remove_outliers(spark, d):
+    return series.remove_outliers(series.dedupe_times(events(spark, d), "event_id")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {S} select source, detector, max(abs(re) + abs(im)) = 0 as all_zero from s group by all")
+def zero_series(spark, d):
+    return series.zero_series(events(spark, d))
+
+
+@query("""with n as (select s_suppkey as source, (case when s_suppkey % 2 = 0 then 'J' else 'X' end) || lpad(cast(s_suppkey * 30 as varchar), 4, '0') || (case when s_acctbal < 0 then '-' else '+' end) || lpad(cast(s_suppkey % 100 as varchar), 2, '0') as name from supplier)
+select source, name, (regexp_matches(name, '^[BJ][0-9]{4}[+-][0-9]{2}') and cast(substr(name, 2, 4) as int) < 2400 and cast(substr(name, 7, 2) as int) <= 90) or contains(lower(name), 'x00') as valid from n where length(name) = 8""")
+def valid_sources(spark, d):
+    num = F.lpad((F.col("s_suppkey") * 30).cast("string"), F.greatest(F.lit(4), F.length((F.col("s_suppkey") * 30).cast("string"))), F.lit("0"))
+    sign = F.when(F.col("s_acctbal") < 0, "-").otherwise("+")
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "J").otherwise("X"), num, sign, F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"))
+    rows = table(spark, d, "supplier").where("s_suppkey * 30 < 10000").select(F.col("s_suppkey").alias("source"), name.alias("name"))
+    return rows.withColumn("valid", scalar.valid_source_name("name", ("X00",)))
+
+
+SRC = "src as (select s_suppkey as source, 1.0 + s_suppkey as f0, -abs(s_acctbal) * 1e-19 as f1, case when s_acctbal > 0 then s_acctbal * 1e16 end as dist from supplier)"
+
+
+def sources(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(
+        F.col("s_suppkey").alias("source"), (1.0 + F.col("s_suppkey")).alias("f0"), (-F.abs("s_acctbal") * 1e-19).alias("f1"),
+        F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") * 1e16).alias("dist"),
+    )
+
+
+@query(f"with {SRC}, b as (select *, 3.2e19 * sqrt(greatest(-f1 / (f0 * f0 * f0), 0)) as b from src) select source, f0 from b where b > 0 and b <= 1e11 and f0 >= 1 / 0.03")
+def recycled_sources(spark, d):
+    return posterior.filter_recycled(sources(spark, d)).select("source", "f0")
+
+
+@query("select s_suppkey as source from supplier where s_suppkey in (1, 2, 3, 5, 8) and s_suppkey not in (5, 13)")
+def select_sources(spark, d):
+    return posterior.select_sources(sources(spark, d), [1, 2, 3, 5, 8], [5, 13]).select("source")
+
+
+@query(f"with {S}, {SRC}, k as (select distinct source, detector, 2.0 as freqfactor from s) select source, detector, freqfactor * f0 > 0.8 * 100.0 / 2 as near_nyquist from k join src using (source)")
+def near_nyquist(spark, d):
+    rows = events(spark, d).select(*KEY).distinct().withColumn("freqfactor", F.lit(2.0))
+    return posterior.flag_near_nyquist(rows, sources(spark, d), 100.0).select(*KEY, "near_nyquist")
+
+
+# segments: runs of events of a user at most six hours apart, and stretches around errors
+RUN_SQL = f"""{S},
+g as (select *, case when t - lag(t) over (partition by source order by t, event_id) <= {6 * HOUR} then 0 else 1 end as new from s),
+h as (select *, sum(new) over (partition by source order by t, event_id) as run from g),
+inc as (select source, min(t) as "start", max(t) + 1 as "end", count(*) as n from h group by source, run),
+exc as (select source, t - {20 * MINUTE} as "start", t + {20 * MINUTE} as "end" from s where detector = 'error'),
+exu as (select source, min("start") as "start", max("end") as "end" from (
+  select *, sum(new) over (partition by source order by "start", "end") as g from (
+    select *, case when "start" <= max("end") over (partition by source order by "start", "end" rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from exc)) group by source, g)"""
+
+
+def live(spark, d):
+    e = events(spark, d).select("source", "t").distinct()
+    return series.run_bounds(e, 6 * HOUR, ["source"]).select("source", "start", (F.col("end") + 1).alias("end"), "n")
+
+
+def excluded(spark, d):
+    e = events(spark, d).where("detector = 'error'")
+    return e.select("source", (F.col("t") - 20 * MINUTE).alias("start"), (F.col("t") + 20 * MINUTE).alias("end"))
+
+
+@query(f'with {RUN_SQL} select source, "start", "end", n from inc')
+def contiguous_runs(spark, d):
+    return live(spark, d)
+
+
+@query(f'with {RUN_SQL} select source, "start", "end" from exu')
+def coalesce_segments(spark, d):
+    return segments.coalesce_segments(excluded(spark, d), ["source"])
+
+
+@query(f'with {RUN_SQL} select i.source, greatest(i."start", e."start") as "start", least(i."end", e."end") as "end" from inc i join exu e on i.source = e.source and i."start" < e."end" and e."start" < i."end"')
+def intersect_segments(spark, d):
+    ex = segments.coalesce_segments(excluded(spark, d), ["source"])
+    return segments.intersect_segments(live(spark, d), ex, ["source"], 6 * HOUR)
+
+
+@query(f"""with {RUN_SQL},
+e as (select source, "start" as t, 1 as i, 0 as x from inc union all select source, "end", -1, 0 from inc union all select source, "start", 0, 1 from exu union all select source, "end", 0, -1 from exu),
+k as (select source, t, sum(i) as i, sum(x) as x from e group by all),
+w as (select source, t as "start", lead(t) over (partition by source order by t) as "end", sum(i) over (partition by source order by t) as i, sum(x) over (partition by source order by t) as x from k)
+select source, "start", "end" from w where i > 0 and x = 0 and "end" is not null""")
+def subtract_segments(spark, d):
+    return segments.subtract_segments(live(spark, d), segments.coalesce_segments(excluded(spark, d), ["source"]), ["source"])
+
+
+@query(f'with {RUN_SQL} select source, greatest("start", {DAY0 + 5 * DAY}) as "start", least("end", {DAY0 + 12 * DAY}) as "end" from inc where "start" < {DAY0 + 12 * DAY} and "end" > {DAY0 + 5 * DAY}')
+def clip_segments(spark, d):
+    return segments.clip_segments(live(spark, d), DAY0 + 5 * DAY, DAY0 + 12 * DAY).select("source", "start", "end")
+
+
+@query(f'with {RUN_SQL} select source, "start", "end" from inc where "end" - "start" >= {2 * HOUR + 1}')
+def long_segments(spark, d):
+    return segments.drop_short_segments(live(spark, d), HOUR, 1).select("source", "start", "end")
+
+
+@query(f'with {RUN_SQL} select distinct event_id from s join exu e on s.source = e.source and s.t >= e."start" and s.t < e."end"')
+def samples_in_segments(spark, d):
+    return segments.samples_in_segments(events(spark, d), excluded(spark, d), ["source"], HOUR).select("event_id")
+
+
+@query(f'with {RUN_SQL} select source, sum("end" - "start")::bigint as live, (max("end") - min("start"))::bigint as span, round(sum("end" - "start") / (max("end") - min("start")), 6) as duty, min("start") as first, max("end") as last from inc group by source')
+def duty_factor(spark, d):
+    return segments.duty_factor(live(spark, d), ["source"]).select("source", "live", "span", r6("duty", "duty"), "first", "last")
+
+
+@query(f"""with {RUN_SQL},
+c as (select *, coalesce(sum("end" - "start") over (partition by source order by "start" rows between unbounded preceding and 1 preceding), 0)::bigint as c0 from inc),
+b as (select *, unnest(generate_series(c0 // {DAY}, (c0 + "end" - "start" - 1) // {DAY})) as bucket from c),
+p as (select source, bucket, "start" + greatest(c0, bucket * {DAY}) - c0 as "start", "start" + least(c0 + "end" - "start", (bucket + 1) * {DAY}) - c0 as "end" from b)
+select source, bucket, "start", "end" from p qualify sum("end" - "start") over (partition by source, bucket) >= {30 * MINUTE}""")
+def livetime_buckets(spark, d):
+    return segments.livetime_buckets(live(spark, d), ["source"], DAY, 30 * MINUTE).select("source", lng("bucket", "bucket"), lng("start", "start"), lng("end", "end"))
+
+
+@query(f"with {S} select source, detector, min(t - p)::bigint as dt from (select *, lag(t) over (partition by source, detector order by t) as p from s) group by all")
+def time_step(spark, d):
+    return series.time_step(events(spark, d))
+
+
+GRID = f"gr as (select detector, t // {HOUR} as hour, avg(re) as re, avg(im) as im, min(event_id) as event_id from s group by all)"
+
+
+def hourly(spark, d):
+    return events(spark, d).groupBy("detector", F.floor(F.col("t") / HOUR).alias("t")).agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.min("event_id").alias("event_id"))
+
+
+@query()
+def gcd_step(spark, d):
+    """Greatest common divisor of the minutes between a user's events, ten minutes as the unit."""
+    rows = events(spark, d).select("source", (F.floor(F.col("t") / (10 * MINUTE)) * 10).alias("t")).distinct()
+    return series.gcd_step(rows, ["source"])
+
+
+@query(f"""with {S}, {GRID}, a as (select detector, min(hour) as a, max(hour) as b from gr group by detector),
+x as (select detector, unnest(generate_series(a, b)) as t from a)
+select x.detector, x.t, round(coalesce(re, 0), 6) as re, round(coalesce(im, 0), 6) as im from x left join gr on x.detector = gr.detector and x.t = gr.hour""")
+def zero_pad(spark, d):
+    return series.zero_pad(hourly(spark, d).drop("event_id"), 1, ["detector"]).select("detector", "t", r6("re", "re"), r6("im", "im"))
+
+
+MEDIAN = f"""with {S}, n as (select *, row_number() over (partition by source order by t, event_id) - 1 as i, count(*) over (partition by source) as n from s),
+p as (select *, i as p from n union all select *, -i from n where i > 0 and i <= 4 union all select *, 2*(n-1)-i from n where 2*(n-1)-i > n-1 and 2*(n-1)-i < n + 3),
+l as (select *, list(re) over w as lr, list(im) over w as li from p window w as (partition by source order by p rows between 4 preceding and 3 following))
+select event_id, list_sort(lr)[len(lr) // 2 + 1] as med_re, list_sort(li)[len(li) // 2 + 1] as med_im from l where p = i"""
+
+
+@query(MEDIAN)
+def running_median(spark, d):
+    return series.running_median(events(spark, d), 8, ["source"], ["t", "event_id"]).select("event_id", "med_re", "med_im")
+
+
+@query(f"with m as ({MEDIAN}) select event_id, round(value - med_re, 6) as re from m join events using (event_id)")
+def subtract_running_median(spark, d):
+    return series.subtract_running_median(events(spark, d), 8, ["source"], ["t", "event_id"]).select("event_id", r6("re", "re"))
+
+
+@query(f"with {S} select event_id, t, re + case when t >= {DAY0 + 2 * DAY} and t <= {DAY0 + 6 * DAY} then im else 0 end as re from s where source % 3 = 1 union all select event_id, t, re from s where source % 3 <> 1")
+def add_template(spark, d):
+    e = events(spark, d)
+    model = e.select("source", "event_id", "t", F.col("im").alias("t_re"), F.lit(0.0).alias("t_im"))
+    ranges = e.where("source % 3 = 1").select("source").distinct().select("source", F.lit(float(DAY0 + 2 * DAY)).alias("start"), F.lit(float(DAY0 + 6 * DAY)).alias("end"))
+    return series.add_template(e, model.drop("event_id").dropDuplicates(["source", "t"]), ranges, ["source"]).select("event_id", "t", "re")
+
+
+@query(f"with {S} select detector, count(*) as n, min(t) as first, max(t) as last from s group by detector")
+def merge_series(spark, d):
+    e = events(spark, d)
+    cut = DAY0 + 15 * DAY
+    merged = series.merge_series(e.where(F.col("t") < cut), e.where(F.col("t") >= cut), ["detector"])
+    return merged.groupBy("detector").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+@query(f"with {S} select detector, round(abs(sum(re*(re + im) + im*(im - re)) / sum(re*re + im*im)), 6) as overlap from s group by detector")
+def overlap(spark, d):
+    e = events(spark, d).select("detector", F.col("event_id").alias("t"), "re", "im")
+    other = e.select("detector", "t", (F.col("re") + F.col("im")).alias("re"), (F.col("im") - F.col("re")).alias("im"))
+    return series.overlap(e, other, ["detector"]).select("detector", r6("overlap", "overlap"))
+
+
+# chunks: days of a detector
+DAYS = f"{S}, c as (select *, (t - {DAY0}) // {DAY} as chunk from s)"
+
+
+def by_day(spark, d):
+    return events(spark, d).withColumn("chunk", F.floor((F.col("t") - DAY0) / DAY))
+
+
+@query(f"with {DAYS} select detector, chunk, count(*) as n, round((sum(re*re+im*im) - sum(re+im)*sum(re+im)/(2*count(*)))/(2*count(*)-1), 6) as var from c group by all")
+def chunk_variance(spark, d):
+    return changepoints.chunk_variance(by_day(spark, d), ["detector", "chunk"]).select("detector", "chunk", "n", r6("var", "var"))
+
+
+@query(f"""with {DAYS},
+p as (select detector, chunk, re*re+im*im as p, row_number() over w as k, count(*) over (partition by detector, chunk) as n, sum(re*re+im*im) over w as f, sum(re*re+im*im) over (partition by detector, chunk) as tot from c window w as (partition by detector, chunk order by t, event_id)),
+e as (select *, case when k >= 5 and n - k >= 5 and f > 0 and tot > f then lgamma(k) - k*ln(f) + lgamma(n-k) - (n-k)*ln(tot-f) - ln(2) end as s from p),
+m as (select detector, chunk, n, tot, max(s) as top, count(s) as splits, arg_max(k, s) as split from e group by all)
+select e.detector, e.chunk, m.splits, m.split, round(top + ln(sum(exp(s - top))) - (lgamma(m.n) - m.n*ln(m.tot)), 5) as log_odds
+from e join m using (detector, chunk) where splits > 0 group by e.detector, e.chunk, m.splits, m.split, m.top, m.n, m.tot""")
+def split_scores(spark, d):
+    out = changepoints.split_scores(by_day(spark, d), ["detector", "chunk"], ["t", "event_id"])
+    return out.where("splits > 0").select("detector", "chunk", "splits", lng("split", "split"), F.round("log_odds", 5).alias("log_odds"))
+
+
+@query()
+def change_points(spark, d):
+    """Chunks of each detector's series: threshold by the number of splits, at most 300 samples."""
+    out = changepoints.change_points(events(spark, d), ["detector"], ["t", "event_id"], "trials", 5, 300)
+    return out.groupBy("detector", "chunk").agg(F.min("t").alias("start"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {S}, n as (select *, row_number() over (partition by detector order by t, event_id) - 1 as i from s)
+select event_id, i // 100 as chunk, (i // 100) * 100 as chunk_start, count(*) over (partition by detector, i // 100) as n from n""")
+def label_chunks(spark, d):
+    e = events(spark, d)
+    size = e.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+    starts = size.select("detector", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 100).cast("int"))).alias("k")).select("detector", (F.col("k") * 100).alias("start_idx"), F.col("k").cast("double").alias("ln_ratio"))
+    out = changepoints.label_chunks(e, starts, ["detector"], ["t", "event_id"])
+    return out.select("event_id", lng("chunk", "chunk"), lng("chunk_start", "chunk_start"), "n")
+
+
+@query(f"""with {S}, n as (select *, row_number() over (partition by detector order by t, event_id) - 1 as i from s),
+b as (select detector, i // 50 as block, count(*) as n, round(avg(re), 6) as re, round(avg(im), 6) as im from n group by all)
+select detector, block, re, im from b where n = 50""")
+def stride_average(spark, d):
+    rows = events(spark, d).select("detector", F.struct("t", "event_id").alias("o"), "re", "im")
+    rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("o")))
+    return phase.block_average(rows, 50, 1, ["detector"]).select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
+
+
+# phase and response
+@query(f"""with {S}, x as (select *, event_id * 0.37 + 0.125 as c from s), y as (select *, 2 * pi() * (c - floor(c)) as a from x)
+select event_id, round(re * cos(a) + im * sin(a), 6) as re, round(im * cos(a) - re * sin(a), 6) as im from y""")
+def complex_rotate(spark, d):
+    re, im = scalar.complex_rotate("re", "im", F.col("event_id") * 0.37 + 0.125)
+    return events(spark, d).select("event_id", r6(re, "re"), r6(im, "im"))
+
+
+@query("""with e as (select event_id, epoch_us(ts) // 1000000 - 1704067200 as t, 1 + user_id % 7 as f from events)
+select event_id, round((t * f * 0.25 + 0.5 * 1e-7 * t * t) - floor(t * f * 0.25 + 0.5 * 1e-7 * t * t), 4) % 1 as cycles from e""")
+def phase_cycles(spark, d):
+    e = events(spark, d).select("event_id", (F.floor(F.col("t") / 1_000_000) - 1704067200).alias("t"), ((1 + F.col("source") % 7) * 0.25).alias("f"))
+    return e.select("event_id", (F.round(scalar.phase_cycles("t", ["f", F.lit(1e-7)], F.lit(0)), 4) % 1).alias("cycles"))
+
+
+SINE = f"r as (select b.detector, k.bin, sin(2 * pi() * k.bin / 2880) * b.m as fp, cos(2 * pi() * k.bin / 2880) * b.m as fc from (select distinct detector, length(detector) as m from s) b, (select unnest(generate_series(0, 2879)) as bin) k)"
+
+
+def response(spark, d):
+    b = events(spark, d).select("detector").distinct().withColumn("m", F.length("detector"))
+    k = spark.range(phase.BINS).withColumnRenamed("id", "bin").crossJoin(F.broadcast(b))  # five detectors by 2880 bins
+    a = lambda x: x * (2 * math.pi / phase.BINS)
+    n = F.pmod(F.col("bin") + 1, F.lit(phase.BINS))
+    return k.select("detector", "bin", (F.sin(a(F.col("bin"))) * F.col("m")).alias("fp"), (F.cos(a(F.col("bin"))) * F.col("m")).alias("fc"), (F.sin(a(n)) * F.col("m")).alias("fp1"), (F.cos(a(n)) * F.col("m")).alias("fc1"))
+
+
+WITH_RESPONSE = f"""{S}, {SINE}, q as (select *, ((t / 1e6 - 1704067200.0) % 86164.0905) * (2880 / 86164.0905) as x from s),
+wr as (select q.*, a.fp + (x - floor(x)) * (b.fp - a.fp) as fp, a.fc + (x - floor(x)) * (b.fc - a.fc) as fc
+  from q join r a on q.detector = a.detector and a.bin = floor(x)::bigint join r b on q.detector = b.detector and b.bin = (floor(x)::bigint + 1) % 2880)"""
+
+
+def with_response(spark, d):
+    e = events(spark, d).withColumns({"t_us": F.col("t"), "t": F.col("t") / 1e6})
+    return phase.join_response(e, response(spark, d), 1704067200.0, key=("detector",))
+
+
+@query(f"with {WITH_RESPONSE} select event_id, round(fp, 6) as fp, round(fc, 6) as fc from wr")
+def join_response(spark, d):
+    return with_response(spark, d).select("event_id", r6("fp", "fp"), r6("fc", "fc"))
+
+
+@query(f"""with {S}, x as (select *, (t - {DAY0}) / {float(DAY)} as u from s)
+select event_id, round(u * u * u - 2 * u, 4) as delay from x""")
+def join_delay_nodes(spark, d):
+    """Cubic node values are reproduced by cubic interpolation between daily nodes."""
+    e = events(spark, d)
+    nodes = e.select("detector").distinct().select("detector", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k"))
+    nodes = nodes.withColumn("y", F.pow(F.col("k").cast("double"), F.lit(3)) - 2 * F.col("k"))
+    return phase.join_delay_nodes(e, nodes, DAY0, float(DAY), ["detector"]).select("event_id", F.round("delay", 4).alias("delay"))
+
+
+@query(f"with {S}, {SRC} select s.detector, src.source, count(*) as n, round(sum(re * f0), 4) as total from s cross join src where src.source < 5 group by all")
+def attach_source(spark, d):
+    few = sources(spark, d).where("source < 5")
+    j = phase.attach_source(events(spark, d).drop("source"), few)
+    return j.groupBy("detector", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("re") * F.col("f0")), 4).alias("total"))
+
+
+@query(f"""with {S}, x as (select *, (event_id % 997) * 0.013 as c from s where detector in ('view', 'click')),
+y as (select detector, t, event_id, re * cos(2*pi()*(c - floor(c))) + im * sin(2*pi()*(c - floor(c))) as re, im * cos(2*pi()*(c - floor(c))) - re * sin(2*pi()*(c - floor(c))) as im from x),
+n as (select *, row_number() over (partition by detector order by t, event_id) - 1 as i from y)
+select detector, i // 20 as block, round(avg(re), 6) as re, round(avg(im), 6) as im from n group by all having count(*) = 20""")
+def reheterodyne(spark, d):
+    rows = events(spark, d).where("detector in ('view', 'click')").withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("t", "event_id")))
+    out = phase.reheterodyne(rows, (F.col("event_id") % 997) * 0.013, None, 20, 1, ["detector"])
+    return out.select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
+
+
+@query()
+def heterodyne(spark, d):
+    """Full stage on the embeddings as raw blocks of one hertz: two sources, 64 samples a block."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("i", "x"))
+    raw = e.select(F.concat(F.lit("D"), (F.col("vec_id") % 3).cast("string")).alias("detector"), (F.col("vec_id") * 64 + F.col("i")).cast("double").alias("t"), F.col("x").cast("double").alias("x"))
+    seg = raw.groupBy("detector", F.floor(F.col("t") / 64).alias("b")).agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end"))
+    src = table(spark, d, "supplier").where("s_suppkey < 2").select(F.col("s_suppkey").alias("source"), (0.11 + F.col("s_suppkey") * 0.07).alias("f0"), F.lit(0.0).alias("f1"), F.lit(0.0).alias("epoch"))
+    out = phase.heterodyne(raw, src, seg, 1.0, 1 / 8, 0.04, crop=8)
+    return out.select("source", "detector", "t", r6("re", "re"), r6("im", "im"))
+
+
+# spectra
+DFT = """with b as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings),
+p as (select vec_id, k, sum(x * cos(2 * pi() * ((k * i) % 64) / 64)) as c, sum(x * sin(2 * pi() * ((k * i) % 64) / 64)) as s from b, (select unnest(generate_series(0, 63)) as k) group by all)"""
+
+
+@query(f"{DFT} select vec_id, k, round((c * c + s * s) / 64, 6) as power from p")
+def dft_power(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    rows = e.select("vec_id", "i", F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return spectra.dft_power(rows, ["vec_id"], 64, 1.0).select("vec_id", lng("k", "k"), r6("power", "power"))
+
+
+def _embedding_spec(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    rows = e.select("vec_id", "label", F.col("i").cast("long").alias("t"), F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    return rows, spectra.periodogram(rows, 1, ["vec_id", "label"])
+
+
+@query(f"{DFT} select vec_id, round(((k + 32) % 64 - 32) / 64.0, 6) as f, round((c * c + s * s) / 64, 6) as power from p")
+def periodogram(spark, d):
+    _, spec = _embedding_spec(spark, d)
+    return spec.select("vec_id", r6("f", "f"), r6("power", "power"))
+
+
+@query(f"{DFT} select label, round(((k + 32) % 64 - 32) / 64.0, 6) as f, round(median((c * c + s * s) / 64), 6) as power from p join embeddings using (vec_id) group by label, k")
+def average_power(spark, d):
+    _, spec = _embedding_spec(spark, d)
+    return spectra.average_power(spec, ["label"], "median").select("label", r6("f", "f"), r6("power", "power"))
+
+
+@query()
+def spectrogram(spark, d):
+    """Half-overlapping windowed blocks of two days of each detector's hourly means; median over blocks."""
+    out = spectra.power_spectrum(hourly(spark, d), 1, 48, ["detector"], "median", True, unit=3600.0)
+    return out.select("detector", F.round("f", 9).alias("f"), F.round("power", 4).alias("asd"))
+
+
+@query(f"""{DFT}, a as (select vec_id % 20 as source, label as detector, k, median((c * c + s * s) / 64) as p from p join embeddings using (vec_id) group by all),
+h as (select source, detector, median(p) as p from a group by all)
+select source, detector, 1.0 + source as f, round(sqrt(p), 6) as asd from h""")
+def power_by_source(spark, d):
+    _, spec = _embedding_spec(spark, d)
+    s = spec.select((F.col("vec_id") % 20).alias("source"), F.col("label").alias("detector"), F.lit(1.0).alias("freqfactor"), "f", "power")
+    return spectra.power_by_source(s, sources(spark, d)).select("source", "detector", "f", r6("power", "asd"))
+
+
+# likelihoods
+PRODUCTS = f"""{WITH_RESPONSE},
+pr as (select detector, (t - {DAY0}) // {5 * DAY} as chunk, count(*) as n, sum(re*re+im*im) as dd, sum(re*fp) as d_fp_re, sum(im*fp) as d_fp_im, sum(re*fc) as d_fc_re, sum(im*fc) as d_fc_im, sum(fp*fp) as fp_fp, sum(fp*fc) as fp_fc, sum(fc*fc) as fc_fc from wr group by all)"""
+
+
+def products(spark, d):
+    rows = with_response(spark, d).withColumn("chunk", F.floor((F.col("t_us") - DAY0) / (5 * DAY)))
+    return infer.chunk_products(rows, ["detector", "chunk"])
+
+
+@query(f"with {PRODUCTS} select detector, chunk, n, round(dd, 4) as dd, round(d_fp_re, 4) as d_fp_re, round(fp_fc, 4) as fp_fc, round(fc_fc, 4) as fc_fc from pr")
+def chunk_products(spark, d):
+    return products(spark, d).select("detector", "chunk", "n", *[F.round(c, 4).alias(c) for c in ("dd", "d_fp_re", "fp_fc", "fc_fc")])
+
+
+LIKE = f"""{PRODUCTS}, gx as (select -2.0 + i * 0.25 as a, unnest([-1.0, 0.0, 1.0]) as b from (select unnest(generate_series(0, 16)) as i)),
+ll as (select detector, a, b, sum(lgamma(n) - ln(2) - n * (ln(pi()) + ln(dd - 2 * (d_fp_re * a + d_fc_re * b) + fp_fp * a * a + fc_fc * b * b + 2 * fp_fc * a * b))) as l from pr, gx group by all)"""
+
+
+def likelihoods(spark, d):
+    grid = infer.parameter_grid(spark, {"a": (-2.0, 2.0, 17), "b": (-1.0, 1.0, 3)})
+    grid = grid.withColumns({"a_fp_re": F.col("a"), "a_fp_im": F.lit(0.0), "a_fc_re": F.col("b"), "a_fc_im": F.lit(0.0)})
+    return infer.log_likelihood(grid, products(spark, d), ["detector"], ["a", "b", "w"])
+
+
+@query(f"with {LIKE} select detector, a, b, round(l, 4) as ln_like from ll")
+def grid_likelihood(spark, d):
+    return likelihoods(spark, d).select("detector", "a", "b", F.round("ln_like", 4).alias("ln_like"))
+
+
+@query(f"with {PRODUCTS} select detector, round(sum(lgamma(n) - ln(2) - n * (ln(pi()) + ln(dd))), 4) as ln_z_noise from pr group by detector")
+def noise_evidence(spark, d):
+    return infer.noise_log_evidence(products(spark, d), ["detector"]).select("detector", F.round("ln_z_noise", 4).alias("ln_z_noise"))
+
+
+WEIGHT = "case when abs(a) = 2 then 0.125 else 0.25 end * case when abs(b) = 1 then 0.5 else 1.0 end"
+
+
+@query(f"with {LIKE}, m as (select detector, max(l) as m from ll group by detector) select detector, round(m - ln(8) + ln(sum({WEIGHT} * exp(l - m))), 4) as ln_z from ll join m using (detector) group by detector, m")
+def grid_evidence(spark, d):
+    g = likelihoods(spark, d).withColumn("ln_prior", F.lit(-math.log(8.0)))
+    return infer.grid_evidence(g, ["detector"]).select("detector", F.round("ln_z", 4).alias("ln_z"))
+
+
+@query(f"""with {LIKE}, m as (select detector, max(l) as m from ll group by detector), z as (select detector, sum({WEIGHT} * exp(l - m)) as z from ll join m using (detector) group by detector)
+select detector, a, round(sum({WEIGHT} * exp(l - m) / z), 6) as p from ll join m using (detector) join z using (detector) group by detector, a""")
+def marginal_posterior(spark, d):
+    g = likelihoods(spark, d).withColumn("ln_prior", F.lit(0.0))
+    return infer.marginalise(g, ["detector"], ["a"]).select("detector", "a", r6("p", "p"))
+
+
+@query()
+def grid_interval(spark, d):
+    g = likelihoods(spark, d).withColumn("ln_prior", F.lit(0.0))
+    return infer.grid_credible_interval(infer.marginalise(g, ["detector"], ["a"]), ["detector"], "a", 0.05, 0.95)
+
+
+@query(f"""with {S}, x as (select source, list_sort(list(distinct detector)) as l from s group by source)
+select source, array_to_string(l, '') as dets, unnest(l) as detector from x union all select source, unnest(l) as dets, unnest(l) as detector from x where len(l) > 1""")
+def detector_combinations(spark, d):
+    return infer.detector_combinations(events(spark, d))
+
+
+# posteriors
+@query("select l_suppkey as source, l_returnflag as dets, round(quantile_cont(l_extendedprice, 0.05), 4) as low, round(quantile_cont(l_extendedprice, 0.95), 4) as high from lineitem group by all")
+def credible_interval(spark, d):
+    out = posterior.credible_interval(draws(spark, d), ["source", "dets"], "value", 0.05, 0.95)
+    return out.select("source", "dets", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query("select l_suppkey as source, round(quantile_cont(l_extendedprice, 0.95), 3) as \"limit\" from lineitem group by all")
+def upper_limit(spark, d):
+    return posterior.upper_limit(draws(spark, d), ["source"], "value").select("source", F.round("limit", 3).alias("limit"))
+
+
+@query("""select l_suppkey as source, l_extendedprice as value, l_quantity as score, l_orderkey as draw, l_linenumber as line from lineitem
+qualify row_number() over (partition by l_suppkey order by l_quantity desc, l_orderkey, l_linenumber, l_partkey, l_extendedprice) = 1""")
+def best_sample(spark, d):
+    return posterior.best_sample(draws(spark, d), ["source"], F.col("score"), ["draw", "line", "part", "value"]).select("source", "value", "score", "draw", "line")
+
+
+EVID = "ev as (select o_custkey as source, substr(o_orderpriority, 1, 1) as dets, sum(o_totalprice) / 1e5 as ln_z, sum(o_totalprice) / 2e5 as ln_z_noise from orders group by all)"
+
+
+def evidence(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.col("o_custkey").alias("source"), F.substring("o_orderpriority", 1, 1).alias("dets")).agg((F.sum("o_totalprice") / 1e5).alias("ln_z"), (F.sum("o_totalprice") / 2e5).alias("ln_z_noise"))
+
+
+@query(f"with {EVID} select source, dets, round((ln_z - ln_z_noise) / ln(10), 6) as odds from ev")
+def signal_noise_odds(spark, d):
+    e = evidence(spark, d).withColumn("n_dets", F.lit(1))
+    return posterior.odds(e, "svn", "log10").select("source", "dets", r6("odds", "odds"))
+
+
+@query(f"""with {EVID} select source, round(max(case when dets = '1' then ln_z end) - sum(case when dets <> '1' then greatest(ln_z, ln_z_noise) + ln(1 + exp(-abs(ln_z - ln_z_noise))) end), 6) as odds from ev group by source""")
+def coherent_odds(spark, d):
+    e = evidence(spark, d).withColumns({"n_dets": F.when(F.col("dets") == "1", 5).otherwise(1)})
+    return posterior.odds(e, "cvi").select("source", r6("odds", "odds"))
+
+
+@query("""select l_suppkey as source, round(avg(l_extendedprice), 4) as mean, round(stddev_samp(l_extendedprice), 4) as std, round(quantile_cont(l_extendedprice, 0.05), 4) as low, round(median(l_extendedprice), 4) as median,
+round(quantile_cont(l_extendedprice, 0.95), 4) as high, arg_max(l_extendedprice, l_quantity * 1e7 - l_extendedprice) as best from lineitem group by all""")
+def posterior_summary(spark, d):
+    out = posterior.posterior_summary(draws(spark, d), ["source"], "value", "score")
+    return out.select("source", *[F.round(c, 4).alias(c) for c in ("mean", "std", "low", "median", "high")], "best")
+
+
+LEVELS = "lv as (select l_suppkey as source, avg((l_extendedprice < 20000 + 300 * l_suppkey)::int::double) as level from lineitem group by all)"
+
+
+@query(f"""with {LEVELS}, c as (select *, cume_dist() over (order by level) as cdf, count(*) over () as n from lv)
+select source, round(level, 6) as level, round(cdf, 6) as cdf, round(max(greatest(abs(cdf - level), abs(cdf - 1.0 / n - level))) over (), 6) as ks from c""")
+def credible_levels(spark, d):
+    truth = sources(spark, d).select("source", (20000 + 300 * F.col("source")).alias("truth"))
+    lv = posterior.credible_levels(draws(spark, d), truth, ["source"], "value").withColumn("param", F.lit("h0"))
+    return posterior.pp_table(lv, ["param"]).select("source", r6("level", "level"), r6("cdf", "cdf"), r6("ks", "ks"))
+
+
+MERGE = "re as (select source, run, m / 25 + ascii(run) / 50.0 as ln_z from (select l_suppkey as source, l_returnflag as run, max(l_quantity) as m from lineitem group by all)), tp as (select source, max(ln_z) as m, count(*) as n from re group by source)"
+
+
+def _run_evidence(rows):
+    return rows.groupBy("source", "run").agg(F.max("score").alias("m")).select("source", "run", (F.col("m") / 25 + F.ascii("run") / 50.0).alias("ln_z"))
+
+
+@query(f"with {MERGE} select source, round(m + ln(sum(exp(ln_z - m))) - ln(n), 6) as ln_z from re join tp using (source) group by source, m, n")
+def merge_evidence(spark, d):
+    rows = draws(spark, d).withColumnRenamed("dets", "run")
+    return posterior.merge_posteriors(rows, _run_evidence(rows), ["source"], "run", "draw")[1].select("source", r6("ln_z", "ln_z"))
+
+
+@query(f"with {MERGE} select l_suppkey as source, l_returnflag as run, count(*) as n from lineitem join re on source = l_suppkey and run = l_returnflag join tp using (source) where ((l_orderkey * 2654435761 + 40503) % 4294967296) / 4294967296.0 < exp(ln_z - m) group by all")
+def merge_posteriors(spark, d):
+    rows = draws(spark, d).withColumnRenamed("dets", "run")
+    return posterior.merge_posteriors(rows, _run_evidence(rows), ["source"], "run", "draw")[0].groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with u as (select l_suppkey as source, l_extendedprice as x, (l_linenumber <= 3)::int as a from lineitem),
+c as (select source, x, sum(a) as a, count(*) - sum(a) as b from u group by all),
+w as (select source, sum(a) over o as ca, sum(b) over o as cb, sum(a) over p as na, sum(b) over p as nb from c window o as (partition by source order by x), p as (partition by source))
+select source, round(max(abs(ca / na - cb / nb)), 6) as ks from w group by source""")
+def compare_samples(spark, d):
+    s = draws(spark, d)
+    return posterior.compare_samples(s.where("line <= 3"), s.where("line > 3"), ["source"], "value").select("source", r6("ks", "ks"))
+
+
+@query()
+def combined_comparison(spark, d):
+    """Fisher-combined p of the comparison by detector set, and the divergence of the densities of the two halves."""
+    s = draws(spark, d).where("source < 20")
+    p = posterior.compare_samples(s.where("line <= 3"), s.where("line > 3"), ["source", "dets"], "value")
+    return posterior.fisher_combined(p, ["source"]).select("source", r6("p", "p"))
+
+
+@query()
+def sample_divergence(spark, d):
+    s = draws(spark, d).where("source < 20")
+    x = spark.range(100).select((F.col("id") * 1000.0).alias("x"))
+    half = lambda c, n: background.kde(s.where(c), x, ["source"], "value").withColumnRenamed("density", n)
+    return posterior.jensen_shannon(half("line <= 3", "p").join(half("line > 3", "q"), ["source", "x"]), ["source"]).select("source", r6("js", "js"))
+
+
+@query(f"""with {SRC}, l as (select l_suppkey as source, l_returnflag as dets, quantile_cont(l_extendedprice * 1e-30, 0.95) as h from lineitem group by all),
+e as (select source, dets, h, h * pow(299792458.0, 4) * dist / (16 * pi() * pi() * 6.6743e-11 * 1e38 * f0 * f0) as ell, h / (sqrt(5 * 6.6743e-11 * 1e38 * -f1 / (2 * pow(299792458.0, 3) * f0)) / dist) as sd from l left join src using (source))
+select source, round(max(case when dets = 'A' then h end) * 1e26, 4) as a_h0, round(max(case when dets = 'N' then h end) * 1e26, 4) as n_h0, round(max(case when dets = 'R' then ell end) * 1e12, 4) as r_ell, round(max(case when dets = 'A' then sd end) * 1e6, 4) as a_sd from e group by source""")
+def limits_table(spark, d):
+    s = draws(spark, d).select("source", "dets", (F.col("value") * 1e-30).alias("h0"))
+    t = posterior.limits_table(s, sources(spark, d))
+    return t.select("source", F.round(F.col("`A_h0_95%UL`") * 1e26, 4).alias("a_h0"), F.round(F.col("`N_h0_95%UL`") * 1e26, 4).alias("n_h0"), F.round(F.col("`R_ell_95%UL`") * 1e12, 4).alias("r_ell"), F.round(F.col("`A_sdrat_95%UL`") * 1e6, 4).alias("a_sd"))
+
+
+@query(f"with {S} select l_suppkey as source, l_linestatus as flag, e.detector, count(*) as n from (select distinct l_suppkey, l_linestatus, case when l_linestatus = 'F' then 'viewclic' else 'erro' end as dets from lineitem) r join (select source, substr(detector, 1, 4) as detector, event_id from s) e on e.source = r.l_suppkey and contains(r.dets, e.detector) group by all")
+def results_with_data(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_linestatus").alias("flag")).distinct()
+    res = li.withColumn("dets", F.when(F.col("flag") == "F", "viclsi").otherwise("er"))
+    ev = events(spark, d).where("detector in ('view', 'click', 'error')").select("source", F.substring("detector", 1, 2).alias("detector"), F.substring("detector", 1, 4).alias("name"))
+    out = posterior.results_with_data(res, ev).groupBy("source", "flag", F.col("name").alias("detector")).agg(F.count(F.lit(1)).alias("n"))
+    return out
+
+
+@query("""select s_suppkey as source, case when s_acctbal > 0 then s_acctbal else c_acctbal end as dist, round(case when c_custkey % 3 = 0 then -(c_acctbal * 1e-6) * (1 + s_suppkey) * (1 + s_suppkey) else -1e-3 * s_suppkey end, 6) as f1
+from supplier left join customer on c_custkey = s_suppkey""")
+def fill_from_catalog(spark, d):
+    par = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("dist"), (1.0 + F.col("s_suppkey")).alias("f0"), (-1e-3 * F.col("s_suppkey")).alias("f1"))
+    cat = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_acctbal").alias("c_dist"), F.lit(None).cast("double").alias("c_f0"), F.lit(None).cast("double").alias("c_f1"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") * 1e-6).alias("c_pdot"))
+    return posterior.fill_from_catalog(par, cat).select("source", "dist", r6("f1", "f1"))
+
+
+@query("select s_name as name, s_name as match from supplier where s_suppkey % 4 = 0")
+def match_known(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("f0"))
+    by_name, by_value = s.where("k % 8 = 0"), s.where("k % 8 = 4").withColumn("name2", F.col("name"))
+    known = by_name.select("name", "k", "f0").unionByName(by_value.select(F.concat(F.lit("known "), "name2").alias("name"), "k", "f0"))
+    return posterior.match_known(s, known, ["k", "f0"]).select("name", F.regexp_replace("match", "^known ", "").alias("match"))
+
+
+@query(f"with {EVID}, o as (select source, max(ln_z - ln_z_noise) as odds from ev group by source) select c_custkey as source, c_acctbal as snr, round(odds, 6) as odds from customer join o on source = c_custkey where c_custkey in (1, 4, 7, 10, 13)")
+def join_snr_odds(spark, d):
+    o = evidence(spark, d).groupBy("source").agg(F.max(F.col("ln_z") - F.col("ln_z_noise")).alias("odds"))
+    snr = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_acctbal").alias("snr"))
+    return posterior.join_snr_odds(snr, o, [1, 4, 7, 10, 13]).select("source", "snr", r6("odds", "odds"))
+
+
+@query("select source, a_value, row_number() over (order by a_value desc nulls last, source) as place from (select l_suppkey as source, max(case when l_returnflag = 'A' then l_extendedprice end) as a_value from lineitem group by 1)")
+def sort_limits(spark, d):
+    t = draws(spark, d).groupBy("source").pivot("dets", ["A"]).agg(F.max("value")).withColumnRenamed("A", "a_value")
+    s = posterior.sort_limits(t, "value", True)
+    return s.withColumn("place", F.row_number().over(Window.orderBy(F.col("a_value").desc_nulls_last(), "source"))).select("source", "a_value", lng("place", "place"))
+
+
+@query("with t as (select l_suppkey as source, max(l_extendedprice) as h0, max(l_quantity * l_tax) as odds from lineitem group by 1) select source, h0 = (select min(h0) from t) as h0_best, odds = (select max(odds) from t) as odds_best from t")
+def most_constraining(spark, d):
+    li = table(spark, d, "lineitem")
+    t = li.groupBy(F.col("l_suppkey").alias("source")).agg(F.max("l_extendedprice").alias("h0"), F.max(F.col("l_quantity") * F.col("l_tax")).alias("odds"))
+    return posterior.most_constraining(t, ["h0"], ["odds"]).select("source", "h0_best", "odds_best")
+
+
+@query(f"with {S} select detector as param, count(distinct source) as n_results, count(distinct source) = (select count(distinct source) from s) as common from s group by detector")
+def common_parameters(spark, d):
+    return posterior.common_parameters(events(spark, d).withColumnRenamed("detector", "param"))
+
+
+@query("""select l_suppkey as source, l_orderkey as draw, l_linenumber as line from (select distinct l_suppkey, l_orderkey, l_linenumber from lineitem where l_linenumber = 1)
+qualify row_number() over (partition by l_suppkey order by ((l_orderkey * 2654435761 + 81006) % 4294967296), l_orderkey) <= 10""")
+def sample_draws(spark, d):
+    s = draws(spark, d).where("line = 1").select("source", "draw", "line").distinct()
+    return posterior.sample_without_replacement(s, ["source"], "draw", 10, 2).select("source", "draw", "line")
+
+
+@query()
+def sensitivity_curve(spark, d):
+    """Daily mean as a noise curve over the day of the month, one for each detector, with live time from its runs."""
+    asds = by_day(spark, d).groupBy("detector", F.col("chunk").cast("double").alias("f")).agg((F.avg("re") * 1e-3).alias("asd"))
+    t_obs = events(spark, d).groupBy("detector").agg(((F.max("t") - F.min("t")) / 1e6).alias("t_obs"))
+    return posterior.sensitivity_curve(asds, t_obs, 10.4, 200).select("k", F.round("f", 6).alias("f"), F.round(F.col("sensitivity") * 1e9, 4).alias("sensitivity"))
+
+
+# background
+@query("""with b as (select l_returnflag as dets, least(floor(l_extendedprice / 5000), 19)::int as bin, count(*) as n from lineitem where l_extendedprice between 0 and 100000 group by all)
+select dets, bin, n, round(n / sum(n) over (partition by dets) / 5000.0 * 1e6, 6) as density, (sum(n) over (partition by dets order by bin desc))::bigint as above from b""")
+def histogram(spark, d):
+    h = background.histogram(draws(spark, d), ["dets"], "value", 0.0, 100000.0, 20)
+    return h.select("dets", "bin", "n", r6(F.col("density") * 1e6, "density"), "above")
+
+
+KDE_BW = "bw as (select l_returnflag as dets, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem where l_suppkey < 10 group by 1)"
+
+
+@query(f"""with {KDE_BW} select l_returnflag as dets, x, round(avg((exp(-0.5 * pow((x - l_extendedprice) / h, 2)) + exp(-0.5 * pow((x + l_extendedprice) / h, 2))) / (h * sqrt(2 * pi()))) * 1e6, 6) as density
+from lineitem join bw on dets = l_returnflag, (select unnest(generate_series(0, 19)) * 5000.0 as x) where l_suppkey < 10 group by all""")
+def kde(spark, d):
+    x = spark.range(20).select((F.col("id") * 5000.0).alias("x"))
+    k = background.kde(draws(spark, d).where("source < 10"), x, ["dets"], "value", low=0.0)
+    return k.select("dets", "x", r6(F.col("density") * 1e6, "density"))
+
+
+@query("with c as (select l_returnflag as dets, l_quantity as value, count(*) as n from lineitem group by all) select dets, value, round(sum(n) over (partition by dets order by value) / sum(n) over (partition by dets), 6) as cdf from c")
+def ecdf(spark, d):
+    s = draws(spark, d).select("dets", F.col("score").alias("value"))
+    return background.ecdf(s, ["dets"], "value").select("dets", "value", r6("cdf", "cdf"))
+
+
+@query("select l_returnflag as dets, count(*) filter (where l_extendedprice >= 50000) as n_above from lineitem group by 1")
+def background_rank(spark, d):
+    s = draws(spark, d)
+    at = s.select("dets").distinct().withColumn("x", F.lit(50000.0))
+    return background.rank_of(s.select("dets", "value"), at, ["dets"], "value")
+
+
+@query("""with c as (select least(floor((sin(-1.5 + (l_orderkey % 301) / 100.0) + 1) / 2 * 8), 7) * 16 + least(floor(((l_partkey % 628) / 100.0) % (2 * pi()) / (2 * pi()) * 16), 15) as cell, max(l_extendedprice) as top from lineitem group by 1)
+select k as cell, coalesce(top, (select min(l_extendedprice) - 1 from lineitem)) as top from (select unnest(generate_series(0, 127))::int as k) left join c on c.cell = k""")
+def cell_max(spark, d):
+    s = draws(spark, d).withColumns({"ra": (F.col("part") % 628) / 100.0, "dec": -1.5 + (F.col("draw") % 301) / 100.0})
+    cells = spark.range(128).select(F.col("id").cast("int").alias("cell"))
+    return background.cell_max(s, background.sky_cell(F.col("ra"), F.col("dec")), "value", cells)
+
+
+@query()
+def background_study(spark, d):
+    """The last customer's odds among all others', as positions and odds joined by name."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("ra"))
+    o = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_acctbal") / 1000).alias("odds"))
+    out = background.background_study(c, o, "s0")
+    return out.select("n", "n_above", r6("tail", "tail"), F.round("kde_tail", 5).alias("kde_tail"))
+
+
+@query()
+def background_positions(spark, d):
+    """Forty shifts for each of the first suppliers as sources."""
+    src = table(spark, d, "supplier").orderBy("s_suppkey").limit(3).collect()
+    out = None
+    for r in src:
+        p = background.background_positions(spark, f"P{r['s_suppkey']}", (r["s_acctbal"] % 6.28), 0.3 - 0.2 * r["s_suppkey"], 40)
+        out = p if out is None else out.unionByName(p)
+    return out.select("name", r6("ra", "ra"), r6("dec", "dec"))
+
+
+# population
+HYPER = "hy as (select i as hid, 20000.0 + i * 5000 as mu from (select unnest(generate_series(0, 7)) as i))"
+
+
+def hyper_grid(spark):
+    return spark.range(8).select(F.col("id").alias("hid"), (20000.0 + F.col("id") * 5000).alias("mu"))
+
+
+@query(f"with {HYPER}, m as (select hid, l_suppkey, avg(exp(-ln(mu) - l_extendedprice / mu)) as m from lineitem, hy group by all) select hid, round(sum(ln(m)), 5) as ln_like from m group by hid")
+def hyper_likelihood(spark, d):
+    s = draws(spark, d).select("source", F.col("value").alias("x"))
+    return population.log_hyper_likelihood_samples(s, hyper_grid(spark), population.distribution("exponential"), "hid", ["mu"]).select("hid", F.round("ln_like", 5).alias("ln_like"))
+
+
+ON_GRID = f"""{HYPER}, bw as (select l_suppkey as source, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem where l_suppkey < 8 group by 1),
+gd as (select unnest(generate_series(0, 24)) * 4000.0 as x),
+lk as (select source, x, ln(avg((exp(-0.5 * pow((x - l_extendedprice) / h, 2)) + exp(-0.5 * pow((x + l_extendedprice) / h, 2))) / (h * sqrt(2 * pi())))) + 1.0 + ln(1e5) as l from lineitem join bw on source = l_suppkey, gd group by source, x)"""
+
+
+def on_grid(spark, d):
+    s = draws(spark, d).where("source < 8").select("source", F.col("value").alias("x0"))
+    g = spark.range(25).select((F.col("id") * 4000.0).alias("x"))
+    ev = s.select("source").distinct().withColumns({"ln_z": F.lit(1.0), "ln_prior": F.lit(-math.log(1e5))})
+    return population.source_likelihood_on_grid(s, ev, g, "x0")
+
+
+@query(f"with {ON_GRID} select source, x, round(l, 5) as ln_l from lk")
+def source_likelihood_grid(spark, d):
+    return on_grid(spark, d).select("source", "x", F.round("ln_l", 5).alias("ln_l"))
+
+
+GRID_LIKE = f"""{ON_GRID}, it as (select hid, source, sum(case when x in (0, 96000) then 2000.0 else 4000.0 end * exp(-ln(mu) - x / mu + l)) as z from lk, hy group by all), hl as (select hid, sum(ln(z)) as l from it group by hid)"""
+
+
+def hyper_ll(spark, d):
+    return population.log_hyper_likelihood_grid(on_grid(spark, d), hyper_grid(spark), population.distribution("exponential"), "hid", ["mu"])
+
+
+@query(f"with {GRID_LIKE} select hid, round(l, 5) as ln_like from hl")
+def hyper_likelihood_grid(spark, d):
+    return hyper_ll(spark, d).select("hid", F.round("ln_like", 5).alias("ln_like"))
+
+
+@query(f"with {GRID_LIKE} select hid, round(exp(l - (select max(l) from hl)) / (select sum(exp(l - (select max(l) from hl))) from hl), 6) as p from hl")
+def hyper_posterior(spark, d):
+    return population.hyper_posterior(hyper_ll(spark, d), "hid").select("hid", r6("p", "p"))
+
+
+@query(f"with {GRID_LIKE}, po as (select hid, exp(l - (select max(l) from hl)) / (select sum(exp(l - (select max(l) from hl))) from hl) as p from hl) select x, round(sum(p * exp(-ln(mu) - x / mu)) * 1e6, 6) as density from po join hy using (hid), gd group by x")
+def posterior_predictive(spark, d):
+    post = population.hyper_posterior(hyper_ll(spark, d), "hid").join(hyper_grid(spark), "hid")
+    g = spark.range(25).select((F.col("id") * 4000.0).alias("x"))
+    return population.posterior_predictive(post, g, population.distribution("exponential"), ["mu"]).select("x", r6(F.col("density") * 1e6, "density"))
+
+
+@query("""select l_orderkey as draw, l_linenumber as line, round(l_quantity * 1e38 * sqrt(15 / (8 * pi())) / 1e38, 6) as q22 from lineitem
+where ((l_orderkey * 2654435761 + 121509) % 4294967296) / 4294967296.0 < (1 / l_quantity) / (max(1 / l_quantity) over (partition by l_suppkey))""".replace("where ((", "qualify (("))
+def to_quadrupole(spark, d):
+    s = draws(spark, d).select("source", "draw", "line", F.col("score").alias("ell"))
+    return population.to_quadrupole(s, "draw", prior=F.col("ell")).select("draw", "line", r6(F.col("q22") / 1e38, "q22"))
+
+
+@query()
+def distributions(spark, d):
+    """All five log densities at each draw's value."""
+    s = draws(spark, d).where("source < 10").select("source", "draw", "line", (F.col("value") / 1e5).alias("x"))
+    h = {"mu": F.lit(0.4), "alpha": F.lit(1.5), "minimum": F.lit(0.05), "maximum": F.lit(2.0), "peak": F.lit(0.5), "mu0": F.lit(0.2), "sigma0": F.lit(0.1), "w0": F.lit(0.6), "mu1": F.lit(0.7), "sigma1": F.lit(0.2)}
+    kinds = {"exponential": {}, "powerlaw": {}, "delta": {}, "bounded-gaussian": {"modes": 2}, "histogram": {"low": 0.0, "high": 2.0, "bins": 4}}
+    out = []
+    for name, more in kinds.items():
+        hyper = {f"w{i}": F.lit(0.25) for i in range(4)} if name == "histogram" else h
+        p = F.exp(population.distribution(name, **more).log_pdf(F.col("x"), hyper))
+        out.append(F.round(p, 5).alias(name.replace("-", "_")))
+    return s.select("source", "draw", "line", *out)
+
+
+# scalar functions
+@query("""select event_id, round(lgamma(1 + event_id % 50 + 1), 6) as ln_factorial, round(5000.0 * (1 + event_id) * sqrt(15 / (8 * pi())), 4) as q22, round(hypot(value, 3.0), 6) as modulus, round(ln(value + 1) / ln(10), 6) as log10,
+round(0.5 * value / sqrt(60.0), 6) as sigma, round(2 * asin(sqrt(pow(sin((0.5 - 0.2) / 2), 2) + cos(0.2) * cos(0.5) * pow(sin((1.0 - value / 600) / 2), 2))), 6) as separation from events""".replace("hypot(value, 3.0)", "sqrt(value * value + 9.0)"))
+def scalar_functions(spark, d):
+    e = table(spark, d, "events")
+    return e.select(
+        "event_id", r6(scalar.ln_factorial(1 + F.col("event_id") % 50), "ln_factorial"), F.round(scalar.ellipticity_to_q22(5000.0 * (1 + F.col("event_id"))) / 1e38, 4).alias("q22"),
+        r6(scalar.component("value", F.lit(3.0), "abs"), "modulus"), r6(scalar.log_base(F.log(F.col("value") + 1), math.e, 10), "log10"),
+        r6(scalar.asd_to_sigma("value", F.lit(60.0)), "sigma"), r6(scalar.angular_separation(F.col("value") / 600, F.lit(0.2), F.lit(1.0), F.lit(0.5)), "separation"),
+    )
+
+
+@query("select event_id, (epoch_us(ts) // 1000000 - 315964800 + 18)::bigint as gps, round((epoch_us(ts) // 1000000 - 315964800 + 18 + 51.184) / 86400 + 44244.0, 8) as mjd, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso from events")
+def gps_times(spark, d):
+    gps = scalar.unix_to_gps(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    return table(spark, d, "events").select("event_id", lng(gps, "gps"), F.round(scalar.gps_to_mjd(gps), 8).alias("mjd"), scalar.gps_to_iso(gps).alias("iso"))
+
+
+@query("""select s_suppkey as source, round((floor(s_suppkey % 24) + 30 / 60.0) * pi() / 12, 9) as ra, round(-((s_suppkey % 90) + 15 / 60.0 + 36 / 3600.0) * pi() / 180, 9) as "dec", round(abs(s_acctbal) * 3.0856775814913673e19 / 1e19, 4) as dist from supplier""")
+def parameters_si(spark, d):
+    s = table(spark, d, "supplier")
+    ra = F.concat(F.lpad((F.col("s_suppkey") % 24).cast("string"), 2, "0"), F.lit(":30:00"))
+    dec = F.concat(F.lit("-"), F.lpad((F.col("s_suppkey") % 90).cast("string"), 2, "0"), F.lit(":15:36"))
+    return s.select(
+        F.col("s_suppkey").alias("source"), F.round(scalar.to_si(F.lit("RAJ"), ra), 9).alias("ra"), F.round(scalar.to_si(F.lit("DECJ"), dec), 9).alias("dec"),
+        F.round(scalar.to_si(F.lit("DIST"), F.abs("s_acctbal").cast("string")) / 1e19, 4).alias("dist"),
+    )
+
+
+@query("""with e as (select s_suppkey as source, s_suppkey * 0.05 as lon, -1.0 + s_suppkey * 0.02 as lat, radians(84381.4059 / 3600) as o from supplier where s_suppkey < 100)
+select source, round(asin(cos(lat) * sin(lon) * sin(o) + sin(lat) * cos(o)), 6) as "dec" from e""")
+def ecliptic(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey < 100")
+    _, dec = scalar.ecliptic_to_equatorial(F.col("s_suppkey") * 0.05, -1.0 + F.col("s_suppkey") * 0.02)
+    return s.select(F.col("s_suppkey").alias("source"), r6(dec, "dec"))
+
+
+@query("select s_suppkey as source, round((1 + s_suppkey) * 2.5 / (9.0 * 9.0), 6) as braking from supplier")
+def derived_parameters(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (1.0 + F.col("s_suppkey")).alias("F0"), F.lit(9.0).alias("F1"), F.lit(2.5).alias("F2"))
+    return registry.with_alias(s, "N_BRAKING").select("source", r6("N_BRAKING", "braking"))
+
+
+@query()
+def antenna_response(spark, d):
+    """Response of three detectors at each event's sidereal time, from the table and directly."""
+    src = sources(spark, d).where("source < 3").select("source", (F.col("source") * 1.1).alias("ra"), (0.2 * F.col("source")).alias("dec"))
+    resp = phase.response_table(spark, src, ["H1", "L1", "V1"])
+    e = events(spark, d).where("source < 3").select("source", "event_id", (F.col("t") / 1e6).alias("t"), F.explode(F.array(F.lit("H1"), F.lit("L1"), F.lit("V1"))).alias("detector"))
+    return phase.join_response(e, resp, 1704067200.0).select("event_id", "detector", r6("fp", "fp"), r6("fc", "fc"))
+
+
+@query()
+def signal_amplitudes(spark, d):
+    s = sources(spark, d).select("source", (F.col("f0") * 1e-2).alias("c21"), (F.col("f0") * 2e-2).alias("c22"), (F.col("source") % 10 / 10).alias("ci"))
+    out = []
+    for k in (1, 2):
+        (pr, pi), (cr, ci) = scalar.amplitude("c21", "c22", "ci", F.lit(0.4), F.lit(1.3), k)
+        out += [r6(pr, f"p{k}_re"), r6(pi, f"p{k}_im"), r6(cr, f"c{k}_re"), r6(ci, f"c{k}_im")]
+    return s.select("source", *out)
+
+
+@query(f"with {SRC} select source, round(1e-25 * pow(299792458.0, 4) * dist / (16 * pi() * pi() * 6.6743e-11 * 1e38 * f0 * f0) * 1e10, 6) as ell, round(sqrt(5 * 6.6743e-11 * 1e38 * -f1 / (2 * pow(299792458.0, 3) * f0)) / dist * 1e28, 5) as spindown from src")
+def derived_limits(spark, d):
+    h = F.lit(1e-25)
+    return sources(spark, d).select("source", r6(scalar.h0_to_ellipticity(h, "f0", "dist") * 1e10, "ell"), F.round(scalar.h0_spindown("f0", "f1", "dist") * 1e28, 5).alias("spindown"))
+
+
+# catalogues of files, as names built from the tables
+@query("select 'H-T-' || (o_orderdate::date - date '1990-01-01') * 100 || '-' || (100 + o_orderkey % 50) as name, (o_orderdate::date - date '1990-01-01') * 100 as gps_start, 100 + o_orderkey % 50 as duration from orders where (o_orderdate::date - date '1990-01-01') * 100 < 300000 and (o_orderdate::date - date '1990-01-01') * 100 + 100 + o_orderkey % 50 > 200000")
+def select_files(spark, d):
+    gps = F.date_diff(F.col("o_orderdate"), F.lit("1990-01-01").cast("date")) * 100
+    names = table(spark, d, "orders").select(F.concat(F.lit("/data/H-T-"), gps.cast("string"), F.lit("-"), (100 + F.col("o_orderkey") % 50).cast("string"), F.lit(".gwf")).alias("path"))
+    got = files.select_files(files.parse_catalog(names), "H1", "T", 200000, 300000)
+    return got.select(F.regexp_extract("path", r"(H-T-\d+-\d+)", 1).alias("name"), "gps_start", "duration")
+
+
+@query("select s_suppkey as source, 'F0' as key, round(1.5 + s_suppkey, 6) as value, true as fit from supplier union all select s_suppkey, 'DIST', round(s_suppkey * 3.0856775814913673, 6), false from supplier")
+def parameter_files(spark, d):
+    text = F.concat(F.lit("PSRJ "), F.col("s_suppkey").cast("string"), F.lit("\nF0 "), (1.5 + F.col("s_suppkey")).cast("string"), F.lit(" 1 1e-12\n# note\nDIST "), F.col("s_suppkey").cast("string"), F.lit("\n"))
+    p = files.parameter_lines(table(spark, d, "supplier").select(F.col("s_name").alias("path"), text.alias("value")))
+    return p.where("key in ('F0', 'DIST')").select(F.col("source").cast("long").alias("source"), "key", r6(F.when(F.col("key") == "DIST", F.col("value") / 1e19).otherwise(F.col("value")), "value"), "fit")
+
+
+@query("select s_suppkey as source, 'H1' as dets from supplier where s_suppkey % 2 = 0")
+def results_catalog(spark, d):
+    tail = F.when(F.col("s_suppkey") % 2 == 0, "_result.json").otherwise("_other.json")
+    names = table(spark, d, "supplier").select(F.concat(F.lit("/out/pe_H1_"), F.col("s_suppkey").cast("string"), tail).alias("path"))
+    return files.results_catalog(names, "pe").select(F.col("source").cast("long").alias("source"), "dets")
+
+
+@query("select s_suppkey as source, 'L1' as detector, 2.0 as freqfactor from supplier".replace("2.0 as", "2.0::double as"))
+def series_catalog(spark, d):
+    names = table(spark, d, "supplier").select(F.concat(F.lit("/out/heterodyne_"), F.col("s_suppkey").cast("string"), F.lit("_L1_2.0_100-200.txt")).alias("path"))
+    return files.series_catalog(names).select(F.col("source").cast("long").alias("source"), "detector", "freqfactor")
+
+
+@query(f"""with {RUN_SQL} select source, sum(n)::bigint as n, count(*) as runs from inc group by source""")
+def stored_segments(spark, d):
+    """Runs of hourly times as stored (start, end) pairs and expanded again."""
+    e = live(spark, d)
+    return e.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
+
+
+@query(f"""with {S}, h as (select distinct source, t // {HOUR} as t from s) select source, t, row_number() over (partition by source order by t) - 1 as i from h""")
+def expand_segments(spark, d):
+    h = events(spark, d).select("source", F.floor(F.col("t") / HOUR).alias("t")).distinct()
+    return series.expand_time_segments(series.compress_time_segments(h, 1, ["source"]), 1, ["source"]).select("source", lng("t", "t"), lng("i", "i"))
+
+
+@query(f"with {S} select source, round(sqrt(sum(case when t >= {DAY0 + 2 * DAY} and t <= {DAY0 + 9 * DAY} then (re * re + im * im) / 4.0 end)), 6) as snr from s group by source having count(*) filter (where t >= {DAY0 + 2 * DAY} and t <= {DAY0 + 9 * DAY}) > 0")
+def injection_snr(spark, d):
+    e = events(spark, d).withColumn("sigma", F.lit(2.0))
+    r = e.select("source").distinct().select("source", F.lit(DAY0 + 2 * DAY).alias("start"), F.lit(DAY0 + 9 * DAY).alias("end"))
+    inside = segments.samples_in_segments(e, r, ["source"], DAY, closed=True)
+    return infer.signal_snr(inside, ["source"], "re", "im").select("source", r6("snr", "snr"))
