@@ -541,9 +541,9 @@ def credible_interval(spark, d):
     return out.select("source", "dets", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("select l_suppkey as source, round(quantile_cont(l_extendedprice, 0.95), 3) as \"limit\" from lineitem group by all")
+@query("select l_suppkey as source, round(quantile_cont(l_extendedprice, 0.95), 4) as \"limit\" from lineitem group by all")
 def upper_limit(spark, d):
-    return posterior.upper_limit(draws(spark, d), ["source"], "value").select("source", F.round("limit", 3).alias("limit"))
+    return posterior.upper_limit(draws(spark, d), ["source"], "value").select("source", F.round("limit", 4).alias("limit"))
 
 
 @query("""select l_suppkey as source, l_extendedprice as value, l_quantity as score, l_orderkey as draw, l_linenumber as line from lineitem
@@ -636,11 +636,11 @@ def sample_divergence(spark, d):
 
 @query(f"""with {SRC}, l as (select l_suppkey as source, l_returnflag as dets, quantile_cont(l_extendedprice * 1e-30, 0.95) as h from lineitem group by all),
 e as (select source, dets, h, h * pow(299792458.0, 4) * dist / (16 * pi() * pi() * 6.6743e-11 * 1e38 * f0 * f0) as ell, h / (sqrt(5 * 6.6743e-11 * 1e38 * -f1 / (2 * pow(299792458.0, 3) * f0)) / dist) as sd from l left join src using (source))
-select source, round(max(case when dets = 'A' then h end) * 1e26, 4) as a_h0, round(max(case when dets = 'N' then h end) * 1e26, 4) as n_h0, round(max(case when dets = 'R' then ell end) * 1e12, 4) as r_ell, round(max(case when dets = 'A' then sd end) * 1e6, 4) as a_sd from e group by source""")
+select source, round(max(case when dets = 'A' then h end) * 1e26, 8) as a_h0, round(max(case when dets = 'N' then h end) * 1e26, 8) as n_h0, round(max(case when dets = 'R' then ell end) * 1e12, 4) as r_ell, round(max(case when dets = 'A' then sd end) * 1e6, 4) as a_sd from e group by source""")
 def limits_table(spark, d):
     s = draws(spark, d).select("source", "dets", (F.col("value") * 1e-30).alias("h0"))
     t = posterior.limits_table(s, sources(spark, d))
-    return t.select("source", F.round(F.col("`A_h0_95%UL`") * 1e26, 4).alias("a_h0"), F.round(F.col("`N_h0_95%UL`") * 1e26, 4).alias("n_h0"), F.round(F.col("`R_ell_95%UL`") * 1e12, 4).alias("r_ell"), F.round(F.col("`A_sdrat_95%UL`") * 1e6, 4).alias("a_sd"))
+    return t.select("source", F.round(F.col("`A_h0_95%UL`") * 1e26, 8).alias("a_h0"), F.round(F.col("`N_h0_95%UL`") * 1e26, 8).alias("n_h0"), F.round(F.col("`R_ell_95%UL`") * 1e12, 4).alias("r_ell"), F.round(F.col("`A_sdrat_95%UL`") * 1e6, 4).alias("a_sd"))
 
 
 @query(f"with {S} select l_suppkey as source, l_linestatus as flag, e.detector, count(*) as n from (select distinct l_suppkey, l_linestatus, case when l_linestatus = 'F' then 'viewclic' else 'erro' end as dets from lineitem) r join (select source, substr(detector, 1, 4) as detector, event_id from s) e on e.source = r.l_suppkey and contains(r.dets, e.detector) group by all")
