@@ -160,7 +160,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
     cover = _covered(placed, plan, block_words)
     times = taken.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     key = ["doc_id", "h", "start", "size", "source_size", "target"]
-    each = cover.join(times, ["sid", "block"], "left").withColumn("got", F.col("words") * F.coalesce("times", F.lit(0)))
+    each = cover.join(times.hint("merge"), ["sid", "block"], "left").withColumn("got", F.col("words") * F.coalesce("times", F.lit(0)))
     return each.groupBy(*key, "sid", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("r")).agg(F.sum("got").cast("long").alias("taken")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
@@ -175,12 +175,13 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WO
     """
     placed, plan, taken = _plan(docs, doc_id, text, source, seed, block_words)
     cover = _covered(placed, plan, block_words)
-    got = cover.join(taken, ["sid", "block"]).groupBy("doc_id", "h", "start", "size", "turn").agg(
+    got = cover.join(taken.hint("merge"), ["sid", "block"]).groupBy("doc_id", "h", "start", "size", "turn").agg(
         F.sum("words").alias("mix_taken"), F.sort_array(F.collect_list(F.struct("from", "words"))).alias("mix_spans")
     )
     got = got.select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), "start", "turn", "size", "mix_taken", "mix_spans")
     # repeated rows have one (id, hash): they share out its starts, one each
     own, spans, total = fresh(docs, "mix_own"), F.col("mix_spans"), F.col("mix_taken")
+    # taken blocks grow with the input, so they are never broadcast
     first = got.groupBy("mix_id", "mix_h").agg(F.collect_list(F.struct("start", "turn", "size", "mix_taken", "mix_spans")).alias("mix_all"))
     distinct = docs.withColumn(own, F.xxhash64(F.col(doc_id), F.col(text)))
     if not placed.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
