@@ -160,9 +160,11 @@ def fit(docs: DataFrame, text: str = "text") -> Field:
         for pdf in batches:
             for t in pdf["text"]:
                 nodes = nodes_of(t)
-                y = _labels(nodes, base_spans(t))
-                got.update((-1, f, label, 0) for f, label in zip(features(t, nodes), y, strict=True))
-                got.update((kind, 0, y[i], y[j]) for i, j, kind in edges_of(t, nodes))
+                y, edges = _labels(nodes, base_spans(t)), edges_of(t, nodes)
+                # a token outside base spans that repeats one inside is unlabelled, not outside
+                unsure = {n for i, j, kind in edges if kind for n, m in ((i, j), (j, i)) if not y[n] and y[m]}
+                got.update((-1, f, y[n], 0) for n, f in enumerate(features(t, nodes)) if n not in unsure)
+                got.update((kind, 0, y[i], y[j]) for i, j, kind in edges if i not in unsure and j not in unsure)
         if got:
             yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["kind", "mask", "y", "z", "n"])
 

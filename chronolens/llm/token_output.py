@@ -12,6 +12,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,7 +197,7 @@ class _Words(dict):
 
     def __init__(self, encoder: WordEncoder):
         super().__init__()
-        self.encoder, self.flat, self.sizes = encoder, [], []
+        self.encoder, self.flat, self.sizes = encoder, array("I"), array("I")
 
     def __missing__(self, w: bytes) -> int:
         ids = self.encoder.word(w.decode())
@@ -214,8 +215,8 @@ def encode_texts(words: _Words, texts: list[bytes], end: int) -> tuple[np.ndarra
         before = len(index)
         index.extend(map(look, t.split()))
         counts.append(len(index) - before)
-    sizes = np.array([*words.sizes, 1], np.int64)
-    flat = np.array([*words.flat, end], np.uint32)
+    sizes = np.append(np.frombuffer(words.sizes.tobytes(), np.uint32), 1).astype(np.int64)
+    flat = np.append(np.frombuffer(words.flat.tobytes(), np.uint32), np.uint32(end))
     first = np.cumsum(sizes) - sizes
     w = np.insert(np.array(index, np.int64), np.cumsum(counts), len(sizes) - 1)
     n = sizes[w]
@@ -244,7 +245,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
         encoder = _cache.setdefault("encoder", {}).get(tokenizer_file)
         if encoder is None:
             encoder = _cache["encoder"][tokenizer_file] = WordEncoder(tokenizer_file)
-        part, seq, words = TaskContext.get().partitionId(), 0, _Words(encoder)
+            _cache["words"] = {}
+        words = _cache["words"].setdefault(tokenizer_file, _Words(encoder))
+        part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, have = [], [], [], 0
 
         def shard() -> pd.DataFrame:
@@ -258,7 +261,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
 
         for pdf in batches:
             if len(words) > CACHE_PIECES // 2:
-                words = _Words(encoder)
+                words = _cache["words"][tokenizer_file] = _Words(encoder)
             got, n_ids = encode_texts(words, list(pdf["text"]), end_id)
             ids.append(got), lengths.append(n_ids)
             held.extend(None if x is None or x != x else int(x) for x in pdf["doc_id"].astype(object))
