@@ -153,15 +153,26 @@ def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return [None if x else int(i) for i, x in zip(ids, none, strict=True)], lengths, WaveletMatrix(n, planes)
 
 
-_PRINTABLE = re.compile(r"[!-~]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and the Latin letters of one code point up to 255: what is cut here rather than by the tokenizer.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters beyond ASCII as byte-level models spell them: printable bytes stand for themselves, the others count on from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    spelt = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_SPELT = _byte_letters()
 
 
 class WordEncoder:
     """Whole texts -> ids with the tokenizers library, each distinct word encoded once.
 
     Words are what ASCII white space parts; the tokenizer never joins across it, so a text's ids
-    are its words' ids in order. Plain printable words are first cut as the tokenizer cuts them.
+    are its words' ids in order. Plain words are first cut as the tokenizer cuts them.
     """
 
     def __init__(self, file: str):
@@ -175,11 +186,11 @@ class WordEncoder:
         if got is None:
             if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
-            got = self.pieces[p] = [t.id for t in self.tok.model.tokenize(p)]
+            got = self.pieces[p] = [t.id for t in self.tok.model.tokenize(p if p.isascii() else p.translate(_SPELT))]
         return got
 
     def word(self, w: str) -> list[int]:
-        if _PRINTABLE.fullmatch(w) and "<|" not in w:
+        if _PLAIN.fullmatch(w) and "<|" not in w:
             w = w.lower()
             if w.isalpha():
                 return self._piece(w)
