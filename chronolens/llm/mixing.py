@@ -190,7 +190,10 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WO
     each = joined.withColumn("mix_one", F.explode("mix_all"))
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     spans, total, size = F.col("mix_one.mix_spans"), F.col("mix_one.mix_taken"), F.col("mix_one.size")
-    chosen = F.flatten(F.transform(spans, lambda s: F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int"))))
+    # the words are bound by an outer transform, so that a text is split once and not for each span
+    chosen = F.transform(
+        F.array(words), lambda ws: F.flatten(F.transform(spans, lambda s: F.slice(ws, (s["from"] + 1).cast("int"), s["words"].cast("int"))))
+    )[0]
     new = F.when(total == size, F.col(text)).otherwise(F.array_join(chosen, " "))
     out = each.withColumn(text, new)
     if n_chars in docs.columns:
