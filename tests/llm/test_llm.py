@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -331,3 +332,14 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.orderBy("start").collect()
     assert rows and rows[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_base_spans_as_plain_patterns():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a1.@- _+2") for _ in range(rng.randint(0, 30)))
+        naive = [(0, *m.span()) for m in pii.PATTERNS["email"].finditer(t)]
+        naive += [(1, *m.span()) for m in pii.PATTERNS["ip"].finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert [s for s in pii.base_spans(t) if s[0] in (0, 1)] == naive
+    long = "a" * 200_000 + " x@y.z " + "1" * 200_000
+    assert pii.base_spans(long) == [(0, 200_001, 200_006)]
