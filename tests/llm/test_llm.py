@@ -296,6 +296,22 @@ def test_language_model(docs, rows, empty):
     assert lm_scoring.score_documents(empty, file).count() == 0
 
 
+def test_score_does_not_depend_on_the_broadcast_head(docs, monkeypatch):
+    file = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    teach = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))
+    monkeypatch.setattr(lm_scoring, "train", lambda texts, file, vocab: lm_scoring.new_params(vocab.prior))
+
+    def scored():
+        got = lm_scoring.score_documents(docs, file, teach).collect()
+        return sorted((r["doc_id"] or 0, r["n_known"], r["n_subwords"], r["base_score"], r["score"]) for r in got)
+
+    whole = scored()
+    for n_words, n_pairs in ((300, 10**6), (10**6, 200), (300, 200), (0, 0)):
+        monkeypatch.setattr(lm_scoring, "HEAD_WORDS", n_words)
+        monkeypatch.setattr(lm_scoring, "HEAD_PAIRS", n_pairs)
+        assert np.allclose(scored(), whole, rtol=1e-6, atol=1e-3)
+
+
 def test_windows_score_each_token_once():
     read, scored, doc = lm_scoring.windows(np.array([1, 32, 33, 200]))
     on = scored[scored >= 0]
