@@ -621,14 +621,14 @@ def compare_samples(spark, d):
 @query()
 def combined_comparison(spark, d):
     """Fisher-combined p of the comparison by detector set, and the divergence of the densities of the two halves."""
-    s = draws(spark, d).where("source < 20")
+    s = draws(spark, d)
     p = posterior.compare_samples(s.where("line <= 3"), s.where("line > 3"), ["source", "dets"], "value")
     return posterior.fisher_combined(p, ["source"]).select("source", r6("p", "p"))
 
 
 @query()
 def sample_divergence(spark, d):
-    s = draws(spark, d).where("source < 20")
+    s = draws(spark, d)
     x = spark.range(100).select((F.col("id") * 1000.0).alias("x"))
     half = lambda c, n: background.kde(s.where(c), x, ["source"], "value").withColumnRenamed("density", n)
     return posterior.jensen_shannon(half("line <= 3", "p").join(half("line > 3", "q"), ["source", "x"]), ["source"]).select("source", r6("js", "js"))
@@ -834,7 +834,7 @@ def to_quadrupole(spark, d):
 @query()
 def distributions(spark, d):
     """All five log densities at each draw's value."""
-    s = draws(spark, d).where("source < 10").select("source", "draw", "line", (F.col("value") / 1e5).alias("x"))
+    s = draws(spark, d).select("source", "draw", "line", (F.col("value") / 1e5).alias("x"))
     h = {"mu": F.lit(0.4), "alpha": F.lit(1.5), "minimum": F.lit(0.05), "maximum": F.lit(2.0), "peak": F.lit(0.5), "mu0": F.lit(0.2), "sigma0": F.lit(0.1), "w0": F.lit(0.6), "mu1": F.lit(0.7), "sigma1": F.lit(0.2)}
     kinds = {"exponential": {}, "powerlaw": {}, "delta": {}, "bounded-gaussian": {"modes": 2}, "histogram": {"low": 0.0, "high": 2.0, "bins": 4}}
     out = []
@@ -891,9 +891,9 @@ def derived_parameters(spark, d):
 @query()
 def antenna_response(spark, d):
     """Response of three detectors at each event's sidereal time, from the table and directly."""
-    src = sources(spark, d).where("source < 3").select("source", (F.col("source") * 1.1).alias("ra"), (0.2 * F.col("source")).alias("dec"))
+    src = sources(spark, d).select("source", (F.col("source") * 1.1).alias("ra"), (0.2 * F.col("source")).alias("dec"))
     resp = phase.response_table(spark, src, ["H1", "L1", "V1"])
-    e = events(spark, d).where("source < 3").select("source", "event_id", (F.col("t") / 1e6).alias("t"), F.explode(F.array(F.lit("H1"), F.lit("L1"), F.lit("V1"))).alias("detector"))
+    e = events(spark, d).select("source", "event_id", (F.col("t") / 1e6).alias("t"), F.explode(F.array(F.lit("H1"), F.lit("L1"), F.lit("V1"))).alias("detector"))
     return phase.join_response(e, resp, 1704067200.0).select("event_id", "detector", r6("fp", "fp"), r6("fc", "fc"))
 
 
