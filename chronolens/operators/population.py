@@ -123,14 +123,15 @@ def source_likelihood_on_grid(samples: DataFrame, evidence: DataFrame, grid: Dat
 
 
 def log_hyper_likelihood_grid(like: DataFrame, hyper_grid: DataFrame, dist: Distribution, hyper_id: str, params: list[str]) -> DataFrame:
-    """(hyper_id, ln_like): sum over sources of ln of the trapezoid of exp(ln pdf + ln_l) over x."""
+    """(hyper_id, ln_like): sum over sources of ln of the trapezoid of exp(ln pdf + ln_l) over x; FLOOR for a source without a finite term."""
     w = Window.partitionBy("source").orderBy("x")
     weight = (F.coalesce(F.lead("x").over(w), F.col("x")) - F.coalesce(F.lag("x").over(w), F.col("x"))) / 2
     few = hyper_grid.limit(100_001).count() <= 100_000
     j = like.withColumn("w", weight).crossJoin(F.broadcast(hyper_grid) if few else hyper_grid)
     term = dist.log_pdf(F.col("x"), {p: F.col(p) for p in params}) + F.col("ln_l")
     by_source = log_sum_exp(j.where(term > never()), [hyper_id, "source"], term, F.col("w"), "l")
-    return by_source.groupBy(hyper_id).agg(F.sum("l").alias("ln_like"))
+    every = like.select("source").distinct().crossJoin(hyper_grid.select(hyper_id).distinct())
+    return every.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
 
 
 def hyper_posterior(ll: DataFrame, hyper_id: str, weight: Column | None = None) -> DataFrame:
