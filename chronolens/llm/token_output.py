@@ -1,22 +1,23 @@
 """Token-id output: one wavelet matrix for each shard of documents.
 
 A shard holds the token ids of consecutive documents in ascending doc_id order. Ids are stored
-bit by bit, highest first; after each plane the ids are stably parted into zeros and ones. With
-the counts of ones kept for each block of 512 bits, a token is read, counted and found without
-unpacking the rest. Shards are binary cells that Spark writes, one row for each.
+bit by bit, highest first; after each plane the ids are stably parted into zeros and ones.
+Planes are compressed in chunks, and the file keeps where each chunk lies and how many ones
+stand before it, so that a token is read, counted and found from a few chunks of the compressed
+file. Shards are binary cells that Spark writes, one row for each.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ from .common import bounded_batches, shared_dir, text_of
 SHARD_IDS = 4_000_000
 #: UTF-8 bytes of text dealt to one task.
 TASK_BYTES = 24_000_000
-MAGIC, HEADER, RANK_BITS = b"WVMX", struct.Struct("<4sBBHQQ"), 512
-#: Pieces of words that a Python worker remembers before it starts anew.
-CACHE_PIECES = 1_500_000
+MAGIC, VERSION, HEADER = b"WVMX", 2, struct.Struct("<4sBBHQQQ")
+#: Bytes of a plane that are compressed together; the rank directory has an entry for each.
+CHUNK = 8192
+#: Words, and pieces of words, that a Python worker remembers before it starts anew.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_500_000
 
 _cache: dict[str, dict] = {}
 
@@ -36,126 +39,155 @@ _cache: dict[str, dict] = {}
 class WaveletMatrix:
     """Succinct sequence of unsigned integers: access, rank (count) and select (lookup) from bit planes."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        """planes: packed bits (little order), highest plane first."""
-        self.n, self.planes = n, planes
-        self.ranks, self.zeros = [], []
-        for p in planes:
-            ones = np.bitwise_count(np.pad(p, (0, -len(p) % (RANK_BITS // 8)))).reshape(-1, RANK_BITS // 8).sum(1, dtype=np.uint64)
-            self.ranks.append(np.concatenate([[np.uint64(0)], np.cumsum(ones)]).astype(np.int64))
-            self.zeros.append(n - int(self.ranks[-1][-1]))
-
-    @classmethod
-    def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
+    def __init__(self, n: int, ranks: np.ndarray, fetch: Callable[[int, int], np.ndarray]):
+        """ranks: [levels, chunks + 1], the ones of a plane before each chunk; fetch: (level, chunk) -> its bytes, bits in little order."""
+        self.n, self.ranks, self.fetch, self.levels = n, ranks, fetch, len(ranks)
+        self.zeros = [n - int(r[-1]) for r in ranks]
+
+    @staticmethod
+    def planes_of(ids: np.ndarray, levels: int) -> list[np.ndarray]:
+        """The packed bits of each plane, highest first."""
         planes, seq = [], ids
         for b in range(levels - 1, -1, -1):
-            bit = ((seq >> b) & 1).astype(bool)
+            bit = (seq & (1 << b)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            seq = np.concatenate([seq[~bit], seq[bit]])
-        return cls(len(ids), planes)
+            if b:
+                seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))])
+        return planes
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
-        block = i // RANK_BITS
-        part = self.planes[level][block * (RANK_BITS // 8) : (i + 7) // 8].copy()
-        if i % 8 and len(part):
-            part[-1] &= (1 << (i % 8)) - 1
-        return int(self.ranks[level][block]) + int(np.bitwise_count(part).sum())
+        k, at = divmod(i, 8 * CHUNK)
+        if not at:
+            return int(self.ranks[level][k])
+        part = self.fetch(level, k)[: (at + 7) // 8]
+        over = int(part[-1]) >> (at % 8) if at % 8 else 0
+        return int(self.ranks[level][k]) + int(np.bitwise_count(part).sum()) - over.bit_count()
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7)) & 1
+        k, at = divmod(i, 8 * CHUNK)
+        return int(self.fetch(level, k)[at >> 3] >> (at & 7)) & 1
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for level in range(len(self.planes)):
+        for level in range(self.levels):
             bit, ones = self._bit(level, i), self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             out = out << 1 | bit
         return out
 
-    def rank(self, value: int, i: int) -> int:
-        """How often ``value`` stands before position i."""
+    def _range(self, value: int, i: int) -> tuple[int, int]:
+        """Where the occurrences of ``value`` before position i lie below the last plane."""
         lo, hi = 0, min(max(i, 0), self.n)
-        for level in range(len(self.planes)):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+        for level in range(self.levels):
             a, b = self._ones(level, lo), self._ones(level, hi)
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if bit else (lo - a, hi - b)
-        return hi - lo if value >> len(self.planes) == 0 else 0
+            one = value >> (self.levels - 1 - level) & 1
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if one else (lo - a, hi - b)
+        return lo, hi
+
+    def rank(self, value: int, i: int) -> int:
+        """How often ``value`` stands before position i."""
+        lo, hi = self._range(value, i)
+        return hi - lo if value >= 0 and value >> self.levels == 0 else 0
 
     def select(self, value: int, k: int) -> int:
         """Position of occurrence k (from 0) of ``value``; -1 if there are fewer."""
         if k < 0 or self.rank(value, self.n) <= k:
             return -1
-        lo = 0
-        for level in range(len(self.planes)):
-            ones = self._ones(level, lo)
-            lo = self.zeros[level] + ones if value >> (len(self.planes) - 1 - level) & 1 else lo - ones
-        at = lo + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            one = value >> (len(self.planes) - 1 - level) & 1
-            want = at - self.zeros[level] if one else at
-            a, b = 0, self.n  # the position whose bit is number ``want`` of its kind
-            while a < b:
-                m = (a + b) // 2
-                ones = self._ones(level, m + 1)
-                if (ones if one else m + 1 - ones) <= want:
-                    a = m + 1
-                else:
-                    b = m
-            at = a
+        at = self._range(value, self.n)[0] + k
+        for level in range(self.levels - 1, -1, -1):
+            one = value >> (self.levels - 1 - level) & 1
+            want, before = at - self.zeros[level] if one else at, self.ranks[level].astype(np.int64)
+            if not one:
+                before = np.minimum(np.arange(len(before)) * 8 * CHUNK, self.n) - before
+            c = int(np.searchsorted(before, want, "right")) - 1  # the chunk that holds this zero or one
+            bits = np.unpackbits(self.fetch(level, c), bitorder="little")
+            at = c * 8 * CHUNK + int(np.flatnonzero(bits == one)[want - int(before[c])])
         return at
 
     def decode(self) -> np.ndarray:
         """All ids: planes from the lowest up, each partition undone."""
-        out = np.zeros(self.n, np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+        out = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        for level in range(self.levels - 1, -1, -1):
+            plane = np.concatenate([self.fetch(level, k) for k in range(self.ranks.shape[1] - 1)] or [np.zeros(0, np.uint8)])
+            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[level]]
-            up[bit] = out[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[np.flatnonzero(~bit)] = out[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.levels - 1 - level))
             out = up
-        return out
+        return out.astype(np.uint32)
 
 
-def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """The file format: header, document table, bit planes; all sections compressed as one zstd frame."""
+def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """The file format: header, document table, ends of the chunks, rank directory, chunks; little-endian."""
     import zstandard
 
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    wide = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+    planes = WaveletMatrix.planes_of(ids.astype(np.uint16 if levels <= 16 else np.uint32), levels)
+    ranks = np.zeros((levels, -(-len(planes[0]) // CHUNK) + 1), np.uint64)
+    chunks = []
+    for level, p in enumerate(planes):
+        ones = np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), CHUNK), dtype=np.uint64) if len(p) else np.zeros(0, np.uint64)
+        ranks[level, 1:] = np.cumsum(ones)
+        chunks += [squeeze(p[i : i + CHUNK].tobytes()) for i in range(0, len(p), CHUNK)]
     table = np.array([x if x is not None else 0 for x in doc_ids], np.int64).tobytes()
     null = np.packbits(np.array([x is None for x in doc_ids], bool)).tobytes()
-    body = b"".join([table, null, np.array(lengths, np.uint32).tobytes(), *(p.tobytes() for p in WaveletMatrix.build(wide, levels).planes)])
-    return HEADER.pack(MAGIC, 1, levels, 0, len(doc_ids), len(ids)) + zstandard.ZstdCompressor(level=1).compress(body)
+    docs = squeeze(table + null + np.asarray(lengths, np.uint64).tobytes())
+    ends = np.cumsum([len(c) for c in chunks], dtype=np.uint64).tobytes()
+    return b"".join([HEADER.pack(MAGIC, VERSION, levels, 0, len(doc_ids), len(ids), len(docs)), docs, ends, ranks.tobytes(), *chunks])
 
 
 def open_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """(doc ids, lengths, matrix) of a shard."""
+    """(doc ids, lengths, matrix) of a shard; a chunk of a plane is unpacked when it is first asked for."""
     import zstandard
 
-    magic, version, levels, _, docs, n = HEADER.unpack_from(blob)
-    if magic != MAGIC or version != 1:
+    magic, version, levels, _, n_docs, n, n_table = HEADER.unpack_from(blob)
+    if magic != MAGIC or version != VERSION:
         raise ValueError("not a shard of this format")
-    body, at = zstandard.ZstdDecompressor().decompress(blob[HEADER.size :]), 0
-
-    def take(kind, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(body, kind, count, at)
-        at += out.nbytes
-        return out
-
-    ids, null, lengths = take(np.int64, docs), take(np.uint8, -(-docs // 8)), take(np.uint32, docs)
-    none = np.unpackbits(null, count=docs).astype(bool)
-    planes = [take(np.uint8, -(-n // 8)) for _ in range(levels)]
-    return [None if x else int(i) for i, x in zip(ids, none, strict=True)], lengths, WaveletMatrix(n, planes)
-
-
+    unpack = zstandard.ZstdDecompressor().decompress
+    body, at = unpack(blob[HEADER.size : HEADER.size + n_table]), HEADER.size + n_table
+    each = -(-(-(-n // 8)) // CHUNK)
+    ends = np.frombuffer(blob, np.uint64, levels * each, at)
+    ranks = np.frombuffer(blob, np.uint64, levels * (each + 1), at + ends.nbytes).reshape(levels, each + 1)
+    first = at + ends.nbytes + ranks.nbytes
+    have: dict[int, np.ndarray] = {}
+
+    def fetch(level: int, k: int) -> np.ndarray:
+        i = level * each + k
+        if i not in have:
+            a = int(ends[i - 1]) if i else 0
+            have[i] = np.frombuffer(unpack(blob[first + a : first + int(ends[i])]), np.uint8)
+        return have[i]
+
+    ids, null = np.frombuffer(body, np.int64, n_docs), np.frombuffer(body, np.uint8, -(-n_docs // 8), 8 * n_docs)
+    lengths = np.frombuffer(body, np.uint64, n_docs, 8 * n_docs + null.nbytes).astype(np.int64)
+    none = np.unpackbits(null, count=n_docs).astype(bool)
+    return [None if x else int(i) for i, x in zip(ids, none, strict=True)], lengths, WaveletMatrix(n, ranks, fetch)
+
+
+#: What a tokenizer file has to say for its texts to be cut here; any other file's texts are encoded whole by the library. Fixed values.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 #: Printable ASCII and the Latin letters of one code point up to 255: what is cut here rather than by the tokenizer.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SIGNS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -168,17 +200,30 @@ def _byte_letters() -> dict[int, str]:
 _SPELT = _byte_letters()
 
 
+def cut_as_known(spec: dict) -> bool:
+    """Does a tokenizer file cut texts by the rules that are built in here?"""
+    model = spec["model"]
+    return (
+        all(spec.get(k) == v for k, v in _RULES.items())
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all("<|" in t["content"] and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class WordEncoder:
-    """Whole texts -> ids with the tokenizers library, each distinct word encoded once.
+    """Words -> ids with the tokenizers library; texts as a whole if the file's rules aren't the built-in ones.
 
-    Words are what ASCII white space parts; the tokenizer never joins across it, so a text's ids
-    are its words' ids in order. Plain words are first cut as the tokenizer cuts them.
+    Words are what ASCII white space parts; a tokenizer of the built-in rules never joins across
+    it, so a text's ids are its words' ids in order. Plain words are first cut as it cuts them.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            self.by_word = cut_as_known(json.load(f))
         self.pieces: dict[str, list[int]] = {}
 
     def _piece(self, p: str) -> list[int]:
@@ -190,50 +235,54 @@ class WordEncoder:
         return got
 
     def word(self, w: str) -> list[int]:
-        if _PLAIN.fullmatch(w) and "<|" not in w:
-            w = w.lower()
-            if w.isalpha():
-                return self._piece(w)
-            return [i for p in _PIECES.findall(w) for i in self._piece(p)]
-        got = self.pieces.get(" " + w)
-        if got is None:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            got = self.pieces[" " + w] = self.tok.encode(w, add_special_tokens=False).ids
-        return got
+        if w.isascii() or _PLAIN.fullmatch(w):
+            if "<|" not in w:
+                w = w.lower()
+                if w.isalpha():
+                    return self._piece(w)
+                if w[-1] in _SIGNS and w[:-1].isalpha():
+                    return self._piece(w[:-1]) + self._piece(w[-1])
+                if w.isprintable():
+                    return [i for p in _PIECES.findall(w) for i in self._piece(p)]
+        return self.tok.encode(w, add_special_tokens=False).ids
 
 
 class _Words(dict):
-    """Word -> index of its ids; grows by what is looked up."""
+    """Word -> its number; 0 is the empty word, which has no ids, 1 closes a document. Grows by what is looked up."""
 
-    def __init__(self, encoder: WordEncoder):
-        super().__init__()
-        self.encoder, self.flat, self.sizes = encoder, array("I"), array("I")
+    def __init__(self, encoder: WordEncoder, end: int):
+        super().__init__({"": 0})
+        self.encoder = encoder
+        self.flat, self.first, self.sizes = array("I", [end]), array("q", [0, 0]), array("q", [0, 1])
 
-    def __missing__(self, w: bytes) -> int:
-        ids = self.encoder.word(w.decode())
-        self.flat.extend(ids)
+    def __missing__(self, w: str) -> int:
+        ids = self.encoder.word(w)
+        self.first.append(len(self.flat))
         self.sizes.append(len(ids))
+        self.flat.extend(ids)
         self[w] = n = len(self.sizes) - 1
         return n
 
 
-def encode_texts(words: _Words, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each closed by ``end``; number of ids of each)."""
-    index, counts = [], []
-    look = words.__getitem__
-    for t in texts:
-        before = len(index)
-        index.extend(map(look, t.split()))
-        counts.append(len(index) - before)
-    sizes = np.append(np.frombuffer(words.sizes.tobytes(), np.uint32), 1).astype(np.int64)
-    flat = np.append(np.frombuffer(words.flat.tobytes(), np.uint32), np.uint32(end))
-    first = np.cumsum(sizes) - sizes
-    w = np.insert(np.array(index, np.int64), np.cumsum(counts), len(sizes) - 1)
-    n = sizes[w]
-    at = np.arange(n.sum()) + np.repeat(first[w] - (np.cumsum(n) - n), n)
-    lengths = np.add.reduceat(n, np.cumsum([0, *(c + 1 for c in counts[:-1])])) if len(counts) else np.zeros(0, np.int64)
-    return flat[at], lengths
+def encode_texts(words: _Words, texts) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of an Arrow array of texts, each closed by the end id; number of ids of each)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if words.encoder.by_word:
+        marked = pc.match_substring(texts, "<|")  # the tokenizer's own tokens are not lower-cased
+        parts = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        coded, counts = parts.flatten().dictionary_encode(), np.diff(parts.offsets.to_numpy())
+        names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        index = np.fromiter(map(words.__getitem__, names), np.int64, len(names))[index]
+        w = np.insert(index, np.cumsum(counts), 1)
+        flat, first, sizes = (np.frombuffer(x, k) for x, k in ((words.flat, np.uint32), (words.first, np.int64), (words.sizes, np.int64)))
+        n = sizes[w]
+        ids = flat[np.arange(n.sum()) + np.repeat(first[w] - (np.cumsum(n) - n), n)]
+        return ids, np.add.reduceat(n, np.cumsum([0, *(counts[:-1] + 1)])) if len(counts) else np.zeros(0, np.int64)
+    got = [e.ids for e in words.encoder.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    closed = [x for ids in got for x in (*ids, words.flat[0])]
+    return np.array(closed, np.uint32), np.array([len(ids) + 1 for ids in got], np.int64)
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None,
@@ -242,89 +291,97 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
 
     A row: shard (ascending with doc_id), n_ids, payload. Null text counts as empty; each
     document is closed by ``end_id``. ``tokenizer_file`` has to be readable by every worker.
+    ``doc_id`` is a long; extra columns are left out; an empty table gives no shard.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.encode(text_of(text), "UTF-8").alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // TASK_BYTES))
-    bounded_batches(spark, 500)
+    bounded_batches(spark)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = _cache.setdefault("encoder", {}).get(tokenizer_file)
-        if encoder is None:
-            encoder = _cache["encoder"][tokenizer_file] = WordEncoder(tokenizer_file)
-            _cache["words"] = {}
-        words = _cache["words"].setdefault(tokenizer_file, _Words(encoder))
+        key = (tokenizer_file, end_id)
+        if key not in _cache:
+            _cache[key] = _Words(WordEncoder(tokenizer_file), end_id)
+        words = _cache[key]
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, have = [], [], [], 0
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             nonlocal seq, have
-            out = pd.DataFrame(
-                {"shard": [(part << 24) + seq], "n_ids": [have], "payload": [pack_shard(held, np.concatenate(lengths).tolist(), np.concatenate(ids))]}
+            payload = pack_shard(held, np.concatenate(lengths), np.concatenate(ids))
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + seq], pa.int64()), pa.array([have], pa.int64()), pa.array([payload], pa.binary())],
+                ["shard", "n_ids", "payload"],
             )
             seq, have = seq + 1, 0
             ids.clear(), lengths.clear(), held.clear()
             return out
 
-        for pdf in batches:
-            if len(words) > CACHE_PIECES // 2:
-                words = _cache["words"][tokenizer_file] = _Words(encoder)
-            got, n_ids = encode_texts(words, list(pdf["text"]), end_id)
+        for batch in batches:
+            if len(words) > CACHE_WORDS:
+                words = _cache[key] = _Words(words.encoder, end_id)
+            got, n_ids = encode_texts(words, batch.column(1))
             ids.append(got), lengths.append(n_ids)
-            held.extend(None if x is None or x != x else int(x) for x in pdf["doc_id"].astype(object))
+            held.extend(batch.column(0).to_pylist())
             have += len(got)
             if have >= shard_ids:
                 yield shard()
-        if have:
+        if held:
             yield shard()
 
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInPandas(encode, "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(encode, "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
     return path
 
 
+def _offsets(shards: DataFrame) -> DataFrame:
+    """(shard, base): the ids before each shard. Sums of 1024 tasks each come first, so that no task sees all shards."""
+    sizes = shards.select("shard", "n_ids", F.shiftright("shard", 34).alias("group"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("group").agg(F.sum("n_ids").alias("n"))
+    groups = groups.select("group", F.sum("n").over(before(Window.orderBy("group"))).alias("before"))
+    within = F.sum("n_ids").over(before(Window.partitionBy("group").orderBy("shard")))
+    own = sizes.select("shard", "group", within.alias("within")).join(groups, "group")
+    return own.select("shard", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("base"))
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """One row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     shards = spark.read.schema("shard long, n_ids long, payload binary").parquet(path)
-    sizes = shards.select("shard", "n_ids")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))  # a row for each shard
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, blob in zip(pdf["shard"], pdf["payload"], strict=True):
-                doc_ids, lengths, matrix = open_shard(blob)
+
+    def decode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc_ids, lengths, matrix = open_shard(blob.as_py())
                 raw = memoryview(matrix.decode().astype("<u4").tobytes())
-                ends = np.cumsum(lengths, dtype=np.int64)
+                ends = np.cumsum(lengths)
                 starts = ends - lengths
-                yield pd.DataFrame(
-                    {
-                        "shard": np.int64(shard),
-                        "doc_id": pd.array(doc_ids, dtype="Int64"),
-                        "at": starts,
-                        "n_tokens": lengths.astype(np.int64),
-                        "ids_crc32": [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)],
-                    }
-                )
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [np.full(len(doc_ids), shard), doc_ids, starts, lengths, crc]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "payload").mapInPandas(decode, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(offsets, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = shards.select("shard", "payload").mapInArrow(decode, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(_offsets(shards), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
     """How often each of ``tokens`` stands in the files, and where first (-1: nowhere): shard, token, n, first; by rank and select alone."""
     shards = spark.read.schema("shard long, n_ids long, payload binary").parquet(path)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, blob in zip(pdf["shard"], pdf["payload"], strict=True):
-                _, _, m = open_shard(blob)
-                yield pd.DataFrame(
-                    {"shard": np.int64(shard), "token": tokens, "n": [m.rank(t, m.n) for t in tokens], "first": [m.select(t, 0) for t in tokens]}
-                )
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, _, m = open_shard(blob.as_py())
+                columns = [[shard] * len(tokens), tokens, [m.rank(t, m.n) for t in tokens], [m.select(t, 0) for t in tokens]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "token", "n", "first"])
 
-    return shards.select("shard", "payload").mapInPandas(count, "shard long, token long, n long, first long")
+    return shards.select("shard", "payload").mapInArrow(count, "shard long, token long, n long, first long")

@@ -214,18 +214,67 @@ def test_token_files(spark, docs, rows, empty):
     assert token_output.read_tokens(spark, token_output.write_tokens(empty, file)).count() == 0
 
 
-def test_wavelet_matrix():
+def test_token_files_keep_long_ids_beside_a_null_one(spark):
+    big = [2**53 + 1, 2**53 + 3, None, -5, 2**62]
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(big)], "doc_id long, text string")
+    path = token_output.write_tokens(df, queries.tokenizer_path("word_bpe_49k.json"))
+    got = token_output.read_tokens(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, -5, 2**53 + 1, 2**53 + 3, 2**62]
+
+
+def test_other_tokenizer_files_encode_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    file = str(tmp_path / "cased.json")
+    with open(file, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    encoder = token_output.WordEncoder(file)
+    assert not encoder.by_word and token_output.WordEncoder(queries.tokenizer_path("word_bpe_49k.json")).by_word
+    ids, n = token_output.encode_texts(token_output._Words(encoder, 2), pa.array(["Some WORDS", ""]))
+    want = Tokenizer.from_file(file).encode("Some WORDS", add_special_tokens=False).ids
+    assert ids.tolist() == [*want, 2, 2] and n.tolist() == [len(want) + 1, 1]
+
+
+def test_words_are_cut_as_the_tokenizer_cuts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = queries.tokenizer_path("word_bpe_49k.json")
+    tok, words, rng = Tokenizer.from_file(file), token_output._Words(token_output.WordEncoder(file), 2), random.Random(1)
+    alphabet = "abcXYZ é É ß ſ K 12 '’ .,!?<|>-_ 日本 \u0301 \x85\x1c\x0b Σς İ Ж ½ ² \x01 sdtremvll'S'D"
+    for _ in range(3000):
+        s = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
+        ids, n = token_output.encode_texts(words, pa.array([s, ""]))
+        assert ids.tolist() == [*tok.encode(s, add_special_tokens=False).ids, 2, 2] and n.tolist() == [len(ids) - 1, 1]
+
+
+def test_wavelet_matrix(monkeypatch):
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 70, 3000).astype(np.uint16)
-    _, _, m = token_output.open_shard(token_output.pack_shard([1, None], [1000, 2000], x))
-    assert (m.decode() == x).all()
-    for i in (0, 1, 511, 512, 2999):
-        assert m.access(i) == x[i]
-    for v in (0, 5, 69, 90, 200):
-        where = np.flatnonzero(x == v)
-        assert m.rank(v, 1500) == (x[:1500] == v).sum() and m.select(v, len(where)) == -1
-        if len(where):
-            assert m.select(v, 0) == where[0] and m.select(v, len(where) - 1) == where[-1]
+    for chunk, size in ((32, 3000), (32, 512), (8192, 3000), (32, 1), (8192, 0)):
+        monkeypatch.setattr(token_output, "CHUNK", chunk)
+        x = rng.integers(0, 70, size).astype(np.uint16)
+        ids, lengths, m = token_output.open_shard(token_output.pack_shard([1, None], [size // 3, size - size // 3], x))
+        assert ids == [1, None] and lengths.sum() == size and (m.decode() == x).all()
+        for i in {0, 1, 255, 256, 511, 512, size - 1} & set(range(size)):
+            assert m.access(i) == x[i]
+        for v in (0, 5, 69, 90, 200):
+            where = np.flatnonzero(x == v)
+            assert m.rank(v, size // 2) == (x[: size // 2] == v).sum() and m.select(v, len(where)) == -1
+            assert [m.select(v, k) for k in range(len(where))] == where.tolist()
+
+
+def test_a_token_is_read_from_few_chunks():
+    x = np.random.default_rng(3).integers(0, 50_000, 400_000)
+    _, _, m = token_output.open_shard(token_output.pack_shard([1], [len(x)], x))
+    asked, fetch = set(), m.fetch
+    m.fetch = lambda level, k: (asked.add((level, k)), fetch(level, k))[1]
+    assert m.access(123_456) == x[123_456] and len(asked) <= 2 * m.levels < m.levels * (m.ranks.shape[1] - 1)
 
 
 def test_mixing(docs, rows, empty):
