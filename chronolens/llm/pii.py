@@ -2,8 +2,10 @@
 
 Nodes are the tokens that could be part of an entity (they hold a digit or an @); all other
 tokens are outside. Neighbouring nodes and distant repeated or similar nodes share potentials;
-loopy message passing brings their labels into line across the whole document. Unary weights
-and potentials are learned from the base spans of all documents.
+loopy message passing brings their labels into line across the whole document. Weights and
+potentials are learned together from the base spans of all documents, by pseudo-likelihood: each
+node's label given those of the nodes that share a potential with it, once with and once without
+the node's own features, so that potentials have to explain labels that features don't.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Fixed patterns of the base spans.
@@ -32,6 +34,9 @@ PATTERNS = {
 }
 #: Rounds of message passing, damping, and the belief from which a node is labelled.
 ROUNDS, DAMPING, BELIEF = 10, 0.3, 0.6
+#: Newton steps of training, the largest change of a parameter in a step, the weight of squared distances from the prior,
+#: and the prior potential of two repeated or similar nodes with the same label (all else: 0).
+STEPS, STRIDE, RIDGE, AGREE = 8, 2.0, 1e-2, 2.0
 
 _HINT = re.compile(r"[0-9@]")
 #: No address of four numbers begins inside a run of digits; to say so keeps long runs linear.
@@ -73,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         out += [(0, *span) for span in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.group().split(".")):
             out.append((1, *m.span()))
     for m in PATTERNS["card"].finditer(text):
         d = _NOT_DIGIT.sub("", m.group())
@@ -168,9 +173,10 @@ class Field:
 
 
 def fit(docs: DataFrame, text: str = "text") -> Field:
-    """Count features, labels and label pairs of all documents in Spark, then fit on the counts.
+    """The field that makes the base spans of all documents most likely, node by node (see the module's text).
 
-    What comes to the driver is bounded by the number of masks (2^15) times labels, whatever the input.
+    Nodes that agree in features, label and neighbours' labels are counted in Spark; Newton steps
+    run over the counted table, and a step brings the driver one row for each pair of parameters.
     """
     bounded_batches(docs.sparkSession)
 
@@ -179,46 +185,94 @@ def fit(docs: DataFrame, text: str = "text") -> Field:
         for pdf in batches:
             for t in pdf["text"]:
                 nodes = nodes_of(t)
-                y, edges = _labels(nodes, base_spans(t)), edges_of(t, nodes)
-                # a token outside base spans that repeats one inside is unlabelled, not outside
-                unsure = {n for i, j, kind in edges if kind for n, m in ((i, j), (j, i)) if not y[n] and y[m]}
-                got.update((-1, f, y[n], 0) for n, f in enumerate(features(t, nodes)) if n not in unsure)
-                got.update((kind, 0, y[i], y[j]) for i, j, kind in edges if i not in unsure and j not in unsure)
+                got.update(_cases(features(t, nodes), _labels(nodes, base_spans(t)), edges_of(t, nodes)))
         if got:
-            yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["kind", "mask", "y", "z", "n"])
+            yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["mask", "y", "near", "n"])
 
     rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    counts = rows.mapInPandas(count, "kind int, mask int, y int, z int, n long").groupBy("kind", "mask", "y", "z").agg(F.sum("n").alias("n"))
-    return fit_counts([tuple(r) for r in counts.toLocalIterator()])
-
-
-def fit_counts(rows: list[tuple[int, int, int, int, int]]) -> Field:
-    """Softmax regression on (mask, label) counts; pair potentials as smoothed log ratios of pairs to chance."""
-    unary = sorted(r for r in rows if r[0] == -1)
-    weights = np.zeros((N_FEATURES + 1, N_LABELS))
-    if unary:
-        x = np.array([[1, *((m >> i) & 1 for i in range(N_FEATURES))] for _, m, _, _, _ in unary], float)
-        y = np.array([r[2] for r in unary])
-        n = np.log1p(np.array([r[4] for r in unary], float))  # rare masks are heard too
-        n /= n.sum()
-        hot = np.eye(N_LABELS)[y]
-        speed = np.zeros_like(weights)
-        for _ in range(400):
-            s = x @ weights
-            p = np.exp(s - s.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            speed = 0.9 * speed - 0.5 * (x.T @ ((p - hot) * n[:, None]) + 1e-4 * weights)
-            weights = weights + speed
+    counts = rows.mapInPandas(count, "mask int, y int, near binary, n long").groupBy("mask", "y", "near").agg(F.sum("n").alias("n"))
+    table, theta = materialise(counts, "field-cases"), prior()
+    for _ in range(STEPS):
+        now = theta
+
+        def slopes(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            total = np.zeros(N_PARAMS * (N_PARAMS + 1))
+            for pdf in batches:
+                total += _slopes(now, pdf["mask"].to_numpy(), pdf["y"].to_numpy(), list(pdf["near"]), pdf["n"].to_numpy())
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+        summed = table.mapInPandas(slopes, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        total = np.zeros(N_PARAMS * (N_PARAMS + 1))
+        total[summed["i"].to_numpy()] = summed["v"].to_numpy()
+        theta = newton_step(theta, total)
+    return field_of(theta)
+
+
+N_PARAMS = (N_FEATURES + 1) * N_LABELS + 3 * N_LABELS * N_LABELS
+
+
+def prior() -> np.ndarray:
+    """Parameters before any text is seen: repeated and similar nodes tend to agree."""
     pairs = np.zeros((3, N_LABELS, N_LABELS))
-    for kind in range(3):
-        c = np.full((N_LABELS, N_LABELS), 0.5) + np.eye(N_LABELS)
-        for k, _, y, z, n in rows:
-            if k == kind:
-                c[y, z] += n
-                c[z, y] += n
-        p = c / c.sum()
-        pairs[kind] = np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -3, 3)
-    return Field(weights, pairs)
+    pairs[1:] = AGREE * np.eye(N_LABELS)
+    return np.concatenate([np.zeros((N_FEATURES + 1) * N_LABELS), pairs.ravel()])
+
+
+def field_of(theta: np.ndarray) -> Field:
+    cut = (N_FEATURES + 1) * N_LABELS
+    return Field(theta[:cut].reshape(N_FEATURES + 1, N_LABELS), theta[cut:].reshape(3, N_LABELS, N_LABELS))
+
+
+def _cases(masks: list[int], y: list[int], edges: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """(mask, label, neighbours' labels) of each node with a known label.
+
+    A token outside base spans that repeats one inside is unlabelled, not outside. Neighbours'
+    labels: how many edges of each type come in from, and then go out to, each label, 255 at most.
+    """
+    unsure = {n for i, j, kind in edges if kind for n, m in ((i, j), (j, i)) if not y[n] and y[m]}
+    near = np.zeros((len(masks), 2, 3, N_LABELS), np.int64)
+    for i, j, kind in edges:
+        if i not in unsure and j not in unsure:
+            near[j, 0, kind, y[i]] += 1
+            near[i, 1, kind, y[j]] += 1
+    near = np.minimum(near, 255).astype(np.uint8)
+    return ((masks[n], y[n], near[n].tobytes()) for n in range(len(masks)) if n not in unsure)
+
+
+def _slopes(theta: np.ndarray, masks: np.ndarray, y: np.ndarray, near: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Gradient, then second derivatives, of the cases' negative log pseudo-likelihood; rare cases are heard too: n counts as log(1 + n)."""
+    if not len(masks):
+        return np.zeros(N_PARAMS * (N_PARAMS + 1))
+    bits = (masks[:, None] >> np.arange(N_FEATURES)) & 1
+    x = np.concatenate([np.ones((len(masks), 1)), bits], axis=1)
+    bare = np.concatenate([np.ones((len(masks), 1)), np.zeros_like(bits)], axis=1)
+    x, y, weight = np.concatenate([x, bare]), np.concatenate([y, y]), np.tile(np.log1p(n), 2)
+    labels = np.frombuffer(b"".join(near), np.uint8).reshape(len(masks), 2, 3, N_LABELS)
+    labels = np.concatenate([labels, labels]).astype(float)
+    f = np.zeros((len(x), N_LABELS, N_PARAMS))  # what each label would add to each parameter
+    cut = (N_FEATURES + 1) * N_LABELS
+    for c in range(N_LABELS):
+        f[:, c, np.arange(N_FEATURES + 1) * N_LABELS + c] = x
+        pair = f[:, c, cut:].reshape(len(x), 3, N_LABELS, N_LABELS)
+        pair[:, :, :, c] += labels[:, 0]
+        pair[:, :, c, :] += labels[:, 1]
+        f[:, c, cut:] = pair.reshape(len(x), -1)
+    s = f @ theta
+    p = np.exp(s - s.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    mean = np.einsum("rc,rcp->rp", p, f)
+    gradient = ((mean - f[np.arange(len(x)), y]) * weight[:, None]).sum(0)
+    apart = (f - mean[:, None]) * np.sqrt(p * weight[:, None])[:, :, None]
+    apart = apart.reshape(-1, N_PARAMS)
+    return np.concatenate([gradient, (apart.T @ apart).ravel()])
+
+
+def newton_step(theta: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """A step down the summed slopes and the pull of the prior, held within STRIDE."""
+    gradient = slopes[:N_PARAMS] + RIDGE * (theta - prior())
+    curve = slopes[N_PARAMS:].reshape(N_PARAMS, N_PARAMS) + RIDGE * np.eye(N_PARAMS)
+    step = np.linalg.solve(curve, gradient)
+    return theta - step * min(1.0, STRIDE / max(np.abs(step).max(), 1e-12))
 
 
 def beliefs(field: Field, masks: list[int], edges: list[tuple[int, int, int]], clamp: list[int]) -> np.ndarray:

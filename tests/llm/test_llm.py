@@ -315,7 +315,10 @@ def test_personal_data(spark, docs, empty):
     more = spark.createDataFrame([(i, text.replace("2670", f"{2000 + i}"), "en", "s", 1) for i in range(30)] + [(99, None, None, None, None)], SCHEMA)
     got = {r["doc_id"]: r for r in pii.personal_data(more).collect()}
     assert got[5]["n_phone"] == 1 and got[5]["base_sha256"] == hashlib.sha256(pii.written(pii.base_spans(text.replace("2670", "2005"))).encode()).hexdigest()
-    assert "phone:" in got[5]["added"] and got[99]["spans"] == "" and set(pii.written(spans).split(",")) <= set(got[5]["spans"].split(",")) | set(pii.written(spans).split(","))
+    at = text.index("or (917)") + 3
+    assert got[5]["added"] == f"phone:{at}:{at + 14}" and got[99]["spans"] == ""
+    here = pii.base_spans(text.replace("2670", "2005"))
+    assert got[5]["spans"] == pii.written([*here, (3, at, at + 14)]) and set(pii.written(here).split(",")) < set(got[5]["spans"].split(","))
     clean = pii.personal_data(docs.where(~F.col("text").rlike("[0-9@]")))
     assert clean.where("spans <> ''").count() == 0
     for t in (r["text"] for r in docs.where("text is not null").limit(150).collect()):
@@ -408,3 +411,86 @@ def test_base_spans_as_plain_patterns():
         assert [s for s in pii.base_spans(t) if s[0] in (0, 1)] == naive
     long = "a" * 200_000 + " x@y.z " + "1" * 200_000
     assert pii.base_spans(long) == [(0, 200_001, 200_006)]
+    zeros = "0" * 5000 + "1.2.3.4 " + "0" * 5000 + ".1.2." + "0" * 6000 + " " + "9" * 5000 + ".1.2.3"
+    assert [s for s in pii.base_spans(zeros) if s[0] == 1] == [(1, 0, 5007), (1, 5008, 5008 + 5000 + 5 + 6000)]
+
+
+def test_long_digit_runs_do_not_end_the_query(spark):
+    texts = ["0" * 5000 + "1.2.3.4", "1" * 9000, "+" + "1" * 9000, "plain", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_ip string")
+    got = {r["doc_id"]: r["n_ip"] for r in pii.personal_data(df).collect()}
+    assert got == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_card_spans_as_plain_pattern():
+    def checksum(d):
+        twice = [sum(divmod(2 * int(x), 10)) for x in d[-2::-2]]
+        return (sum(twice) + sum(int(x) for x in d[-1::-2])) % 10 == 0
+
+    rng, hits = random.Random(8), 0
+    for _ in range(4000):
+        t = "".join(rng.choice("0123456789" * 4 + " -.x") for _ in range(rng.randint(14, 60)))
+        want = []
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = re.sub("[^0-9]", "", m.group())
+            if 16 <= len(d) <= 19 and checksum(d):
+                want.append((2, *m.span()))
+        assert [s for s in pii.base_spans(t) if s[0] == 2] == want
+        hits += len(want)
+    assert hits > 50
+
+
+def enumerated(field, masks, edges, clamp):
+    """Exact beliefs by summing over all labellings."""
+    from itertools import product
+
+    x = np.array([[1, *((m >> i) & 1 for i in range(pii.N_FEATURES))] for m in masks], float)
+    unary, out = x @ field.weights, np.zeros((len(masks), pii.N_LABELS))
+    for y in product(range(pii.N_LABELS), repeat=len(masks)):
+        if all(not c or c == v for c, v in zip(clamp, y, strict=True)):
+            s = np.exp(sum(unary[n, v] for n, v in enumerate(y)) + sum(field.pairs[k, y[i], y[j]] for i, j, k in edges))
+            for n, v in enumerate(y):
+                out[n, v] += s
+    return out / out.sum(1, keepdims=True)
+
+
+def test_beliefs_on_trees_and_small_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(pii, "ROUNDS", 40)
+    for n in range(12):
+        field = pii.Field(rng.normal(0, 1, (pii.N_FEATURES + 1, pii.N_LABELS)), rng.normal(0, 1, (3, pii.N_LABELS, pii.N_LABELS)))
+        masks, clamp = rng.integers(0, 1 << pii.N_FEATURES, 5).tolist(), [0, 3 * (n % 2), 0, 0, 0]
+        tree = [(0, 1, 0), (1, 2, 0), (1, 3, 1), (0, 4, 2)]
+        assert np.allclose(pii.beliefs(field, masks, tree, clamp), enumerated(field, masks, tree, clamp), atol=1e-6)
+        mild = pii.Field(field.weights, 0.3 * field.pairs)
+        loop = [*tree, (3, 4, 1), (2, 3, 0)]
+        assert np.allclose(pii.beliefs(mild, masks, loop, clamp), enumerated(mild, masks, loop, clamp), atol=0.05)
+
+
+def test_slopes_by_differences():
+    rng = np.random.default_rng(6)
+    cases = [c for _ in range(6) for c in pii._cases(rng.integers(0, 1 << pii.N_FEATURES, 4).tolist(), rng.integers(0, 5, 4).tolist(), [(0, 1, 0), (1, 3, 1), (0, 2, 2)])]
+    masks, y, near = np.array([c[0] for c in cases]), np.array([c[1] for c in cases]), [c[2] for c in cases]
+    n, theta = rng.integers(1, 50, len(cases)), rng.normal(0, 0.5, pii.N_PARAMS)
+
+    def loss(t):
+        field, total = pii.field_of(t), 0.0
+        for m, label, w, k in zip(masks, y, near, n, strict=True):
+            into, out = np.frombuffer(w, np.uint8).reshape(2, 3, pii.N_LABELS)
+            pair = np.einsum("ka,kac->c", into, field.pairs) + np.einsum("ka,kca->c", out, field.pairs)
+            for own in ([1, *((m >> i) & 1 for i in range(pii.N_FEATURES))], [1] + [0] * pii.N_FEATURES):
+                s = np.array(own) @ field.weights + pair
+                total += np.log1p(k) * (np.log(np.exp(s).sum()) - s[label])
+        return total
+
+    slopes, step = pii._slopes(theta, masks, y, near, n), 1e-5
+    for i in range(0, pii.N_PARAMS, 7):
+        e = step * np.eye(pii.N_PARAMS)[i]
+        assert abs((loss(theta + e) - loss(theta - e)) / (2 * step) - slopes[i]) < 1e-3
+        second = (pii._slopes(theta + e, masks, y, near, n)[: pii.N_PARAMS] - pii._slopes(theta - e, masks, y, near, n)[: pii.N_PARAMS]) / (2 * step)
+        assert np.allclose(second, slopes[pii.N_PARAMS :].reshape(pii.N_PARAMS, -1)[i], atol=1e-3)
+
+
+def test_fit_without_and_with_cases(spark):
+    none = pii.fit(spark.createDataFrame([], "text string"))
+    assert np.array_equal(none.weights, pii.field_of(pii.prior()).weights) and np.allclose(none.pairs, pii.field_of(pii.prior()).pairs)
