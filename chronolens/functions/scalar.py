@@ -247,8 +247,8 @@ def asd_to_sigma(asd, dt) -> Column:
 
 
 def hash_uniform(n, seed: int = 0) -> Column:
-    """A reproducible uniform number in [0, 1) for an integer."""
-    return F.pmod(col(n).cast("long") * 2654435761 + seed * 40503, F.lit(4294967296)) / 4294967296.0
+    """A reproducible uniform number in [0, 1) for an integer, which counts modulo 2^31."""
+    return F.pmod(F.pmod(col(n).cast("long"), F.lit(2147483648)) * 2654435761 + seed * 40503, F.lit(4294967296)) / 4294967296.0
 
 
 def valid_source_name(name, allowed: tuple[str, ...] = ()) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import angular_separation, ecliptic_to_equatorial, erfc, hash_uniform
+from ..functions.scalar import OBLIQUITY, angular_separation, ecliptic_to_equatorial, erfc, hash_uniform
 
 
 def join_background(shifts: DataFrame, odds: DataFrame, key: str = "name") -> DataFrame:
@@ -101,23 +101,32 @@ def shift_name(n: Column) -> Column:
     return F.concat(F.when(three >= 0, letter(three)).otherwise(""), F.when(two >= 0, letter(two)).otherwise(""), letter(n))
 
 
-def background_positions(spark: SparkSession, name: str, ra: float, dec: float, n: int, exclusion: float = 0.01, seed: int = 5, oversample: int = 4) -> DataFrame:
-    """n isotropic points (name, ra, dec) in the source's ecliptic hemisphere, outside the exclusion radius; the same seed gives the same points."""
-    ce, se = math.cos(math.radians(84381.4059 / 3600)), math.sin(math.radians(84381.4059 / 3600))
-    north = math.sin(dec) * ce - math.cos(dec) * math.sin(ra) * se >= 0
-    u = spark.range(n * oversample).select("id", hash_uniform("id", seed).alias("u"), hash_uniform(F.col("id") * 7919 + 13, seed + 1).alias("v"))
-    lon, lat = F.col("u") * (2 * math.pi), F.asin(F.col("v") if north else -F.col("v"))
-    r, d = ecliptic_to_equatorial(lon, lat)
-    ok = u.select("id", r.alias("ra"), d.alias("dec")).where(angular_separation("ra", "dec", F.lit(ra), F.lit(dec)) > exclusion)
-    first = ok.orderBy("id").limit(n)  # n shifts are a few hundred
-    k = F.row_number().over(Window.orderBy("id")) - 1
-    return first.select(F.concat(F.lit(name), shift_name(k)).alias("name"), "ra", "dec")
+def background_positions(sources: DataFrame, n: int, exclusion: float = 0.01, seed: int = 5, oversample: int = 4) -> DataFrame:
+    """n isotropic points for each source (name, place, ra, dec): (name, place, ra, dec), named after the source with a letter.
+
+    Points lie in the source's ecliptic hemisphere, outside the exclusion radius around it; ``place`` is
+    an integer of the source's own from which its points follow, so the same table gives the same points.
+    """
+    north = F.asin(F.sin("dec") * math.cos(OBLIQUITY) - F.cos("dec") * F.sin("ra") * math.sin(OBLIQUITY)) >= 0
+    tries = sources.withColumn("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * oversample - 1).cast("long"))))
+    own = F.col("_id") + F.pmod(F.col("place"), F.lit(65536)) * 9973
+    lon = hash_uniform(own, seed) * (2 * math.pi)
+    lat = F.asin(hash_uniform(own * 7919 + 13, seed + 1)) * F.when(north, 1.0).otherwise(-1.0)
+    ra, dec = ecliptic_to_equatorial(lon, lat)
+    points = tries.select("name", "place", "_id", ra.alias("_ra"), dec.alias("_dec"), angular_separation(ra, dec, "ra", "dec").alias("_far"))
+    k = F.row_number().over(Window.partitionBy("name", "place").orderBy("_id")) - 1
+    kept = points.where(F.col("_far") > exclusion).withColumn("_k", k).where(F.col("_k") < n)
+    return kept.select(F.concat("name", shift_name(F.col("_k"))).alias("name"), "place", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"))
 
 
 def background_study(shifts: DataFrame, odds: DataFrame, on_source: str) -> DataFrame:
     """(n, n_above, tail, kde_tail): how odd the on-source value is among the shifted ones."""
-    j = join_background(shifts, odds).withColumn("_k", F.lit(1))
-    off, on = j.where(F.col("name") != on_source), j.where(F.col("name") == on_source).select("_k", F.col("odds").alias("x"))
-    rank = off.join(on, "_k").groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("odds") >= F.col("x")).cast("long")).alias("n_above"))
-    tail = kde_tail_probability(off.select("_k", "odds"), on, ["_k"], "odds").withColumnRenamed("tail", "kde_tail")
-    return rank.join(tail, "_k").select("n", "n_above", (F.col("n_above") / F.col("n")).alias("tail"), "kde_tail")
+    j = join_background(shifts, odds)
+    off = j.where(F.col("name") != on_source).select("odds")
+    on = j.where(F.col("name") == on_source).agg(F.first("odds").alias("x"))
+    width = off.agg((F.stddev_samp("odds") * F.pow(F.count("odds"), F.lit(-0.2))).alias("h"))
+    # both are one row, so the shifted ones stay where they are
+    rows = off.crossJoin(F.broadcast(on)).crossJoin(F.broadcast(width))
+    n, above = F.count(F.lit(1)), F.sum((F.col("odds") >= F.col("x")).cast("long"))
+    tail = F.avg(0.5 * erfc((F.col("x") - F.col("odds")) / F.col("h") / math.sqrt(2)))
+    return rows.agg(n.alias("n"), above.alias("n_above"), (above / n).alias("tail"), tail.alias("kde_tail"))

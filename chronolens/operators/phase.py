@@ -29,10 +29,13 @@ def response_table(spark: SparkSession, sources: DataFrame, detectors: list[str]
 
 
 def join_response(df: DataFrame, response: DataFrame, t0: float, bins: int = BINS, key=("source", "detector"), parts=("fp", "fc")) -> DataFrame:
-    """Periodic linear interpolation of the response at (t - t0) mod a sidereal day; an equi-join on the bin."""
+    """Periodic linear interpolation of the response at (t - t0) mod a sidereal day; an equi-join on the bin.
+
+    A sample without a response keeps its row, with null parts.
+    """
     x = F.pmod(F.col("t") - t0, F.lit(SIDEREAL_DAY)) * (bins / SIDEREAL_DAY)
     rows = df.withColumn("_x", x).withColumn("bin", F.least(F.floor("_x"), F.lit(bins - 1)))
-    j = rows.join(response, [*key, "bin"])
+    j = rows.join(response, [*key, "bin"], "left")
     blend = lambda p: F.col(p) + (F.col("_x") - F.col("bin")) * (F.col(f"{p}1") - F.col(p))
     return j.select(*df.columns, *[blend(p).alias(p) for p in parts])
 
@@ -49,18 +52,21 @@ def node_stencils(nodes: DataFrame, key: list[str], value: str = "y") -> DataFra
 
 
 def join_delay_nodes(df: DataFrame, nodes: DataFrame, t0, step, key: list[str], value: str = "y", out: str = "delay") -> DataFrame:
-    """Cubic Lagrange interpolation of node values (at t0 + k * step) at every sample; an equi-join on the node index."""
-    st = node_stencils(nodes, key, value)
+    """Cubic Lagrange interpolation of node values (at t0 + k * step) at every sample; an equi-join on the node index.
+
+    A sample beyond the nodes keeps its row, with a null delay. Columns of ``df`` whose names begin with _n_ are not allowed.
+    """
+    st = node_stencils(nodes, key, value).select(*key, F.col("k").alias("_n_k"), F.col("k0").alias("_n_k0"), *[F.col(f"y{i}").alias(f"_n_y{i}") for i in range(4)])
     k = F.floor((F.col("t") - t0) / step)
-    x = (F.col("t") - t0) / step - F.col("k0")
+    x = (F.col("t") - t0) / step - F.col("_n_k0")
     terms = []
     for i in range(4):
         c = F.lit(1.0)
         for j in range(4):
             if i != j:
                 c = c * (x - j) / (i - j)
-        terms.append(c * F.col(f"y{i}"))
-    return df.withColumn("k", k).join(st, [*key, "k"]).select(*df.columns, sum(terms[1:], terms[0]).alias(out))
+        terms.append(c * F.col(f"_n_y{i}"))
+    return df.withColumn("_n_k", k).join(st, [*key, "_n_k"], "left").select(*df.columns, sum(terms[1:], terms[0]).alias(out))
 
 
 #: Sources are broadcast up to so many rows; beyond it the cross product is dealt out by Spark.

@@ -80,12 +80,15 @@ def merge_posteriors(samples: DataFrame, evidence: DataFrame, key: list[str], ru
 
 
 def compare_samples(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Two-sample K-S distance and its asymptotic p by key: running counts over the union, ties together."""
+    """Two-sample K-S distance and its asymptotic p by key: running counts over the union, ties together.
+
+    A key with draws on one side only has no row.
+    """
     both = a.select(*key, F.col(value).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*key, F.col(value).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = both.groupBy(*key, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy(*key)
     run = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select(*key, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(w).alias("na"), F.sum("b").over(w).alias("nb"))
+    rows = steps.select(*key, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(w).alias("na"), F.sum("b").over(w).alias("nb")).where("na > 0 and nb > 0")
     out = rows.groupBy(*key).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     lam = F.col("ks") * F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     series = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 21)), F.lit(0.0))

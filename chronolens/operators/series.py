@@ -89,10 +89,15 @@ def gcd_step(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     return diffs.groupBy(*key).agg(F.aggregate(F.collect_set("d"), F.lit(0).cast("long"), lambda acc, x: euclid(acc, x)).alias("step"))
 
 
-def contiguous_runs(df: DataFrame, gap, key: list[str] = KEY, t: str = "t") -> DataFrame:
-    """Column ``run``: number of the run; a new one where the difference to the time before exceeds ``gap``."""
+def contiguous_runs(df: DataFrame, gap, key: list[str] = KEY, t: str = "t", near: float | None = None) -> DataFrame:
+    """Column ``run``: number of the run; a new one where the difference to the time before exceeds ``gap``.
+
+    With ``near`` the difference has to be ``gap`` within that share of it; 0 asks for equality, as stored series do.
+    """
     w = Window.partitionBy(*key).orderBy(t)
-    new = F.when(F.col(t) - F.lag(t).over(w) <= gap, 0).otherwise(1)
+    step = F.col(t) - F.lag(t).over(w)
+    follows = step <= gap if near is None else F.abs(step - gap) <= near * gap
+    new = F.when(follows, 0).otherwise(1)
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
@@ -101,6 +106,12 @@ def run_bounds(df: DataFrame, gap, key: list[str] = KEY, t: str = "t") -> DataFr
     return contiguous_runs(df, gap, key, t).groupBy(*key, "run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
+def run_segments(df: DataFrame, dt, key: list[str] = KEY, t: str = "t") -> DataFrame:
+    """(start, end) of the runs in which times follow by dt within 1e-5 of it, widened by half a step at both ends."""
+    runs = contiguous_runs(df, dt, key, t, near=1e-5).groupBy(*key, "run")
+    return runs.agg((F.min(t) - dt / 2).alias("start"), (F.max(t) + dt / 2).alias("end"), F.count(F.lit(1)).alias("n"))
+
+
 def running_median(df: DataFrame, window: int = 30, key: list[str] = KEY, order: list[str] | None = None) -> DataFrame:
     """Columns med_re, med_im: medians of ``window`` samples from -window//2 on; the upper one for an even window.
 
@@ -132,11 +143,20 @@ def subtract_running_median(df: DataFrame, window: int = 30, key: list[str] = KE
     return out.withColumns({"re": F.col("re") - F.col("med_re"), "im": F.col("im") - F.col("med_im")}).drop("med_re", "med_im")
 
 
-def zero_pad(df: DataFrame, step, key: list[str] = KEY) -> DataFrame:
-    """Even grid from first to last time; absent samples are zero. Times have to be multiples of step from the first."""
-    span = df.groupBy(*key).agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    grid = span.select(*key, F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("t"))
-    return grid.join(df, [*key, "t"], "left").withColumns({"re": F.coalesce("re", F.lit(0.0)), "im": F.coalesce("im", F.lit(0.0))})
+def zero_pad(df: DataFrame, step=None, key: list[str] = KEY) -> DataFrame:
+    """Even grid from first to last time; absent samples are zero. Without ``step`` each series has its own, from gcd_step.
+
+    A time that is no multiple of the step from the first is an error: its sample would be lost.
+    """
+    span = df.groupBy(*key).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    if step is None:
+        span = span.join(gcd_step(df, key), key, "left").withColumn("_d", F.greatest(F.coalesce("step", F.lit(1)), F.lit(1)).cast("long")).drop("step")
+    else:
+        span = span.withColumn("_d", F.lit(step).cast("long"))
+    grid = span.select(*key, F.explode(F.sequence("_a", "_b", "_d")).alias("t"))
+    off = F.pmod(F.col("t") - F.col("_a"), F.col("_d")) != 0
+    checked = df.join(span, key).withColumn("t", F.when(off, F.raise_error(F.lit("a time lies off the grid"))).otherwise(F.col("t"))).drop("_a", "_b", "_d")
+    return grid.join(checked, [*key, "t"], "left").withColumns({"re": F.coalesce("re", F.lit(0.0)), "im": F.coalesce("im", F.lit(0.0))})
 
 
 def add_template(df: DataFrame, template: DataFrame, ranges: DataFrame | None = None, key: list[str] = KEY) -> DataFrame:
@@ -176,8 +196,9 @@ def overlap(a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def compress_time_segments(df: DataFrame, dt, key: list[str] = KEY) -> DataFrame:
-    """(start, end) of the runs in which times follow by dt, as stored series keep them."""
-    return run_bounds(df, dt, key)
+    """(start, end) of the runs in which times follow by exactly dt, as stored series keep them."""
+    runs = contiguous_runs(df, dt, key, near=0.0).groupBy(*key, "run")
+    return runs.agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
 def expand_time_segments(segments: DataFrame, dt, key: list[str] = KEY) -> DataFrame:

@@ -92,9 +92,12 @@ def periodogram(df: DataFrame, step, key: list[str], unit: float = 1.0) -> DataF
 
 
 def power_by_source(spec: DataFrame, sources: DataFrame, how: str = "median", freq: str = "median", asd: bool = True) -> DataFrame:
-    """(detector, f = F0 * freqfactor, power): spectra of each series reduced over blocks, then over frequency, in order of f."""
+    """(detector, f = F0 * freqfactor, power): spectra of each series reduced over blocks, then over frequency, in order of f.
+
+    A series whose source isn't among ``sources`` keeps its row with a null f.
+    """
     first = average_power(spec, ["source", "detector", "freqfactor"], how)
     one: Column = AVERAGES[freq](F.col("power"))
-    out = first.groupBy("source", "detector", "freqfactor").agg(one.alias("power")).join(sources.select("source", "f0"), "source")
+    out = first.groupBy("source", "detector", "freqfactor").agg(one.alias("power")).join(sources.select("source", "f0"), "source", "left")
     power = F.sqrt("power") if asd else F.col("power")
     return out.select("source", "detector", "freqfactor", (F.col("f0") * F.col("freqfactor")).alias("f"), power.alias("power")).orderBy("f", "detector")

@@ -8,14 +8,17 @@ source catalogues, embeddings short blocks.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry, scalar
-from ..operators import background, changepoints, infer, phase, population, posterior, segments, series, spectra
+from ..operators import background, changepoints, clean, infer, phase, population, posterior, segments, series, spectra
+from ..operators.storage import shared_dir
 from ..sources import files
+from ..streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,13 +122,13 @@ def zero_series(spark, d):
     return series.zero_series(events(spark, d))
 
 
-@query("""with n as (select s_suppkey as source, (case when s_suppkey % 2 = 0 then 'J' else 'X' end) || lpad(cast(s_suppkey * 30 as varchar), 4, '0') || (case when s_acctbal < 0 then '-' else '+' end) || lpad(cast(s_suppkey % 100 as varchar), 2, '0') as name from supplier)
-select source, name, (regexp_matches(name, '^[BJ][0-9]{4}[+-][0-9]{2}') and cast(substr(name, 2, 4) as int) < 2400 and cast(substr(name, 7, 2) as int) <= 90) or contains(lower(name), 'x00') as valid from n where length(name) = 8""")
+@query("""with n as (select s_suppkey as source, (case when s_suppkey % 2 = 0 then 'J' else 'X' end) || lpad(cast(s_suppkey * 30 as varchar), greatest(4, length(cast(s_suppkey * 30 as varchar)))::int, '0') || (case when s_acctbal < 0 then '-' else '+' end) || lpad(cast(s_suppkey % 100 as varchar), 2, '0') as name from supplier)
+select source, name, (regexp_matches(name, '^[BJ][0-9]{4}[+-][0-9]{2}') and try_cast(substr(name, 2, 4) as int) < 2400 and try_cast(substr(name, 7, 2) as int) <= 90) or contains(lower(name), 'x00') as valid from n""")
 def valid_sources(spark, d):
     num = F.lpad((F.col("s_suppkey") * 30).cast("string"), F.greatest(F.lit(4), F.length((F.col("s_suppkey") * 30).cast("string"))), F.lit("0"))
     sign = F.when(F.col("s_acctbal") < 0, "-").otherwise("+")
     name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "J").otherwise("X"), num, sign, F.lpad((F.col("s_suppkey") % 100).cast("string"), 2, "0"))
-    rows = table(spark, d, "supplier").where("s_suppkey * 30 < 10000").select(F.col("s_suppkey").alias("source"), name.alias("name"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), name.alias("name"))
     return rows.withColumn("valid", scalar.valid_source_name("name", ("X00",)))
 
 
@@ -243,7 +246,8 @@ def hourly(spark, d):
     return events(spark, d).groupBy("detector", F.floor(F.col("t") / HOUR).alias("t")).agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.min("event_id").alias("event_id"))
 
 
-@query()
+@query(f"""with {S}, x as (select distinct source, t // {10 * MINUTE} * 10 as t from s), y as (select source, t - lag(t) over (partition by source order by t) as d from x)
+select source, list_reduce(list(d), lambda p, q: gcd(p, q)) as step from y where d > 0 group by source""")
 def gcd_step(spark, d):
     """Greatest common divisor of the minutes between a user's events, ten minutes as the unit."""
     rows = events(spark, d).select("source", (F.floor(F.col("t") / (10 * MINUTE)) * 10).alias("t")).distinct()
@@ -397,19 +401,18 @@ def join_delay_nodes(spark, d):
     return phase.join_delay_nodes(e, nodes, DAY0, float(DAY), ["detector"]).select("event_id", F.round("delay", 4).alias("delay"))
 
 
-@query(f"with {S}, {SRC} select s.detector, src.source, count(*) as n, round(sum(re * f0), 4) as total from s cross join src where src.source < 5 group by all")
+@query(f"with {S}, {SRC} select s.detector, src.source, count(*) as n, round(sum(re * f0), 4) as total from s cross join src group by all")
 def attach_source(spark, d):
-    few = sources(spark, d).where("source < 5")
-    j = phase.attach_source(events(spark, d).drop("source"), few)
+    j = phase.attach_source(events(spark, d).drop("source"), sources(spark, d))
     return j.groupBy("detector", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("re") * F.col("f0")), 4).alias("total"))
 
 
-@query(f"""with {S}, x as (select *, (event_id % 997) * 0.013 as c from s where detector in ('view', 'click')),
+@query(f"""with {S}, x as (select *, (event_id % 997) * 0.013 as c from s),
 y as (select detector, t, event_id, re * cos(2*pi()*(c - floor(c))) + im * sin(2*pi()*(c - floor(c))) as re, im * cos(2*pi()*(c - floor(c))) - re * sin(2*pi()*(c - floor(c))) as im from x),
 n as (select *, row_number() over (partition by detector order by t, event_id) - 1 as i from y)
 select detector, i // 20 as block, round(avg(re), 6) as re, round(avg(im), 6) as im from n group by all having count(*) = 20""")
 def reheterodyne(spark, d):
-    rows = events(spark, d).where("detector in ('view', 'click')").withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("t", "event_id")))
+    rows = events(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("t", "event_id")))
     out = phase.reheterodyne(rows, (F.col("event_id") % 997) * 0.013, None, 20, 1, ["detector"])
     return out.select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
 
@@ -455,7 +458,17 @@ def average_power(spark, d):
     return spectra.average_power(spec, ["label"], "median").select("label", r6("f", "f"), r6("power", "power"))
 
 
-@query()
+TUKEY = "case when least(i, 47 - i) < 2.35 then 0.5 * (1 + cos(pi() * (least(i, 47 - i) / 2.35 - 1))) else 1.0 end"
+
+
+@query(f"""with {S}, {GRID}, a as (select detector, min(hour) as a, max(hour) as b from gr group by detector),
+x as (select detector, a, b, unnest(generate_series(a, b)) as t from a),
+v as (select x.detector, x.t - a as i, b - a + 1 as n, coalesce(re, 0) as re, coalesce(im, 0) as im from x left join gr on x.detector = gr.detector and x.t = gr.hour),
+bl as (select detector, block, i - block * 24 as i, re, im from (select *, unnest(generate_series(greatest(0, (i - 47 + 23) // 24), least(i // 24, (n - 48) // 24))) as block from v where n >= 48) where i - block * 24 between 0 and 47),
+tw as (select i, {TUKEY} as w from (select unnest(generate_series(0, 47)) as i)),
+ft as (select detector, block, k, sum(w * (re * cos(2 * pi() * ((k * i) % 48) / 48) + im * sin(2 * pi() * ((k * i) % 48) / 48))) as c, sum(w * (im * cos(2 * pi() * ((k * i) % 48) / 48) - re * sin(2 * pi() * ((k * i) % 48) / 48))) as s
+  from bl join tw using (i), (select unnest(generate_series(0, 47)) as k) group by all)
+select detector, round(((k + 24) % 48 - 24) / (48 * 3600.0), 9) as f, round(sqrt(median((c * c + s * s) * 3600.0 / (select sum(w * w) from tw))), 4) as asd from ft group by detector, k""")
 def spectrogram(spark, d):
     """Half-overlapping windowed blocks of two days of each detector's hourly means; median over blocks."""
     out = spectra.power_spectrum(hourly(spark, d), 1, 48, ["detector"], "median", True, unit=3600.0)
@@ -464,7 +477,7 @@ def spectrogram(spark, d):
 
 @query(f"""{DFT}, a as (select vec_id % 20 as source, label as detector, k, median((c * c + s * s) / 64) as p from p join embeddings using (vec_id) group by all),
 h as (select source, detector, median(p) as p from a group by all)
-select source, detector, 1.0 + source as f, round(sqrt(p), 6) as asd from h""")
+select source, detector, 1.0 + s_suppkey as f, round(sqrt(p), 6) as asd from h left join supplier on s_suppkey = source""")
 def power_by_source(spark, d):
     _, spec = _embedding_spec(spark, d)
     s = spec.select((F.col("vec_id") % 20).alias("source"), F.col("label").alias("detector"), F.lit(1.0).alias("freqfactor"), "f", "power")
@@ -522,7 +535,10 @@ def marginal_posterior(spark, d):
     return infer.marginalise(g, ["detector"], ["a"]).select("detector", "a", r6("p", "p"))
 
 
-@query()
+@query(f"""with {LIKE}, m as (select detector, max(l) as m from ll group by detector), z as (select detector, sum({WEIGHT} * exp(l - m)) as z from ll join m using (detector) group by detector),
+mp as (select detector, a, sum({WEIGHT} * exp(l - m) / z) as p from ll join m using (detector) join z using (detector) group by detector, a),
+cu as (select detector, a, sum(p) over (partition by detector order by a) as c from mp)
+select detector, min(a) filter (where c >= 0.05 - 1e-12) as low, min(a) filter (where c >= 0.95 - 1e-12) as high from cu group by detector""")
 def grid_interval(spark, d):
     g = likelihoods(spark, d).withColumn("ln_prior", F.lit(0.0))
     return infer.grid_credible_interval(infer.marginalise(g, ["detector"], ["a"]), ["detector"], "a", 0.05, 0.95)
@@ -618,7 +634,16 @@ def compare_samples(spark, d):
     return posterior.compare_samples(s.where("line <= 3"), s.where("line > 3"), ["source"], "value").select("source", r6("ks", "ks"))
 
 
-@query()
+KS = """u as (select l_suppkey as source, l_returnflag as dets, l_extendedprice as x, (l_linenumber <= 3)::int as a from lineitem),
+c as (select source, dets, x, sum(a) as a, count(*) - sum(a) as b from u group by all),
+w as (select source, dets, x, sum(a) over o as ca, sum(b) over o as cb, sum(a) over p as na, sum(b) over p as nb from c window o as (partition by source, dets order by x), p as (partition by source, dets)),
+k as (select source, dets, na, nb, max(abs(ca / na - cb / nb)) as ks from w where na > 0 and nb > 0 group by all),
+lm as (select *, ks * sqrt(na * nb / (na + nb)) as lam from k)"""
+
+
+@query(f"""with {KS}, pv as (select source, case when lam < 0.2 then 1.0 else least(1.0, greatest(0.0, list_sum(list_transform(generate_series(1, 20), lambda j: 2 * pow(-1, j - 1) * exp(-2.0 * j * j * lam * lam))))) end as p from lm),
+h as (select source, -sum(ln(greatest(p, 1e-300))) as h, count(*) as n from pv group by source)
+select source, round(exp(-h) * list_sum(list_transform(generate_series(0, n - 1), lambda j: pow(h, j) / exp(lgamma(j + 1)))), 6) as p from h""")
 def combined_comparison(spark, d):
     """Fisher-combined p of the comparison by detector set, and the divergence of the densities of the two halves."""
     s = draws(spark, d)
@@ -626,7 +651,12 @@ def combined_comparison(spark, d):
     return posterior.fisher_combined(p, ["source"]).select("source", r6("p", "p"))
 
 
-@query()
+@query("""with s as (select l_suppkey as source, l_extendedprice as v, l_linenumber <= 3 as h from lineitem),
+bw as (select source, h, stddev_samp(v) * pow(count(*), -0.2) as w from s group by all), g as (select unnest(generate_series(0, 99)) * 1000.0 as x),
+k as (select source, h, x, avg(exp(-0.5 * pow((x - v) / w, 2)) / (w * sqrt(2 * pi()))) as d from s join bw using (source, h), g group by all),
+j as (select a.source, a.d as p, b.d as q from k a join k b on a.source = b.source and a.x = b.x and a.h and not b.h),
+n as (select source, p / sum(p) over (partition by source) as p, q / sum(q) over (partition by source) as q from j)
+select source, round(sum((case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) / 2), 6) as js from n group by source""")
 def sample_divergence(spark, d):
     s = draws(spark, d)
     x = spark.range(100).select((F.col("id") * 1000.0).alias("x"))
@@ -643,13 +673,14 @@ def limits_table(spark, d):
     return t.select("source", F.round(F.col("`A_h0_95%UL`") * 1e26, 8).alias("a_h0"), F.round(F.col("`N_h0_95%UL`") * 1e26, 8).alias("n_h0"), F.round(F.col("`R_ell_95%UL`") * 1e12, 4).alias("r_ell"), F.round(F.col("`A_sdrat_95%UL`") * 1e6, 4).alias("a_sd"))
 
 
-@query(f"with {S} select l_suppkey as source, l_linestatus as flag, e.detector, count(*) as n from (select distinct l_suppkey, l_linestatus, case when l_linestatus = 'F' then 'viewclic' else 'erro' end as dets from lineitem) r join (select source, substr(detector, 1, 4) as detector, event_id from s) e on e.source = r.l_suppkey and contains(r.dets, e.detector) group by all")
+@query(f"""with {S} select source, flag, detector, count(*) as n from (select distinct l_suppkey as source, l_linestatus as flag from lineitem) r join s using (source)
+where detector = 'signup' or (flag = 'F') = (detector in ('view', 'click')) group by all""")
 def results_with_data(spark, d):
+    """Results of two detector sets, the second of three detectors; one detector is in both."""
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_linestatus").alias("flag")).distinct()
-    res = li.withColumn("dets", F.when(F.col("flag") == "F", "viclsi").otherwise("er"))
-    ev = events(spark, d).where("detector in ('view', 'click', 'error')").select("source", F.substring("detector", 1, 2).alias("detector"), F.substring("detector", 1, 4).alias("name"))
-    out = posterior.results_with_data(res, ev).groupBy("source", "flag", F.col("name").alias("detector")).agg(F.count(F.lit(1)).alias("n"))
-    return out
+    res = li.withColumn("dets", F.when(F.col("flag") == "F", "viclsi").otherwise("ersipu"))
+    ev = events(spark, d).select("source", F.substring("detector", 1, 2).alias("detector"), F.col("detector").alias("name"))
+    return posterior.results_with_data(res, ev).groupBy("source", "flag", F.col("name").alias("detector")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""select s_suppkey as source, case when s_acctbal > 0 then s_acctbal else c_acctbal end as dist, round(case when c_custkey % 3 = 0 then -(c_acctbal * 1e-6) * (1 + s_suppkey) * (1 + s_suppkey) else -1e-3 * s_suppkey end, 6) as f1
@@ -694,19 +725,25 @@ def common_parameters(spark, d):
     return posterior.common_parameters(events(spark, d).withColumnRenamed("detector", "param"))
 
 
-@query("""select l_suppkey as source, l_orderkey as draw, l_linenumber as line from (select distinct l_suppkey, l_orderkey, l_linenumber from lineitem where l_linenumber = 1)
-qualify row_number() over (partition by l_suppkey order by ((l_orderkey * 2654435761 + 81006) % 4294967296), l_orderkey) <= 10""")
+@query("""select source, draw from (select distinct l_suppkey as source, l_orderkey * 8 + l_linenumber as draw from lineitem)
+qualify row_number() over (partition by source order by ((draw * 2654435761 + 81006) % 4294967296), draw) <= 10""")
 def sample_draws(spark, d):
-    s = draws(spark, d).where("line = 1").select("source", "draw", "line").distinct()
-    return posterior.sample_without_replacement(s, ["source"], "draw", 10, 2).select("source", "draw", "line")
+    s = draws(spark, d).select("source", (F.col("draw") * 8 + F.col("line")).alias("draw")).distinct()
+    return posterior.sample_without_replacement(s, ["source"], "draw", 10, 2).select("source", "draw")
 
 
-@query()
+@query(f"""with {DAYS}, cv as (select detector, chunk::double as f, avg(re) * 1e-3 as asd from c group by all), tt as (select detector, (max(t) - min(t)) / 1e6 as t_obs from s group by detector),
+ps as (select detector, f, asd * asd / t_obs as s from cv join tt using (detector)),
+pt as (select detector, f as f0, s as s0, lead(f) over w as f1, lead(s) over w as s1 from ps window w as (partition by detector order by f)),
+bd as (select max(a) as a, min(b) as b from (select detector, min(f) as a, max(f) as b from cv group by detector)),
+gd as (select k, a + k * (b - a) / 199 as f from bd, (select unnest(generate_series(0, 199)) as k)),
+sp as (select detector, k, f, s0 + (f - f0) / (f1 - f0) * (s1 - s0) as s from gd join pt on f >= f0 - 1e-9 and f <= f1 + 1e-9 qualify row_number() over (partition by detector, k order by f0) = 1)
+select k, round(f, 6) as f, round(10.4 * sqrt(1 / sum(1 / s)) * 1e9, 4) as sensitivity from sp group by k, f""")
 def sensitivity_curve(spark, d):
     """Daily mean as a noise curve over the day of the month, one for each detector, with live time from its runs."""
     asds = by_day(spark, d).groupBy("detector", F.col("chunk").cast("double").alias("f")).agg((F.avg("re") * 1e-3).alias("asd"))
     t_obs = events(spark, d).groupBy("detector").agg(((F.max("t") - F.min("t")) / 1e6).alias("t_obs"))
-    return posterior.sensitivity_curve(asds, t_obs, 10.4, 200).select("k", F.round("f", 6).alias("f"), F.round(F.col("sensitivity") * 1e9, 4).alias("sensitivity"))
+    return posterior.sensitivity_curve(asds, t_obs, 10.4, 200).select(lng("k", "k"), F.round("f", 6).alias("f"), F.round(F.col("sensitivity") * 1e9, 4).alias("sensitivity"))
 
 
 # background
@@ -717,14 +754,14 @@ def histogram(spark, d):
     return h.select("dets", "bin", "n", r6(F.col("density") * 1e6, "density"), "above")
 
 
-KDE_BW = "bw as (select l_returnflag as dets, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem where l_suppkey < 10 group by 1)"
+KDE_BW = "bw as (select l_returnflag as dets, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem group by 1)"
 
 
 @query(f"""with {KDE_BW} select l_returnflag as dets, x, round(avg((exp(-0.5 * pow((x - l_extendedprice) / h, 2)) + exp(-0.5 * pow((x + l_extendedprice) / h, 2))) / (h * sqrt(2 * pi()))) * 1e6, 6) as density
-from lineitem join bw on dets = l_returnflag, (select unnest(generate_series(0, 19)) * 5000.0 as x) where l_suppkey < 10 group by all""")
+from lineitem join bw on dets = l_returnflag, (select unnest(generate_series(0, 19)) * 5000.0 as x) group by all""")
 def kde(spark, d):
     x = spark.range(20).select((F.col("id") * 5000.0).alias("x"))
-    k = background.kde(draws(spark, d).where("source < 10"), x, ["dets"], "value", low=0.0)
+    k = background.kde(draws(spark, d), x, ["dets"], "value", low=0.0)
     return k.select("dets", "x", r6(F.col("density") * 1e6, "density"))
 
 
@@ -749,24 +786,40 @@ def cell_max(spark, d):
     return background.cell_max(s, background.sky_cell(F.col("ra"), F.col("dec")), "value", cells)
 
 
-@query()
+def erfc_sql(x: str) -> str:
+    """The published Chebyshev fit of the complementary error function."""
+    t, z = "(1 / (1 + 0.5 * abs(z)))", "list_sum(list_transform([-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277], lambda c, i: c * pow({t}, i - 1)))"
+    y = f"({t} * exp(-z * z + {z.format(t=t)}))"
+    return f"(select case when z >= 0 then {y} else 2 - {y} end from (select {x} as z))"
+
+
+@query(f"""with o as (select c_acctbal / 1000 as v, c_custkey = 0 as here from customer), x as (select v as x from o where here), h as (select stddev_samp(v) * pow(count(*), -0.2) as h from o where not here)
+select count(*) as n, sum((v >= x)::int)::bigint as n_above, round(sum((v >= x)::int) / count(*), 6) as tail, round(avg(0.5 * {erfc_sql("(x - v) / h / sqrt(2)")}), 5) as kde_tail from o, x, h where not here""")
 def background_study(spark, d):
-    """The last customer's odds among all others', as positions and odds joined by name."""
+    """The first customer's odds among all others', as positions and odds joined by name."""
     c = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("ra"))
     o = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_acctbal") / 1000).alias("odds"))
     out = background.background_study(c, o, "s0")
     return out.select("n", "n_above", r6("tail", "tail"), F.round("kde_tail", 5).alias("kde_tail"))
 
 
-@query()
+POSITIONS = f"""src as (select s_suppkey as place, 's' || s_suppkey as name, s_acctbal - floor(s_acctbal / 6.28) * 6.28 as ra, sin(s_suppkey * 1.0) * 1.4 as "dec" from supplier),
+ob as (select {math.cos(scalar.OBLIQUITY)!r} as ce, {math.sin(scalar.OBLIQUITY)!r} as se),
+tr as (select src.*, ce, se, i, asin(sin("dec") * ce - cos("dec") * sin(ra) * se) >= 0 as north, i + place % 65536 * 9973 as own from src, ob, (select unnest(generate_series(0, 159)) as i)),
+un as (select *, ((own * 2654435761 + 5 * 40503) % 4294967296) / 4294967296.0 * 2 * pi() as lon, asin((((own * 7919 + 13) % 2147483648 * 2654435761 + 6 * 40503) % 4294967296) / 4294967296.0) * case when north then 1 else -1 end as lat from tr),
+eq as (select *, atan2(cos(lat) * sin(lon) * ce - sin(lat) * se, cos(lat) * cos(lon)) as r0, asin(cos(lat) * sin(lon) * se + sin(lat) * ce) as d1 from un),
+ps as (select *, case when r0 < 0 then r0 + 2 * pi() else r0 end as r1 from eq),
+kp as (select *, row_number() over (partition by place order by i) - 1 as k from ps where 2 * asin(sqrt(least(1.0, pow(sin(("dec" - d1) / 2), 2) + cos(d1) * cos("dec") * pow(sin((ra - r1) / 2), 2)))) > 0.01)"""
+
+
+@query(f"""with {POSITIONS} select name || case when k >= 26 then chr((65 + k // 26 - 1)::int) else '' end || chr((65 + k % 26)::int) as name, round(r1, 6) as ra, round(d1, 6) as "dec" from kp where k < 40""")
 def background_positions(spark, d):
-    """Forty shifts for each of the first suppliers as sources."""
-    src = table(spark, d, "supplier").orderBy("s_suppkey").limit(3).collect()
-    out = None
-    for r in src:
-        p = background.background_positions(spark, f"P{r['s_suppkey']}", (r["s_acctbal"] % 6.28), 0.3 - 0.2 * r["s_suppkey"], 40)
-        out = p if out is None else out.unionByName(p)
-    return out.select("name", r6("ra", "ra"), r6("dec", "dec"))
+    """Forty shifts for each supplier as a source."""
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("place"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"),
+        (F.col("s_acctbal") - F.floor(F.col("s_acctbal") / 6.28) * 6.28).alias("ra"), (F.sin(F.col("s_suppkey") * 1.0) * 1.4).alias("dec"),
+    )
+    return background.background_positions(s, 40).select("name", r6("ra", "ra"), r6("dec", "dec"))
 
 
 # population
@@ -783,13 +836,13 @@ def hyper_likelihood(spark, d):
     return population.log_hyper_likelihood_samples(s, hyper_grid(spark), population.distribution("exponential"), "hid", ["mu"]).select("hid", F.round("ln_like", 5).alias("ln_like"))
 
 
-ON_GRID = f"""{HYPER}, bw as (select l_suppkey as source, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem where l_suppkey < 8 group by 1),
+ON_GRID = f"""{HYPER}, bw as (select l_suppkey as source, stddev_samp(l_extendedprice) * pow(count(*), -0.2) as h from lineitem group by 1),
 gd as (select unnest(generate_series(0, 24)) * 4000.0 as x),
 lk as (select source, x, ln(avg((exp(-0.5 * pow((x - l_extendedprice) / h, 2)) + exp(-0.5 * pow((x + l_extendedprice) / h, 2))) / (h * sqrt(2 * pi())))) + 1.0 + ln(1e5) as l from lineitem join bw on source = l_suppkey, gd group by source, x)"""
 
 
 def on_grid(spark, d):
-    s = draws(spark, d).where("source < 8").select("source", F.col("value").alias("x0"))
+    s = draws(spark, d).select("source", F.col("value").alias("x0"))
     g = spark.range(25).select((F.col("id") * 4000.0).alias("x"))
     ev = s.select("source").distinct().withColumns({"ln_z": F.lit(1.0), "ln_prior": F.lit(-math.log(1e5))})
     return population.source_likelihood_on_grid(s, ev, g, "x0")
@@ -831,7 +884,17 @@ def to_quadrupole(spark, d):
     return population.to_quadrupole(s, "draw", prior=F.col("ell")).select("draw", "line", r6(F.col("q22") / 1e38, "q22"))
 
 
-@query()
+def _gauss(mu: float, sigma: float) -> str:
+    t = 1 / (1 + 0.5 * mu / sigma / math.sqrt(2))  # the fit that the library uses for the share above zero, at negative arguments
+    fit = sum(c * t**i for i, c in enumerate([-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]))
+    cut = 1 - 0.5 * t * math.exp(-mu * mu / (2 * sigma * sigma) + fit)
+    return f"exp(-0.5 * pow((x - {mu}) / {sigma}, 2)) / ({sigma} * sqrt(2 * pi()) * {cut!r})"
+
+
+@query(f"""with x as (select l_suppkey as source, l_orderkey as draw, l_linenumber as line, l_extendedprice / 1e5 as x from lineitem)
+select source, draw, line, round(case when x >= 0 then exp(-ln(0.4) - x / 0.4) else 0 end, 5) as exponential,
+round(case when x between 0.05 and 2 then pow(x, -1.5) / ((pow(0.05, -0.5) - pow(2.0, -0.5)) / 0.5) else 0 end, 5) as powerlaw, (x = 0.5)::int::double as delta,
+round(case when x >= 0 then 0.6 * {_gauss(0.2, 0.1)} + 0.4 * {_gauss(0.7, 0.2)} else 0 end, 5) as bounded_gaussian, case when x between 0 and 2 then 0.5 else 0.0 end::double as histogram from x""")
 def distributions(spark, d):
     """All five log densities at each draw's value."""
     s = draws(spark, d).select("source", "draw", "line", (F.col("value") / 1e5).alias("x"))
@@ -874,10 +937,10 @@ def parameters_si(spark, d):
     )
 
 
-@query("""with e as (select s_suppkey as source, s_suppkey * 0.05 as lon, -1.0 + s_suppkey * 0.02 as lat, radians(84381.4059 / 3600) as o from supplier where s_suppkey < 100)
+@query("""with e as (select s_suppkey as source, s_suppkey * 0.05 as lon, -1.0 + s_suppkey * 0.02 as lat, radians(84381.4059 / 3600) as o from supplier)
 select source, round(asin(cos(lat) * sin(lon) * sin(o) + sin(lat) * cos(o)), 6) as "dec" from e""")
 def ecliptic(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 100")
+    s = table(spark, d, "supplier")
     _, dec = scalar.ecliptic_to_equatorial(F.col("s_suppkey") * 0.05, -1.0 + F.col("s_suppkey") * 0.02)
     return s.select(F.col("s_suppkey").alias("source"), r6(dec, "dec"))
 
@@ -888,16 +951,39 @@ def derived_parameters(spark, d):
     return registry.with_alias(s, "N_BRAKING").select("source", r6("N_BRAKING", "braking"))
 
 
-@query()
+def _pattern_sql(angle: str, part: str) -> str:
+    """Plus or cross response of each detector at an angle, by its arm vectors: a.p and a.q are (x.u, x.v), b.p and b.q (y.u, y.v)."""
+    dot = lambda arm, a, b, c: f"({arm[0]!r} * ({a}) + {arm[1]!r} * ({b}) + {arm[2]!r} * ({c}))"
+    out = []
+    for name, (x, y) in scalar.ARMS.items():
+        g = f"({angle} - ra)"
+        u = (f"-sin({g})", f"-cos({g})", "0")
+        v = (f'-cos({g}) * sin("dec")', f'sin({g}) * sin("dec")', 'cos("dec")')
+        xu, xv, yu, yv = dot(x, *u), dot(x, *v), dot(y, *u), dot(y, *v)
+        form = f"0.5 * (pow({xu}, 2) - pow({xv}, 2) - pow({yu}, 2) + pow({yv}, 2))" if part == "plus" else f"({xu} * {xv} - {yu} * {yv})"
+        out.append(f"when '{name}' then {form}")
+    return f"case detector {' '.join(out)} end"
+
+
+def _blend_sql(part: str) -> str:
+    near, far = (_pattern_sql(f"(({b}) * 2 * pi() / 2880)", part) for b in ("b", "b + 1"))
+    return f"round({near} + (x - b) * ({far} - {near}), 6)"
+
+
+@query(f"""with {S}, e as (select source, event_id, ((t / 1e6 - 1704067200.0) % 86164.0905) * (2880 / 86164.0905) as x, unnest(['H1', 'L1', 'V1']) as detector from s),
+p as (select *, least(floor(x), 2879) as b, source * 1.1 as ra, 0.2 * source as "dec", s_suppkey is not null as known from e left join supplier on s_suppkey = source)
+select event_id, detector, case when known then {_blend_sql("plus")} end as fp, case when known then {_blend_sql("cross")} end as fc from p""")
 def antenna_response(spark, d):
-    """Response of three detectors at each event's sidereal time, from the table and directly."""
+    """Response of three detectors at each event's sidereal time, from the table; null for events of unknown sources."""
     src = sources(spark, d).select("source", (F.col("source") * 1.1).alias("ra"), (0.2 * F.col("source")).alias("dec"))
     resp = phase.response_table(spark, src, ["H1", "L1", "V1"])
     e = events(spark, d).select("source", "event_id", (F.col("t") / 1e6).alias("t"), F.explode(F.array(F.lit("H1"), F.lit("L1"), F.lit("V1"))).alias("detector"))
     return phase.join_response(e, resp, 1704067200.0).select("event_id", "detector", r6("fp", "fp"), r6("fc", "fc"))
 
 
-@query()
+@query("""with a as (select s_suppkey as source, (1.0 + s_suppkey) * 1e-2 as c21, (1.0 + s_suppkey) * 2e-2 as c22, (s_suppkey % 10) / 10.0 as ci, sqrt(1 - pow((s_suppkey % 10) / 10.0, 2)) as si from supplier)
+select source, round(-0.25 * c21 * si * ci * cos(0.4), 6) + 0.0 as p1_re, round(-0.25 * c21 * si * ci * sin(0.4), 6) + 0.0 as p1_im, round(-0.25 * c21 * si * sin(0.4), 6) + 0.0 as c1_re, round(0.25 * c21 * si * cos(0.4), 6) + 0.0 as c1_im,
+round(-0.5 * c22 * (1 + ci * ci) * cos(1.3), 6) + 0.0 as p2_re, round(-0.5 * c22 * (1 + ci * ci) * sin(1.3), 6) + 0.0 as p2_im, round(-c22 * ci * sin(1.3), 6) + 0.0 as c2_re, round(c22 * ci * cos(1.3), 6) + 0.0 as c2_im from a""")
 def signal_amplitudes(spark, d):
     s = sources(spark, d).select("source", (F.col("f0") * 1e-2).alias("c21"), (F.col("f0") * 2e-2).alias("c22"), (F.col("source") % 10 / 10).alias("ci"))
     out = []
@@ -942,11 +1028,14 @@ def series_catalog(spark, d):
     return files.series_catalog(names).select(F.col("source").cast("long").alias("source"), "detector", "freqfactor")
 
 
-@query(f"""with {RUN_SQL} select source, sum(n)::bigint as n, count(*) as runs from inc group by source""")
+@query(f"""with {S}, h as (select distinct source, t // {HOUR} as t from s), g as (select *, case when t - lag(t) over (partition by source order by t) = 1 then 0 else 1 end as new from h)
+select source, count(*) as n, sum(new)::bigint as runs, sum(t)::bigint as total from g group by source""")
 def stored_segments(spark, d):
-    """Runs of hourly times as stored (start, end) pairs and expanded again."""
-    e = live(spark, d)
-    return e.groupBy("source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
+    """Runs of hourly times as stored (start, end) pairs, and expanded again."""
+    h = events(spark, d).select("source", F.floor(F.col("t") / HOUR).alias("t")).distinct()
+    pairs = series.compress_time_segments(h, 1, ["source"])
+    again = series.expand_time_segments(pairs, 1, ["source"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), lng(F.sum("t"), "total"))
+    return again.join(pairs.groupBy("source").agg(F.count(F.lit(1)).alias("runs")), "source").select("source", "n", "runs", "total")
 
 
 @query(f"""with {S}, h as (select distinct source, t // {HOUR} as t from s) select source, t, row_number() over (partition by source order by t) - 1 as i from h""")
@@ -961,3 +1050,117 @@ def injection_snr(spark, d):
     r = e.select("source").distinct().select("source", F.lit(DAY0 + 2 * DAY).alias("start"), F.lit(DAY0 + 9 * DAY).alias("end"))
     inside = segments.samples_in_segments(e, r, ["source"], DAY, closed=True)
     return infer.signal_snr(inside, ["source"], "re", "im").select("source", r6("snr", "snr"))
+
+
+# written, read again, streamed
+def _scratch(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@query(f"with {S} select event_id as t, detector, re, im, 2.0 as sigma from s".replace("2.0 as", "2.0::double as").replace("event_id as t", "event_id::double as t"))
+def text_series(spark, d):
+    """Every event written as text in folders by detector, below comments, and read again."""
+    e = events(spark, d).select("detector", F.col("event_id").alias("t"), "re", "im", F.lit(2.0).alias("sigma"))
+    path = _scratch(spark, "text-series")
+    files.write_series_text(e, path, ["detector"], ["one series", "t re im sigma"])
+    got = files.read_series_text(spark, f"{path}/*/")
+    return got.select("t", F.regexp_extract("path", "detector=([a-z]+)", 1).alias("detector"), "re", "im", "sigma")
+
+
+@query(f"with {S} select source::varchar as source, detector, 2.0::double as freqfactor, event_id::double as t, re, im from s")
+def stored_series(spark, d):
+    """Every event stored by detector and read again."""
+    e = events(spark, d).select(F.col("source").cast("string").alias("source"), "detector", F.lit(2.0).alias("freqfactor"), F.col("event_id").cast("double").alias("t"), "re", "im", F.lit(None).cast("double").alias("sigma"))
+    path = _scratch(spark, "stored-series")
+    files.write_series(e, path)
+    return files.read_series(spark, path).select("source", "detector", "freqfactor", "t", "re", "im")
+
+
+@query(f"with {S}, {GRID} select detector, hour::double as t, round(re, 6) as re, round(im, 6) as im from gr")
+def compact_series(spark, d):
+    """Hourly means stored as values and (start, end) pairs of times, and put together again."""
+    h = hourly(spark, d).select(F.lit("all").alias("source"), "detector", F.lit(1.0).alias("freqfactor"), F.col("t").cast("double").alias("t"), "re", "im")
+    path = _scratch(spark, "compact-series")
+    files.write_series_compact(h, path, 1.0)
+    return files.read_series_compact(spark, path, 1.0).select("detector", "t", r6("re", "re"), r6("im", "im"))
+
+
+@query(f'with {RUN_SQL} select greatest("start", {DAY0 + 5 * DAY})::double as "start", least("end", {DAY0 + 12 * DAY})::double as "end", count(*) as n from inc where "start" < {DAY0 + 12 * DAY} and "end" > {DAY0 + 5 * DAY} group by all')
+def segment_files(spark, d):
+    """Live stretches written as two-column text and read again, clipped."""
+    path = _scratch(spark, "segment-files")
+    live(spark, d).select(F.concat_ws(" ", "start", "end").alias("line")).write.text(path)
+    got = files.read_segments(spark, path, DAY0 + 5 * DAY, DAY0 + 12 * DAY)
+    return got.groupBy("start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {S} select detector, event_id, re, im from s union all select 'copy', event_id, im, re from s where detector = 'view'")
+def add_data(spark, d):
+    e = events(spark, d).select("detector", "event_id", "re", "im")
+    more = e.where("detector = 'view'").select("event_id", F.col("im").alias("re"), F.col("re").alias("im"))
+    return series.add_data(e, more, "copy").select("detector", "event_id", "re", "im")
+
+
+@query(f"with {S} select source, detector, t, re, im from s")
+def normalise_series(spark, d):
+    """Complex samples as structs."""
+    e = events(spark, d).select(*KEY, "t", F.struct("re", "im").alias("z"))
+    return series.normalise_series(e).select(*KEY, "t", "re", "im")
+
+
+@query("select s_suppkey as source, case when s_suppkey % 3 = 0 then s_name when s_suppkey % 3 = 1 then s_name || 'B' else 'N' || s_suppkey end as name from supplier")
+def source_names(spark, d):
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey") % 3
+    names = (F.when(k == 0, F.col("s_name")), F.when(k <= 1, F.concat("s_name", F.lit("B"))), F.concat(F.lit("N"), F.col("s_suppkey").cast("string")))
+    return s.select(F.col("s_suppkey").alias("source"), scalar.source_name(*names).alias("name"))
+
+
+@query(f"""with {CLEAN}, st as (select source, detector, min(dt) as dt from (select source, detector, t - lag(t) over (partition by source, detector order by t) as dt from o where not outlier) group by all),
+v as (select source, detector, count(*) as n, round((sum(re*re+im*im) - sum(re+im)*sum(re+im)/(2*count(*))) / nullif(2*count(*)-1, 0), 6) as var from o where not outlier group by all)
+select event_id, dt, 0 as chunk, n, var from o join st using (source, detector) join v using (source, detector) where not outlier""")
+def clean_series(spark, d):
+    """The load order with one chunk for each series."""
+    e = events(spark, d)
+    out = clean.clean(e, "event_id", limit=None)
+    ids = series.dedupe_times(e, "event_id").select(*KEY, "t", "event_id")
+    return out.join(ids, [*KEY, "t"]).select("event_id", lng("dt", "dt"), "chunk", "n", r6("var", "var"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with a column ts as a stream of files in order of time, run to its end; a last row far ahead closes all windows."""
+    source, sink, state = (_scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
+    out = build(spark.readStream.schema(rows.schema).parquet(source))
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def _live_rows(spark, d):
+    """Events with times, and for each detector a row two years on."""
+    e = events(spark, d).select("source", "detector", F.timestamp_micros("t").alias("ts"), "re", "im")
+    end = e.select("detector").distinct().select(F.lit(-1).cast(e.schema["source"].dataType).alias("source"), "detector", F.timestamp_micros(F.lit(DAY0 + 730 * DAY)).alias("ts"), F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    return e.unionByName(end)
+
+
+@query(f"with {S} select detector, t // {HOUR} * {HOUR} as start, round(avg(re), 6) as re, round(avg(im), 6) as im, count(*) as n from s group by all having count(*) >= 2")
+def stream_means(spark, d):
+    """Hourly means of at least two events behind a watermark."""
+    out = _streamed(spark, _live_rows(spark, d), lambda s: stream.stream_block_average(s, ["detector"], "1 hour", 2, "40 days"))
+    return out.select("detector", "start", r6("re", "re"), r6("im", "im"), "n")
+
+
+@query(f"""with {S}, h as (select *, case when t - lag(t) over (partition by detector order by t) < {2 * HOUR} then 0 else 1 end as new from s), r as (select *, sum(new) over (partition by detector order by t, event_id) as run from h)
+select detector, min(t) as "start", max(t) + {2 * HOUR} as "end", count(*) as n from r group by detector, run""")
+def stream_runs(spark, d):
+    """Live stretches of each detector as session windows."""
+    out = _streamed(spark, _live_rows(spark, d), lambda s: stream.stream_segments(s, ["detector"], "2 hours", "40 days"))
+    return out.where(F.col("start") < DAY0 + 700 * DAY)
+
+
+@query(f"with {S} select distinct source, detector, t // {DAY} * {DAY} as t from s")
+def stream_distinct(spark, d):
+    """The first event of each series and day."""
+    rows = _live_rows(spark, d).where("source >= 0").select(*KEY, F.date_trunc("day", "ts").alias("ts"))
+    out = _streamed(spark, rows, lambda s: stream.stream_dedupe(s, KEY, "40 days"))
+    return out.select(*KEY, F.unix_micros("ts").alias("t"))

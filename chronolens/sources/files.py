@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_si
 from ..operators.segments import clip_segments
-from ..operators.series import dedupe_times
+from ..operators.series import compress_time_segments, dedupe_times, expand_time_segments
 
 SERIES = "source string, detector string, freqfactor double, t double, re double, im double, sigma double"
 META = "source string, detector string, freqfactor double, attrs map<string,string>"
@@ -32,10 +34,16 @@ def read_comments(spark: SparkSession, paths) -> DataFrame:
     return lines.where(F.col("value").rlike(r"^\s*[#%]")).select("path", F.regexp_replace("value", r"^\s*[#%]+\s*", "").alias("comment"))
 
 
-def write_series_text(df: DataFrame, path: str, key: list[str]) -> None:
-    """t re im [sigma] lines in folders by key; sigma only if the table has it."""
+def write_series_text(df: DataFrame, path: str, key: list[str], comments: list[str] = ()) -> None:
+    """t re im [sigma] lines in folders by key, each below a header of comment lines; sigma only if the table has it."""
     cols = ["t", "re", "im", *(["sigma"] if "sigma" in df.columns else [])]
-    df.repartition(*key).sortWithinPartitions(*key, "t").select(*key, F.concat_ws(" ", *cols).alias("line")).write.partitionBy(*key).text(path)
+    order = [F.lit(len(comments)).alias("_h"), F.col("t").alias("_t")]
+    lines = df.select(*key, *order, F.concat_ws(" ", *cols).alias("line"))
+    if comments:
+        head = F.posexplode(F.array(*[F.lit(f"# {c}") for c in comments])).alias("_h", "line")
+        heads = df.select(*key).distinct().select(*key, head)
+        lines = lines.unionByName(heads.withColumn("_t", F.lit(None).cast(df.schema["t"].dataType)))
+    lines.repartition(*key).sortWithinPartitions(*key, "_h", "_t").select(*key, "line").write.partitionBy(*key).text(path)
 
 
 def read_series(spark: SparkSession, path: str, meta: str | None = None) -> DataFrame:
@@ -48,17 +56,42 @@ def write_series(df: DataFrame, path: str) -> None:
     df.repartition("detector", "freqfactor", "source").sortWithinPartitions("source", "t").write.partitionBy("detector", "freqfactor").parquet(path)
 
 
+STORED = ["source", "detector", "freqfactor"]
+
+
+def write_series_compact(df: DataFrame, path: str, dt) -> None:
+    """Values and times apart: ``path``/values has each sample's place and value, ``path``/times the (start, end) of the runs by dt."""
+    place = F.row_number().over(Window.partitionBy(*STORED).orderBy("t")) - 1
+    cols = ["re", "im", *(["sigma"] if "sigma" in df.columns else [])]
+    df.select(*STORED, place.cast("long").alias("i"), *cols).write.parquet(f"{path}/values")
+    compress_time_segments(df, dt, STORED).select(*STORED, F.col("start").cast("double"), F.col("end").cast("double")).write.parquet(f"{path}/times")
+
+
+def read_series_compact(spark: SparkSession, path: str, dt) -> DataFrame:
+    """What write_series_compact wrote, each sample with its time again."""
+    times = expand_time_segments(spark.read.parquet(f"{path}/times"), dt, STORED)
+    return times.join(spark.read.parquet(f"{path}/values"), [*STORED, "i"]).drop("i")
+
+
 def read_and_merge(spark: SparkSession, paths: list[str], key: list[str] | None = None) -> DataFrame:
-    """Many text files of one series: missing and empty ones are skipped, repeated times keep the first file's."""
-    reader = spark.read.option("ignoreMissingFiles", "true").option("pathGlobFilter", "*")
-    order = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    there = [p for p in paths if (q := hadoop.Path(p)).getFileSystem(conf).exists(q)]
-    lines = reader.text(there).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).where("size > 0")
+    """Many text files of one series: missing and empty ones are skipped, repeated times keep the first file's.
+
+    Files are told apart by their whole paths. The folders are listed once, by Spark.
+    """
+    bare = r"^[A-Za-z0-9+.-]+:(//[^/]*)?(?=/)"
+    order = spark.createDataFrame([(re.sub(bare, "", p), i) for i, p in enumerate(dict.fromkeys(paths))], "file string, pos int")
+    folders = sorted({p.rpartition("/")[0] or "." for p in paths})
+    names = sorted({p.rpartition("/")[2] for p in paths})
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(folders)
+    found = listed.where("length > 0").select("path", F.regexp_replace("path", bare, "").alias("file")).join(F.broadcast(order), "file")
+    there = [r["path"] for r in found.collect()]  # no more than the paths that were given
+    none = spark.createDataFrame([], "t double, re double, im double")
+    if not there:
+        return none
+    lines = spark.read.text(there).select("value", F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), bare, "").alias("file"))
     parts = F.split(F.trim("value"), r"[\s,]+")
-    rows = lines.where(~F.col("value").rlike(r"^\s*[#%]")).select(
-        order[F.col("file")].alias("pos"), *[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(("t", "re", "im"))], F.lit(1).alias("k")
+    rows = lines.where(~F.col("value").rlike(r"^\s*[#%]")).join(F.broadcast(order), "file").select(
+        "pos", *[F.get(parts, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate(none.columns)], F.lit(1).alias("k")
     )
     return dedupe_times(rows.where("t is not null"), "pos", ["k"]).drop("pos", "k")
 
