@@ -1,6 +1,7 @@
 """Training-data operators against brute force, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -301,6 +302,46 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_keeps_sources_and_copies_apart(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text + " x", "b"), (2, text + " x", "b"), (3, None, "b"), (3, "", None), (3, "", None), (None, text + " y", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("SID", F.lit("mine")).withColumn("n_chars", F.lit(1).cast("long"))
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    mixed, taken = Counter(), Counter()
+    for r in mixing.mixed_documents(df).collect():
+        assert r["SID"] == "mine" and r["n_chars"] == len(r["text"])
+        mixed[r["source"]] += len(r["text"].split())
+    n = Counter()
+    for _, t, s in rows:
+        n[s] += len(words(t))
+    names = sorted(n, key=lambda s: (s is None, s or ""))
+    target = dict(zip(names, mixing.target_sizes([n[s] for s in names]), strict=True))
+    of = {round(target[s], 6): s for s in names if n[s]}
+    for r in got:
+        if r["size"]:
+            taken[of[round(r["target"], 6)]] += r["taken"]
+    assert mixed == taken and set(mixed) == {"a", "b", "c"}
+    blocks = mixing.mixed_blocks(df).collect()
+    assert sum(r["words"] for r in blocks) == sum(r["taken"] for r in got)
+
+
+def test_plan_of_sources(spark):
+    rng = random.Random(2)
+    for sizes in ([100, 0, 10], [1, 1, 1000], [0, 0], [7], [rng.randint(0, 10**6) for _ in range(40)], [10**12, 3, 50, 10**9]):
+        df = spark.createDataFrame([(f"s{i:03}", 1, n) for i, n in enumerate(sizes)], "source string, rows long, n long")
+        got = [r["target"] for r in mixing.source_plan(df).orderBy("sid").collect()]
+        assert np.allclose(got, mixing.target_sizes(sizes), rtol=1e-9) and abs(sum(got) - sum(sizes)) <= 1e-9 * sum(sizes)
+
+
+def test_shares_by_range():
+    whole = list(mixing.shares(10**6, 37, (5, 1)))
+    assert sum(c for _, _, c in whole) == 10**6 and [f for _, f, _ in whole] == np.cumsum([0, *(c for _, _, c in whole)])[:-1].tolist()
+    assert whole == [x for low in range(0, 37, 10) for x in mixing.shares(10**6, 37, (5, 1), low, min(37, low + 10))]
+    assert abs(np.mean([c for _, _, c in whole]) - 10**6 / 37) < 1 and np.std([c for _, _, c in whole]) < 4 * math.sqrt(10**6 / 37)
+    assert sum(c for _, _, c in mixing.shares(10**14, 3, (5, 2))) == 10**14
+
+
 def test_targets_and_permutations():
     assert mixing.target_sizes([100, 0, 10]) == [100.0, 0.0, 10.0] or abs(sum(mixing.target_sizes([100, 0, 10])) - 110) < 1e-9
     assert mixing.target_sizes([1, 1, 1000])[:2] == [3.0, 3.0]
