@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs, tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs alone, such as tests) one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-chronolens-")
@@ -57,7 +60,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased alone; strings that are all ASCII take the fast way."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def crc_mod(doc_id: str, m: int) -> Column:

@@ -53,7 +53,7 @@ def test_exact_duplicates(docs, rows, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
-def test_repeated_lines(docs, rows, empty):
+def test_repeated_lines(docs, rows, empty, monkeypatch):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     n = Counter()
     for _, t, _ in rows:
@@ -65,11 +65,21 @@ def test_repeated_lines(docs, rows, empty):
         kept = [x for x in lines if n[key(x)] < 3]
         want[i, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
     assert Counter(tuple(r) for r in got) == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 2)
+    assert Counter(tuple(r) for r in line_dedup.repeated_lines(docs, min_docs=3).collect()) == want
     first = line_dedup.repeated_lines(docs.where("doc_id < 9000"), min_docs=3, keep_first=True)
     assert first.agg(F.sum("n_dropped")).first()[0] < line_dedup.repeated_lines(docs.where("doc_id < 9000"), min_docs=3).agg(F.sum("n_dropped")).first()[0]
     assert line_dedup.repeated_lines(empty).count() == 0
 
 
+def test_places_of_a_hash_lie_in_its_shard():
+    h = np.random.default_rng(9).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)
+    for bits in (1 << 20, 1 << 29, 1 << 31):
+        at, size = line_dedup._places(h, bits), bits // line_dedup._shards(bits)
+        assert at.max() < bits and (at // np.uint64(size) == line_dedup._shard(h, bits)[:, None]).all()
+    assert line_dedup._shards(1 << 31) == 1024
+
+
 def fingerprint(t, n=4):
     import xxhash
 
