@@ -17,6 +17,8 @@ from .common import bounded_batches, materialise, text_of
 
 #: Bytes of UTF-8 in a block.
 BLOCK_BYTES = 4096
+#: A block is hot if it has at least one in so many of all (so no more than that many are), and HOT_ROWS; its rows are dealt by salts.
+HOT_SHARE, HOT_ROWS, SALTS = 500, 200, 64
 
 
 def packed_blocks(size: int):
@@ -38,17 +40,29 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
+def _hot(blocks: DataFrame) -> list[int]:
+    """Hashes of the hot blocks, HOT_SHARE at most: each task counts its own before they shuffle."""
+    counts = blocks.groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total = blocks.count()
+    return [r["h"] for r in counts.where(F.col("n") >= max(HOT_ROWS, -(-total // HOT_SHARE))).collect()]
+
+
 def document_names(docs: DataFrame, key: list[str], text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each distinct ``key``: key columns, rounds, name and copies (rows that share the key).
 
-    ``key`` has to tell different texts apart; its columns may not be null. Hot blocks and
-    pairs: distinct keys are pre-aggregated by each task before they shuffle, and adaptive
-    execution splits the hot partitions when names are joined back.
+    ``key`` has to tell different texts apart; its columns may not be null. Distinct blocks and
+    pairs are pre-aggregated by each task before they shuffle. When names are joined back, rows
+    of hot blocks are dealt by salts, and tables of pairs are read from files on both sides, so
+    that adaptive execution can split their hot partitions.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(*key, F.posexplode(packed_blocks(block_bytes)(F.encode(text, "UTF-8"))).alias("pos", "block"))
+    rows = materialise(rows, "blocks")
     names = _named(rows.select("block").distinct(), ["block"])
-    named = rows.join(names, "block")
+    hot = F.xxhash64("block").isin(_hot(rows))
+    salted = names.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(*key, "pos"), F.lit(SALTS))).otherwise(0).cast("int"))
+    named = dealt.join(salted, ["block", "salt"])
     # pos is known to be dense, so the largest one tells how many rounds a document needs
     current = materialise(
         named.groupBy(*key, "pos").agg(F.first("name").alias("name"), F.count(F.lit(1)).alias("copies")), "block-names"
@@ -73,9 +87,9 @@ def document_names(docs: DataFrame, key: list[str], text: Column, block_bytes: i
             .withColumn("last", F.floor(F.col("last") / 2).cast("int"))
         )
         pairs = materialise(pairs, f"pairs-{n}")
-        names = _named(pairs.select("a", "b").distinct(), ["a", "b"])
+        names = materialise(_named(pairs.select("a", "b").distinct(), ["a", "b"]), f"pair-names-{n}")
         after = materialise(
-            pairs.join(names, ["a", "b"]).select(*key, F.col("half").alias("pos"), "name", "copies", "last"), f"open-{n}"
+            pairs.join(names.hint("merge"), ["a", "b"]).select(*key, F.col("half").alias("pos"), "name", "copies", "last"), f"open-{n}"
         )
         done = done.unionByName(after.where("last = 0").select(*key, F.lit(n).alias("rounds"), "name", "copies"))
         open_ = after.where("last > 0")
@@ -101,7 +115,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = named.groupBy("rounds", "name").agg(
         F.max(F.when(~F.col("no_id"), F.col("id0"))).alias("keep_id"), F.sum("copies").alias("group_size")
     )
-    each = named.join(groups, ["rounds", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    groups = materialise(groups, "groups-of-copies")
+    each = named.join(groups.hint("merge"), ["rounds", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     own = F.when(~F.col("no_id"), F.col("id0"))
     return each.select(
         own.alias("doc_id"), "keep_id", "group_size",

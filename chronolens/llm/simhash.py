@@ -141,8 +141,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
     Every such pair is linked in one run or joined by links of a run: no component is lost.
     """
-    keyed = fps.select("fp").distinct().mapInPandas(_keys, "key long, own byte, fp long")
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # a fingerprint becomes 69 keyed rows, so the few bytes of distinct ones are dealt to all tasks first
+    keyed = fps.select("fp").repartition(n, "fp").distinct().mapInPandas(_keys, "key long, own byte, fp long")
     dealt = keyed.repartition(n, "key").sortWithinPartitions("key", F.desc("own"))
     return dealt.mapInPandas(_link_runs, "a long, b long").distinct()
 
