@@ -189,21 +189,66 @@ def test_contamination(spark, docs, empty):
     assert decontamination.contaminated(empty, bench).count() == decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
-def test_block_max_bounds_are_safe():
+def bm25_by_hand(items, passage):
+    """{(item, piece): score} of all pieces, from the definition."""
+    pieces = []
+    for i, t in items:
+        w = decontamination.terms(t)
+        n = -(-len(w) // decontamination.PIECE_WORDS)
+        size = -(-len(w) // n)
+        pieces += [(i, w[k : k + size]) for k in range(0, len(w), size)]
+    mean, n = np.mean([len(w) for _, w in pieces]), len(pieces)
+    df = Counter(t for _, w in pieces for t in set(w))
+    out = {}
+    for k, (i, w) in enumerate(pieces):
+        tf = Counter(w)
+        raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, c in tf.items()}
+        out[i, k] = sum(x for t, x in raw.items() if t in passage) / sum(raw.values())
+    return out
+
+
+def test_wand_retrieves_all_above_the_threshold(spark):
     rng = np.random.default_rng(5)
-    item = lambda: " ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 400)
-    items = [(i, item()) for i in range(60)]
-    index = decontamination.Index(items)
-    doc = [x for _, t in items[:20] for x in (t + " " + item()).split()]
-    ids = np.array([index.vocab.get(x, len(index.vocab)) for x in doc])
-    got = {(h, i): s for _, h, i, s in index.retrieve(ids, [len(ids)], 0.5)}
-    want = {}
-    for h in range(-(-len(ids) // 32)):
-        q = set(ids[h * 32 : h * 32 + 64].tolist()) - {len(index.vocab)}
-        for n, s in index.score(q, set(range(index.n_blocks))).items():
-            if s >= 0.5:
-                want[h, index.piece_item[n]] = s
-    assert got.keys() == want.keys() and want
+    item = lambda n: " ".join(f"w{x}" for x in rng.zipf(1.3, n) % 400)
+    items = [(i, item(int(rng.integers(1, 120)))) for i in range(90)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = [t + " " + item(20) for _, t in items[:20]] + ["", item(5), "w1"]
+    w = [decontamination.terms(t) for t in texts]
+    for threshold in (0.3, 0.5, 0.9):
+        want = {}
+        for d, ws in enumerate(w):
+            for h in range(-(-len(ws) // 32)):
+                for (i, _), s in bm25_by_hand(items, set(ws[h * 32 : h * 32 + 64])).items():
+                    if s >= threshold:
+                        want[d, h, i] = max(s, want.get((d, h, i), 0))
+        for group in (10**6, 300):
+            got, used = {}, 0
+            for index in decontamination.indexes(table, group_postings=group):
+                ids = np.array([index.vocab.get(x, len(index.vocab)) for ws in w for x in ws])
+                for d, h, i, s in index.retrieve(ids, np.array([len(ws) for ws in w]), threshold):
+                    got[d, h, index.names[i]] = max(s, got.get((d, h, index.names[i]), 0))
+                used += 1
+            assert got.keys() == want.keys() and len(want) > 20 and (group > 1000 or used > 3)
+            assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_question_and_answer_are_found_apart(spark):
+    question = "which of the seven quiet rivers below the northern hills was measured twice before the bridge fell"
+    bench = spark.createDataFrame([("q1", question + "? The answer is the Tamblin river beside Orvane mill."), ("q2", "unrelated words entirely here now. Nothing more.")], "item_id string, text string")
+    swapped = question + " and then someone said river Tamblin mill Orvane the beside answer is the"  # the answer's words in another order
+    half = question + " and nobody ever knew what came of it in the end at all"
+    docs = spark.createDataFrame([(1, swapped), (2, half), (3, None)], "doc_id long, text string")
+    got = decontamination.contaminated(docs, bench, verify=0.75).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, "q1")]
+    assert got[0]["overlap"] < 0.75 <= got[0]["question_overlap"] and got[0]["answer_overlap"] >= 0.75
+    assert [r["doc_id"] for r in decontamination.without_contaminated(docs, bench).orderBy("doc_id").collect()] == [2, 3]
+
+
+def test_matches_do_not_depend_on_groups(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    few = docs.where("doc_id < 300")
+    rows = [sorted(decontamination.contaminated(few, bench, group_postings=n).collect()) for n in (10**7, 2000)]
+    assert rows[0] and [r[:2] for r in rows[0]] == [r[:2] for r in rows[1]] and np.allclose([r[2:] for r in rows[0]], [r[2:] for r in rows[1]])
 
 
 def test_token_files(spark, docs, rows, empty):
