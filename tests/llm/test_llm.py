@@ -444,20 +444,65 @@ def test_language_model(docs, rows, empty):
     assert lm_scoring.score_documents(empty, file).count() == 0
 
 
-def test_score_does_not_depend_on_the_broadcast_head(docs, monkeypatch):
+def test_base_does_not_depend_on_the_broadcast_head(docs, monkeypatch):
     file = queries.tokenizer_path("byte_bpe_50k.tiktoken")
     teach = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))
-    monkeypatch.setattr(lm_scoring, "train", lambda texts, file, vocab: lm_scoring.new_params(vocab.prior))
+    fitted = lm_scoring.fit(docs.where(teach).select(F.coalesce("text", F.lit("")).alias("text")), file)
 
     def scored():
-        got = lm_scoring.score_documents(docs, file, teach).collect()
+        got = lm_scoring.score_documents(docs, file, teach, fitted).collect()
         return sorted((r["doc_id"] or 0, r["n_known"], r["n_subwords"], r["base_score"], r["score"]) for r in got)
 
     whole = scored()
-    for n_words, n_pairs in ((300, 10**6), (10**6, 200), (300, 200), (0, 0)):
+    for n_words in (300, 0):
         monkeypatch.setattr(lm_scoring, "HEAD_WORDS", n_words)
-        monkeypatch.setattr(lm_scoring, "HEAD_PAIRS", n_pairs)
-        assert np.allclose(scored(), whole, rtol=1e-6, atol=1e-3)
+        assert np.allclose(scored(), whole, rtol=1e-9, atol=1e-6)
+
+
+def test_head_is_bounded_however_high_counts_are(spark):
+    counts = spark.createDataFrame([(str(i), 10**9 + i) for i in range(20)] + [("a", 3), ("b", 1)], "word string, n long")
+    for most in (0, 5, 19, 20, 21, 22):
+        assert counts.where(counts.n >= lm_scoring.least_count(counts, most)).count() <= most
+    assert counts.where(counts.n >= lm_scoring.least_count(counts, 22)).count() == 22
+
+
+def test_score_by_plain_loops(spark, docs):
+    file = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    fitted = lm_scoring.fit(docs.select(F.coalesce("text", F.lit("")).alias("text")), file)
+    texts = ["", "Hello World", " ".join(f"word{i} und Maß" for i in range(40)), "one\ttwo  THREE\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, file, fitted=fitted).collect()}
+    p = {k: v.astype(float) for k, v in fitted.scorer.params.items()}
+    vocab, encode = fitted.scorer.vocab, lm_scoring.load_ranks(file).encode_ordinary
+    for n, t in enumerate(texts):
+        ids = [i for w in words(t) for i in encode(" " + w.decode())] + [lm_scoring.END]
+        before, total, start, done = [lm_scoring.BOS, *ids[:-1]], 0.0, 0, 0
+        while done < len(ids):
+            stop = min(len(ids), start + lm_scoring.WINDOW)
+            h = np.array([p["E"][vocab.symbol[before[i]]] + p["P"][i - start] for i in range(start, stop)])
+            for i in range(done, stop):
+                k = i - start
+                weight = np.array([np.exp(h[k] @ p["Q"] @ (h[j] @ p["K"]) / math.sqrt(lm_scoring.WIDTH)) for j in range(k + 1)])
+                mixed = sum(w * (h[j] @ p["V"]) for j, w in enumerate(weight)) / weight.sum()
+                h1 = h[k] + mixed @ p["O"]
+                h2 = h1 + np.maximum(h1 @ p["W1"] + p["b1"], 0) @ p["W2"]
+                logits = h2 @ p["C"] + p["c"]
+                c = vocab.cls[ids[i]]
+                total += (logits[c] - np.log(np.exp(logits).sum())) / math.log(10) + vocab.within[ids[i]]
+            done, start = stop, start + lm_scoring.STRIDE
+        assert got[n]["n_subwords"] == len(ids) and abs(got[n]["score"] - total) < 1e-3 * max(1, abs(total))
+    share = np.zeros(lm_scoring.CLASSES)
+    np.add.at(share, vocab.cls, 10.0 ** vocab.within)
+    assert np.allclose(share[np.unique(vocab.cls)], 1)  # so that the scores of all next ids sum to one
+    prior = lm_scoring.Scorer(vocab, {k: 0 * v if k != "c" else vocab.prior.astype(np.float32) for k, v in fitted.scorer.params.items()})
+    ids = np.array([i for r in docs.limit(80).collect() if r["text"] for w in words(r["text"]) for i in encode(" " + w.decode())] + [lm_scoring.END])
+    assert fitted.scorer.score(ids, np.array([len(ids)]))[0] > prior.score(ids, np.array([len(ids)]))[0]  # context helps
+
+
+def test_every_document_gives_a_window():
+    counts = np.array([0, 1, 255, 256, 1000, 5000])
+    doc, first = lm_scoring.drawn_places(counts, np.random.default_rng(1))
+    assert set(doc) == set(range(6)) and (first <= counts[doc]).all() and (np.bincount(doc) == counts // lm_scoring.DRAW_WORDS + 1).all()
 
 
 def test_windows_score_each_token_once():
@@ -471,10 +516,10 @@ def test_windows_score_each_token_once():
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm_scoring.new_params(np.zeros(lm_scoring.CLASSES)).items()}
-    x = rng.integers(0, lm_scoring.N_SYMBOLS, (2, lm_scoring.WINDOW, 2))
+    x = rng.integers(0, lm_scoring.N_SYMBOLS, (2, lm_scoring.WINDOW))
     y = rng.integers(0, lm_scoring.CLASSES, (2, lm_scoring.WINDOW))
     g, _ = lm_scoring.gradients(p, x, y)
-    for k in ("Q", "O", "W1", "C", "P"):
+    for k in ("Q", "O", "W1", "C", "P", "E"):
         at = tuple(s // 2 for s in p[k].shape)
         old, e = p[k][at], 1e-3
         p[k][at] = old + e
