@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 
 #: The classifier is fitted on about so many labelled documents of each language (chosen by a hash of the text).
 DOCS_PER_LANGUAGE = 4000
@@ -67,7 +67,8 @@ class Model:
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows of ``docs`` with text and language; rows with a null in either teach nothing.
 
-    An empty table gives a model without languages, which answers ``und``.
+    An empty table gives a model without languages, which answers ``und``. More than MAX_LANGUAGES
+    languages are an error: the model, which every worker holds, has BUCKETS numbers for each.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -224,6 +225,6 @@ def predict(model: Model, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with the struct of :func:`predict` in a column ``out``."""
+    """``docs`` with the struct of :func:`predict` in a column ``out``, or ``out`` with a number where ``docs`` has that name."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(out, predict(model, F.col(text)))
+    return docs.select("*", predict(model, F.col(text)).alias(fresh(docs, out)))

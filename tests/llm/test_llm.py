@@ -171,6 +171,56 @@ def test_language_of_held_out_documents(docs, empty, spark):
     assert [r["language"]["lang_pred"] == "und" for r in language_id.identify(signs, model).orderBy("doc_id").collect()] == [True, False]
 
 
+def mixture_by_hand(p, penalty=1.0):
+    """Proportions of one document from word likelihoods p [languages, words]: EM in each set, the smallest share leaving."""
+    n = len(p[0])
+
+    def em(langs):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(language_id.ROUNDS):
+            new = dict.fromkeys(langs, 0.0)
+            for w in range(n):
+                total = sum(share[k] * p[k][w] for k in langs)
+                for k in langs:
+                    new[k] += share[k] * p[k][w] / total / n
+            share = new
+        return share, sum(math.log(sum(share[k] * p[k][w] for k in langs)) for w in range(n))
+
+    langs = list(range(len(p)))
+    share, ll = em(langs)
+    while len(langs) > 1:
+        rest = [k for k in langs if k != min(langs, key=lambda k: share[k])]
+        new, new_ll = em(rest)
+        if new_ll + penalty + 0.5 * math.log(n) < ll:
+            break
+        langs, share, ll = rest, new, new_ll
+    return [share.get(k, 0.0) for k in range(len(p))]
+
+
+def test_mixtures_by_plain_loops():
+    rng = np.random.default_rng(3)
+    for seed in range(6):
+        sizes = [40, 0, 3, 120]
+        own = [rng.integers(0, 4, 2), [0], [1], rng.integers(0, 4, 3)]
+        p, doc = [], []
+        for d, n in enumerate(sizes):
+            for _ in range(n):
+                q = np.exp(-rng.exponential(4, 4))
+                q[rng.choice(own[d])] = 1.0
+                p.append(q), doc.append(d)
+        p = np.array(p, np.float32).T
+        got = language_id.mixtures(p, np.array(doc), len(sizes))
+        assert (got[:, 1] == 0).all()
+        for d in (0, 2, 3):
+            assert np.allclose(got[:, d], mixture_by_hand(p[:, np.array(doc) == d].astype(float)), atol=2e-3), seed
+
+
+def test_language_column_of_the_users_stays(docs):
+    df = docs.limit(5).withColumn("Language", F.lit("mine"))
+    out = language_id.identify(df, language_id.Model([], np.zeros((language_id.BUCKETS, 0))))
+    assert out.columns == [*df.columns, "language_1"] and out.select("Language").distinct().first()[0] == "mine"
+
+
 def test_contamination(spark, docs, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r["item_id"]: [w for x in r["text"].split() if (w := decontamination.term(x))] for r in bench.collect()}
@@ -543,6 +593,76 @@ def test_pipeline_runs(spark):
     assert rows and rows[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_pipeline_stages_by_hand(spark, docs, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench = [decontamination.terms(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{n}")
+        df = spark.read.parquet(f"{tmp_path}/{n}")
+        kept.append([r.asDict() for r in df.collect()])
+        assert n == 4 or df.columns == docs.columns
+    every = [r.asDict() for r in docs.collect()]
+    judged = language_id.identify(docs, language_id.fit(docs)).select("text", "language.*").collect()
+    good = Counter(r["text"] for r in judged if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SHARE)
+    assert Counter(r["text"] for r in kept[0]) == good and sum(good.values()) < len(every)
+
+    def shingles(t):
+        w = words(t)
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [shingles(r["text"]) for r in kept[0]]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = Counter(find(sets.index(shingles(r["text"]))) for r in kept[1])
+    assert set(groups) == {find(i) for i in range(len(sets))} and set(groups.values()) == {1}
+
+    def holds(t):
+        w = decontamination.terms(t)
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return any(len(s & have) >= 0.8 * len(s) for s in ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in bench))
+
+    assert Counter(r["text"] for r in kept[2]) == Counter(r["text"] for r in kept[1] if not holds(r["text"]))
+    size = Counter()
+    for r in kept[2]:
+        size[r["source"]] += len(words(r["text"]))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    mixed = Counter()
+    for r in kept[3]:
+        mixed[r["source"]] += len(words(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert all(abs(mixed[s] - t) <= 2 * mixing.BLOCK_WORDS for s, t in zip(names, mixing.target_sizes([size[s] for s in names]), strict=True))
+    whole = {(r["doc_id"], r["source"]): Counter(words(r["text"])) for r in kept[2]}
+    assert all(not Counter(words(r["text"])) - whole[r["doc_id"], r["source"]] for r in kept[3])
+    tok, at = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), 0
+    in_order = sorted(kept[3], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
+    for r, g in zip(in_order, sorted(kept[4], key=lambda r: r["start"]), strict=True):
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 2]
+        assert g == {"doc_id": r["doc_id"], "start": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes())}
+        at += len(ids)
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_base_spans_as_plain_patterns():
     rng = random.Random(5)
     for _ in range(20_000):
