@@ -17,8 +17,9 @@ from .common import bounded_batches, materialise, text_of
 
 #: Bytes of UTF-8 in a block.
 BLOCK_BYTES = 4096
-#: A block is hot if it has at least one in so many of all (so no more than that many are), and HOT_ROWS; its rows are dealt by salts.
-HOT_SHARE, HOT_ROWS, SALTS = 500, 200, 64
+#: A block is hot if it is one in HOT_SHARE of all or more (so no more than that many are) and stands in HOT_ROWS; its rows are
+#: dealt by a salt for each 1/PARTS of all blocks that it makes up, SALTS at most (so the salts of all hot blocks are few).
+HOT_SHARE, HOT_ROWS, PARTS, SALTS = 100, 200, 200, 64
 
 
 def packed_blocks(size: int):
@@ -40,11 +41,15 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def _hot(blocks: DataFrame) -> list[int]:
-    """Hashes of the hot blocks, HOT_SHARE at most: each task counts its own before they shuffle."""
+def _salts(blocks: DataFrame) -> Column:
+    """Number of salts of a column ``block``: 1 but for hot blocks. Each task counts its own blocks before they shuffle."""
     counts = blocks.groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     total = blocks.count()
-    return [r["h"] for r in counts.where(F.col("n") >= max(HOT_ROWS, -(-total // HOT_SHARE))).collect()]
+    hot = counts.where(F.col("n") >= max(HOT_ROWS, -(-total // HOT_SHARE))).collect()  # HOT_SHARE rows at most
+    out = F.lit(1)
+    for r in hot:
+        out = F.when(F.xxhash64("block") == r["h"], min(SALTS, -(-PARTS * r["n"] // total))).otherwise(out)
+    return out
 
 
 def document_names(docs: DataFrame, key: list[str], text: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -59,9 +64,9 @@ def document_names(docs: DataFrame, key: list[str], text: Column, block_bytes: i
     rows = docs.select(*key, F.posexplode(packed_blocks(block_bytes)(F.encode(text, "UTF-8"))).alias("pos", "block"))
     rows = materialise(rows, "blocks")
     names = _named(rows.select("block").distinct(), ["block"])
-    hot = F.xxhash64("block").isin(_hot(rows))
-    salted = names.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    dealt = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(*key, "pos"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = _salts(rows)
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*key, "pos"), salts).cast("int"))
     named = dealt.join(salted, ["block", "salt"])
     # pos is known to be dense, so the largest one tells how many rounds a document needs
     current = materialise(
