@@ -43,8 +43,8 @@ def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
 
 def _salts(blocks: DataFrame) -> Column:
     """Number of salts of a column ``block``: 1 but for hot blocks. Each task counts its own blocks before they shuffle."""
-    counts = blocks.groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    total = blocks.count()
+    counts = materialise(blocks.groupBy(F.xxhash64("block").alias("h")).agg(F.count(F.lit(1)).alias("n")), "block-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 1
     hot = counts.where(F.col("n") >= max(HOT_ROWS, -(-total // HOT_SHARE))).collect()  # HOT_SHARE rows at most
     out = F.lit(1)
     for r in hot:
@@ -62,7 +62,6 @@ def document_names(docs: DataFrame, key: list[str], text: Column, block_bytes: i
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(*key, F.posexplode(packed_blocks(block_bytes)(F.encode(text, "UTF-8"))).alias("pos", "block"))
-    rows = materialise(rows, "blocks")
     names = _named(rows.select("block").distinct(), ["block"])
     salts = _salts(rows)
     salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
