@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, mixing, pii, simhash, token_output, url_filter
+from . import (
+    alignment,
+    decontamination,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    pii,
+    resampling,
+    simhash,
+    token_output,
+    toxicity,
+    url_filter,
+)
 from .common import crc_mod, materialise
 
 #: Ids that close a document in token files: fixed by the query's contract.
@@ -84,6 +98,29 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).drop("added")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the rank of those drawn."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability to be labelled toxic; learns from documents whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"), "evidence")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers end together in every document, and how common the pairs of ids are that meet there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.align_tokenizers(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_lm_score, op2_url_filter, op3_language_id, op4_decontaminate, op5_exact_dedup, op6_line_dedup, op7_simhash,
-              op8_token_ids, op9_mix_sources, op10_personal_data, pipeline)
+              op8_token_ids, op9_mix_sources, op10_personal_data, op11_importance_resampling, op12_toxicity, op13_token_alignment, pipeline)
 }
 
 _SITES = ", ".join(f"'{s}'" for s in url_filter.LISTED_SITES)
