@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise
 
 #: Stretches that a Python worker remembers before it starts anew.
-STRETCHES = 400_000
+STRETCHES = 250_000
+#: Rows whose new stretches are encoded together.
+ROWS = 200
 #: Stretches that are encoded as one text.
 TOGETHER = 1000
 #: Linked id pairs looked up at once; more pairs make further passes, whose sums are added.
@@ -257,6 +259,12 @@ def _memo(key: str, make) -> Stretches:
     return _memos[key]
 
 
+def _slices(batches: Iterator) -> Iterator:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def _numbered(memo: Stretches, text: str | None) -> list[int]:
     return list(map(memo.__getitem__, stretches(text) if memo.pair.cut else [text])) if text else []
 
@@ -287,7 +295,7 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -
             np.add.at(total, at, np.concatenate([k for _, k in totals]))
             totals[:] = [(codes, total)]
 
-        for batch in batches:
+        for batch in _slices(batches):
             numbers = [np.array(_numbered(memo, t.as_py()), np.int64) for t in batch.column(0)]
             memo.settle()
             ok = np.array(memo.ok, np.int8)
@@ -357,7 +365,7 @@ def _aligned(rows: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
         import pyarrow as pa
 
         make = lambda: Stretches(_pair(a_file, b_file), shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             if len(_memo(job, make)) > STRETCHES:
                 _memos.clear()
             memo = _memo(job, make)

@@ -163,10 +163,11 @@ def _labels(docs: DataFrame, labels: DataFrame, learn: Column, limit: int) -> Da
     )
     once = rows.join(known, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
     once = materialise(once.select("doc_id", "toxic", F.pmod(F.xxhash64(F.col("h"), F.lit(7)), F.lit(1 << 30)).alias("draw")), "labelled")
-    n = once.count()
-    while n > limit:  # about the limit by a threshold, never above it
-        once = once.where(F.col("draw") < int((1 << 30) * limit / n * 0.98))
-        n, limit = once.count(), limit
+    n, cut = once.count(), 1 << 30
+    while n > limit:  # a threshold on the draw that leaves about the limit, never more
+        cut = int(cut * limit / n * 0.98)
+        once = once.where(F.col("draw") < cut)
+        n = once.count()
     return once.select("doc_id", "toxic")
 
 
