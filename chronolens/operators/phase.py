@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SIDEREAL_DAY, antenna_pattern, col, complex_rotate, phase_cycles
+from . import filters
 from .segments import samples_in_segments
-from .series import contiguous_runs
+from .series import contiguous_runs, placed
 
 BINS = 2880
 
@@ -79,12 +79,18 @@ def attach_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(sources) if small else sources)
 
 
-def block_average(df: DataFrame, samples: int, gap, key: list[str], factor: float = 1.0) -> DataFrame:
-    """Means of blocks of ``samples`` inside each contiguous run; an incomplete last block is dropped."""
-    runs = contiguous_runs(df, gap, key)
-    n = F.row_number().over(Window.partitionBy(*key, "run").orderBy("t")) - 1
-    blocks = runs.withColumn("block", F.floor(n / samples)).groupBy(*key, "run", "block")
-    out = blocks.agg(F.avg("t").alias("t"), (factor * F.avg("re")).alias("re"), (factor * F.avg("im")).alias("im"), F.count(F.lit(1)).alias("_n"))
+def block_average(df: DataFrame, samples: int, gap, key: list[str], factor: float = 1.0, width=None) -> DataFrame:
+    """Means of blocks of ``samples`` inside each contiguous run; an incomplete last block is dropped.
+
+    With ``width`` runs and places in them are found in stretches of time of that width, with no sort of a whole series.
+    """
+    runs = contiguous_runs(df, gap, key, width=width)
+    if width is None:
+        n = F.row_number().over(Window.partitionBy(*key, "run").orderBy("t")) - 1
+        blocks = runs.withColumn("block", F.floor(n / samples))
+    else:
+        blocks = placed(runs, [*key, "run"], [], width).withColumn("block", F.floor(F.col("place") / samples))
+    out = blocks.groupBy(*key, "run", "block").agg(F.avg("t").alias("t"), (factor * F.avg("re")).alias("re"), (factor * F.avg("im")).alias("im"), F.count(F.lit(1)).alias("_n"))
     return out.where(F.col("_n") == samples).drop("_n")
 
 
@@ -130,21 +136,13 @@ def filter_run(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray |
     return y, out
 
 
-def low_pass(df: DataFrame, knee: float, rate: float, key: list[str], order: int = 9) -> DataFrame:
-    """Butterworth filter forward and backward over each run (key, run); restarts with each contiguous run.
+def low_pass(df: DataFrame, knee: float, rate: float, key: list[str], order: int = 9, piece: int = filters.PIECE, compat: bool = False) -> DataFrame:
+    """Butterworth filter forward and backward over each run (key, run, t, re, im); restarts with each contiguous run.
 
-    Sequential in time, so parallel over (series, run); runs should be cut to the segments of the data.
+    Runs are cut to pieces of ``piece`` samples that tasks filter apart, with the states carried
+    from piece to piece. Other columns are left out.
     """
-    b, a = butterworth(knee, rate, order)
-    cols = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        y, _ = filter_run(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), b, a)
-        y, _ = filter_run(y[::-1], b, a)
-        return pdf.assign(re=y[::-1].real, im=y[::-1].imag)
-
-    return df.groupBy(*key, "run").applyInPandas(run, ", ".join(cols))
+    return filters.low_pass(df, *butterworth(knee, rate, order), rate, key, piece, compat)
 
 
 def fir_low_pass(df: DataFrame, taps: list[float], key: list[str]) -> DataFrame:
@@ -164,43 +162,124 @@ def fir_low_pass(df: DataFrame, taps: list[float], key: list[str]) -> DataFrame:
     return rows.withColumns({"_re": conv("re"), "_im": conv("im")}).withColumns({"re": F.col("_re"), "im": F.col("_im")}).drop("_re", "_im", "_i")
 
 
-def heterodyne(raw: DataFrame, sources: DataFrame, segments: DataFrame, rate: float, resample: float, knee: float, crop: float = 60.0, n_freq: int = 2, order: int = 9) -> DataFrame:
-    """Raw (detector, t, x) to reduced (source, detector, run, t, re, im).
+#: Sources turned in one pass over the raw data; longer lists take further passes.
+SLICE_SOURCES = 20_000
+
+
+def heterodyne(raw: DataFrame, sources: DataFrame, segments: DataFrame, rate: float, resample: float, knee: float, crop: float = 60.0, n_freq: int = 2, order: int = 9, freqfactor: float = 1.0, piece: int = filters.PIECE, compat: bool = False) -> DataFrame:
+    """Raw (detector, t, x) to reduced (source, detector, run, block, t, re, im).
 
     Segments (detector, start, end) choose the samples; every source (source, f0.., epoch) rotates
-    them; runs are filtered, cropped at both ends and averaged to ``resample``; times are block centres.
+    them by ``freqfactor`` times its phase; runs are filtered, cropped at both ends and averaged to
+    ``resample``; times are block centres. Raw data shuffle once, to stretches of a run; sources
+    are turned inside the tasks, so only means leave them (and filter states of runs longer than a
+    stretch). A null frequency or epoch counts as 0. No source, sample or segment gives no row; a run
+    shorter than both crops gives none.
     """
+    checked_rates(rate, resample, knee, crop)
     kept = samples_in_segments(raw, segments, ["detector"], 3600)
-    rows = attach_source(kept, sources)
-    cycles = phase_cycles("t", [f"f{i}" for i in range(n_freq)], "epoch")
-    re, im = complex_rotate("x", F.lit(0.0), cycles)
-    key = ["source", "detector"]
-    turned = contiguous_runs(rows.select(*key, "t", re.alias("re"), im.alias("im")), 1.5 / rate, key)
-    clean = low_pass(turned, knee, rate, key, order)
-    of = Window.partitionBy(*key, "run")
-    inside = clean.withColumns({"_a": F.min("t").over(of), "_b": F.max("t").over(of)}).where((F.col("t") >= F.col("_a") + crop) & (F.col("t") < F.col("_b") + 1 / rate - crop))
-    out = block_average(inside.drop("_a", "_b", "run"), round(rate / resample), 1.5 / rate, key)
-    return out.withColumn("t", F.col("t") + 0.5 / rate)
+    rows = kept.select("detector", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"))
+    runs = contiguous_runs(rows, 1.5 / rate, ["detector"], width=piece / rate)
+    pieces = filters.pieces_of(runs, ["detector"], ["x"], rate, piece)
+    n = max(1, -(-sources.count() // SLICE_SOURCES))
+    out = None
+    for k in range(n):
+        got = sources.where(F.pmod(F.xxhash64("source"), F.lit(n)) == k) if n > 1 else sources
+        terms = [F.coalesce(F.col(f"f{i}").cast("double"), F.lit(0.0)).alias(f"f{i}") for i in range(n_freq)]
+        few = got.select("source", *terms, F.coalesce(F.col("epoch").cast("double"), F.lit(0.0)).alias("epoch")).toPandas()  # about SLICE_SOURCES rows
+        held = {"f": freqfactor * few[[f"f{i}" for i in range(n_freq)]].to_numpy(float).reshape(len(few), n_freq), "epoch": few["epoch"].to_numpy(float)}
+        kind = sources.schema["source"].dataType.simpleString()
+        part = filters.reduced(pieces, held, few["source"].tolist(), kind, *butterworth(knee, rate, order), rate, round(rate / resample), crop, compat)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def reheterodyne(series: DataFrame, phase_difference: Column, segments: DataFrame | None, samples: int, gap, key: list[str], width: int = 3600) -> DataFrame:
-    """Rotate a reduced series by a phase difference (cycles), restrict it to segments and average blocks."""
+def checked_rates(rate: float, resample: float, knee: float, crop: float) -> None:
+    """Errors for rates that don't fit: a block is a whole number of samples, the knee lies below both Nyquist frequencies that matter."""
+    if rate <= 0 or resample <= 0 or resample > rate:
+        raise ValueError("rates have to be positive, and the reduced one not above that of the raw data")
+    if abs(rate / resample - round(rate / resample)) > 1e-9 * rate / resample:
+        raise ValueError("the raw rate has to be a whole multiple of the reduced one")
+    if not 0 < knee < rate / 2:
+        raise ValueError("the knee has to lie between 0 and half the raw rate")
+    if crop < 0:
+        raise ValueError("crop can't be negative")
+
+
+def reheterodyne(series: DataFrame, phase_difference: Column, segments: DataFrame | None, samples: int, gap, key: list[str], width: int = 3600, runs_width=None) -> DataFrame:
+    """Rotate a reduced series by a phase difference (cycles), restrict it to segments and average blocks.
+
+    ``runs_width``: work on the series in stretches of that width of time, so that no task sorts a whole series.
+    """
     rows = samples_in_segments(series, segments, key, width) if segments is not None else series
     re, im = complex_rotate("re", "im", phase_difference)
     turned = rows.select(*key, "t", re.alias("re"), im.alias("im"))
-    return block_average(turned, samples, gap, key)
+    return block_average(turned, samples, gap, key, width=runs_width)
+
 
+def phase_polynomials(old: DataFrame, new: DataFrame, n_freq: int = 2, freqfactor: float = 1.0) -> DataFrame:
+    """Two parameter sets (source, f0.., epoch[, freqfactor]) as one polynomial of their phase difference.
 
-def two_stage(raw: DataFrame, sources: DataFrame, segments: DataFrame, nodes: DataFrame, rate: float, first: float = 1.0, second: float = 1 / 60, node_t0: float = 0.0, node_step: float = 60.0, **more) -> DataFrame:
+    Returns source, epoch (of the new set), turn (the difference at that epoch, in cycles) and for
+    each term the old frequency moved to that epoch (``o0``..) and the difference (``d0``..), all
+    times the frequency factor. The old set's phase is moved with split seconds. A source that only one set
+    has is left out; a null term or epoch counts as 0; a set that was turned with another factor is a ValueError.
+    """
+    for df in (old, new):
+        if "freqfactor" in df.columns and not df.where(~F.col("freqfactor").eqNullSafe(F.lit(float(freqfactor)))).isEmpty():
+            raise ValueError("the parameter sets have another frequency factor")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    a = old.select("source", *[zero(f"f{i}").alias(f"_a{i}") for i in range(n_freq)], zero("epoch").alias("_a"))
+    b = new.select("source", *[zero(f"f{i}").alias(f"_b{i}") for i in range(n_freq)], zero("epoch").alias("epoch"))
+    j = a.join(b, "source")
+    shift = F.col("epoch") - F.col("_a")
+    moved = [sum((F.col(f"_a{m}") * F.pow(shift, F.lit(m - n)) / math.factorial(m - n) for m in range(n, n_freq)), F.lit(0.0)) for n in range(n_freq)]
+    turn = phase_cycles("epoch", [f"_a{i}" for i in range(n_freq)], "_a", factor=freqfactor)
+    terms = [(freqfactor * m).alias(f"o{n}") for n, m in enumerate(moved)] + [(freqfactor * (F.col(f"_b{n}") - m)).alias(f"d{n}") for n, m in enumerate(moved)]
+    return j.select("source", "epoch", (-turn).alias("turn"), *terms)
+
+
+def phase_difference(t, n_freq: int = 2, old_delay=None, new_delay=None) -> Column:
+    """Cycles of the new less the old phase at ``t`` for rows joined with :func:`phase_polynomials`; delays are seconds added to the time."""
+    zero = F.lit(0.0)
+    was, now = (col(d) if d is not None else zero for d in (old_delay, new_delay))
+    difference = phase_cycles(t, [f"d{n}" for n in range(n_freq)], "epoch", now)
+    since, later, moved = col(t) - F.col("epoch") + was, now - was, zero
+    for n in range(n_freq):  # the old polynomial over the change of delay, without the large terms that cancel
+        for k in range(1, n + 2):
+            moved = moved + F.col(f"o{n}") * F.pow(since, F.lit(n + 1 - k)) * F.pow(later, F.lit(k)) / (math.factorial(k) * math.factorial(n + 1 - k))
+    return F.col("turn") + difference + (moved - F.floor(moved))
+
+
+def second_stage(coarse: DataFrame, old: DataFrame, new: DataFrame, rate: float, resample: float, segments: DataFrame | None = None, nodes: DataFrame | None = None, old_nodes: DataFrame | None = None,
+                 node_t0: float = 0.0, node_step: float = 60.0, n_freq: int = 2, freqfactor: float = 1.0, knee: float | None = None, runs_width: float = 86400.0, shift: float = 0.0) -> DataFrame:
+    """Reduced (source, detector, t, re, im) at ``rate`` from one parameter set to another, averaged to ``resample``.
+
+    ``nodes`` (source, detector, k, y) give the delays of the new phase, ``old_nodes`` those that
+    the first stage used already; samples beyond their nodes are left out. With ``knee`` each run
+    is low-passed before it is averaged. ``shift``: seconds from the mean time of a mean's raw samples to
+    its stated time (half a raw sample if blocks are stated by their centre); phases are taken at the former. Sources that a set doesn't have are left out; an empty series gives no row.
+    """
+    checked_rates(rate, resample, rate / 4 if knee is None else knee, 0.0)
+    key = ["source", "detector"]
+    rows = samples_in_segments(coarse, segments, ["detector"], 3600) if segments is not None else coarse
+    rows = rows.select(*key, (F.col("t").cast("double") - shift).alias("t"), "re", "im")
+    for name, table in (("_new", nodes), ("_old", old_nodes)):
+        if table is not None:
+            rows = join_delay_nodes(rows, table, node_t0, node_step, key, out=name).where(F.col(name).isNotNull())
+    polynomials = phase_polynomials(old, new, n_freq, freqfactor)
+    cycles = phase_difference("t", n_freq, "_old" if old_nodes is not None else None, "_new" if nodes is not None else None)
+    re, im = complex_rotate("re", "im", cycles)
+    turned = rows.join(polynomials, "source").select(*key, "t", re.alias("re"), im.alias("im"))
+    if knee is not None:
+        turned = low_pass(contiguous_runs(turned, 1.5 / rate, key, width=runs_width).drop("bucket"), knee, rate, key).drop("run")
+    return block_average(turned, round(rate / resample), 1.5 / rate, key, width=runs_width).withColumn("t", F.col("t") + shift)
+
+
+def two_stage(raw: DataFrame, sources: DataFrame, segments: DataFrame, nodes: DataFrame, rate: float, first: float = 1.0, second: float = 1 / 60, node_t0: float = 0.0, node_step: float = 60.0,
+              knee: float = 0.5, second_knee: float | None = None, n_freq: int = 2, freqfactor: float = 1.0, **more) -> DataFrame:
     """Stage one without delays at ``first`` Hz, written to the shared folder; stage two adds the delay nodes' phase and averages to ``second`` Hz."""
     from .storage import written
 
-    coarse = written(heterodyne(raw, sources, segments, rate, first, 0.5, **more).drop("run", "block"), "stage-1")
-    late = join_delay_nodes(coarse, nodes, node_t0, node_step, ["source", "detector"])
-    with_f = late.join(sources.select("source", "f0"), "source")
-    cycles = col("f0") * col("delay")
-    re, im = complex_rotate("re", "im", cycles - F.floor(cycles))
-    turned = with_f.select("source", "detector", "t", re.alias("re"), im.alias("im"))
-    return block_average(turned, round(first / second), 1.5 / first, ["source", "detector"])
-
-
+    coarse = written(heterodyne(raw, sources, segments, rate, first, knee, n_freq=n_freq, freqfactor=freqfactor, **more).drop("run", "block"), "stage-1")
+    return second_stage(coarse, sources, sources, first, second, nodes=nodes, node_t0=node_t0, node_step=node_step, n_freq=n_freq, freqfactor=freqfactor, knee=second_knee, shift=0.5 / rate)

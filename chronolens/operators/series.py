@@ -89,16 +89,56 @@ def gcd_step(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     return diffs.groupBy(*key).agg(F.aggregate(F.collect_set("d"), F.lit(0).cast("long"), lambda acc, x: euclid(acc, x)).alias("step"))
 
 
-def contiguous_runs(df: DataFrame, gap, key: list[str] = KEY, t: str = "t", near: float | None = None) -> DataFrame:
+def placed(df: DataFrame, key: list[str], order: list[str], width, out: str = "place", t: str = "t") -> DataFrame:
+    """Column ``out``: place of a row in its series (from 0), ordered by time and then ``order``; no task sorts a whole series.
+
+    Rows are numbered within stretches of time of ``width``, and the counts of the stretches before are added.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(t) / width))
+    sizes = rows.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = null_safe_names(sizes.select(*key, "_b", F.coalesce(before, F.lit(0)).alias("_start")), [*key, "_b"])
+    within = F.row_number().over(Window.partitionBy(*key, "_b").orderBy(t, *order)) - 1
+    numbered = rows.withColumn("_i", within)
+    return numbered.join(starts, same(numbered, starts, [*key, "_b"]), "left").withColumn(out, (F.col("_i") + F.col("_start")).cast("long")).select(*df.columns, out)
+
+
+def null_safe_names(df: DataFrame, names: list[str]) -> DataFrame:
+    """Key columns renamed for a join on equal or both null keys."""
+    return df.select(*[F.col(n).alias(f"_k_{n}") if n in names else F.col(n) for n in df.columns])
+
+
+def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & left[n].eqNullSafe(right[f"_k_{n}"])
+    return out
+
+
+def contiguous_runs(df: DataFrame, gap, key: list[str] = KEY, t: str = "t", near: float | None = None, width=None) -> DataFrame:
     """Column ``run``: number of the run; a new one where the difference to the time before exceeds ``gap``.
 
-    With ``near`` the difference has to be ``gap`` within that share of it; 0 asks for equality, as stored series do.
+    With ``near`` the difference has to be ``gap`` within that share of it; 0 asks for equality, as
+    stored series do. With ``width`` long series are worked on in stretches of time of that width
+    (column ``bucket``, which stays): each finds its own breaks, and the last time before a stretch and the breaks up
+    to it come from a table of one row a stretch.
     """
-    w = Window.partitionBy(*key).orderBy(t)
-    step = F.col(t) - F.lag(t).over(w)
-    follows = step <= gap if near is None else F.abs(step - gap) <= near * gap
-    new = F.when(follows, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    follows = lambda step: step <= gap if near is None else F.abs(step - gap) <= near * gap
+    if width is None:
+        w = Window.partitionBy(*key).orderBy(t)
+        new = F.when(follows(F.col(t) - F.lag(t).over(w)), 0).otherwise(1)
+        return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = df.withColumn("bucket", F.floor(F.col(t) / width))
+    w = Window.partitionBy(*key, "bucket").orderBy(t)
+    before = F.lag(t).over(w)
+    new = rows.withColumn("_new", F.when(before.isNull() | follows(F.col(t) - before), 0).otherwise(1))
+    new = new.withColumn("_within", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    ends = new.groupBy(*key, "bucket").agg(F.min(t).alias("_a"), F.max(t).alias("_z"), F.max("_within").alias("_n"))
+    of = Window.partitionBy(*key).orderBy("bucket")
+    joint = F.when(follows(F.col("_a") - F.lag("_z").over(of)), 0).otherwise(1)
+    upto = ends.withColumn("_joint", joint).withColumn("_total", F.sum(F.col("_joint") + F.col("_n")).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = null_safe_names(upto.select(*key, "bucket", (F.col("_total") - F.col("_n")).alias("_start")), [*key, "bucket"])
+    return new.join(starts, same(new, starts, [*key, "bucket"]), "left").withColumn("run", F.col("_start") + F.col("_within")).select(*df.columns, "bucket", "run")
 
 
 def run_bounds(df: DataFrame, gap, key: list[str] = KEY, t: str = "t") -> DataFrame:

@@ -417,17 +417,50 @@ def reheterodyne(spark, d):
     return out.select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
 
 
-@query()
-def heterodyne(spark, d):
-    """Full stage on the embeddings as raw blocks of one hertz: two sources, 64 samples a block."""
+def _raw_blocks(spark, d):
+    """The embeddings as raw blocks of 64 samples at one hertz, three detectors; every supplier is a source."""
     e = table(spark, d, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("i", "x"))
     raw = e.select(F.concat(F.lit("D"), (F.col("vec_id") % 3).cast("string")).alias("detector"), (F.col("vec_id") * 64 + F.col("i")).cast("double").alias("t"), F.col("x").cast("double").alias("x"))
     seg = raw.groupBy("detector", F.floor(F.col("t") / 64).alias("b")).agg(F.min("t").alias("start"), (F.max("t") + 1).alias("end"))
-    src = table(spark, d, "supplier").where("s_suppkey < 2").select(F.col("s_suppkey").alias("source"), (0.11 + F.col("s_suppkey") * 0.07).alias("f0"), F.lit(0.0).alias("f1"), F.lit(0.0).alias("epoch"))
+    src = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (0.11 + F.pmod(F.col("s_suppkey"), F.lit(97)) * 0.003).alias("f0"), F.lit(1e-9).alias("f1"), F.lit(0.0).alias("epoch"))
+    return raw, src, seg
+
+
+@query()
+def heterodyne(spark, d):
+    """Full stage on the embeddings as raw blocks: all suppliers, one mean of eight seconds for each six."""
+    raw, src, seg = _raw_blocks(spark, d)
     out = phase.heterodyne(raw, src, seg, 1.0, 1 / 8, 0.04, crop=8)
     return out.select("source", "detector", "t", r6("re", "re"), r6("im", "im"))
 
 
+@query()
+def two_stage(spark, d):
+    """First stage at a quarter hertz without delays, second with a delay that grows with time, to one mean a block."""
+    raw, src, seg = _raw_blocks(spark, d)
+    src = src.where("source is not null")
+    last = raw.agg(F.max("t")).first()[0] or 0.0
+    k = F.explode(F.sequence(F.lit(-2), F.lit(int(last // 100000) + 3)))
+    nodes = src.select("source", F.explode(F.array(*[F.lit(f"D{i}") for i in range(3)])).alias("detector")).select("*", k.alias("k"))
+    nodes = nodes.withColumn("y", 1e-6 * F.col("k") + 1e-9 * F.col("k") * F.col("k"))
+    out = phase.two_stage(raw, src, seg, nodes, 1.0, 0.25, 1 / 48, node_step=100000.0, knee=0.04, crop=8)
+    return out.select("source", "detector", "t", r6("re", "re"), r6("im", "im"))
+
+
+@query("""with p as (select l_suppkey as source, l_linenumber % 2 as v, avg(l_quantity) / 10 as f0, avg(l_discount) / 1e6 as f1, sum(l_linenumber) * 1.0 as epoch from lineitem where l_linenumber <= 2 group by all),
+o as (select source, f0 as a0, f1 as a1, epoch as a from p where v = 1), n as (select source, f0 as b0, f1 as b1, epoch as b from p where v = 0)
+select source, round((b0 * (1000 - b) + b1 * power(1000 - b, 2) / 2) - (a0 * (1000 - a) + a1 * power(1000 - a, 2) / 2) - floor((b0 * (1000 - b) + b1 * power(1000 - b, 2) / 2) - (a0 * (1000 - a) + a1 * power(1000 - a, 2) / 2) + 1e-6), 4) + 0.0 as cycles
+from o join n using (source)""")
+def phase_difference(spark, d):
+    """Two fitted parameter sets of each source as one polynomial, at a fixed time."""
+    rows = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_linenumber") % 2).alias("v"))
+    fits = rows.agg((F.avg("l_quantity") / 10).alias("f0"), (F.avg("l_discount") / 1e6).alias("f1"), (F.sum("l_linenumber") * 1.0).alias("epoch"))
+    old, new = (fits.where(F.col("v") == v).drop("v") for v in (1, 0))
+    c = phase.phase_difference(F.lit(1000.0), 2)
+    at = phase.phase_polynomials(old, new, 2).withColumn("c", c - F.floor(c + 1e-6))
+    return at.select("source", (F.round("c", 4) + F.lit(0.0)).alias("cycles"))
+
+
 # spectra
 DFT = """with b as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings),
 p as (select vec_id, k, sum(x * cos(2 * pi() * ((k * i) % 64) / 64)) as c, sum(x * sin(2 * pi() * ((k * i) % 64) / 64)) as s from b, (select unnest(generate_series(0, 63)) as k) group by all)"""
