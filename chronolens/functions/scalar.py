@@ -234,6 +234,16 @@ def amplitude(c21, c22, cosiota, phi21, phi22, harmonic: int) -> tuple[tuple[Col
     return (plus * F.cos(phi), plus * F.sin(phi)), (-cross * F.sin(phi), cross * F.cos(phi))
 
 
+def mode_amplitudes(plus, cross, x, y, breathing, longitudinal, phases) -> dict[str, tuple[Column, Column]]:
+    """(re, im) of the coefficients of the six responses for a source with tensor, vector and scalar modes.
+
+    Each is half its amplitude times exp(i phase); ``phases`` are six in the order of the amplitudes. An absent (null) amplitude or phase is 0.
+    """
+    zero = lambda c: F.coalesce(col(c), F.lit(0.0))
+    names, values = ("tp", "tc", "vx", "vy", "sb", "sl"), (plus, cross, x, y, breathing, longitudinal)
+    return {n: (0.5 * zero(h) * F.cos(zero(p)), 0.5 * zero(h) * F.sin(zero(p))) for n, h, p in zip(names, values, phases, strict=True)}
+
+
 def log_base(x, base_from: float, base_to: float) -> Column:
     return col(x) * (math.log(base_from) / math.log(base_to))
 

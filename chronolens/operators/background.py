@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import OBLIQUITY, angular_separation, ecliptic_to_equatorial, erfc, hash_uniform
+from .storage import written
 
 
 def join_background(shifts: DataFrame, odds: DataFrame, key: str = "name") -> DataFrame:
@@ -119,6 +120,59 @@ def background_positions(sources: DataFrame, n: int, exclusion: float = 0.01, se
     return kept.select(F.concat("name", shift_name(F.col("_k"))).alias("name"), "place", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"))
 
 
+#: Places of the detector over time that an overlap is taken over; they are broadcast.
+MOST_NODES = 100_000
+
+
+def sky_overlap(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``points`` (ra, dec, ra2, dec2, f0 and others) with ``overlap``: |mean over nodes of exp(2 pi i f0 (delay - delay2))|.
+
+    nodes: (x, y, z) of the detector in light seconds at the live times, evenly spaced; at most ``MOST_NODES``.
+    """
+    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes: space them further apart")
+    unit = lambda r, d: (F.cos(d) * F.cos(r), F.cos(d) * F.sin(r), F.sin(d))
+    part = [a - b for a, b in zip(unit(F.col("ra"), F.col("dec")), unit(F.col("ra2"), F.col("dec2")), strict=True)]
+    held = points.withColumns({"_u": part[0], "_v": part[1], "_w": part[2]})
+    cycles = F.col("f0") * (F.col("_u") * F.col("x") + F.col("_v") * F.col("y") + F.col("_w") * F.col("z"))
+    angle = (cycles - F.floor(cycles)) * (2 * math.pi)
+    j = held.crossJoin(F.broadcast(nodes.select("x", "y", "z")))
+    n = F.count(F.lit(1))
+    sums = j.groupBy(*points.columns).agg(F.sum(F.cos(angle)).alias("_c"), F.sum(F.sin(angle)).alias("_s"), n.alias("_k"))
+    return sums.select(*points.columns, (F.hypot("_c", "_s") / F.col("_k")).alias("overlap"))
+
+
+def distinct_positions(sources: DataFrame, n: int, nodes: DataFrame, overlap: float, exclusion: float = 0.01, seed: int = 5, oversample: int = 2, rounds: int = 12) -> DataFrame:
+    """n points for each source (name, ra, dec, f0) whose phase differs: (name, of, k, ra, dec, overlap).
+
+    Points lie in the source's ecliptic hemisphere, further than ``exclusion`` from it, and the
+    overlap of their phase with the source's over the nodes is below the limit. Each round draws
+    points for the sources that lack some, until all have n; if some lack points after ``rounds``
+    rounds it is an error. The same table and seed give the same points; no source gives no row; names are not null and not repeated.
+    """
+    if not 0 < overlap <= 1:
+        raise ValueError("the overlap limit has to lie above 0 and not above 1")
+    base = sources.select("name", F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "f0")
+    north = F.asin(F.sin("dec2") * math.cos(OBLIQUITY) - F.cos("dec2") * F.sin("ra2") * math.sin(OBLIQUITY)) >= 0
+    lacking, good = base, None
+    for r in range(rounds):
+        size = n * oversample
+        tries = lacking.withColumn("_id", F.explode(F.sequence(F.lit(r * size).cast("long"), F.lit((r + 1) * size - 1).cast("long"))))
+        uniform = lambda k: F.pmod(F.xxhash64("name", "_id", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
+        ra, dec = ecliptic_to_equatorial(uniform(0) * (2 * math.pi), F.asin(uniform(1)) * F.when(north, 1.0).otherwise(-1.0))
+        points = tries.withColumns({"ra": ra, "dec": dec}).where(angular_separation("ra", "dec", "ra2", "dec2") > exclusion)
+        fine = written(sky_overlap(points, nodes).where(F.col("overlap") < overlap), "positions")
+        good = fine if good is None else good.unionByName(fine)
+        enough = good.groupBy("name").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= n).select("name")
+        lacking = written(base.join(enough, "name", "left_anti"), "lacking")
+        if lacking.isEmpty():
+            break
+    else:
+        raise ValueError(f"some sources have fewer than {n} points after {rounds} rounds")
+    k = F.row_number().over(Window.partitionBy("name").orderBy("_id")) - 1
+    return good.withColumn("k", k.cast("long")).where(F.col("k") < n).select(F.concat("name", shift_name(F.col("k"))).alias("name"), F.col("name").alias("of"), "k", "ra", "dec", "overlap")
+
+
 def background_study(shifts: DataFrame, odds: DataFrame, on_source: str) -> DataFrame:
     """(n, n_above, tail, kde_tail): how odd the on-source value is among the shifted ones."""
     j = join_background(shifts, odds)

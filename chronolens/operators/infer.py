@@ -66,6 +66,93 @@ def noise_log_evidence(products: DataFrame, key: list[str], gaussian: bool = Fal
     return products.groupBy(*key).agg(F.sum(chunk_log_likelihood(F.col("dd"), gaussian)).alias("ln_z_noise"))
 
 
+def _pairs(templates) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(templates)) for j in range(i, len(templates))]
+
+
+#: The six responses: tensor plus and cross, vector x and y, scalar breathing and longitudinal.
+MODES = ("tp", "tc", "vx", "vy", "sb", "sl")
+
+
+def joint_products(df: DataFrame, key: list[str], templates=MODES, gaussian: bool = False) -> DataFrame:
+    """All products of a chunk with a set of templates, in one aggregate.
+
+    A template is a column, or a complex one as columns {name}_re and {name}_im. Returns n, dd, the
+    Hermitian matrix of the templates as its upper triangle by rows (arrays gram_re, gram_im), the
+    products conj(T) d (dot_re, dot_im) and ln_sigma. Weights are 1, or 1 / sigma^2 with
+    ``gaussian``. ``white``: the real triangle under 1 / sigma^2 in either case, for signal-to-noise
+    ratios; null without a sigma column. Harmonics are series of their own: have ``freqfactor`` in the key.
+    """
+    real = {t: t in df.columns for t in templates}
+    part = lambda t: (F.col(t), F.lit(0.0)) if real[t] else (F.col(f"{t}_re"), F.col(f"{t}_im"))
+    noise = "sigma" in df.columns
+    white = 1 / (F.col("sigma") * F.col("sigma")) if noise else None
+    if gaussian and not noise:
+        raise ValueError("a Gaussian likelihood needs sigma")
+    w = white if gaussian else F.lit(1.0)
+
+    def product(a, b, weight, imaginary: bool) -> Column:
+        (ar, ai), (br, bi) = a, b
+        return F.sum(weight * (ar * bi - ai * br if imaginary else ar * br + ai * bi))
+
+    d, pairs = (F.col("re"), F.col("im")), _pairs(templates)
+    out = [F.count(F.lit(1)).alias("n"), product(d, d, w, False).alias("dd")]
+    for name, weight, imaginary in (("gram_re", w, False), ("gram_im", w, True), ("white", white, False)):
+        if weight is not None:
+            out.append(F.array(*[product(part(templates[i]), part(templates[j]), weight, imaginary) for i, j in pairs]).alias(name))
+    for name, imaginary in (("dot_re", False), ("dot_im", True)):
+        out.append(F.array(*[product(part(t), d, w, imaginary) for t in templates]).alias(name))
+    out.append((F.sum(F.log("sigma")) if noise else F.lit(None).cast("double")).alias("ln_sigma"))
+    sums = df.groupBy(*key).agg(*out)
+    return sums if noise else sums.withColumn("white", F.lit(None).cast("array<double>"))
+
+
+def quadratic_form(templates=MODES, gram: tuple[str, str | None] = ("gram_re", "gram_im"), amp: str = "a") -> Column:
+    """conj(a) G a over the upper triangle; amplitudes are columns {amp}_{template}_re and _im."""
+    total = F.lit(0.0)
+    for k, (i, j) in enumerate(_pairs(templates)):
+        (ar, ai), (br, bi) = ((F.col(f"{amp}_{templates[x]}_re"), F.col(f"{amp}_{templates[x]}_im")) for x in (i, j))
+        both = F.get(gram[0], F.lit(k)) * (ar * br + ai * bi)
+        if gram[1] is not None and i != j:
+            both = both - F.get(gram[1], F.lit(k)) * (ar * bi - ai * br)
+        total = total + (1 if i == j else 2) * both
+    return total
+
+
+def joint_chi_square(templates=MODES, amp: str = "a") -> Column:
+    """dd - 2 Re(conj(a) T.d) + conj(a) G a."""
+    dot = reduce(Column.__add__, [F.get("dot_re", F.lit(k)) * F.col(f"{amp}_{t}_re") + F.get("dot_im", F.lit(k)) * F.col(f"{amp}_{t}_im") for k, t in enumerate(templates)])
+    return F.col("dd") - 2 * dot + quadratic_form(templates, amp=amp)
+
+
+#: Chunks that one pass over a grid takes: a bounded broadcast; more make further passes.
+PASS_CHUNKS = 100_000
+
+
+def joint_log_likelihood(grid: DataFrame, products: DataFrame, key: list[str], grid_id: list[str], harmonics=(1, 2), templates=MODES, gaussian: bool = False) -> DataFrame:
+    """Log likelihood of every grid point over the chunks of all detectors and harmonics, summed by (key, grid point).
+
+    Products have a column freqfactor; a harmonic's amplitudes are the grid's columns
+    a{harmonic}_{template}_re and _im. Chunks of other harmonics are left out. Chunks are dealt to
+    slices of bounded size; a slice is broadcast to the grid, which stays where it is.
+    """
+    mine = products.where(F.col("freqfactor").isin(*[float(h) for h in harmonics]))
+    n = max(1, -(-mine.count() // PASS_CHUNKS))
+    chosen = [F.when(F.col("freqfactor") == float(h), chunk_log_likelihood(joint_chi_square(templates, f"a{h}"), gaussian)) for h in harmonics]
+    total = None
+    for k in range(n):
+        part = mine.where(F.pmod(F.xxhash64("dd", "n", *key), F.lit(n)) == k) if n > 1 else mine
+        sums = grid.crossJoin(F.broadcast(part)).groupBy(*key, *grid_id).agg(F.sum(F.coalesce(*chosen)).alias("ln_like"))
+        total = sums if total is None else total.unionByName(sums)
+    return total if n == 1 else total.groupBy(*key, *grid_id).agg(F.sum("ln_like").alias("ln_like"))
+
+
+def joint_snr(products: DataFrame, key: list[str], harmonics=(1, 2), templates=MODES) -> DataFrame:
+    """Signal-to-noise ratio of amplitudes a{harmonic}_{template}_re, _im, joined to the products already, over chunks and harmonics."""
+    power = F.coalesce(*[F.when(F.col("freqfactor") == float(h), quadratic_form(templates, ("white", None), f"a{h}")) for h in harmonics])
+    return products.groupBy(*key).agg(F.sqrt(F.sum(power)).alias("snr"))
+
+
 def grid_axis(spark: SparkSession, name: str, low: float, high: float, bins: int, log: bool = False) -> DataFrame:
     """(name, w_name): points and trapezoid weights of an axis."""
     if not low < high or bins < 2:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, ellipticity_to_q22, h0_to_q22, hash_uniform, normal_cdf
 from .infer import log_sum_exp
-
+from .storage import written
 
 
 def never() -> Column:
@@ -134,6 +136,85 @@ def log_hyper_likelihood_grid(like: DataFrame, hyper_grid: DataFrame, dist: Dist
     return every.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
 
 
+def modes_of(dist: Distribution, params: dict[str, Column]) -> list[tuple[Column, Column]]:
+    """(centre, width) of the places where a distribution changes fast, in its parameters; one for each mode."""
+    n = sum(1 for k in params if re.fullmatch(r"mu\d+", k))
+    if n:
+        return [(params[f"mu{i}"], params[f"sigma{i}"]) for i in range(n)]
+    if "mu" in params and "sigma" in params:
+        return [(params["mu"], params["sigma"])]
+    if "mu" in params:
+        return [(params["mu"], params["mu"])]
+    return []
+
+
+def refined_hyper_likelihood(like: DataFrame, hyper_grid: DataFrame, dist: Distribution, hyper_id: str, params: list[str], sigmas: float = 6.0, nodes: int = 100, modes: Callable | None = None) -> DataFrame:
+    """:func:`log_hyper_likelihood_grid` on a grid of each hyper point's own: the coarse one and ``nodes`` points within ``sigmas`` widths of each mode.
+
+    A source's ln_l at the added points is the cubic through its four nearest coarse points (a
+    natural continuation at the ends; linear if there are fewer than four). Coarse points of all
+    sources are the same; points beyond them are left out. Every added point finds its coarse cell by an equi-join on the
+    cell's number, so nothing is compared with all coarse points. Added points are made once for each hyper point, shared by all
+    sources, and joined to a source's coarse cells. A hyper point with a null or zero parameter keeps the coarse grid alone.
+    """
+    cells = written(like.select("x").distinct(), "cells")  # the coarse grid
+    of = Window.orderBy("x")  # an axis of checked size
+    if cells.count() > 100_000:
+        raise ValueError("the coarse grid has over 100000 points")
+    axis = written(cells.select("x", (F.row_number().over(of) - 1).alias("cell"), F.lead("x").over(of).alias("x_next")), "axis")
+    low, high = axis.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return hyper_grid.select(hyper_id).distinct().withColumn("ln_like", F.lit(None).cast("double")).limit(0)
+    named = {p: F.col(p) for p in params}
+    own = []
+    for centre, width in (modes or modes_of)(dist, named):
+        a, b = F.greatest(F.lit(low), centre - sigmas * width), F.least(F.lit(high), centre + sigmas * width)
+        own.append(F.when((width > 0) & (a < b), _even(a, b, nodes)).otherwise(F.array().cast("array<double>")))
+    empty = F.array().cast("array<double>")
+    added = hyper_grid.withColumn("x", F.explode(F.array_distinct(F.concat(empty, *own)))).where((F.col("x") > low) & (F.col("x") < high))
+    # the cell of an added point: coarse points and added ones in one order would need a sort of all; a bucket of the mean spacing finds the few candidates
+    spacing = (high - low) / max(axis.count() - 1, 1)
+    spread = lambda c: F.floor((F.col(c) - low) / spacing)
+    buckets = axis.where("x_next is not null").withColumn("bucket", F.explode(F.sequence(spread("x"), spread("x_next"))))
+    placed = added.withColumn("bucket", spread("x")).alias("p").join(F.broadcast(buckets.select("bucket", "cell", F.col("x").alias("x_lo"), "x_next")), "bucket")
+    placed = placed.where((F.col("x") > F.col("x_lo")) & (F.col("x") < F.col("x_next"))).select(hyper_id, *params, "x", "cell")
+    # a source's stencil: its four coarse points around each cell
+    w = Window.partitionBy("source").orderBy("x")
+    numbered = like.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("source"))})
+    at = lambda c, k: (F.lead if k >= 0 else F.lag)(c, abs(k)).over(w)
+    shift = F.greatest(F.lit(0), F.least(F.col("_r") - 1, F.col("_n") - 4)) - F.col("_r")
+    pick = lambda c, j: F.coalesce(*[F.when(shift + j == k, at(c, k)) for k in range(-3, 4)])
+    pieces = numbered.select("source", F.col("_r").alias("cell"), *[pick(c, j).alias(f"{n}{j}") for c, n in (("x", "x"), ("ln_l", "y")) for j in range(4)], F.col("x").alias("a0"), F.col("ln_l").alias("b0"), at("x", 1).alias("a1"), at("ln_l", 1).alias("b1"))
+    xs, ys = ([F.col(f"{n}{j}") for j in range(4)] for n in "xy")
+    cubic = F.lit(0.0)
+    for i in range(4):
+        term = ys[i]
+        for j in range(4):
+            if i != j:
+                term = term * (F.col("x") - xs[j]) / (xs[i] - xs[j])
+        cubic = cubic + term
+    line = F.col("b0") + (F.col("x") - F.col("a0")) * (F.col("b1") - F.col("b0")) / (F.col("a1") - F.col("a0"))
+    between = placed.join(pieces, "cell").select(hyper_id, *params, "source", "x", F.coalesce(cubic, line).alias("ln_l"))
+    coarse = like.select("source", "x", "ln_l").crossJoin(F.broadcast(_checked(hyper_grid.select(hyper_id, *params), 100_000)))
+    every = coarse.select(hyper_id, *params, "source", "x", "ln_l").unionByName(between)
+    by = Window.partitionBy(hyper_id, "source").orderBy("x")
+    weight = (F.coalesce(F.lead("x").over(by), F.col("x")) - F.coalesce(F.lag("x").over(by), F.col("x"))) / 2
+    term = dist.log_pdf(F.col("x"), named) + F.col("ln_l")
+    by_source = log_sum_exp(every.withColumn("w", weight).where(term > never()), [hyper_id, "source"], term, F.col("w"), "l")
+    pairs = like.select("source").distinct().crossJoin(F.broadcast(hyper_grid.select(hyper_id).distinct()))
+    return pairs.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
+
+
+def _even(a: Column, b: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: a + k * (b - a) / (n - 1))
+
+
+def _checked(df: DataFrame, most: int) -> DataFrame:
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
+
 def hyper_posterior(ll: DataFrame, hyper_id: str, weight: Column | None = None) -> DataFrame:
     """(.., p) over the hyper grid, summing to one."""
     z = log_sum_exp(ll, [], F.col("ln_like"), weight, "_z")

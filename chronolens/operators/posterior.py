@@ -22,6 +22,21 @@ def upper_limit(samples: DataFrame, key: list[str], value: str, q: float = 0.95)
     return samples.groupBy(*key).agg(F.percentile(value, F.lit(q)).alias("limit"))
 
 
+def quantile_sketch(samples: DataFrame, key: list[str], value: str, k: int = 800) -> DataFrame:
+    """(key, sketch): a mergeable quantile sketch of bounded size; partial sketches of tasks are merged, no group is held in one place.
+
+    The rank of a quantile read from it is off by about 2.3 / k^0.9 of all draws at most (0.6 % for 800) in 99 of 100 cases.
+    """
+    return samples.groupBy(*key).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_interval(sketches: DataFrame, low: float, high: float) -> DataFrame:
+    """The interval's ends as draws of about those ranks."""
+    keys = [c for c in sketches.columns if c != "sketch"]
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+    return sketches.select(*keys, at(low).alias("low"), at(high).alias("high"))
+
+
 def best_sample(samples: DataFrame, key: list[str], score: Column, tie: list[str]) -> DataFrame:
     """The row with the largest score; of ties the smallest by ``tie``. Aggregated, so hot sources pre-combine."""
     rank = F.struct(score.alias("s"), *[(-F.col(t)).alias(t) for t in tie])
@@ -128,6 +143,34 @@ def limits_table(samples: DataFrame, sources: DataFrame, q: float = 0.95, value:
     return lim.groupBy("source").pivot("dets").agg(*agg)
 
 
+def amplitude_limits(samples: DataFrame, sources: DataFrame, q: float = 0.95, amplitudes=("h0", "c21", "c22", "q22")) -> DataFrame:
+    """(source, dets, column, value): limits on all amplitudes that the samples have, and what follows from h0.
+
+    samples: (source, dets, one column for each amplitude, null where a source's model has none);
+    sources: (source, f0, f1, dist). Columns are named H0_95%UL for a source with results of one
+    detector set and H0_{dets}_95%UL otherwise; so are ELL, Q22 (from h0, where q22 is no amplitude of the source) and
+    SDRAT. SDLIM, a row for each source with a falling frequency and a distance, has no detectors.
+    """
+    have = [a for a in amplitudes if a in samples.columns]
+    lim = samples.groupBy("source", "dets").agg(*[F.percentile(a, F.lit(q)).alias(a) for a in have])
+    sets = lim.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    j = lim.join(sets, "source").join(sources.select("source", "f0", "f1", "dist"), "source", "left")
+    null = F.lit(None).cast("double")
+    h0 = F.col("h0") if "h0" in have else null
+    ell = h0_to_ellipticity(h0, "f0", "dist")
+    spin = F.when(F.col("f1") < 0, h0_spindown("f0", "f1", "dist"))
+    named = [(a.upper(), F.col(a)) for a in have if a != "q22"] + [("ELL", ell), ("Q22", F.coalesce(F.col("q22") if "q22" in have else null, ellipticity_to_q22(ell))), ("SDRAT", h0 / spin)]
+    rows = j.select("source", "dets", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in named])).alias("_r")).where("_r.value is not null")
+    name = F.concat(F.col("_r.name"), F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit("_"), "dets")), F.lit(f"_{int(100 * q)}%UL"))
+    limit = j.groupBy("source").agg(F.max(F.when(h0.isNotNull(), spin)).alias("value")).where("value is not null")
+    return rows.select("source", "dets", name.alias("column"), F.col("_r.value").alias("value")).unionByName(limit.select("source", F.lit(None).cast("string").alias("dets"), F.lit("SDLIM").alias("column"), "value"))
+
+
+def limits_row(limits: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each source with the named columns; the names are given, so that no job has to find them."""
+    return limits.groupBy("source").pivot("column", columns).agg(F.first("value"))
+
+
 def results_with_data(results: DataFrame, series: DataFrame) -> DataFrame:
     """For each (source, dets) the series of its detectors: two-character codes, one after the other."""
     member = F.explode(F.transform(F.sequence(F.lit(0), (F.length("dets") / 2 - 1).cast("int")), lambda i: F.substring(F.col("dets"), (i * 2 + 1).cast("int"), F.lit(2))))

@@ -74,9 +74,22 @@ def time_step(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     return df.select(*key, d.alias("d")).groupBy(*key).agg(F.min("d").alias("dt"))
 
 
+#: Ticks a second on which fractional times are laid to find their common step.
+TICKS = 1_000_000
+
+
+def fractional(df: DataFrame, column: str = "t") -> bool:
+    return df.schema[column].dataType.simpleString() in ("double", "float")
+
+
 def gcd_step(df: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Greatest common divisor of whole time differences: distinct differences first, then Euclid over the few that are left."""
-    d = (F.col("t") - F.lag("t").over(Window.partitionBy(*key).orderBy("t"))).cast("long")
+    """Greatest common divisor of the time differences: distinct differences first, then Euclid over the few that are left.
+
+    Whole times give a whole step; fractional ones are laid on microseconds first and give a double.
+    """
+    real = fractional(df)
+    t = F.round(F.col("t") * TICKS).cast("long") if real else F.col("t")
+    d = (t - F.lag(t).over(Window.partitionBy(*key).orderBy("t"))).cast("long")
     diffs = df.select(*key, d.alias("d")).where("d > 0").distinct()
 
     def euclid(a: Column, b: Column) -> Column:
@@ -86,7 +99,8 @@ def gcd_step(df: DataFrame, key: list[str] = KEY) -> DataFrame:
             steps, pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.when(p["b"] == 0, F.lit(1)).otherwise(p["b"])).alias("b")))
         )["a"]
 
-    return diffs.groupBy(*key).agg(F.aggregate(F.collect_set("d"), F.lit(0).cast("long"), lambda acc, x: euclid(acc, x)).alias("step"))
+    step = F.aggregate(F.collect_set("d"), F.lit(0).cast("long"), lambda acc, x: euclid(acc, x))
+    return diffs.groupBy(*key).agg((step / TICKS if real else step).alias("step"))
 
 
 def placed(df: DataFrame, key: list[str], order: list[str], width, out: str = "place", t: str = "t") -> DataFrame:
@@ -184,19 +198,30 @@ def subtract_running_median(df: DataFrame, window: int = 30, key: list[str] = KE
 
 
 def zero_pad(df: DataFrame, step=None, key: list[str] = KEY) -> DataFrame:
-    """Even grid from first to last time; absent samples are zero. Without ``step`` each series has its own, from gcd_step.
+    """Even grid from first to last time; absent samples are zero, with null in other columns.
 
-    A time that is no multiple of the step from the first is an error: its sample would be lost.
+    Without ``step`` each series has its own, from gcd_step (one sample: 1). Times are whole or
+    double; on doubles a step is any positive number, and times may lie a thousandth of it off the
+    grid. A time further off is an error: its sample would be lost. Each row makes the samples
+    absent before the next one, so the series shuffles once and is joined with nothing.
     """
-    span = df.groupBy(*key).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    real = fractional(df)
+    if step is not None and (step <= 0 or not real and step != int(step)):
+        raise ValueError("the step has to be positive, and whole for whole times")
+    rows = df
     if step is None:
-        span = span.join(gcd_step(df, key), key, "left").withColumn("_d", F.greatest(F.coalesce("step", F.lit(1)), F.lit(1)).cast("long")).drop("step")
+        own = null_safe_names(gcd_step(df, key), key)
+        rows = df.join(own, same(df, own, key), "left").withColumn("_d", F.coalesce("step", F.lit(1))).select(*df.columns, "_d")
     else:
-        span = span.withColumn("_d", F.lit(step).cast("long"))
-    grid = span.select(*key, F.explode(F.sequence("_a", "_b", "_d")).alias("t"))
-    off = F.pmod(F.col("t") - F.col("_a"), F.col("_d")) != 0
-    checked = df.join(span, key).withColumn("t", F.when(off, F.raise_error(F.lit("a time lies off the grid"))).otherwise(F.col("t"))).drop("_a", "_b", "_d")
-    return grid.join(checked, [*key, "t"], "left").withColumns({"re": F.coalesce("re", F.lit(0.0)), "im": F.coalesce("im", F.lit(0.0))})
+        rows = df.withColumn("_d", F.lit(float(step) if real else int(step)))
+    w = Window.partitionBy(*key).orderBy("t")
+    hops = (F.lead("t").over(w) - F.col("t")) / F.col("_d")
+    off = F.abs(hops - F.round(hops)) > (1e-3 if real else 1e-9)
+    n = F.when(off, F.raise_error(F.lit("a time lies off the grid")).cast("long")).otherwise(F.greatest(F.coalesce(F.round(hops).cast("long"), F.lit(1)), F.lit(1)))
+    spread = rows.withColumn("_n", n).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    t = (F.col("t") + F.col("_j") * F.col("_d")).cast(df.schema["t"].dataType)
+    value = lambda c: F.when(F.col("_j") == 0, F.coalesce(c, F.lit(0.0)) if c in ("re", "im") else F.col(c)).otherwise(F.lit(0.0) if c in ("re", "im") else F.lit(None))
+    return spread.select(*[F.col(c) if c in key else t.alias("t") if c == "t" else value(c).alias(c) for c in df.columns])
 
 
 def add_template(df: DataFrame, template: DataFrame, ranges: DataFrame | None = None, key: list[str] = KEY) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ def tukey(n: int, alpha: float) -> np.ndarray:
 def blocks(df: DataFrame, step, size: int, hop: int, key: list[str]) -> DataFrame:
     """Samples of an even grid dealt to overlapping blocks: (key, block, i, re, im); whole blocks only."""
     span = df.groupBy(*key).agg(F.min("t").alias("_a"), F.count(F.lit(1)).alias("_n"))
-    rows = df.join(span, key).withColumn("_i", ((F.col("t") - F.col("_a")) / step).cast("long"))
+    rows = df.join(span, key).withColumn("_i", F.round((F.col("t") - F.col("_a")) / step).cast("long"))
     last = F.least(F.floor(F.col("_i") / hop), F.floor((F.col("_n") - size) / hop))
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / hop))
     cut = rows.where(first <= last).withColumn("block", F.explode(F.sequence(first, last)))
@@ -75,20 +76,39 @@ def power_spectrum(df: DataFrame, step, size: int, key: list[str], how: str = "m
     return out.withColumn("power", F.sqrt("power")) if asd else out
 
 
+#: Samples of a series that a periodogram transforms in one piece.
+LONGEST = 1 << 24
+
+
 def periodogram(df: DataFrame, step, key: list[str], unit: float = 1.0) -> DataFrame:
-    """One block over the whole padded series, no window: (key, f, power) in order of frequency."""
+    """One block over the whole padded series, no window: (key, f, power) in order of frequency.
+
+    A series is one transform, so it has to fit a task: beyond ``LONGEST`` samples it is an error
+    (use :func:`spectrogram`). Series travel as arrays, many in a batch.
+    """
     padded = zero_pad(df.select(*key, "t", "re", "im"), step, key)
-    names = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
     dt = step * unit
-
-    def power(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        x = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        p, f = np.abs(np.fft.fft(x)) ** 2 * dt / len(x), np.fft.fftfreq(len(x), dt)
-        order = np.argsort(f)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(x) for k in key} | {"f": f[order], "power": p[order]})
-
-    return padded.groupBy(*key).applyInPandas(power, f"{names}, f double, power double")
+    packed = padded.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("t", "re", "im"))).alias("_s"))
+    n = F.size("_s")
+    arrays = packed.where(F.when(n > LONGEST, F.raise_error(F.lit("a series is too long for one periodogram")).cast("boolean")).otherwise(True))
+    arrays = arrays.select(*key, F.col("_s.re").alias("re"), F.col("_s.im").alias("im"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.select(*key).schema)
+
+    def power(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            re, im = batch.column(len(key)), batch.column(len(key) + 1)
+            spectra = []
+            for k in range(batch.num_rows):
+                x = re[k].values.to_numpy() + 1j * im[k].values.to_numpy()
+                order = np.argsort(np.fft.fftfreq(len(x)), kind="stable")
+                spectra.append((np.fft.fftfreq(len(x), dt)[order], (np.abs(np.fft.fft(x)) ** 2 * dt / len(x))[order]))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f, _ in spectra]))
+            columns = [batch.column(i).take(at) for i in range(len(key))] + [pa.array(np.concatenate([s[i] for s in spectra] or [np.zeros(0)])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, [*key, "f", "power"])
+
+    return arrays.mapInArrow(power, f"{names}, f double, power double")
 
 
 def power_by_source(spec: DataFrame, sources: DataFrame, how: str = "median", freq: str = "median", asd: bool = True) -> DataFrame:

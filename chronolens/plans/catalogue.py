@@ -345,9 +345,8 @@ def label_chunks(spark, d):
 b as (select detector, i // 50 as block, count(*) as n, round(avg(re), 6) as re, round(avg(im), 6) as im from n group by all)
 select detector, block, re, im from b where n = 50""")
 def stride_average(spark, d):
-    rows = events(spark, d).select("detector", F.struct("t", "event_id").alias("o"), "re", "im")
-    rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("o")))
-    return phase.block_average(rows, 50, 1, ["detector"]).select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
+    rows = series.placed(events(spark, d), ["detector"], ["event_id"], DAY).select("detector", F.col("place").alias("t"), "re", "im")
+    return phase.block_average(rows, 50, 1, ["detector"], width=10_000).select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
 
 
 # phase and response
@@ -412,8 +411,8 @@ y as (select detector, t, event_id, re * cos(2*pi()*(c - floor(c))) + im * sin(2
 n as (select *, row_number() over (partition by detector order by t, event_id) - 1 as i from y)
 select detector, i // 20 as block, round(avg(re), 6) as re, round(avg(im), 6) as im from n group by all having count(*) = 20""")
 def reheterodyne(spark, d):
-    rows = events(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("detector").orderBy("t", "event_id")))
-    out = phase.reheterodyne(rows, (F.col("event_id") % 997) * 0.013, None, 20, 1, ["detector"])
+    rows = series.placed(events(spark, d), ["detector"], ["event_id"], DAY).withColumn("t", F.col("place"))
+    out = phase.reheterodyne(rows, (F.col("event_id") % 997) * 0.013, None, 20, 1, ["detector"], runs_width=10_000)
     return out.select("detector", lng("block", "block"), r6("re", "re"), r6("im", "im"))
 
 
@@ -552,6 +551,68 @@ def noise_evidence(spark, d):
     return infer.noise_log_evidence(products(spark, d), ["detector"]).select("detector", F.round("ln_z_noise", 4).alias("ln_z_noise"))
 
 
+SIX = f"""{WITH_RESPONSE},
+six as (select detector, (t - {DAY0}) // {5 * DAY} as chunk, 1.0 + event_id % 2 as freqfactor, 1 + (event_id % 7) / 10.0 as sigma, re, im, fp as tp, fc as tc,
+  cos(2 * pi() * (event_id % 101) / 101.0) as vx, sin(2 * pi() * (event_id % 101) / 101.0) as vy, 0.5 * fp + 0.1 as sb, fp * fc as sl from wr)"""
+
+
+def six_modes(spark, d):
+    rows = with_response(spark, d)
+    turn = (F.col("event_id") % 101) * (2 * math.pi / 101)
+    return rows.select(
+        "detector", F.floor((F.col("t_us") - DAY0) / (5 * DAY)).alias("chunk"), (1.0 + F.col("event_id") % 2).alias("freqfactor"), (1 + (F.col("event_id") % 7) / 10.0).alias("sigma"), "re", "im",
+        F.col("fp").alias("tp"), F.col("fc").alias("tc"), F.cos(turn).alias("vx"), F.sin(turn).alias("vy"), (0.5 * F.col("fp") + 0.1).alias("sb"), (F.col("fp") * F.col("fc")).alias("sl"),
+    )
+
+
+def six_products(spark, d, gaussian=False):
+    return infer.joint_products(six_modes(spark, d), ["detector", "freqfactor", "chunk"], gaussian=gaussian)
+
+
+@query(f"""with {SIX} select detector, freqfactor::double as freqfactor, chunk, count(*) as n, round(sum(tp * tc), 4) as tp_tc, round(sum(vx * sl), 4) as vx_sl, round(sum(sl * sl), 4) as sl_sl, round(sum(vy * sb / (sigma * sigma)), 4) as vy_sb_white,
+round(sum(re * vy), 4) as vy_d_re, round(sum(im * sl), 4) as sl_d_im from six group by all""")
+def joint_products(spark, d):
+    """All products of six templates; the triangle has rows of six, five, four ... entries."""
+    at = lambda c, i: F.round(F.get(c, F.lit(i)), 4)
+    p = six_products(spark, d)
+    return p.select("detector", "freqfactor", "chunk", "n", at("gram_re", 1).alias("tp_tc"), at("gram_re", 14).alias("vx_sl"), at("gram_re", 20).alias("sl_sl"), at("white", 16).alias("vy_sb_white"), at("dot_re", 3).alias("vy_d_re"), at("dot_im", 5).alias("sl_d_im"))
+
+
+#: Amplitudes of both harmonics at grid point (a, b), as (re, im) in SQL.
+AMPLITUDES = {
+    1: {"tp": ("a", "0.5 * b"), "tc": ("0", "a"), "vx": ("b", "0"), "vy": ("0.1", "-b"), "sb": ("0", "0"), "sl": ("0.2 * a", "0")},
+    2: {"tp": ("-a", "b"), "tc": ("b", "0.3"), "vx": ("0", "0"), "vy": ("0", "0"), "sb": ("a * b", "0"), "sl": ("0", "-0.4 * a")},
+}
+
+
+def _model(k: int) -> str:
+    of = lambda h: " + ".join(f"({v[k]}) * {t}" for t, v in AMPLITUDES[h].items())
+    return f"case when freqfactor = 1 then {of(1)} else {of(2)} end"
+
+
+JOINT = f"""{SIX}, gx as (select -1.0 + i * 0.5 as a, unnest([-0.5, 0.0, 0.75]) as b from (select unnest(generate_series(0, 4)) as i)),
+rs as (select detector, freqfactor, chunk, a, b, count(*) as n, sum(pow(re - ({_model(0)}), 2) + pow(im - ({_model(1)}), 2)) as c, sum((pow(re - ({_model(0)}), 2) + pow(im - ({_model(1)}), 2)) / (sigma * sigma)) as w, sum(ln(sigma)) as ls from six, gx group by all)"""
+
+
+def mode_grid(spark):
+    axis = spark.range(5).select((-1.0 + F.col("id") * 0.5).alias("a")).crossJoin(spark.createDataFrame([(-0.5,), (0.0,), (0.75,)], "b double"))
+    return axis.withColumns({f"a{h}_{t}_{part}": F.expr(v[k]).cast("double") for h, of in AMPLITUDES.items() for t, v in of.items() for k, part in enumerate(("re", "im"))})
+
+
+@query(f"""with {JOINT} select detector, a, b, round(sum(lgamma(n) - ln(2) - n * (ln(pi()) + ln(c))), 4) as student, round(sum(-0.5 * w - n * ln(2 * pi()) - 2 * ls), 4) as gaussian from rs group by detector, a, b""")
+def joint_likelihood(spark, d):
+    """Both harmonics and six modes on a grid, as Student's t and as a Gaussian; the SQL sums squared residuals sample by sample."""
+    like = lambda g: infer.joint_log_likelihood(mode_grid(spark), six_products(spark, d, g), ["detector"], ["a", "b"], gaussian=g)
+    j = like(False).withColumnRenamed("ln_like", "student").join(like(True).withColumnRenamed("ln_like", "gaussian"), ["detector", "a", "b"])
+    return j.select("detector", F.col("a").cast("double").alias("a"), "b", F.round("student", 4).alias("student"), F.round("gaussian", 4).alias("gaussian"))
+
+
+@query(f"""with {SIX}, gx as (select 0.5 as a, 0.75 as b) select detector, round(sqrt(sum((pow({_model(0)}, 2) + pow({_model(1)}, 2)) / (sigma * sigma))), 5) as snr from six, gx group by detector""")
+def joint_snr(spark, d):
+    one = mode_grid(spark).where("a = 0.5 and b = 0.75")
+    return infer.joint_snr(six_products(spark, d).crossJoin(F.broadcast(one)), ["detector"]).select("detector", F.round("snr", 5).alias("snr"))
+
+
 WEIGHT = "case when abs(a) = 2 then 0.125 else 0.25 end * case when abs(b) = 1 then 0.5 else 1.0 end"
 
 
@@ -590,6 +651,18 @@ def credible_interval(spark, d):
     return out.select("source", "dets", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
+@query("select l_returnflag as dets, count(*) as n, true as low_within, true as high_within from lineitem group by 1")
+def sketched_interval(spark, d):
+    """Ends of an interval from a mergeable sketch, and whether their true ranks lie within its error of 0.01."""
+    s = draws(spark, d)
+    ends = posterior.sketched_interval(posterior.quantile_sketch(s, ["dets"], "value"), 0.05, 0.95)
+    j = s.join(F.broadcast(ends), "dets")
+    rank = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    below = lambda c: F.avg((F.col("value") < F.col(c)).cast("double"))
+    within = lambda c, q: (rank(c) >= q - 0.01) & (below(c) <= q + 0.01)
+    return j.groupBy("dets").agg(F.count(F.lit(1)).alias("n"), within("low", 0.05).alias("low_within"), within("high", 0.95).alias("high_within"))
+
+
 @query("select l_suppkey as source, round(quantile_cont(l_extendedprice, 0.95), 4) as \"limit\" from lineitem group by all")
 def upper_limit(spark, d):
     return posterior.upper_limit(draws(spark, d), ["source"], "value").select("source", F.round("limit", 4).alias("limit"))
@@ -706,6 +779,23 @@ def limits_table(spark, d):
     return t.select("source", F.round(F.col("`A_h0_95%UL`") * 1e26, 8).alias("a_h0"), F.round(F.col("`N_h0_95%UL`") * 1e26, 8).alias("n_h0"), F.round(F.col("`R_ell_95%UL`") * 1e12, 4).alias("r_ell"), F.round(F.col("`A_sdrat_95%UL`") * 1e6, 4).alias("a_sd"))
 
 
+@query(f"""with {SRC}, l as (select l_suppkey as source, l_returnflag as dets, quantile_cont(l_extendedprice * 1e-30, 0.95) as h0, quantile_cont(case when l_linenumber > 1 then l_quantity * 1e-26 end, 0.95) as c21, quantile_cont(case when l_suppkey % 3 = 0 then l_tax * 1e30 end, 0.95) as q22 from lineitem where l_suppkey % 2 = 0 or l_returnflag = 'R' group by all),
+k as (select source, count(*) as k from l group by source),
+e as (select l.*, k, h0 * pow(299792458.0, 4) * dist / (16 * pi() * pi() * 6.6743e-11 * 1e38 * f0 * f0) as ell, case when f1 < 0 then sqrt(5 * 6.6743e-11 * 1e38 * -f1 / (2 * pow(299792458.0, 3) * f0)) / dist end as sd from l join k using (source) left join src using (source)),
+r as (select source, dets, k, unnest(['H0', 'C21', 'ELL', 'Q22', 'SDRAT']) as name, unnest([h0, c21, ell, coalesce(q22, ell * 1e38 * sqrt(15 / (8 * pi()))), h0 / sd]) as value from e)
+select source, dets, name || case when k = 1 then '' else '_' || dets end || '_95%UL' as "column", round(ln(value), 6) as ln_value from r where value is not null
+union all select source, null, 'SDLIM', round(ln(max(sd)), 6) from e group by source having max(sd) is not null""")
+def amplitude_limits(spark, d):
+    """Limits on h0, c21 and q22, some of which some sources don't have, and what follows from h0; odd sources have one detector set."""
+    li = table(spark, d, "lineitem").where("l_suppkey % 2 = 0 or l_returnflag = 'R'")
+    s = li.select(
+        F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("dets"), (F.col("l_extendedprice") * 1e-30).alias("h0"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity") * 1e-26).alias("c21"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_tax") * 1e30).alias("q22"),
+    )
+    out = posterior.amplitude_limits(s, sources(spark, d))
+    return out.select("source", "dets", "column", F.round(F.log("value"), 6).alias("ln_value"))
+
+
 @query(f"""with {S} select source, flag, detector, count(*) as n from (select distinct l_suppkey as source, l_linestatus as flag from lineitem) r join s using (source)
 where detector = 'signup' or (flag = 'F') = (detector in ('view', 'click')) group by all""")
 def results_with_data(spark, d):
@@ -855,6 +945,21 @@ def background_positions(spark, d):
     return background.background_positions(s, 40).select("name", r6("ra", "ra"), r6("dec", "dec"))
 
 
+@query("select 's' || s_suppkey as \"of\", 8::bigint as n, true as apart, true as below from supplier")
+def distinct_positions(spark, d):
+    """Eight shifts for each supplier as a source, all with a phase that overlaps its own by less than a tenth over a year of daily nodes."""
+    s = table(spark, d, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.pmod("s_acctbal", F.lit(6.28)).cast("double").alias("ra"),
+        (F.sin(F.col("s_suppkey") * 1.0) * 1.4).alias("dec"), (F.col("s_suppkey") % 50 + 20.5).alias("f0"),
+    )
+    turn = F.col("id") * (2 * math.pi / 365.25)
+    nodes = spark.range(366).select((499.0 * F.cos(turn)).alias("x"), (458.0 * F.sin(turn)).alias("y"), (198.0 * F.sin(turn)).alias("z"))
+    got = background.distinct_positions(s, 8, nodes, 0.1, 0.02)
+    far = scalar.angular_separation("g.ra", "g.dec", "s.ra", "s.dec")
+    j = got.alias("g").join(s.alias("s"), F.col("g.of") == F.col("s.name"))
+    return j.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min(far > 0.02).alias("apart"), F.min(F.col("overlap") < 0.1).alias("below"))
+
+
 # population
 HYPER = "hy as (select i as hid, 20000.0 + i * 5000 as mu from (select unnest(generate_series(0, 7)) as i))"
 
@@ -898,6 +1003,22 @@ def hyper_likelihood_grid(spark, d):
     return hyper_ll(spark, d).select("hid", F.round("ln_like", 5).alias("ln_like"))
 
 
+NARROW = "nw as (select i as hid, 30000.0 + i * 1500 as mu0, 40.0 + 10 * i as sigma0 from (select unnest(generate_series(0, 4)) as i))"
+
+
+@query(f"with {NARROW}, s as (select distinct l_suppkey as source from lineitem) select hid, true as close from nw")
+def refined_hyper_likelihood(spark, d):
+    """Gaussians far narrower than the coarse grid's cells: within 1e-3 a source of the smooth likelihood's value at their centre, to second order in their width."""
+    like = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.avg("l_extendedprice").alias("m"))
+    like = like.crossJoin(F.broadcast(spark.range(25).select((F.col("id") * 4000.0).alias("x")))).withColumn("ln_l", -0.5 * F.pow((F.col("x") - F.col("m")) / 20000.0, F.lit(2)))
+    hyper = spark.range(5).select(F.col("id").alias("hid"), (30000.0 + F.col("id") * 1500).alias("mu0"), (40.0 + 10 * F.col("id")).alias("sigma0"))
+    got = population.refined_hyper_likelihood(like.select("source", "x", "ln_l"), hyper, population.distribution("bounded-gaussian"), "hid", ["mu0", "sigma0"])
+    width = 20000.0**2 + F.pow("sigma0", F.lit(2))
+    exact = -0.5 * F.pow(F.col("mu0") - F.col("m"), F.lit(2)) / width + 0.5 * F.log(20000.0**2 / width)
+    want = like.select("source", "m").distinct().crossJoin(hyper).groupBy("hid").agg(F.sum(exact).alias("want"), F.count(F.lit(1)).alias("n"))
+    return got.join(want, "hid").select("hid", (F.abs(F.col("ln_like") - F.col("want")) < 1e-3 * F.col("n")).alias("close"))
+
+
 @query(f"with {GRID_LIKE} select hid, round(exp(l - (select max(l) from hl)) / (select sum(exp(l - (select max(l) from hl))) from hl), 6) as p from hl")
 def hyper_posterior(spark, d):
     return population.hyper_posterior(hyper_ll(spark, d), "hid").select("hid", r6("p", "p"))
@@ -1048,6 +1169,19 @@ def parameter_files(spark, d):
     return p.where("key in ('F0', 'DIST')").select(F.col("source").cast("long").alias("source"), "key", r6(F.when(F.col("key") == "DIST", F.col("value") / 1e19).otherwise(F.col("value")), "value"), "fit")
 
 
+@query("""with d as (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 as draw from lineitem)
+select l_suppkey as source, round(l_suppkey * 0.5, 6) as ln_z, -1.0::double as ln_z_noise, draw::int as draw, l_extendedprice as h0, case when l_suppkey % 2 = 0 then l_quantity end as cosiota from d""")
+def json_results(spark, d):
+    """Every source's draws written as a JSON result and read again; odd sources have no second parameter."""
+    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))).alias("s"))
+    content = F.when(F.col("l_suppkey") % 2 == 0, F.create_map(F.lit("h0"), F.col("s.l_extendedprice"), F.lit("cosiota"), F.col("s.l_quantity"))).otherwise(F.create_map(F.lit("h0"), F.col("s.l_extendedprice")))
+    results = li.select(F.to_json(F.struct(F.col("l_suppkey").cast("string").alias("label"), (F.col("l_suppkey") * 0.5).alias("log_evidence"), F.lit(-1.0).alias("log_noise_evidence"), F.struct(content.alias("content")).alias("posterior"), F.lit("x").alias("sampler"))).alias("value"))
+    path = _scratch(spark, "json-results")
+    results.write.text(path)
+    got = files.read_results_json(spark, path, ["h0", "cosiota"], lines=True)
+    return got.select(F.col("label").cast("long").alias("source"), r6("ln_z", "ln_z"), "ln_z_noise", "draw", "h0", "cosiota")
+
+
 @query("select s_suppkey as source, 'H1' as dets from supplier where s_suppkey % 2 = 0")
 def results_catalog(spark, d):
     tail = F.when(F.col("s_suppkey") % 2 == 0, "_result.json").otherwise("_other.json")

@@ -156,6 +156,42 @@ def results_catalog(files: DataFrame, prefix: str) -> DataFrame:
     return files.where(F.col("path").rlike(m)).select("path", F.regexp_extract("path", m, 2).alias("source"), F.regexp_extract("path", m, 1).alias("dets"))
 
 
+def select_results(catalogue: DataFrame, source: str | None = None, dets: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Results of a source, a detector set or both; what isn't there is a KeyError.
+
+    ``wanted`` (source, dets) lists results that have to be there: an anti-join finds those that are absent.
+    """
+    out = catalogue.where(F.col("source") == source) if source is not None else catalogue
+    out = out.where(F.col("dets") == dets) if dets is not None else out
+    if (source is not None or dets is not None) and out.isEmpty():
+        raise KeyError(f"no results of {source or 'any source'} for {dets or 'any detectors'}")
+    if wanted is None:
+        return out
+    absent = wanted.select("source", "dets").join(out, ["source", "dets"], "left_anti")
+    first = [f"{r['source']} {r['dets']}" for r in absent.limit(5).collect()]
+    if first:
+        raise KeyError(f"results are missing, among them: {', '.join(first)}")
+    return out.join(wanted.select("source", "dets").distinct(), ["source", "dets"], "left_semi").select(*out.columns)
+
+
+#: What is read of a result file; other fields are left alone.
+RESULT = "label string, log_evidence double, log_noise_evidence double, log_bayes_factor double, posterior struct<content:map<string,array<double>>>"
+
+
+def read_results_json(spark: SparkSession, paths, parameters: list[str], lines: bool = False) -> DataFrame:
+    """A row for each draw of JSON results: path, label, ln_z, ln_z_noise, draw and a column for each parameter.
+
+    A file is one result (or, with ``lines``, has one in each line). A parameter that a result
+    doesn't have is null; one with fewer draws than another ends in nulls; a file that is no JSON is an error.
+    """
+    read = spark.read.schema(RESULT).option("multiLine", not lines).option("mode", "FAILFAST")
+    rows = read.json(paths).select(F.col("_metadata.file_path").alias("path"), "label", F.col("log_evidence").alias("ln_z"), F.col("log_noise_evidence").alias("ln_z_noise"), *[F.col("posterior.content")[p].alias(f"_{p}") for p in parameters])
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip(*[F.coalesce(f"_{p}", none).alias(p) for p in parameters])
+    draws = rows.select("path", "label", "ln_z", "ln_z_noise", F.posexplode(zipped).alias("draw", "_z"))
+    return draws.select("path", "label", "ln_z", "ln_z_noise", "draw", *[F.col(f"_z.{p}").alias(p) for p in parameters])
+
+
 def series_catalog(files: DataFrame) -> DataFrame:
     """(path, source, detector, freqfactor) of heterodyne_{source}_{det}_{freqfactor}_... names; others are skipped."""
     m = r"heterodyne_([^_/]+)_([A-Z]\d)_(\d+(?:\.\d+)?)_[^/]*$"
@@ -166,11 +202,27 @@ def series_catalog(files: DataFrame) -> DataFrame:
 
 #: Public observing runs: detector, run, first and last GPS second (fixed values).
 RUNS = [
+    ("H1", "S5", 815155213, 875232014), ("H2", "S5", 815155213, 875232014), ("L1", "S5", 815155213, 875232014),
+    ("H1", "S6", 931035615, 971622015), ("L1", "S6", 931035615, 971622015),
     ("H1", "O1", 1126051217, 1137254417), ("L1", "O1", 1126051217, 1137254417),
     ("H1", "O2", 1164556817, 1187733618), ("L1", "O2", 1164556817, 1187733618), ("V1", "O2", 1185624018, 1187733618),
+    ("H1", "O3", 1238166018, 1269363618), ("L1", "O3", 1238166018, 1269363618), ("V1", "O3", 1238166018, 1269363618),
     ("H1", "O3a", 1238166018, 1253977218), ("L1", "O3a", 1238166018, 1253977218), ("V1", "O3a", 1238166018, 1253977218),
     ("H1", "O3b", 1256655618, 1269363618), ("L1", "O3b", 1256655618, 1269363618), ("V1", "O3b", 1256655618, 1269363618),
+    ("H1", "O4a", 1368975618, 1389456018), ("L1", "O4a", 1368975618, 1389456018),
 ]
+#: Where continuous-wave hardware injections began later than the run (fixed values); V1 and H1, L1 of the other runs: none, and the whole run.
+INJECTIONS_FROM = {("H1", "S5"): 829412600, ("H2", "S5"): 829412616, ("L1", "S5"): 829413522}
+
+
+def injection_runs(spark: SparkSession, run: str | None = None, detector: str | None = None) -> DataFrame:
+    """Spans with continuous-wave hardware injections, with the segment flags to include and exclude."""
+    rows = [(d, r, INJECTIONS_FROM.get((d, r), a), b) for d, r, a, b in RUNS if d != "V1"]
+    df = spark.createDataFrame(rows, "detector string, run string, start long, end long")
+    old = F.col("run").isin("S5", "S6")
+    flags = df.withColumns({"include": F.concat("detector", F.when(old, "_CW_CAT1").otherwise("_CBC_CAT1")), "exclude": F.when(~old, F.concat("detector", F.lit("_NO_CW_HW_INJ")))})
+    flags = flags.where(F.col("run") == run) if run else flags
+    return flags.where(F.col("detector") == detector) if detector else flags
 
 
 def runs(spark: SparkSession, run: str | None = None, detector: str | None = None) -> DataFrame:
