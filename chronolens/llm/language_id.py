@@ -64,22 +64,28 @@ class Model:
     log_p: np.ndarray
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Learn from the rows of ``docs`` with text and language; rows with a null in either teach nothing.
 
+    Rows of a language beyond ``docs_per_language`` are drawn by a hash of id and text, so that copies
+    of a text are drawn each for itself; the row with the smallest hash is always among them. Without
+    a column ``doc_id`` copies of a text share their draw.
+
     An empty table gives a model without languages, which answers ``und``. More than MAX_LANGUAGES
     languages are an error: the model, which every worker holds, has BUCKETS numbers for each.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    draw = F.xxhash64(*([doc_id] if doc_id in docs.columns else []), text, F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("draw")).where("text is not null and lang is not null")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, docs_per_language / counts[k])))])
-    draw = F.xxhash64("text", F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    share = {r["lang"]: max(min(1.0, docs_per_language / r["n"]), r["least"]) for r in found}
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(share[k]))])
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +112,7 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str =
             if len(at):
                 yield pd.DataFrame({"l": np.int32(i), "b": at, "n": total[i][at]})
 
-    sample = rows.where(draw < share[F.col("lang")])
+    sample = rows.where(F.col("draw") <= share[F.col("lang")]).select("text", "lang")
     table = sample.mapInPandas(count, "l int, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     n = np.zeros((BUCKETS, len(languages)))
     for r in table.toLocalIterator():  # at most MAX_LANGUAGES * BUCKETS numbers

@@ -59,7 +59,8 @@ def twice_seen(hashes: DataFrame, bits: int) -> np.ndarray:
             if not lists:
                 continue
             h = np.concatenate(lists).astype(np.uint64)
-            h = h[np.argsort(h, kind="stable")]
+            h = np.sort(h)
+            h = h[np.concatenate([[True, True], h[2:] != h[:-2]])[: len(h)]]  # once and twice is all that matters: a line of every document sends two hashes a batch
             cut = np.searchsorted(_shard(h, bits), np.arange(shards + 1, dtype=np.uint64))
             some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
             yield pd.DataFrame({"shard": some, "blob": [h[cut[s] : cut[s + 1]].tobytes() for s in some]})

@@ -10,15 +10,16 @@ source, and blocks join the documents by index.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import fresh, materialise
+from .common import fresh, materialise, shared_dir
 
 #: Weights of the sources in code point order, repeating; a source is taken at most MAX_PASSES times.
 WEIGHTS, MAX_PASSES = (5, 2, 1), 3
@@ -182,6 +183,22 @@ def mixed_blocks(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS
     return _covered(placed, block_words).join(taken.hint("merge"), ["sid", "block"]).select("shard", "slot", "sid", "turn", "doc_id", "from", "words")
 
 
+def write_mix(taken: DataFrame, path: str | None = None) -> str:
+    """Write the slots of the mix as output shards and return the folder: rows of (shard, slot, sid, block, turn) in order of shard, source and slot.
+
+    A file holds the slots of neighbouring shards whole. A shard's words follow by joining its blocks (sid, block) with the documents' places.
+    """
+    spark = taken.sparkSession
+    path = path or f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    taken.repartitionByRange(parts, "shard", "sid").sortWithinPartitions("shard", "sid", "slot").write.parquet(path)
+    return path
+
+
+def read_mix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard long, slot long, sid int, block long, turn int").parquet(path)
+
+
 def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
                 doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken.
@@ -192,6 +209,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
     """
     placed, taken = _plan(docs, doc_id, text, source, F.xxhash64(F.col(doc_id), F.col(text)), seed, block_words)
     key = ["doc_id", "h", "start", "size", "source_size", "target", "sid"]
+    taken = read_mix(docs.sparkSession, write_mix(taken))  # what a document gives is counted in the written shards
     # taken blocks grow with the input, so they are never broadcast
     times = taken.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     each = _covered(placed, block_words).join(times.hint("merge"), ["sid", "block"], "left")
@@ -211,8 +229,8 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WO
     differ elsewhere, such as in the source, stay apart.
     """
     own = fresh(docs, "mix_own")
-    known = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
-    marks = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in known])
+    value = lambda f: F.col(f"`{f.name}`") if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(F.col(f"`{f.name}`")))
+    marks = F.xxhash64(*[F.struct(F.col(f"`{f.name}`").isNull(), value(f)) for f in docs.schema.fields])
     placed, taken = _plan(docs, doc_id, text, source, marks, seed, block_words)
     got = _covered(placed, block_words).join(taken.hint("merge"), ["sid", "block"]).groupBy("sid", "doc_id", "h", "start", "size", "turn").agg(
         F.sum("words").alias("mix_taken"), F.sort_array(F.collect_list(F.struct("from", "words"))).alias("mix_spans")

@@ -551,7 +551,8 @@ def test_score_by_plain_loops(spark, docs):
 
 def test_every_document_gives_a_window():
     counts = np.array([0, 1, 255, 256, 1000, 5000])
-    doc, first = lm_scoring.drawn_places(counts, np.random.default_rng(1))
+    doc, first, own = lm_scoring.drawn_places(counts, np.random.default_rng(1).integers(-(2**63), 2**63, 6))
+    assert len(set(own)) == len(doc)
     assert set(doc) == set(range(6)) and (first <= counts[doc]).all() and (np.bincount(doc) == counts // lm_scoring.DRAW_WORDS + 1).all()
 
 
@@ -755,3 +756,50 @@ def test_slopes_by_differences():
 def test_fit_without_and_with_cases(spark):
     none = pii.fit(spark.createDataFrame([], "text string"))
     assert np.array_equal(none.weights, pii.field_of(pii.prior()).weights) and np.allclose(none.pairs, pii.field_of(pii.prior()).pairs)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Training windows follow from rows: dealing the table anew changes scores by rounding alone."""
+    monkeypatch.setattr(lm_scoring, "SHARD_WINDOWS", 100)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    file = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    got = [{r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs.repartition(n), file).collect()} for n in (1, 7)]
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - v) <= 1e-6 * abs(v) for k, v in got[1].items())
+
+
+def test_a_language_of_copies_is_not_lost(spark):
+    """Copies of one German text are drawn each for itself; so is a single repeated row."""
+    english = [(i, f"the house number {i} of this street and that", "en") for i in range(50)]
+    for ids in (lambda i: 1000 + i, lambda i: 1000):
+        rows = english + [(ids(i), "hallo welt das ist ein text", "de") for i in range(3000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language_id.fit(df, 10)
+        ask = spark.createDataFrame([(1, "hallo welt"), (2, "the street")], "doc_id long, text string")
+        assert [r["p"] for r in language_id.identify(ask, model).orderBy("doc_id").select(F.col("language.lang_pred").alias("p")).collect()] == ["de", "en"]
+
+
+def test_mixed_rows_that_differ_in_nested_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "s", [1, 2], {"k": 1}), (1, "a b c d", "s", [3], {"k": 1}), (1, "a b c d", "s", [3], {"k": 2})], "doc_id long, text string, source string, n array<int>, m map<string,int>")
+    got = mixing.mixed_documents(df, block_words=2).collect()
+    assert Counter((tuple(r["n"]), r["m"]["k"]) for r in got) == Counter({((1, 2), 1): 1, ((3,), 1): 1, ((3,), 2): 1})
+
+
+def test_taken_counts_the_written_shards(spark, tmp_path):
+    """Every document's share of the mix, from the blocks in the written files one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed, taken = mixing._plan(docs, "doc_id", "text", "source", F.xxhash64("doc_id", "text"), 17, mixing.BLOCK_WORDS)
+    mix = mixing.read_mix(spark, mixing.write_mix(taken, str(tmp_path / "mix"))).collect()
+    slots = [(r["sid"], r["slot"]) for r in mix]
+    assert len(set(slots)) == len(slots)
+    times = Counter((r["sid"], r["block"]) for r in mix)
+    want = Counter()
+    for r in placed.collect():
+        words = Counter((r["start"] + i) // mixing.BLOCK_WORDS for i in range(r["size"]))
+        want[r["doc_id"], sum(times[r["sid"], b] * n for b, n in words.items())] += 1
+    assert Counter((r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs).collect()) == want
+
+
+def test_a_frequent_line_sends_two_hashes_a_batch(spark):
+    df = spark.createDataFrame([(i, f"same\nown {i}\npair {i // 2}") for i in range(500)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in line_dedup.repeated_lines(df, min_docs=2).collect()}
+    assert got == {i: (2, f"own {i}") for i in range(500)}
