@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import OBLIQUITY, angular_separation, ecliptic_to_equatorial, erfc, hash_uniform
+from .slices import times
 from .storage import written
 
 
+#: Points or places of the detector that are broadcast at once.
+MOST_NODES = 100_000
+
+
 def join_background(shifts: DataFrame, odds: DataFrame, key: str = "name") -> DataFrame:
     """Join whose sets of names have to be equal."""
     j = shifts.join(odds, key, "full_outer")
@@ -48,7 +53,7 @@ def bandwidth(df: DataFrame, key: list[str], value: str) -> DataFrame:
 def kde(df: DataFrame, points: DataFrame, key: list[str], value: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """(key, x, density): Gaussian kernels at points (one column x, of checked size), mirrored at given bounds."""
     rows = df.join(bandwidth(df, key, value), key).select(*key, F.col(value).alias("_v"), "h")
-    j = rows.crossJoin(F.broadcast(points) if points.limit(10_001).count() <= 10_000 else points)
+    j = times(rows, points, MOST_NODES)
     k = lambda m: F.exp(-0.5 * F.pow((F.col("x") - m) / F.col("h"), F.lit(2)))
     total: Column = k(F.col("_v"))
     for edge in (low, high):
@@ -120,10 +125,6 @@ def background_positions(sources: DataFrame, n: int, exclusion: float = 0.01, se
     return kept.select(F.concat("name", shift_name(F.col("_k"))).alias("name"), "place", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"))
 
 
-#: Places of the detector over time that an overlap is taken over; they are broadcast.
-MOST_NODES = 100_000
-
-
 def sky_overlap(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """``points`` (ra, dec, ra2, dec2, f0 and others) with ``overlap``: |mean over nodes of exp(2 pi i f0 (delay - delay2))|.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ln_factorial
+from .series import null_safe_names, placed, same
 from .storage import written
 
 
@@ -45,14 +46,14 @@ def threshold(kind: str | float) -> Column:
     return F.lit(float(kind))
 
 
-def change_points(df: DataFrame, key: list[str], order: list[str], limit: str | float = "default", minlength: int = 5, maxlength: int | None = None) -> DataFrame:
+def change_points(df: DataFrame, key: list[str], order: list[str], limit: str | float = "default", minlength: int = 5, maxlength: int | None = None, width=None) -> DataFrame:
     """``df`` with chunk (from 0 in time order), chunk_start (place of its first sample) and n (samples).
 
     A pass scores every open chunk, splits those above the threshold and closes the rest; it ends
-    when nothing splits. Passes are written to the shared folder. All-zero series are never split.
+    when nothing splits. Passes are written to the shared folder. With ``width`` samples get their places within
+    stretches of that width of the first order column, so that no task sorts a whole series. All-zero series are never split.
     """
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
-    base = written(df.withColumn("_i", place), "cp-series")
+    base = written(placed(df, key, order[1:], width, "_i", order[0]) if width else df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1), "cp-series")
     open_ = base.select(*key, "_i", F.lit(0).cast("int").alias("_a"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("_p"))
     closed, n = None, 0
     while True:
@@ -75,15 +76,19 @@ def change_points(df: DataFrame, key: list[str], order: list[str], limit: str |
         start = F.when(piece == whole, whole * maxlength - move).otherwise(piece * maxlength)
         closed = closed.withColumn("_n", size).withColumn("_a", F.when(F.col("_n") > maxlength, F.col("_a") + start).otherwise(F.col("_a")).cast("int")).drop("_n")
     labelled = base.join(closed, [*key, "_i"])
-    chunk = F.dense_rank().over(Window.partitionBy(*key).orderBy("_a")) - 1
-    return labelled.select(*df.columns, chunk.alias("chunk"), F.col("_a").alias("chunk_start"), F.count(F.lit(1)).over(Window.partitionBy(*key, "_a")).alias("n"))
+    sizes = closed.groupBy(*key, "_a").agg(F.count(F.lit(1)).alias("n"))  # a row for each chunk
+    chunks = sizes.withColumn("chunk", F.row_number().over(Window.partitionBy(*key).orderBy("_a")) - 1)
+    return labelled.join(chunks, [*key, "_a"]).select(*df.columns, "chunk", F.col("_a").alias("chunk_start"), "n")
 
 
-def label_chunks(df: DataFrame, starts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def label_chunks(df: DataFrame, starts: DataFrame, key: list[str], order: list[str], width=None) -> DataFrame:
     """Chunk id, start and length for each sample from a table of change points (key, start_idx, ln_ratio).
 
-    Without change points a series is one chunk of ratio -inf.
+    Without change points a series is one chunk of ratio -inf. With ``width`` long series are dealt out: places come
+    from stretches of that width of the first order column, and chunks meet samples in stretches of places.
     """
+    if width is not None:
+        return _label_stretches(placed(df, key, order[1:], width, "_i", order[0]), starts, key, df.columns)
     w = Window.partitionBy(*key).orderBy(*order)
     rows = df.withColumn("_i", F.row_number().over(w) - 1)
     marked = rows.join(starts.withColumnRenamed("start_idx", "_i"), [*key, "_i"], "left")
@@ -94,6 +99,26 @@ def label_chunks(df: DataFrame, starts: DataFrame, key: list[str], order: list[s
     return ids.select(*df.columns, "chunk", F.min("_i").over(of).alias("chunk_start"), F.count(F.lit(1)).over(of).alias("n"), ratio.alias("ln_ratio"))
 
 
+#: Places in a stretch where samples and chunks meet.
+STRETCH = 1 << 16
+
+
+def _label_stretches(rows: DataFrame, starts: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    size = rows.groupBy(*key).agg((F.max("_i") + 1).alias("_n"))
+    given = starts.where(F.col("ln_ratio").isNotNull()).select(*key, F.col("start_idx").cast("long").alias("_a"), "ln_ratio")
+    nulls = null_safe_names(given, key)
+    inner = size.join(nulls, same(size, nulls, key)).where("_a < _n").select(*key, "_a", "ln_ratio", "_n")
+    zero = size.select(*key, F.lit(0).cast("long").alias("_a"), F.lit(None).cast("double").alias("ln_ratio"), "_n")  # a series begins with a chunk, stated or not
+    chunks = inner.unionByName(zero).groupBy(*key, "_a").agg(F.max("ln_ratio").alias("ln_ratio"), F.max("_n").alias("_n"))
+    w = Window.partitionBy(*key).orderBy("_a")  # a row for each chunk
+    chunks = chunks.select(*key, "_a", F.coalesce("ln_ratio", F.lit(float("-inf"))).alias("ln_ratio"), F.coalesce(F.lead("_a").over(w), F.col("_n")).alias("_z"), (F.row_number().over(w) - 1).alias("chunk"))
+    spread = chunks.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a") / STRETCH), F.floor((F.col("_z") - 1) / STRETCH))))
+    met = null_safe_names(spread, [*key, "_s"])
+    held = rows.withColumn("_s", F.floor(F.col("_i") / STRETCH))
+    j = held.join(met, same(held, met, [*key, "_s"]) & (F.col("_i") >= F.col("_a")) & (F.col("_i") < F.col("_z")))
+    return j.select(*columns, "chunk", F.col("_a").alias("chunk_start"), (F.col("_z") - F.col("_a")).alias("n"), "ln_ratio")
+
+
 def chunk_variance(df: DataFrame, key: list[str]) -> DataFrame:
     """Sample variance of re and im together (ddof 1, 2n numbers) for each chunk; ``sigma`` given by the user wins."""
     s1, s2, n = F.sum(F.col("re") + F.col("im")), F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 2 * F.count(F.lit(1))

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, ln_gamma
+from .slices import times
+
+
+#: Chunks that one pass over a grid takes: a bounded broadcast; more make further passes.
+PASS_CHUNKS = 100_000
 
 
 def signal_snr(df: DataFrame, key: list[str], re: str = "t_re", im: str = "t_im", sigma: str = "sigma") -> DataFrame:
@@ -55,10 +60,9 @@ def chunk_log_likelihood(chi2: Column, gaussian: bool = False) -> Column:
 def log_likelihood(grid: DataFrame, products: DataFrame, key: list[str], grid_id: list[str], templates=("fp", "fc"), gaussian: bool = False) -> DataFrame:
     """Log likelihood of every grid point: grid x chunks, summed by (key, grid point).
 
-    Products are a row for each chunk and are broadcast after a size check; the grid stays dealt out.
+    Products are a row for each chunk and are broadcast in slices of bounded size; the grid stays dealt out.
     """
-    few = products.limit(200_001).count() <= 200_000
-    j = grid.crossJoin(F.broadcast(products) if few else products)
+    j = times(grid, products, PASS_CHUNKS)
     return j.groupBy(*key, *grid_id).agg(F.sum(chunk_log_likelihood(chi_square(templates), gaussian)).alias("ln_like"))
 
 
@@ -125,10 +129,6 @@ def joint_chi_square(templates=MODES, amp: str = "a") -> Column:
     return F.col("dd") - 2 * dot + quadratic_form(templates, amp=amp)
 
 
-#: Chunks that one pass over a grid takes: a bounded broadcast; more make further passes.
-PASS_CHUNKS = 100_000
-
-
 def joint_log_likelihood(grid: DataFrame, products: DataFrame, key: list[str], grid_id: list[str], harmonics=(1, 2), templates=MODES, gaussian: bool = False) -> DataFrame:
     """Log likelihood of every grid point over the chunks of all detectors and harmonics, summed by (key, grid point).
 
@@ -137,14 +137,8 @@ def joint_log_likelihood(grid: DataFrame, products: DataFrame, key: list[str], g
     slices of bounded size; a slice is broadcast to the grid, which stays where it is.
     """
     mine = products.where(F.col("freqfactor").isin(*[float(h) for h in harmonics]))
-    n = max(1, -(-mine.count() // PASS_CHUNKS))
     chosen = [F.when(F.col("freqfactor") == float(h), chunk_log_likelihood(joint_chi_square(templates, f"a{h}"), gaussian)) for h in harmonics]
-    total = None
-    for k in range(n):
-        part = mine.where(F.pmod(F.xxhash64("dd", "n", *key), F.lit(n)) == k) if n > 1 else mine
-        sums = grid.crossJoin(F.broadcast(part)).groupBy(*key, *grid_id).agg(F.sum(F.coalesce(*chosen)).alias("ln_like"))
-        total = sums if total is None else total.unionByName(sums)
-    return total if n == 1 else total.groupBy(*key, *grid_id).agg(F.sum("ln_like").alias("ln_like"))
+    return times(grid, mine, PASS_CHUNKS).groupBy(*key, *grid_id).agg(F.sum(F.coalesce(*chosen)).alias("ln_like"))
 
 
 def joint_snr(products: DataFrame, key: list[str], harmonics=(1, 2), templates=MODES) -> DataFrame:

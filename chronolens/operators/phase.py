@@ -12,6 +12,7 @@ from ..functions.scalar import SIDEREAL_DAY, antenna_pattern, col, complex_rotat
 from . import filters
 from .segments import samples_in_segments
 from .series import contiguous_runs, placed
+from .slices import times
 
 BINS = 2880
 
@@ -69,14 +70,13 @@ def join_delay_nodes(df: DataFrame, nodes: DataFrame, t0, step, key: list[str],
     return df.withColumn("_n_k", k).join(st, [*key, "_n_k"], "left").select(*df.columns, sum(terms[1:], terms[0]).alias(out))
 
 
-#: Sources are broadcast up to so many rows; beyond it the cross product is dealt out by Spark.
+#: Sources are broadcast up to so many rows; longer lists take a pass for each slice.
 BROADCAST_SOURCES = 100_000
 
 
 def attach_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Every raw row for every source: the fan-out of the engine, over a source list of checked size."""
-    small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return raw.crossJoin(F.broadcast(sources) if small else sources)
+    return times(raw, sources, BROADCAST_SOURCES)
 
 
 def block_average(df: DataFrame, samples: int, gap, key: list[str], factor: float = 1.0, width=None) -> DataFrame:

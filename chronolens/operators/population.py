@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, ellipticity_to_q22, h0_to_q22, hash_uniform, normal_cdf
 from .infer import log_sum_exp
+from .slices import times
 from .storage import written
 
 
@@ -98,12 +99,13 @@ def distribution(name: str | Distribution, **kwargs) -> Distribution:
 
 #: What replaces a log likelihood of -inf.
 FLOOR = -1e300 ** 0.5
+#: Points of a hyper grid or an axis that are broadcast at once; more take a pass for each slice.
+MOST_POINTS = 100_000
 
 
 def log_hyper_likelihood_samples(samples: DataFrame, hyper_grid: DataFrame, dist: Distribution, hyper_id: str, params: list[str], value: str = "x") -> DataFrame:
     """(hyper_id, ln_like): sum over sources of ln mean over draws of the pdf. The hyper grid is small and broadcast after a check."""
-    few = hyper_grid.limit(100_001).count() <= 100_000
-    j = samples.crossJoin(F.broadcast(hyper_grid) if few else hyper_grid)
+    j = times(samples, hyper_grid, MOST_POINTS)
     pdf = F.exp(dist.log_pdf(F.col(value), {p: F.col(p) for p in params}))
     by_source = j.groupBy(hyper_id, "source").agg(F.avg(pdf).alias("m"))
     return by_source.groupBy(hyper_id).agg(F.sum(F.when(F.col("m") > 0, F.log("m")).otherwise(FLOOR)).alias("ln_like"))
@@ -116,8 +118,7 @@ def source_likelihood_on_grid(samples: DataFrame, evidence: DataFrame, grid: Dat
     """
     stats = samples.groupBy("source").agg(F.stddev_samp(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
     rows = samples.join(stats, "source").select("source", F.col(value).alias("_v"), (F.col("_s") * F.pow("_n", F.lit(-0.2))).alias("_h"))
-    few = grid.limit(10_001).count() <= 10_000
-    j = rows.crossJoin(F.broadcast(grid) if few else grid)
+    j = times(rows, grid, MOST_POINTS)
     k = lambda m: F.exp(-0.5 * F.pow((F.col("x") - m) / F.col("_h"), F.lit(2)))
     dens = F.avg((k(F.col("_v")) + k(-F.col("_v"))) / (F.col("_h") * math.sqrt(2 * math.pi)))
     out = j.groupBy("source", "x").agg(dens.alias("_d")).join(evidence, "source")
@@ -128,11 +129,10 @@ def log_hyper_likelihood_grid(like: DataFrame, hyper_grid: DataFrame, dist: Dist
     """(hyper_id, ln_like): sum over sources of ln of the trapezoid of exp(ln pdf + ln_l) over x; FLOOR for a source without a finite term."""
     w = Window.partitionBy("source").orderBy("x")
     weight = (F.coalesce(F.lead("x").over(w), F.col("x")) - F.coalesce(F.lag("x").over(w), F.col("x"))) / 2
-    few = hyper_grid.limit(100_001).count() <= 100_000
-    j = like.withColumn("w", weight).crossJoin(F.broadcast(hyper_grid) if few else hyper_grid)
+    j = times(like.withColumn("w", weight), hyper_grid, MOST_POINTS)
     term = dist.log_pdf(F.col("x"), {p: F.col(p) for p in params}) + F.col("ln_l")
     by_source = log_sum_exp(j.where(term > never()), [hyper_id, "source"], term, F.col("w"), "l")
-    every = like.select("source").distinct().crossJoin(hyper_grid.select(hyper_id).distinct())
+    every = times(like.select("source").distinct(), hyper_grid.select(hyper_id).distinct(), MOST_POINTS)
     return every.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
 
 
@@ -195,13 +195,13 @@ def refined_hyper_likelihood(like: DataFrame, hyper_grid: DataFrame, dist: Distr
         cubic = cubic + term
     line = F.col("b0") + (F.col("x") - F.col("a0")) * (F.col("b1") - F.col("b0")) / (F.col("a1") - F.col("a0"))
     between = placed.join(pieces, "cell").select(hyper_id, *params, "source", "x", F.coalesce(cubic, line).alias("ln_l"))
-    coarse = like.select("source", "x", "ln_l").crossJoin(F.broadcast(_checked(hyper_grid.select(hyper_id, *params), 100_000)))
+    coarse = times(like.select("source", "x", "ln_l"), hyper_grid.select(hyper_id, *params), MOST_POINTS)
     every = coarse.select(hyper_id, *params, "source", "x", "ln_l").unionByName(between)
     by = Window.partitionBy(hyper_id, "source").orderBy("x")
     weight = (F.coalesce(F.lead("x").over(by), F.col("x")) - F.coalesce(F.lag("x").over(by), F.col("x"))) / 2
     term = dist.log_pdf(F.col("x"), named) + F.col("ln_l")
     by_source = log_sum_exp(every.withColumn("w", weight).where(term > never()), [hyper_id, "source"], term, F.col("w"), "l")
-    pairs = like.select("source").distinct().crossJoin(F.broadcast(hyper_grid.select(hyper_id).distinct()))
+    pairs = times(like.select("source").distinct(), hyper_grid.select(hyper_id).distinct(), MOST_POINTS)
     return pairs.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
 
 
@@ -209,12 +209,6 @@ def _even(a: Column, b: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: a + k * (b - a) / (n - 1))
 
 
-def _checked(df: DataFrame, most: int) -> DataFrame:
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows")
-    return df
-
-
 def hyper_posterior(ll: DataFrame, hyper_id: str, weight: Column | None = None) -> DataFrame:
     """(.., p) over the hyper grid, summing to one."""
     z = log_sum_exp(ll, [], F.col("ln_like"), weight, "_z")
@@ -223,7 +217,7 @@ def hyper_posterior(ll: DataFrame, hyper_id: str, weight: Column | None = None)
 
 def posterior_predictive(post: DataFrame, points: DataFrame, dist: Distribution, params: list[str]) -> DataFrame:
     """(x, density): mean pdf at points under the hyper posterior (column p)."""
-    j = post.crossJoin(F.broadcast(points) if points.limit(10_001).count() <= 10_000 else points)
+    j = times(post, points, MOST_POINTS)
     return j.groupBy("x").agg(F.sum(F.col("p") * F.exp(dist.log_pdf(F.col("x"), {q: F.col(q) for q in params}))).alias("density"))
 
 

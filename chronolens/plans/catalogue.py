@@ -327,7 +327,7 @@ def split_scores(spark, d):
 @query()
 def change_points(spark, d):
     """Chunks of each detector's series: threshold by the number of splits, at most 300 samples."""
-    out = changepoints.change_points(events(spark, d), ["detector"], ["t", "event_id"], "trials", 5, 300)
+    out = changepoints.change_points(events(spark, d), ["detector"], ["t", "event_id"], "trials", 5, 300, width=DAY)
     return out.groupBy("detector", "chunk").agg(F.min("t").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
@@ -337,7 +337,7 @@ def label_chunks(spark, d):
     e = events(spark, d)
     size = e.groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
     starts = size.select("detector", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 100).cast("int"))).alias("k")).select("detector", (F.col("k") * 100).alias("start_idx"), F.col("k").cast("double").alias("ln_ratio"))
-    out = changepoints.label_chunks(e, starts, ["detector"], ["t", "event_id"])
+    out = changepoints.label_chunks(e, starts, ["detector"], ["t", "event_id"], width=DAY)
     return out.select("event_id", lng("chunk", "chunk"), lng("chunk_start", "chunk_start"), "n")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import complex_rotate, phase_cycles
-from ..operators.phase import butterworth, filter_run
+from ..operators.phase import BROADCAST_SOURCES, butterworth, filter_run
 
 
 def stream_block_average(stream: DataFrame, key: list[str], stride: str, samples: int, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -33,13 +33,16 @@ def stream_dedupe(stream: DataFrame, key: list[str], late: str = "10 minutes", t
 def stream_heterodyne(raw: DataFrame, sources: DataFrame, rate: float, resample: float, knee: float, order: int = 9, n_freq: int = 1, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Incremental heterodyne of raw (detector, ts, t, x): (source, detector, t, re, im).
 
+    ``sources`` is a static list of BROADCAST_SOURCES rows at most; without a source the stream gives no row.
     The state of a (source, detector) is the forward filter, the open block and the last time; it
     lives in the checkpoint, so a restarted stream carries on where it stopped. Rows at or before
     the last time are dropped; a gap above two samples restarts filter and block.
     """
     size = round(rate / resample)
     b, a = butterworth(knee, rate, order)
-    j = raw.withWatermark(ts, late).crossJoin(F.broadcast(sources))  # a static list of sources
+    if sources.limit(BROADCAST_SOURCES + 1).count() > BROADCAST_SOURCES:
+        raise ValueError(f"more than {BROADCAST_SOURCES} sources: run a stream for each part of the list")
+    j = raw.withWatermark(ts, late).crossJoin(F.broadcast(sources))  # a static list of checked size
     re, im = complex_rotate("x", F.lit(0.0), phase_cycles("t", [f"f{i}" for i in range(n_freq)], "epoch"))
     turned = j.select("source", "detector", "t", re.alias("re"), im.alias("im"))
     n_state = 4 * len(b)

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolens.functions import scalar
-from chronolens.operators import background, infer, population, posterior, series, spectra
+from chronolens.operators import background, changepoints, infer, phase, slices, population, posterior, series, spectra
 from chronolens.sources import files
+from chronolens.streaming import stream
 
 SERIES = "source string, detector string, t double, re double, im double"
 
@@ -188,3 +189,36 @@ def test_limits_row_and_runs(spark):
     inj = files.injection_runs(spark, "S5").collect()
     assert all(r["start"] > 829412000 and r["include"] == f"{r['detector']}_CW_CAT1" and r["exclude"] is None for r in inj) and len(inj) == 3
     assert files.injection_runs(spark, "O1", "H1").first()["exclude"] == "H1_NO_CW_HW_INJ"
+
+
+def test_chunks_in_stretches(spark, monkeypatch):
+    """Labels and change points are the same whether a series is sorted whole or in stretches."""
+    rng = np.random.default_rng(9)
+    rows = [(n, float(t), k, float(v), float(u)) for n, size in (("a", 400), (None, 90), ("c", 7)) for k, t in enumerate(np.sort(rng.uniform(0, 1000, size).round(1))) for v, u in [rng.normal(size=2) * (1 if k < 150 else 4)]]
+    df = spark.createDataFrame(rows, "source string, t double, pos int, re double, im double").repartition(3)
+    starts = spark.createDataFrame([("a", 0, 2.0), ("a", 100, 1.0), ("a", 250, None), ("a", 399, 0.5), ("a", 900, 1.0), ("c", 3, 4.0)], "source string, start_idx long, ln_ratio double")
+    same = lambda d: sorted(map(str, d.collect()))
+    monkeypatch.setattr(changepoints, "STRETCH", 64)
+    known = df.where("source is not null")
+    whole = same(changepoints.label_chunks(known, starts, ["source"], ["t", "pos"]))
+    assert same(changepoints.label_chunks(known, starts, ["source"], ["t", "pos"], width=37)) == whole and len(whole) == 407
+    every = changepoints.label_chunks(df, starts, ["source"], ["t", "pos"], width=37).where("source is null").collect()
+    assert len(every) == 90 and {(r["chunk"], r["n"], r["ln_ratio"]) for r in every} == {(0, 90, float("-inf"))}
+    cut = [same(changepoints.change_points(known, ["source"], ["t", "pos"], "trials", 5, 120, width=w)) for w in (None, 50)]
+    assert cut[0] == cut[1] and len(cut[0]) == 407
+
+
+def test_products_in_slices(spark):
+    big, small = spark.range(20).select(F.col("id").alias("a")), spark.range(50).select(F.col("id").alias("b"))
+    for most in (1, 7, 50):
+        assert len(slices.slices_of(small, most)) == (1 if most == 50 else -(-100 // most))
+        assert slices.times(big, small, most).distinct().count() == 1000
+    assert slices.times(big, small.limit(0), 5).count() == 0
+
+
+def test_live_heterodyne_checks_its_sources(spark, monkeypatch):
+    monkeypatch.setattr(stream, "BROADCAST_SOURCES", 1)
+    two = spark.createDataFrame([("p", 1.0, 0.0), ("q", 1.0, 0.0)], "source string, f0 double, epoch double")
+    with pytest.raises(ValueError, match="sources"):
+        stream.stream_heterodyne(spark.readStream.format("rate").load(), two, 1.0, 0.5, 0.1)
+    assert phase.BROADCAST_SOURCES > 1
