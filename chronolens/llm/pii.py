@@ -3,7 +3,7 @@
 Nodes are the tokens that could be part of an entity (they hold a digit or an @); all other
 tokens are outside. Neighbouring nodes and distant repeated or similar nodes share potentials;
 loopy message passing brings their labels into line across the whole document. Weights and
-potentials are learned together from the base spans of all documents, by pseudo-likelihood: each
+potentials are learned together from the base spans of all documents, by tempered pseudo-likelihood: each
 node's label given those of the nodes that share a potential with it, once with and once without
 the node's own features, so that potentials have to explain labels that features don't.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +33,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Rounds of message passing, damping, and the belief from which a node is labelled.
+#: Rounds of message passing, damping, and the least belief from which a node is labelled.
 ROUNDS, DAMPING, BELIEF = 10, 0.3, 0.6
+#: One base span in so many is hidden to measure the field, and the precision that the belief from which nodes are labelled has to reach there.
+HIDE, PRECISION = 5, 0.95
 #: Newton steps of training, the largest change of a parameter in a step, the weight of squared distances from the prior,
 #: and the prior potential of two repeated or similar nodes with the same label (all else: 0).
 STEPS, STRIDE, RIDGE, AGREE = 8, 2.0, 1e-2, 2.0
@@ -170,10 +173,14 @@ class Field:
 
     weights: np.ndarray
     pairs: np.ndarray
+    #: From which belief a node is labelled, and how hidden labels were found with it.
+    belief: float = BELIEF
+    recall: float = 0.0
+    precision: float = 1.0
 
 
 def fit(docs: DataFrame, text: str = "text") -> Field:
-    """The field that makes the base spans of all documents most likely, node by node (see the module's text).
+    """The field that makes the base spans of all documents most likely, node by node (see the module's text), and the belief that hidden labels ask for.
 
     Nodes that agree in features, label and neighbours' labels are counted in Spark; Newton steps
     run over the counted table, and a step brings the driver one row for each pair of parameters.
@@ -205,7 +212,10 @@ def fit(docs: DataFrame, text: str = "text") -> Field:
         total = np.zeros(N_PARAMS * (N_PARAMS + 1))
         total[summed["i"].to_numpy()] = summed["v"].to_numpy()
         theta = newton_step(theta, total)
-    return field_of(theta)
+    field = field_of(theta)
+    hidden = hidden_labels(docs, field, text).toPandas()  # a row for each hundredth at most
+    field.belief, field.recall, field.precision = choose_belief(hidden)
+    return field
 
 
 N_PARAMS = (N_FEATURES + 1) * N_LABELS + 3 * N_LABELS * N_LABELS
@@ -240,7 +250,10 @@ def _cases(masks: list[int], y: list[int], edges: list[tuple[int, int, int]]) ->
 
 
 def _slopes(theta: np.ndarray, masks: np.ndarray, y: np.ndarray, near: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Gradient, then second derivatives, of the cases' negative log pseudo-likelihood; rare cases are heard too: n counts as log(1 + n)."""
+    """Gradient, then second derivatives, of the cases' negative log pseudo-likelihood, tempered: a case that n nodes share counts log(1 + n).
+
+    Plain tokens outside outnumber entities by far; at full weight their features drown what repeated tokens say of each other.
+    """
     if not len(masks):
         return np.zeros(N_PARAMS * (N_PARAMS + 1))
     bits = (masks[:, None] >> np.arange(N_FEATURES)) & 1
@@ -304,12 +317,64 @@ def beliefs(field: Field, masks: list[int], edges: list[tuple[int, int, int]], c
     return p / p.sum(1, keepdims=True)
 
 
-def find_spans(text: str, field: Field, belief: float = BELIEF) -> tuple[list, list]:
+def _judged(text: str, field: Field) -> Iterator[tuple[int, int]]:
+    """(belief in hundredths, outcome) of the nodes of a text whose label is hidden or free: 1 found, 2 another kind or no entity, 0 hidden and not seen.
+
+    One base span in HIDE, by a hash of its text and place, gives up its labels. Of the other nodes
+    those count that neither are in a base span nor repeat one.
+    """
+    base, nodes = base_spans(text), nodes_of(text)
+    if not nodes:
+        return
+    gone = {k for k, (kind, a, b) in enumerate(base) if zlib.crc32(f"{kind}:{a}:{text[a:b]}".encode()) % HIDE == 0}
+    true, clamp = _labels(nodes, base), _labels(nodes, [x for k, x in enumerate(base) if k not in gone])
+    edges = edges_of(text, nodes)
+    unsure = {n for i, j, kind in edges if kind for n, m in ((i, j), (j, i)) if not true[n] and true[m]}
+    p = beliefs(field, features(text, nodes), edges, clamp)
+    for n in range(len(nodes)):
+        if clamp[n] or n in unsure:
+            continue
+        label = int(p[n].argmax())
+        if label:
+            yield int(100 * p[n, label]), 1 if label == true[n] else 2
+        elif true[n]:
+            yield 0, 0
+
+
+def hidden_labels(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """(belief, found, wrong): the field against labels that it doesn't see, by belief in hundredths; ``missed`` nodes have none."""
+    bounded_batches(docs.sparkSession)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                got.update(_judged(t, field))
+        yield pd.DataFrame([(b, o, n) for (b, o), n in got.items()], columns=["belief", "outcome", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    of = lambda k: F.sum(F.when(F.col("outcome") == k, F.col("n")).otherwise(0)).cast("long")
+    return rows.mapInPandas(judge, "belief int, outcome int, n long").groupBy("belief").agg(of(1).alias("found"), of(2).alias("wrong"), of(0).alias("missed"))
+
+
+def choose_belief(hidden: pd.DataFrame, precision: float = PRECISION) -> tuple[float, float, float]:
+    """(belief, recall, precision): the least belief of BELIEF or more at which hidden labels are found with that precision; nothing is labelled if there is none."""
+    every, least = int(hidden["found"].sum() + hidden["missed"].sum()), int(round(100 * BELIEF))
+    for t in sorted({least, *(int(b) for b in hidden["belief"] if b > least)}):
+        at = hidden[hidden["belief"] >= t]
+        found, wrong = int(at["found"].sum()), int(at["wrong"].sum())
+        if found and found >= precision * (found + wrong):
+            return t / 100, found / every, found / (found + wrong)
+    return 1.01, 0.0, 1.0
+
+
+def find_spans(text: str, field: Field, belief: float | None = None) -> tuple[list, list]:
     """(base spans, added spans) of a text."""
     base = base_spans(text)
     nodes = nodes_of(text)
     if not nodes:
         return base, []
+    belief = field.belief if belief is None else belief
     clamp = _labels(nodes, base)
     edges = edges_of(text, nodes)
     p = beliefs(field, features(text, nodes), edges, clamp)

@@ -803,3 +803,18 @@ def test_a_frequent_line_sends_two_hashes_a_batch(spark):
     df = spark.createDataFrame([(i, f"same\nown {i}\npair {i // 2}") for i in range(500)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_dropped"], r["kept_text"]) for r in line_dedup.repeated_lines(df, min_docs=2).collect()}
     assert got == {i: (2, f"own {i}") for i in range(500)}
+
+
+def test_field_finds_hidden_labels(spark):
+    """One base span in five gives up its label: the field finds most of them, and the belief it asks for keeps its precision."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.fit(docs)
+    hidden = pii.hidden_labels(docs, field).toPandas()
+    assert field.recall > 0.3 and field.precision >= pii.PRECISION and field.belief >= pii.BELIEF
+    at = hidden[hidden["belief"] >= round(100 * field.belief)]
+    assert at["found"].sum() >= pii.PRECISION * (at["found"] + at["wrong"]).sum()
+    assert hidden["found"].sum() + hidden["missed"].sum() > 10
+    pd = pytest.importorskip("pandas")
+    assert pii.choose_belief(pd.DataFrame({"belief": [70, 90, 0], "found": [1, 9, 0], "wrong": [5, 0, 0], "missed": [0, 0, 10]})) == (0.9, 0.45, 1.0)
+    assert pii.choose_belief(pd.DataFrame({"belief": [70], "found": [1], "wrong": [5], "missed": [0]}))[0] > 1
+    assert pii.choose_belief(pd.DataFrame({"belief": [], "found": [], "wrong": [], "missed": []}))[0] > 1
