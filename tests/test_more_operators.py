@@ -222,3 +222,41 @@ def test_live_heterodyne_checks_its_sources(spark, monkeypatch):
     with pytest.raises(ValueError, match="sources"):
         stream.stream_heterodyne(spark.readStream.format("rate").load(), two, 1.0, 0.5, 0.1)
     assert phase.BROADCAST_SOURCES > 1
+
+
+#: A published injection (detector, harmonic, GPS second, re, im): C21 6.2e-24, C22 3.4e-25, phi21 0.4, phi22 1.3, psi 1.1, iota 0.9, RA 03:41:00, dec -12:53:00. Fixed values.
+SIGNAL = [
+    ("H1", 1, 1000000000.0, 3.150966479825e-25, 6.146747700283e-25),
+    ("H1", 1, 1000021600.0, -2.010953395877e-25, -1.282310645444e-25),
+    ("H1", 1, 1000043200.0, -9.183590652434e-26, -4.976759511055e-25),
+    ("H1", 1, 1000064800.0, -3.548749508649e-25, 3.280138353256e-25),
+    ("H1", 2, 1000000000.0, -3.013881305952e-26, 1.800017972163e-25),
+    ("H1", 2, 1000021600.0, -1.296848404990e-26, -7.261179864958e-26),
+    ("H1", 2, 1000043200.0, 4.763029640959e-26, -1.034467071348e-25),
+    ("H1", 2, 1000064800.0, -9.048629731450e-26, -3.941474236847e-26),
+    ("L1", 1, 1000100000.0, 1.565607046894e-25, -1.724725712250e-25),
+    ("L1", 1, 1000121600.0, 5.174667024402e-25, 4.779969092097e-26),
+    ("L1", 1, 1000143200.0, 4.484245690526e-25, -1.020532110995e-25),
+    ("L1", 1, 1000164800.0, 2.348252905211e-25, -1.035315623842e-24),
+    ("L1", 2, 1000100000.0, 4.330573927226e-26, 1.294493568488e-26),
+    ("L1", 2, 1000121600.0, 6.778328116458e-26, 1.416825073970e-25),
+    ("L1", 2, 1000143200.0, 7.623706567078e-26, 9.981356664650e-26),
+    ("L1", 2, 1000164800.0, 1.596681197968e-25, -1.048932296596e-25),
+]
+
+
+def test_signal_equals_the_published_series(spark):
+    """Response times amplitude against other software's series, within 3e-3 of the largest sample."""
+    df = spark.createDataFrame(SIGNAL, "detector string, harmonic int, t double, re double, im double")
+    ra, dec, iota = (3 + 41 / 60) * math.pi / 12, -math.radians(12 + 53 / 60), 0.9
+    days = (scalar.gps_to_unix("t") / 86400.0 + 2440587.5) - 2451545.0
+    sidereal = F.radians(F.pmod(280.46061837 + 360.98564736629 * days, F.lit(360.0)))
+    worst = 0.0
+    for det in ("H1", "L1"):
+        fp, fc = scalar.antenna_pattern(sidereal, F.lit(ra), F.lit(dec), det, 1.1)
+        for h in (1, 2):
+            (pr, pi), (cr, ci) = scalar.amplitude(F.lit(6.2e-24), F.lit(3.4e-25), F.lit(math.cos(iota)), F.lit(0.4), F.lit(1.3), h)
+            got = df.where((F.col("detector") == det) & (F.col("harmonic") == h)).select("re", "im", (fp * pr + fc * cr).alias("a"), (fp * pi + fc * ci).alias("b")).collect()
+            size = max(abs(complex(r["re"], r["im"])) for r in got)
+            worst = max([worst, *(abs(complex(r["re"] - r["a"], r["im"] - r["b"])) / size for r in got)])
+    assert worst < 3e-3
