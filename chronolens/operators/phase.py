@@ -79,6 +79,16 @@ def attach_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
     return times(raw, sources, BROADCAST_SOURCES)
 
 
+def attached_sums(raw: DataFrame, sources: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Rows of :func:`attach_source` counted (``n``) and summed in advance: one for each key of the raw rows and source.
+
+    For sums of products of a raw value and a source's term: raw rows meet no source one by one, so
+    the work is that of reading them plus one row for each key and source.
+    """
+    sums = raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values])
+    return attach_source(sums, sources)
+
+
 def block_average(df: DataFrame, samples: int, gap, key: list[str], factor: float = 1.0, width=None) -> DataFrame:
     """Means of blocks of ``samples`` inside each contiguous run; an incomplete last block is dropped.
 
