@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronolens.operators import phase
+from chronolens.operators import filters, phase
 from chronolens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,17 @@ def test_events_are_summed_before_they_meet_sources(spark):
     got = phase.attached_sums(raw, src, ["detector"], ["re"]).groupBy("detector", "source").agg(*sums).collect()
     want = phase.attach_source(raw, src).withColumn("n", F.lit(1)).groupBy("detector", "source").agg(*sums).collect()
     assert len(got) == 9 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_sources_of_a_phase_are_turned_once(spark, monkeypatch):
+    turned, reduced = [], filters.reduced
+    monkeypatch.setattr(filters, "reduced", lambda pieces, phases, *more: turned.append(len(phases["epoch"])) or reduced(pieces, phases, *more))
+    monkeypatch.setattr(phase, "BROADCAST_SOURCES", 5)
+    raw = spark.range(80).select(F.lit("H1").alias("detector"), F.col("id").cast("double").alias("t"), F.sin("id").alias("x"))
+    seg = spark.createDataFrame([("H1", 0.0, 80.0)], "detector string, start double, end double")
+    src = spark.createDataFrame([(f"s{k}", 0.1 + 0.05 * (k % 2), 0.0, None if k == 3 else 0.0) for k in range(12)] + [(None, 0.1, 0.0, 0.0)], "source string, f0 double, f1 double, epoch double")
+    got = phase.heterodyne(raw, src, seg, 1.0, 0.125, 0.04, crop=8).collect()
+    assert (turned, len(got)) == ([2], 13 * 8)
+    alone = phase.heterodyne(raw, src.where("source = 's3'"), seg, 1.0, 0.125, 0.04, crop=8).collect()
+    rounded = lambda rows: sorted((r["block"], r["t"], round(r["re"], 9), round(r["im"], 9)) for r in rows)
+    assert rounded(r for r in got if r["source"] == "s11") == rounded(alone)
