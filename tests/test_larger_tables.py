@@ -31,3 +31,10 @@ def test_sources_of_a_phase_are_turned_once(spark, monkeypatch):
     alone = phase.heterodyne(raw, src.where("source = 's3'"), seg, 1.0, 0.125, 0.04, crop=8).collect()
     rounded = lambda rows: sorted((r["block"], r["t"], round(r["re"], 9), round(r["im"], 9)) for r in rows)
     assert rounded(r for r in got if r["source"] == "s11") == rounded(alone)
+    # in two stages sources share means if their delays are the same, too
+    nodes = src.where("source is not null and source <> 's5'").select("source", F.lit("H1").alias("detector"), F.explode(F.sequence(F.lit(-2), F.lit(4))).alias("k"))
+    nodes = nodes.withColumn("y", F.col("k") * F.when(F.col("source") == "s1", 0.9).otherwise(0.1))
+    both = phase.two_stage(raw, src, seg, nodes, 1.0, 0.25, 1 / 16, node_step=60.0, knee=0.1, crop=8, decimals=6).collect()
+    assert (turned, len(both)) == ([2, 1, 2], 11 * 4)
+    means = {n: sorted((r["t"], r["re"], r["im"]) for r in both if r["source"] == n) for n in ("s1", "s3", "s7")}
+    assert means["s3"] == means["s7"] != means["s1"]
