@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import SIDEREAL_DAY, antenna_pattern, col, complex_rotate, phase_cycles
+from ..functions.scalar import ARMS, SIDEREAL_DAY, antenna_pattern, col, complex_rotate, phase_cycles
 from . import filters
 from .segments import samples_in_segments
 from .series import contiguous_runs, placed
@@ -42,6 +42,38 @@ def join_response(df: DataFrame, response: DataFrame, t0: float, bins: int = BIN
     return j.select(*df.columns, *[blend(p).alias(p) for p in parts])
 
 
+def attach_response(df: DataFrame, sources: DataFrame, detectors: list[str], t0: float, bins: int = BINS) -> DataFrame:
+    """Rows (source, t, ..) once for each detector with fp and fc, as :func:`join_response` takes them from :func:`response_table`.
+
+    Only the two bins beside each sample are worked out, in its row, so nothing grows with sources x
+    bins: for samples fewer than these. Rows of unknown sources keep null parts.
+    """
+    x = F.pmod(F.col("t") - t0, F.lit(SIDEREAL_DAY)) * (bins / SIDEREAL_DAY)
+    rows = df.withColumn("_x", x).withColumn("bin", F.least(F.floor("_x"), F.lit(bins - 1)))
+    dec = F.col("dec").cast("double")
+    place = sources.select("source", F.col("ra").cast("double").alias("_ra"), F.sin(dec).alias("_sd"), F.cos(dec).alias("_cd"))
+    turned = rows.join(place, "source", "left").withColumn("_w", F.col("_x") - F.col("bin"))
+    angle = lambda b: b * (2 * math.pi / bins) - F.col("_ra")
+    turned = turned.withColumns({f"_{n}{k}": f(angle(F.col("bin") + k)) for k in (0, 1) for n, f in (("s", F.sin), ("c", F.cos))})
+    # the wave's tensor is the same for all detectors and blends as the responses do
+    parts = {}
+    for k in (0, 1):
+        s, c, sd, cd = F.col(f"_s{k}"), F.col(f"_c{k}"), F.col("_sd"), F.col("_cd")
+        u, v = (-s, -c, F.lit(0.0)), (-c * sd, s * sd, cd)
+        for i in range(3):
+            for j in range(i, 3):
+                parts[f"_p{i}{j}", k], parts[f"_q{i}{j}", k] = u[i] * u[j] - v[i] * v[j], u[i] * v[j] + v[i] * u[j]
+    names = sorted({n for n, _ in parts})
+    blended = turned.select(*df.columns, *[(parts[n, 0] + F.col("_w") * (parts[n, 1] - parts[n, 0])).alias(n) for n in names])
+    each = []
+    for d in detectors:
+        a, b = ARMS[d]
+        weight = {(i, j): 0.5 * (a[i] * a[j] - b[i] * b[j]) * (1 if i == j else 2) for i in range(3) for j in range(i, 3)}
+        plus, cross = (sum((F.lit(w) * F.col(f"_{n}{i}{j}") for (i, j), w in weight.items()), F.lit(0.0)) for n in "pq")
+        each.append(F.struct(F.lit(d).alias("detector"), plus.alias("fp"), cross.alias("fc")))
+    return blended.select(*df.columns, F.inline(F.array(*each)))
+
+
 def node_stencils(nodes: DataFrame, key: list[str], value: str = "y") -> DataFrame:
     """Each node (key, k, value) with its four-point stencil y0..y3 (nodes k-1..k+2); stencils at the ends are shifted inside."""
     w = Window.partitionBy(*key).orderBy("k")

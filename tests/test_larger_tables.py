@@ -38,3 +38,16 @@ def test_sources_of_a_phase_are_turned_once(spark, monkeypatch):
     assert (turned, len(both)) == ([2, 1, 2], 11 * 4)
     means = {n: sorted((r["t"], r["re"], r["im"]) for r in both if r["source"] == n) for n in ("s1", "s3", "s7")}
     assert means["s3"] == means["s7"] != means["s1"]
+
+
+def test_responses_are_worked_out_beside_samples(spark):
+    src = spark.createDataFrame([("p", 1.0, -0.4), ("q", 5.5, 1.2), ("none", None, 0.1)], "source string, ra double, dec double")
+    df = spark.range(300).select(F.element_at(F.array(F.lit("p"), F.lit("q"), F.lit("other"), F.lit("none")), (F.col("id") % 4 + 1).cast("int")).alias("source"), (F.col("id") * 977.7 - 9000).alias("t"))
+    names = ["H1", "L1", "V1"]
+    got = phase.attach_response(df, src, names, 100.0)
+    want = phase.join_response(df.withColumn("detector", F.explode(F.array(*map(F.lit, names)))), phase.response_table(spark, src, names), 100.0)
+    a, b = ({(r["source"], r["t"], r["detector"]): (r["fp"], r["fc"]) for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and len(a) == 900
+    assert all(v == b[k] if None in v else max(abs(v[0] - b[k][0]), abs(v[1] - b[k][1])) < 1e-12 for k, v in a.items())
+    plan = catalogue.QUERIES["antenna_response"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
