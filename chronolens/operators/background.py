@@ -114,15 +114,18 @@ def background_positions(sources: DataFrame, n: int, exclusion: float = 0.01, se
     an integer of the source's own from which its points follow, so the same table gives the same points.
     """
     north = F.asin(F.sin("dec") * math.cos(OBLIQUITY) - F.cos("dec") * F.sin("ra") * math.sin(OBLIQUITY)) >= 0
-    tries = sources.withColumn("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * oversample - 1).cast("long"))))
+    # dealt before the fan-out: a short list of sources may come in one partition, and the points needn't shuffle to be ranked
+    partitions = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = sources.select("name", "place", "ra", "dec").repartition(partitions, "name", "place")
+    tries = dealt.withColumn("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n * oversample - 1).cast("long"))))
     own = F.col("_id") + F.pmod(F.col("place"), F.lit(65536)) * 9973
     lon = hash_uniform(own, seed) * (2 * math.pi)
     lat = F.asin(hash_uniform(own * 7919 + 13, seed + 1)) * F.when(north, 1.0).otherwise(-1.0)
     ra, dec = ecliptic_to_equatorial(lon, lat)
     points = tries.select("name", "place", "_id", ra.alias("_ra"), dec.alias("_dec"), angular_separation(ra, dec, "ra", "dec").alias("_far"))
-    k = F.row_number().over(Window.partitionBy("name", "place").orderBy("_id")) - 1
-    kept = points.where(F.col("_far") > exclusion).withColumn("_k", k).where(F.col("_k") < n)
-    return kept.select(F.concat("name", shift_name(F.col("_k"))).alias("name"), "place", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"))
+    rank = F.row_number().over(Window.partitionBy("name", "place").orderBy("_id"))
+    kept = points.where(F.col("_far") > exclusion).withColumn("_k", rank).where(F.col("_k") <= n)
+    return kept.select(F.concat("name", shift_name(F.col("_k") - 1)).alias("name"), "place", F.col("_ra").alias("ra"), F.col("_dec").alias("dec"))
 
 
 def sky_overlap(points: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chronolens.operators import filters, phase
+from chronolens.operators import background, filters, phase
 from chronolens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,11 @@ def test_responses_are_worked_out_beside_samples(spark):
     assert all(v == b[k] if None in v else max(abs(v[0] - b[k][0]), abs(v[1] - b[k][1])) < 1e-12 for k, v in a.items())
     plan = catalogue.QUERIES["antenna_response"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan
+
+
+def test_positions_are_ranked_where_they_are_made(spark):
+    src = spark.range(50).coalesce(1).select(F.col("id").alias("place"), F.concat(F.lit("s"), "id").alias("name"), (F.col("id") % 6).cast("double").alias("ra"), (F.col("id") / 50).alias("dec"))
+    got = background.background_positions(src, 30)
+    assert got.count() == 1500 and got.select("name").distinct().count() == 1500 and got.groupBy("place").count().where("count <> 30").count() == 0
+    plan = background.background_positions(src, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
