@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, ellipticity_to_q22, h0_to_q22, hash_uniform, normal_cdf
 from .infer import log_sum_exp
-from .slices import times
+from .slices import slices_of, times
 from .storage import written
 
 
@@ -69,9 +69,10 @@ class BoundedGaussian(Distribution):
         total, left = F.lit(0.0), F.lit(1.0)
         ok = F.lit(True)
         for i in range(self.modes):
-            mu, s = hyper[f"mu{i}"], hyper[f"sigma{i}"]
+            mu, given = hyper[f"mu{i}"], hyper[f"sigma{i}"]
+            s = F.when(given > 0, given).otherwise(1.0)  # no division by zero, whatever order Spark evaluates in
             w = left if i == self.modes - 1 else hyper[f"w{i}"]
-            left, ok = left - w, ok & (s > 0)
+            left, ok = left - w, ok & (given > 0)
             z = (x - mu) / s
             total = total + w * F.exp(-0.5 * z * z) / (s * math.sqrt(2 * math.pi) * (1 - normal_cdf((F.lit(self.low) - mu) / s)))
         return F.when(ok & (total > 0), self.inside(x, F.log(total))).otherwise(never())
@@ -101,6 +102,8 @@ def distribution(name: str | Distribution, **kwargs) -> Distribution:
 FLOOR = -1e300 ** 0.5
 #: Points of a hyper grid or an axis that are broadcast at once; more take a pass for each slice.
 MOST_POINTS = 100_000
+#: Exponents are taken from the nearest multiple of this.
+SPAN = 500.0
 
 
 def log_hyper_likelihood_samples(samples: DataFrame, hyper_grid: DataFrame, dist: Distribution, hyper_id: str, params: list[str], value: str = "x") -> DataFrame:
@@ -155,8 +158,9 @@ def refined_hyper_likelihood(like: DataFrame, hyper_grid: DataFrame, dist: Distr
     natural continuation at the ends; linear if there are fewer than four). Coarse points of all
     sources are the same; points beyond them are left out. Every added point finds its coarse cell by an equi-join on the
     cell's number, so nothing is compared with all coarse points. Added points are made once for each hyper point, shared by all
-    sources, and joined to a source's coarse cells. A hyper point with a null or zero parameter keeps the coarse grid alone.
+    sources as weights and pdf are, and joined to a source's coarse cells. A hyper point with a null or zero parameter keeps the coarse grid alone.
     """
+    like = written(like.select("source", "x", "ln_l"), "likelihoods")
     cells = written(like.select("x").distinct(), "cells")  # the coarse grid
     of = Window.orderBy("x")  # an axis of checked size
     if cells.count() > 100_000:
@@ -177,10 +181,17 @@ def refined_hyper_likelihood(like: DataFrame, hyper_grid: DataFrame, dist: Distr
     spread = lambda c: F.floor((F.col(c) - low) / spacing)
     buckets = axis.where("x_next is not null").withColumn("bucket", F.explode(F.sequence(spread("x"), spread("x_next"))))
     placed = added.withColumn("bucket", spread("x")).alias("p").join(F.broadcast(buckets.select("bucket", "cell", F.col("x").alias("x_lo"), "x_next")), "bucket")
-    placed = placed.where((F.col("x") > F.col("x_lo")) & (F.col("x") < F.col("x_next"))).select(hyper_id, *params, "x", "cell")
+    placed = placed.where((F.col("x") > F.col("x_lo")) & (F.col("x") < F.col("x_next"))).select(hyper_id, *params, "x", "cell", F.lit(True).alias("added"))
+    # all points of a hyper point with weight and pdf: the same for all sources, and broadcast to them in slices
+    coarse = times(axis.select("x", "cell"), hyper_grid.select(hyper_id, *params), MOST_POINTS).select(hyper_id, *params, "x", "cell", F.lit(False).alias("added"))
+    by = Window.partitionBy(hyper_id).orderBy("x")
+    weight = (F.coalesce(F.lead("x").over(by), F.col("x")) - F.coalesce(F.lag("x").over(by), F.col("x"))) / 2
+    points = placed.unionByName(coarse).withColumns({"w": weight, "lp": dist.log_pdf(F.col("x"), named)})
+    points = written(points.where(F.col("lp") > never()).select(hyper_id, "x", "cell", "added", "w", "lp"), "points")
     # a source's stencil: its four coarse points around each cell
     w = Window.partitionBy("source").orderBy("x")
-    numbered = like.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("source"))})
+    partitions = max(int(like.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    numbered = like.repartition(partitions, "source").withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("source"))})
     at = lambda c, k: (F.lead if k >= 0 else F.lag)(c, abs(k)).over(w)
     shift = F.greatest(F.lit(0), F.least(F.col("_r") - 1, F.col("_n") - 4)) - F.col("_r")
     pick = lambda c, j: F.coalesce(*[F.when(shift + j == k, at(c, k)) for k in range(-3, 4)])
@@ -194,13 +205,17 @@ def refined_hyper_likelihood(like: DataFrame, hyper_grid: DataFrame, dist: Distr
                 term = term * (F.col("x") - xs[j]) / (xs[i] - xs[j])
         cubic = cubic + term
     line = F.col("b0") + (F.col("x") - F.col("a0")) * (F.col("b1") - F.col("b0")) / (F.col("a1") - F.col("a0"))
-    between = placed.join(pieces, "cell").select(hyper_id, *params, "source", "x", F.coalesce(cubic, line).alias("ln_l"))
-    coarse = times(like.select("source", "x", "ln_l"), hyper_grid.select(hyper_id, *params), MOST_POINTS)
-    every = coarse.select(hyper_id, *params, "source", "x", "ln_l").unionByName(between)
-    by = Window.partitionBy(hyper_id, "source").orderBy("x")
-    weight = (F.coalesce(F.lead("x").over(by), F.col("x")) - F.coalesce(F.lag("x").over(by), F.col("x"))) / 2
-    term = dist.log_pdf(F.col("x"), named) + F.col("ln_l")
-    by_source = log_sum_exp(every.withColumn("w", weight).where(term > never()), [hyper_id, "source"], term, F.col("w"), "l")
+    value = F.col("lp") + F.when(F.col("added"), F.coalesce(cubic, line)).otherwise(F.col("b0"))
+    # sums of terms scaled by powers of e^SPAN near them: one pass, no largest term is needed first; a source's
+    # cells lie in one partition, and so do its sums, so that nothing shuffles with the points
+    sums = None
+    for part in slices_of(points, MOST_POINTS):
+        terms = pieces.join(F.broadcast(part), "cell").select(hyper_id, "source", value.alias("_x"), F.col("w").alias("_w")).where(F.col("_x") > never())
+        got = terms.withColumn("_b", F.rint(F.col("_x") / SPAN)).groupBy(hyper_id, "source", "_b").agg(F.sum(F.col("_w") * F.exp(F.col("_x") - SPAN * F.col("_b"))).alias("_s"))
+        sums = got if sums is None else sums.unionByName(got)
+    by_source = sums.groupBy(hyper_id, "source").agg(F.collect_list(F.struct("_b", "_s")).alias("_t"), F.max("_b").alias("_top"))
+    total = F.aggregate("_t", F.lit(0.0), lambda s, t: s + t["_s"] * F.exp(SPAN * (t["_b"] - F.col("_top"))))
+    by_source = by_source.select(hyper_id, "source", (SPAN * F.col("_top") + F.log(total)).alias("l"))
     pairs = times(like.select("source").distinct(), hyper_grid.select(hyper_id).distinct(), MOST_POINTS)
     return pairs.join(by_source, [hyper_id, "source"], "left").groupBy(hyper_id).agg(F.sum(F.coalesce("l", F.lit(FLOOR))).alias("ln_like"))
 

@@ -1,8 +1,10 @@
 """Work that has to grow no faster than the tables, with the results of the plain way."""
 
+import math
+
 from pyspark.sql import functions as F
 
-from chronolens.operators import background, filters, phase
+from chronolens.operators import background, filters, phase, population
 from chronolens.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,16 @@ def test_positions_are_ranked_where_they_are_made(spark):
     assert got.count() == 1500 and got.select("name").distinct().count() == 1500 and got.groupBy("place").count().where("count <> 30").count() == 0
     plan = background.background_positions(src, 30)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
+def test_refined_points_do_not_shuffle(spark):
+    """Terms far below one are kept, whatever slice they come in, and weights follow from all points."""
+    like = spark.createDataFrame([(n, float(x), -4000.0 * c - 0.5 * (x - c) ** 2) for n, c in (("a", 3), ("b", 6)) for x in range(0, 11)], "source string, x double, ln_l double")
+    grid = spark.createDataFrame([(0, 4.0, 0.05), (1, 7.5, 0.02)], "hid int, mu0 double, sigma0 double")
+    got = population.refined_hyper_likelihood(like, grid, population.BoundedGaussian(1), "hid", ["mu0", "sigma0"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(source" in plan and "windowspecdefinition(hid" not in plan
+    for r in got.collect():
+        mu, s = {0: (4.0, 0.05), 1: (7.5, 0.02)}[r["hid"]]
+        want = sum(-4000.0 * c - 0.5 * (mu - c) ** 2 / (1 + s * s) - 0.5 * math.log(1 + s * s) for c in (3, 6))
+        assert abs(r["ln_like"] - want) < 1e-3
