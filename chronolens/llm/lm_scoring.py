@@ -2,8 +2,8 @@
 
 Lower-cased words are encoded by a public byte-level vocabulary; a text is the ids of its words
 and an end. An attention block, trained in numpy, reads a window of ids and predicts the class of
-each next id; an id within its class follows its share of the whole training corpus. Every
-training document gives windows to training, which runs in tasks, and weights are averaged after
+each next id; an id within its class follows its share of the whole training corpus. Windows of
+all ids of the training documents are trained on, in tasks, and weights are averaged after
 each round. Scoring covers each text with overlapping windows by batched masked attention; each
 id is scored once.
 """
@@ -30,7 +30,7 @@ WINDOW, STRIDE = 32, 24
 WIDTH, HIDDEN, CLASSES, SINGLE = 16, 32, 64, 44
 #: Ids with an input vector of their own, by frequency; buckets that the others share.
 OWN_IDS, SHARED_IDS = 1024, 64
-#: Words of a training document for each window that it gives to training (the last ones give one more); rounds; windows of a step; step size.
+#: Words for each place of :func:`drawn_places`; rounds of training; windows of a step; step size.
 DRAW_WORDS, ROUNDS, BATCH, SPEED = 256, 2, 32, 0.02
 #: Windows that are trained on one after the other, about.
 SHARD_WINDOWS = 20_000
@@ -384,7 +384,7 @@ def vocabulary_of(stats: DataFrame, n_docs: int) -> Vocabulary:
 
 
 def drawn_places(counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, hash) of the windows that documents of so many words give to training: one for each DRAW_WORDS, at a place of these that follows from the document's hash."""
+    """(document, first word, hash) of places in documents of so many words, for trials with fewer windows (training takes all): one for each DRAW_WORDS, at a place of these that follows from the document's hash."""
     n = counts // DRAW_WORDS + 1
     doc = np.repeat(np.arange(len(counts)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -396,8 +396,26 @@ def drawn_places(counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, k * DRAW_WORDS + ((own >> np.uint64(11)).astype(np.float64) / (1 << 53) * room).astype(np.int64), own.view(np.int64)
 
 
+def whole_windows(ids: np.ndarray, sizes: np.ndarray, h: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, hash) of the windows that cover all ids of documents of ``sizes`` ids: each id is the target of one place, after the id before it."""
+    n = -(-sizes // WINDOW)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.cumsum(sizes) - sizes
+    place = k[:, None] * WINDOW + np.arange(WINDOW)
+    inside = place < sizes[doc][:, None]
+    at = np.where(inside, begin[doc][:, None] + place, 0)
+    y = np.where(inside, vocab.cls[ids[at]], -1).astype(np.int16)
+    x = np.where(inside & (place > 0), vocab.symbol[ids[at - 1]], vocab.symbol[BOS]).astype(np.int16)
+    with np.errstate(over="ignore"):
+        own = h[doc].astype(np.uint64) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x, y, (own ^ (own >> np.uint64(31))).view(np.int64)
+
+
 def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFrame:
-    """(x, y, h): input symbols and target classes of the windows drawn from every text, and a hash; a place past the end has class -1.
+    """(x, y, h): input symbols and target classes of windows that cover every text, and a hash; a place past the end has class -1.
 
     A window follows from its row alone: its text and, if there, its hash ``h``.
     """
@@ -411,21 +429,11 @@ def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFram
             if len(known) > CACHE_WORDS:
                 known = _Known(load_ranks(file))
             names, index, counts = split_words(batch.column(0))
-            ends = np.cumsum(counts)
-            xs, ys = [], []
-            doc, first, tags = drawn_places(counts, batch.column(1).to_numpy())
-            for d, a in zip(doc.tolist(), first.tolist(), strict=True):
-                lo, hi = int(ends[d] - counts[d]), int(ends[d])
-                words = [names[i] for i in index[lo + max(0, a - 1) : min(hi, lo + a + WINDOW)].tolist()]
-                ids, n = known.ids(known.numbers(words))
-                ids = ids[n[0] - 1 :] if a else np.concatenate([[BOS], ids])  # the id before the window comes first
-                if lo + a + WINDOW >= hi:
-                    ids = np.append(ids, END)
-                x, y = np.full(WINDOW, vocab.symbol[BOS], np.int16), np.full(WINDOW, -1, np.int16)
-                own = min(WINDOW, len(ids) - 1)
-                x[:own], y[:own] = vocab.symbol[ids[:own]], vocab.cls[ids[1 : own + 1]]
-                xs.append(x.tobytes()), ys.append(y.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(tags)], ["x", "y", "h"])
+            ids, sizes = document_ids(known, known.numbers(names)[index], counts)
+            x, y, tags = whole_windows(ids, sizes, batch.column(1).to_numpy(), vocab)
+            for k in range(0, len(x), SHARD_WINDOWS):
+                part = [pa.array([r.tobytes() for r in v[k : k + SHARD_WINDOWS]], pa.binary()) for v in (x, y)]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(tags[k : k + SHARD_WINDOWS])], ["x", "y", "h"])
 
     return rows.mapInArrow(cut, "x binary, y binary, h long")
 
@@ -482,7 +490,7 @@ class Fitted:
 
 
 def fit(texts: DataFrame, ranks_file: str) -> Fitted:
-    """Learn from a column ``text``: counts of all of it, and weights from windows of every text; a column ``h`` tells copies of a text apart."""
+    """Learn from a column ``text``: counts of all of it, and weights from windows that cover every text; a column ``h`` tells copies of a text apart."""
     words = materialise(word_counts(texts), "lm-words")
     n_docs = texts.count()
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
