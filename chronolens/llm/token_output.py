@@ -9,13 +9,14 @@ file. Shards are binary cells that Spark writes, one row for each.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -224,24 +225,26 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
             self.by_word = cut_as_known(json.load(f))
-        self.pieces: dict[str, list[int]] = {}
+        self.tokenize = self.tok.model.tokenize  # asking for the model makes an object each time
+        self.pieces: dict[str, tuple[int, ...]] = {}  # tuples of numbers aren't walked through by the garbage collector
 
-    def _piece(self, p: str) -> list[int]:
+    def _piece(self, p: str) -> tuple[int, ...]:
         got = self.pieces.get(p)
         if got is None:
             if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
-            got = self.pieces[p] = [t.id for t in self.tok.model.tokenize(p if p.isascii() else p.translate(_SPELT))]
+            got = self.pieces[p] = tuple([t.id for t in self.tokenize(p if p.isascii() else p.translate(_SPELT))])
         return got
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str) -> Sequence[int]:
         if w.isascii() or _PLAIN.fullmatch(w):
             if "<|" not in w:
                 w = w.lower()
                 if w.isalpha():
                     return self._piece(w)
-                if w[-1] in _SIGNS and w[:-1].isalpha():
-                    return self._piece(w[:-1]) + self._piece(w[-1])
+                head = w[:-1]
+                if head.isalpha() and w[-1] in _SIGNS:
+                    return self._piece(head) + self._piece(w[-1])
                 if w.isprintable():
                     return [i for p in _PIECES.findall(w) for i in self._piece(p)]
         return self.tok.encode(w, add_special_tokens=False).ids
@@ -263,6 +266,16 @@ class _Words(dict):
         self[w] = n = len(self.sizes) - 1
         return n
 
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """Numbers of words. New ones make no cycles, so the garbage collector, which would walk through all that is kept again and again, waits."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+        finally:
+            if was:
+                gc.enable()
+
 
 def encode_texts(words: _Words, texts) -> tuple[np.ndarray, np.ndarray]:
     """(ids of an Arrow array of texts, each closed by the end id; number of ids of each)."""
@@ -274,7 +287,7 @@ def encode_texts(words: _Words, texts) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
         coded, counts = parts.flatten().dictionary_encode(), np.diff(parts.offsets.to_numpy())
         names, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        index = np.fromiter(map(words.__getitem__, names), np.int64, len(names))[index]
+        index = words.numbers(names)[index]
         w = np.insert(index, np.cumsum(counts), 1)
         flat, first, sizes = (np.frombuffer(x, k) for x, k in ((words.flat, np.uint32), (words.first, np.int64), (words.sizes, np.int64)))
         n = sizes[w]

@@ -360,6 +360,19 @@ def test_words_are_cut_as_the_tokenizer_cuts():
         assert ids.tolist() == [*tok.encode(s, add_special_tokens=False).ids, 2, 2] and n.tolist() == [len(ids) - 1, 1]
 
 
+def test_new_words_are_looked_up_without_garbage_collections():
+    import gc
+
+    words = token_output._Words(token_output.WordEncoder(queries.tokenizer_path("word_bpe_49k.json")), 2)
+    runs = []
+    gc.callbacks.append(lambda phase, info: runs.append(phase))
+    try:
+        got = words.numbers([f"{chr(97 + i % 26)}x{i}." for i in range(20_000)])
+    finally:
+        gc.callbacks.pop()
+    assert not runs and gc.isenabled() and len(set(got.tolist())) == 20_000
+
+
 def test_wavelet_matrix(monkeypatch):
     rng = np.random.default_rng(2)
     for chunk, size in ((32, 3000), (32, 512), (8192, 3000), (32, 1), (8192, 0)):
