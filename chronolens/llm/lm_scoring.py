@@ -41,6 +41,8 @@ CACHE_WORDS, TOGETHER = 700_000, 96
 N_IDS = 50_256
 #: After the ids: the end of a text, and the start of a text as an input.
 END, BOS = N_IDS, N_IDS + 1
+#: In a stored window: no id, past the end of a text.
+PAST = 0xFFFF
 
 _kept: dict = {}
 
@@ -396,8 +398,8 @@ def drawn_places(counts: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, k * DRAW_WORDS + ((own >> np.uint64(11)).astype(np.float64) / (1 << 53) * room).astype(np.int64), own.view(np.int64)
 
 
-def whole_windows(ids: np.ndarray, sizes: np.ndarray, h: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, hash) of the windows that cover all ids of documents of ``sizes`` ids: each id is the target of one place, after the id before it."""
+def id_windows(ids: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, hash) of the windows that cover all ids of documents of ``sizes`` ids: the id before a window (or BOS) and its own in 16 bits each (PAST: none)."""
     n = -(-sizes // WINDOW)
     doc = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -405,17 +407,26 @@ def whole_windows(ids: np.ndarray, sizes: np.ndarray, h: np.ndarray, vocab: Voca
     place = k[:, None] * WINDOW + np.arange(WINDOW)
     inside = place < sizes[doc][:, None]
     at = np.where(inside, begin[doc][:, None] + place, 0)
-    y = np.where(inside, vocab.cls[ids[at]], -1).astype(np.int16)
-    x = np.where(inside & (place > 0), vocab.symbol[ids[at - 1]], vocab.symbol[BOS]).astype(np.int16)
+    own_ids = np.where(inside, ids[at], PAST)
+    before = np.where(k > 0, ids[at[:, 0] - 1], BOS)
+    w = np.concatenate([before[:, None], own_ids], axis=1).astype(np.uint16)
     with np.errstate(over="ignore"):
         own = h[doc].astype(np.uint64) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x, y, (own ^ (own >> np.uint64(31))).view(np.int64)
+    return w, (own ^ (own >> np.uint64(31))).view(np.int64)
 
 
-def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFrame:
-    """(x, y, h): input symbols and target classes of windows that cover every text, and a hash; a place past the end has class -1.
+def symbols_of(w: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of windows of ids: each id's class (past the end: -1) is the target of one place, after the symbol of the id before it."""
+    inside = w[:, 1:] != PAST
+    y = np.where(inside, vocab.cls[np.where(inside, w[:, 1:], 0)], -1).astype(np.int16)
+    x = vocab.symbol[np.where(inside, w[:, :-1], BOS)].astype(np.int16)
+    return x, y
+
+
+def stored_windows(texts: DataFrame, file: str) -> DataFrame:
+    """(w, h): :func:`id_windows` of every text and a hash, half as many bytes as symbols and classes.
 
     A window follows from its row alone: its text and, if there, its hash ``h``.
     """
@@ -430,12 +441,27 @@ def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFram
                 known = _Known(load_ranks(file))
             names, index, counts = split_words(batch.column(0))
             ids, sizes = document_ids(known, known.numbers(names)[index], counts)
-            x, y, tags = whole_windows(ids, sizes, batch.column(1).to_numpy(), vocab)
-            for k in range(0, len(x), SHARD_WINDOWS):
-                part = [pa.array([r.tobytes() for r in v[k : k + SHARD_WINDOWS]], pa.binary()) for v in (x, y)]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(tags[k : k + SHARD_WINDOWS])], ["x", "y", "h"])
+            w, tags = id_windows(ids, sizes, batch.column(1).to_numpy())
+            for k in range(0, len(w), SHARD_WINDOWS):
+                part = pa.array([r.tobytes() for r in w[k : k + SHARD_WINDOWS]], pa.binary())
+                yield pa.RecordBatch.from_arrays([part, pa.array(tags[k : k + SHARD_WINDOWS])], ["w", "h"])
+
+    return rows.mapInArrow(cut, "w binary, h long")
+
+
+def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFrame:
+    """(x, y, h): input symbols and target classes of windows that cover every text, and a hash; a place past the end has class -1."""
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y = symbols_of(unpacked(pdf["w"]), vocab)
+            yield pd.DataFrame({"x": [r.tobytes() for r in x], "y": [r.tobytes() for r in y], "h": pdf["h"]})
+
+    return stored_windows(texts, file).mapInPandas(known, "x binary, y binary, h long")
+
 
-    return rows.mapInArrow(cut, "x binary, y binary, h long")
+def unpacked(w: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(w), np.uint16).reshape(len(w), WINDOW + 1)
 
 
 def train(texts: DataFrame, file: str, vocab: Vocabulary, rounds: int = ROUNDS) -> dict:
@@ -445,7 +471,7 @@ def train(texts: DataFrame, file: str, vocab: Vocabulary, rounds: int = ROUNDS)
     weights don't depend on how the texts are partitioned. Averages are taken in Spark, so the driver gets one number for each weight. No window:
     the untrained weights.
     """
-    table = materialise(training_windows(texts, file, vocab), "lm-windows")
+    table = materialise(stored_windows(texts, file), "lm-windows")
     shards = max(1, -(-table.count() // SHARD_WINDOWS))
     dealt = table.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     params = new_params(vocab.prior)
@@ -453,8 +479,7 @@ def train(texts: DataFrame, file: str, vocab: Vocabulary, rounds: int = ROUNDS)
 
     def learner(now: dict, r: int):
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["h", "x", "y"])
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.int16).reshape(len(pdf), WINDOW) for c in ("x", "y"))
+            x, y = symbols_of(unpacked(pdf.sort_values(["h", "w"])["w"]), vocab)
             local = now
             for k in range(0, len(x), 20_000):
                 local = train_local(local, x[k : k + 20_000], y[k : k + 20_000], k + r, r)

@@ -20,3 +20,17 @@ def test_training_windows_cover_every_id(spark):
         pairs += zip(vocab.symbol[[lm_scoring.BOS, *ids[:-1]]].tolist(), vocab.cls[ids].tolist(), strict=True)
     x, y = (np.concatenate([np.frombuffer(r[c], np.int16) for r in got]) for c in "xy")
     assert sorted(zip(x[y >= 0].tolist(), y[y >= 0].tolist(), strict=True)) == sorted(pairs)
+
+
+def test_windows_are_stored_in_two_bytes_an_id(spark):
+    """A window is its ids and the one before it; symbols and classes are looked up where they are trained on."""
+    file = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    texts = spark.createDataFrame([("some words " * 50,), ("",), ("one",)], "text string")
+    encode = lm_scoring.load_ranks(file).encode_ordinary
+    got = [np.frombuffer(r["w"], np.uint16).tolist() for r in lm_scoring.stored_windows(texts, file).collect()]
+    want = []
+    for r in texts.collect():
+        ids = [lm_scoring.BOS, *(i for w in r["text"].split() for i in encode(" " + w)), lm_scoring.END]
+        cut = [ids[k : k + lm_scoring.WINDOW + 1] for k in range(0, len(ids) - 1, lm_scoring.WINDOW)]
+        want += [c + [lm_scoring.PAST] * (lm_scoring.WINDOW + 1 - len(c)) for c in cut]
+    assert sorted(got) == sorted(want)
