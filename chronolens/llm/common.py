@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch sent to Python; bounds a worker's memory when texts are very long.
 ARROW_ROWS = 1000
 
+#: What this Python worker keeps between tasks, and for what.
+_in_worker: list = [None, None]
 _own_dirs: dict[str, str] = {}
 
 
@@ -44,6 +47,20 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def keep_in_worker(key: tuple, value):
+    """Keep ``value`` for later tasks of this Python worker. What it kept for another key is let go, so that stages that share workers don't add up."""
+    _in_worker[:] = key, value
+    return value
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """What this Python worker keeps for ``key``, made if it isn't there."""
+    if _in_worker[0] != key:
+        _in_worker[:] = None, None  # before the new one is made
+        keep_in_worker(key, make())
+    return _in_worker[1]
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise
+from .common import bounded_batches, fresh, kept_in_worker, materialise
 
 K1, B = 1.2, 0.75
 #: Words of a half passage: a passage is two halves, and passages overlap by one.
@@ -39,7 +39,6 @@ RETRIEVE, VERIFY, SHINGLE = 0.5, 0.8, 5
 TOGETHER, CACHE_WORDS = 4096, 1_000_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_kept: dict = {}
 
 
 def term(word: str) -> str:
@@ -271,10 +270,7 @@ def _search_udf(sent, kind: str, retrieve: float, verify: float):
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import pyarrow as pa
 
-        if _kept.get("mark") != mark:
-            _kept.clear()
-            _kept.update(mark=mark, index=sent.value, known={})
-        index, known = _kept["index"], _kept["known"]
+        index, known = kept_in_worker(("test items", mark), lambda: (sent.value, {}))
         columns = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
         for s in texts:
             if len(known) > CACHE_WORDS:

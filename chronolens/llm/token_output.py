@@ -16,13 +16,13 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, text_of
+from .common import bounded_batches, keep_in_worker, kept_in_worker, shared_dir, text_of
 
 #: Documents are collected to a shard until it has so many ids.
 SHARD_IDS = 4_000_000
@@ -31,10 +31,8 @@ TASK_BYTES = 24_000_000
 MAGIC, VERSION, HEADER = b"WVMX", 2, struct.Struct("<4sBBHQQQ")
 #: Bytes of a plane that are compressed together; the rank directory has an entry for each.
 CHUNK = 8192
-#: Words, and pieces of words, that a Python worker remembers before it starts anew.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 1_500_000
-
-_cache: dict[str, dict] = {}
+#: Words that a Python worker remembers before it starts anew; pieces of words that it remembers, half of them those met last.
+CACHE_WORDS, CACHE_PIECES = 700_000, 1_000_000
 
 
 class WaveletMatrix:
@@ -226,28 +224,34 @@ class WordEncoder:
         with open(file, encoding="utf-8") as f:
             self.by_word = cut_as_known(json.load(f))
         self.tokenize = self.tok.model.tokenize  # asking for the model makes an object each time
-        self.pieces: dict[str, tuple[int, ...]] = {}  # tuples of numbers aren't walked through by the garbage collector
+        self.pieces: dict[str, bytes] = {}  # ids in 4 bytes each
+        self.before: dict[str, bytes] = {}  # pieces met before the last half; those that are met again come back
 
-    def _piece(self, p: str) -> tuple[int, ...]:
+    def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            got = self.pieces[p] = tuple([t.id for t in self.tokenize(p if p.isascii() else p.translate(_SPELT))])
+            if len(self.pieces) >= CACHE_PIECES // 2:
+                self.before, self.pieces = self.pieces, {}
+            got = self.before.get(p)
+            if got is None:
+                got = array("I", [t.id for t in self.tokenize(p if p.isascii() else p.translate(_SPELT))]).tobytes()
+            self.pieces[p] = got
         return got
 
-    def word(self, w: str) -> Sequence[int]:
+    def word(self, w: str) -> bytes:
+        """The ids of a word, in 4 bytes each."""
         if w.isascii() or _PLAIN.fullmatch(w):
             if "<|" not in w:
-                w = w.lower()
+                low = w.lower()
+                w = w if low == w else low  # one string for the word and its piece
                 if w.isalpha():
                     return self._piece(w)
                 head = w[:-1]
                 if head.isalpha() and w[-1] in _SIGNS:
                     return self._piece(head) + self._piece(w[-1])
                 if w.isprintable():
-                    return [i for p in _PIECES.findall(w) for i in self._piece(p)]
-        return self.tok.encode(w, add_special_tokens=False).ids
+                    return b"".join(map(self._piece, _PIECES.findall(w)))
+        return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
 
 class _Words(dict):
@@ -261,8 +265,8 @@ class _Words(dict):
     def __missing__(self, w: str) -> int:
         ids = self.encoder.word(w)
         self.first.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+        self.sizes.append(len(ids) // 4)
+        self.flat.frombytes(ids)
         self[w] = n = len(self.sizes) - 1
         return n
 
@@ -317,10 +321,8 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
         import pyarrow as pa
         from pyspark import TaskContext
 
-        key = (tokenizer_file, end_id)
-        if key not in _cache:
-            _cache[key] = _Words(WordEncoder(tokenizer_file), end_id)
-        words = _cache[key]
+        key = ("tokens", tokenizer_file, end_id)
+        words = kept_in_worker(key, lambda: _Words(WordEncoder(tokenizer_file), end_id))
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, have = [], [], [], 0
 
@@ -337,7 +339,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
 
         for batch in batches:
             if len(words) > CACHE_WORDS:
-                words = _cache[key] = _Words(words.encoder, end_id)
+                words = keep_in_worker(key, _Words(words.encoder, end_id))
             got, n_ids = encode_texts(words, batch.column(1))
             ids.append(got), lengths.append(n_ids)
             held.extend(batch.column(0).to_pylist())
