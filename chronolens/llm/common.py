@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch sent to Python; bounds a worker's memory when texts are very long.
 ARROW_ROWS = 1000
 
-#: What this Python worker keeps between tasks, and for what.
-_in_worker: list = [None, None]
 _own_dirs: dict[str, str] = {}
 
 
@@ -47,18 +46,24 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def keep_in_worker(key: tuple, value):
-    """Keep ``value`` for later tasks of this Python worker. What it kept for another key is let go, so that stages that share workers don't add up."""
-    _in_worker[:] = key, value
-    return value
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system: it serves the next stages too, and they don't use the same memory again."""
+    import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
-def kept_in_worker(key: tuple, make: Callable[[], object]):
-    """What this Python worker keeps for ``key``, made if it isn't there."""
-    if _in_worker[0] != key:
-        _in_worker[:] = None, None  # before the new one is made
-        keep_in_worker(key, make())
-    return _in_worker[1]
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's work on its batches that gives memory back when it is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, kept_in_worker, materialise
+from .common import bounded_batches, fresh, give_back, materialise
 
 K1, B = 1.2, 0.75
 #: Words of a half passage: a passage is two halves, and passages overlap by one.
@@ -264,13 +263,12 @@ def term_numbers(known: dict[str, int], vocab: dict[str, int], texts) -> tuple[n
 
 def _search_udf(sent, kind: str, retrieve: float, verify: float):
     """UDF: text -> the group's items found in it, by id."""
-    mark = uuid.uuid4().hex
 
     @F.pandas_udf(f"array<struct<item_id:{kind},score:double,overlap:double,question_overlap:double,answer_overlap:double>>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import pyarrow as pa
 
-        index, known = kept_in_worker(("test items", mark), lambda: (sent.value, {}))
+        index, known = sent.value, {}
         columns = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
         for s in texts:
             if len(known) > CACHE_WORDS:
@@ -287,6 +285,8 @@ def _search_udf(sent, kind: str, retrieve: float, verify: float):
                     row, own = (index.names[item], min(1.0, score), o, q, a), found.setdefault(d, {})
                     own[row[0]] = max(row, own.get(row[0], row), key=lambda r: (r[2], r[1]))
             yield pd.Series([[dict(zip(columns, r, strict=True)) for _, r in sorted(found.get(d, {}).items())] for d in range(len(counts))], dtype=object)
+        known.clear()
+        give_back()
 
     return search
 

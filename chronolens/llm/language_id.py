@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, give_back
 
 #: The classifier is fitted on about so many labelled documents of each language (chosen by a hash of the text).
 DOCS_PER_LANGUAGE = 4000
@@ -226,6 +226,8 @@ def predict(model: Model, text: Column) -> Column:
                     "shares": [{languages[j]: float(min(1.0, r[j])) for j in np.flatnonzero(r > 0)} for r in pi.T],
                 }
             )
+        del words
+        give_back()
 
     return predicted(text)
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keep_in_worker, kept_in_worker, shared_dir, text_of
+from .common import bounded_batches, give_back, shared_dir, text_of, tidy
 
 #: Documents are collected to a shard until it has so many ids.
 SHARD_IDS = 4_000_000
@@ -31,8 +31,10 @@ TASK_BYTES = 24_000_000
 MAGIC, VERSION, HEADER = b"WVMX", 2, struct.Struct("<4sBBHQQQ")
 #: Bytes of a plane that are compressed together; the rank directory has an entry for each.
 CHUNK = 8192
-#: Words that a Python worker remembers before it starts anew; pieces of words that it remembers, half of them those met last.
-CACHE_WORDS, CACHE_PIECES = 700_000, 1_000_000
+#: Ids of a plane that are parted together; rows that are encoded together. Both bound a worker's memory.
+BLOCK, TOGETHER = 1 << 18, 250
+#: Words that a task remembers before it starts anew; pieces of words that it remembers, half of them those met last.
+CACHE_WORDS, CACHE_PIECES = 300_000, 300_000
 
 
 class WaveletMatrix:
@@ -51,7 +53,15 @@ class WaveletMatrix:
             bit = (seq & (1 << b)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             if b:
-                seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))])
+                parted, zero = np.empty_like(seq), 0
+                one = len(seq) - int(np.count_nonzero(bit))
+                for k in range(0, len(seq), BLOCK):
+                    own, of = seq[k : k + BLOCK], bit[k : k + BLOCK]
+                    zeros, ones = np.flatnonzero(~of), np.flatnonzero(of)
+                    parted[zero : zero + len(zeros)] = own.take(zeros)
+                    parted[one : one + len(ones)] = own.take(ones)
+                    zero, one = zero + len(zeros), one + len(ones)
+                seq = parted
         return planes
 
     def _ones(self, level: int, i: int) -> int:
@@ -321,8 +331,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
         import pyarrow as pa
         from pyspark import TaskContext
 
-        key = ("tokens", tokenizer_file, end_id)
-        words = kept_in_worker(key, lambda: _Words(WordEncoder(tokenizer_file), end_id))
+        words = _Words(WordEncoder(tokenizer_file), end_id)  # of this task alone
         part, seq = TaskContext.get().partitionId(), 0
         ids, lengths, held, have = [], [], [], 0
 
@@ -335,22 +344,24 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: st
             )
             seq, have = seq + 1, 0
             ids.clear(), lengths.clear(), held.clear()
+            give_back()
             return out
 
         for batch in batches:
             if len(words) > CACHE_WORDS:
-                words = keep_in_worker(key, _Words(words.encoder, end_id))
-            got, n_ids = encode_texts(words, batch.column(1))
-            ids.append(got), lengths.append(n_ids)
+                words = _Words(words.encoder, end_id)
+            for k in range(0, len(batch), TOGETHER):
+                got, n_ids = encode_texts(words, batch.column(1).slice(k, TOGETHER))
+                ids.append(got), lengths.append(n_ids)
+                have += len(got)
             held.extend(batch.column(0).to_pylist())
-            have += len(got)
             if have >= shard_ids:
                 yield shard()
         if held:
             yield shard()
 
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(encode, "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(tidy(encode), "shard long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
     return path
 
 
@@ -382,7 +393,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 columns = [np.full(len(doc_ids), shard), doc_ids, starts, lengths, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "payload").mapInArrow(decode, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("shard", "payload").mapInArrow(tidy(decode), "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(_offsets(shards), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,11 +1,10 @@
-"""What Python workers keep between tasks is bounded, and what one stage kept does not stay through the next."""
+"""Python workers serve many stages: what a task remembers is compact, bounded, and gone when it is over."""
 
 import tracemalloc
-import weakref
 
 import pyarrow as pa
 
-from chronolens.llm import common, decontamination, queries, token_output
+from chronolens.llm import common, queries, token_output
 
 
 def test_a_remembered_word_takes_few_bytes():
@@ -34,26 +33,23 @@ def test_frequent_pieces_stay_when_others_are_let_go(monkeypatch):
     assert asked.count("often") == 1
 
 
-def test_a_stage_lets_go_what_another_kept(spark):
-    class Big:
-        pass
+def test_a_task_leaves_no_words_behind(spark):
+    """Workers serve the next stages too: what a task remembered of words is gone when it is over."""
+    docs = spark.createDataFrame([(i, f"words of text {i} and others that stand here") for i in range(50)], "doc_id long, text string")
+    token_output.write_tokens(docs.coalesce(1), queries.tokenizer_path("word_bpe_49k.json"))
 
-    made = common.kept_in_worker(("one",), Big)
-    seen = weakref.ref(made)
-    assert common.kept_in_worker(("one",), Big) is made
-    del made
-    common.kept_in_worker(("two",), lambda: seen() is None or 1 / 0)
+    def left(batches):
+        import gc
 
-    docs = spark.createDataFrame([(i, f"words of text {i} and others that stand here") for i in range(50)], "doc_id long, text string").coalesce(1)
-    items = spark.createDataFrame([(1, "a question that is nowhere. an answer.")], "item_id long, text string")
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ in ("WordEncoder", "_Words") for x in gc.get_objects())])], ["n"])
 
-    def kept(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([str((common._in_worker[0] or ("",))[0])])], ["key"])
+    assert not any(r["n"] for r in spark.range(64).repartition(16).mapInArrow(left, "n long").collect())
 
-    def keys():  # of the workers that answer
-        return {r["key"] for r in spark.range(64).repartition(16).mapInArrow(kept, "key string").collect()}
 
-    assert decontamination.without_contaminated(docs, items).count() == 50
-    keys()
-    token_output.write_tokens(docs, queries.tokenizer_path("word_bpe_49k.json"))
-    assert "tokens" in keys()
+def test_tidy_gives_memory_back_after_the_last_batch(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    got = []
+    for x in common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
+        got.append((x, len(seen)))
+    assert got == [(2, 0), (3, 0)] and seen == ["back"]
