@@ -204,17 +204,29 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
 
 def train_local(p: dict, x: np.ndarray, y: np.ndarray, seed: int, round_: int) -> dict:
     """One pass over windows by Adam, from the given weights."""
-    p = {k: v.astype(np.float32).copy() for k, v in p.items()}
-    m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
+    shapes = {k: v.shape for k, v in p.items()}
+    flat = np.concatenate([v.ravel() for v in p.values()]).astype(np.float32)  # all weights in one array, so that a step is a few calls
+    cuts = np.split(flat, np.cumsum([math.prod(s) for s in shapes.values()])[:-1])
+    p = {k: c.reshape(s) for (k, s), c in zip(shapes.items(), cuts, strict=True)}  # views
+    m, v, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     order, n = np.random.default_rng(seed).permutation(len(x)), 0
     for at in range(0, len(x), BATCH):
         b = order[at : at + BATCH]
         g, _ = gradients(p, x[b], y[b])
+        g = np.concatenate([g[k].ravel() for k in shapes], dtype=np.float32)
         n += 1
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
-            p[k] -= (SPEED / (1 + round_) * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        v += g
+        np.multiply(v, np.float32(1 / (1 - 0.99**n)), out=step)
+        np.sqrt(step, out=step)
+        step += np.float32(1e-6)
+        np.divide(m, step, out=step)
+        step *= np.float32(SPEED / (1 + round_) / (1 - 0.9**n))
+        flat -= step
     return p
 
 
