@@ -14,7 +14,7 @@ import base64
 import math
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, keep_memory, materialise, tidy
 
 #: Ids of a window; how far the next window starts (each later window has WINDOW - STRIDE ids of context at least).
 WINDOW, STRIDE = 32, 24
@@ -34,6 +34,8 @@ OWN_IDS, SHARED_IDS = 1024, 64
 DRAW_WORDS, ROUNDS, BATCH, SPEED = 256, 2, 32, 0.02
 #: Windows that are trained on one after the other, about.
 SHARD_WINDOWS = 20_000
+#: Rows that are cut together, windows that a task deals at once, about (both bound its memory); groups that shards go to, more only if a group would have over GROUP_SHARDS of them.
+CUT_ROWS, DEAL_WINDOWS, GROUPS, GROUP_SHARDS = 250, 300_000, 2048, 16
 #: Words whose counts are broadcast, at most (the most frequent); other words get theirs by a join, with the same result.
 HEAD_WORDS = 400_000
 #: Words that a Python worker remembers before it starts anew; windows that are scored together.
@@ -151,54 +153,62 @@ def _exp_sum(s: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
 
 def forward(p: dict, x: np.ndarray) -> tuple[np.ndarray, dict]:
     """Hidden states [windows * WINDOW, WIDTH] for input symbols x [windows, WINDOW]; position i sees positions 0..i only."""
-    h0 = p["E"][x]
+    h0 = p["E"].take(x, axis=0)
     h0 += p["P"]
     flat = h0.reshape(-1, WIDTH)
     q, k, v = ((flat @ p[n]).reshape(h0.shape) for n in "QKV")
     s = np.matmul(q * np.float32(1 / math.sqrt(WIDTH)), k.transpose(0, 2, 1))
     s /= _exp_sum(s, _SEEN)[..., None]
     o = np.matmul(s, v).reshape(-1, WIDTH)
-    h1 = flat + o @ p["O"]
+    h1 = o @ p["O"]
+    h1 += flat
     z = h1 @ p["W1"]
     z += p["b1"]
     np.maximum(z, 0, out=z)
-    return h1 + z @ p["W2"], {"h0": h0, "q": q, "k": k, "v": v, "a": s, "o": o, "h1": h1, "z": z}
+    h2 = z @ p["W2"]
+    h2 += h1
+    return h2, {"h0": h0, "q": q, "k": k, "v": v, "a": s, "o": o, "h1": h1, "z": z}
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean cross-entropy of classes y (below 0: no target), and the loss."""
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, want_loss: bool = True) -> tuple[dict, float]:
+    """Gradients of the mean cross-entropy of classes y (below 0: no target), and the loss (if it isn't wanted: nan)."""
     h2, t = forward(p, x)
-    flat = h2 @ p["C"] + p["c"]
-    flat -= flat.max(1, keepdims=True)
-    e = np.exp(flat)
-    prob = e / e.sum(1, keepdims=True)
+    d = h2 @ p["C"]
+    d += p["c"]
+    d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(1, keepdims=True)
     target = y.ravel()
     on = np.flatnonzero(target >= 0)
-    loss = -float(np.log(np.maximum(prob[on, target[on]], 1e-30)).mean())
-    d = np.zeros_like(prob)
-    d[on] = prob[on]
+    loss = -float(np.log(np.maximum(d[on, target[on]], 1e-30)).mean()) if want_loss else math.nan
     d[on, target[on]] -= 1
+    if len(on) < len(target):
+        d[target < 0] = 0
     d /= np.float32(max(1, len(on)))
     g = {"C": h2.T @ d, "c": d.sum(0)}
-    dh2 = d @ p["C"].T
-    g["W2"] = t["z"].T @ dh2
-    dz = (dh2 @ p["W2"].T) * (t["z"] > 0)
+    dh1 = d @ p["C"].T
+    g["W2"] = t["z"].T @ dh1
+    dz = dh1 @ p["W2"].T
+    dz *= t["z"] > 0
     g["W1"], g["b1"] = t["h1"].T @ dz, dz.sum(0)
-    dh1 = dh2 + dz @ p["W1"].T
+    dh1 += dz @ p["W1"].T
     g["O"] = t["o"].T @ dh1
     do = (dh1 @ p["O"].T).reshape(t["h0"].shape)
-    da = np.matmul(do, t["v"].transpose(0, 2, 1))
+    ds = np.matmul(do, t["v"].transpose(0, 2, 1))
     dv = np.matmul(t["a"].transpose(0, 2, 1), do)
-    ds = t["a"] * (da - (da * t["a"]).sum(-1, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
+    ds -= (ds * t["a"]).sum(-1, keepdims=True)
+    ds *= t["a"]
+    ds *= np.float32(1 / math.sqrt(WIDTH))
     dq, dk = np.matmul(ds, t["k"]), np.matmul(ds.transpose(0, 2, 1), t["q"])
     x0 = t["h0"].reshape(-1, WIDTH)
     dx = dh1
     for n, dd in (("Q", dq), ("K", dk), ("V", dv)):
         dd = dd.reshape(-1, WIDTH)
         g[n] = x0.T @ dd
-        dx = dx + dd @ p[n].T
+        dx += dd @ p[n].T
     g["P"] = dx.reshape(t["h0"].shape).sum(0)
-    g["E"] = np.stack([np.bincount(x.ravel(), dx[:, i], len(p["E"])) for i in range(WIDTH)], axis=1)
+    place = x.reshape(-1, 1) * np.intp(WIDTH) + np.arange(WIDTH)
+    g["E"] = np.bincount(place.ravel(), dx.ravel(), p["E"].size).reshape(p["E"].shape)
     return g, loss
 
 
@@ -212,7 +222,7 @@ def train_local(p: dict, x: np.ndarray, y: np.ndarray, seed: int, round_: int) -
     order, n = np.random.default_rng(seed).permutation(len(x)), 0
     for at in range(0, len(x), BATCH):
         b = order[at : at + BATCH]
-        g, _ = gradients(p, x[b], y[b])
+        g, _ = gradients(p, x[b], y[b], want_loss=False)
         g = np.concatenate([g[k].ravel() for k in shapes], dtype=np.float32)
         n += 1
         m *= np.float32(0.9)
@@ -437,28 +447,101 @@ def symbols_of(w: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return x, y
 
 
+def _cut(batches: Iterator, file: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`id_windows` of Arrow batches of a text and a hash."""
+    known = _Known(load_ranks(file))
+    for batch in batches:
+        if len(known) > CACHE_WORDS:
+            known = _Known(load_ranks(file))
+        for k in range(0, batch.num_rows, CUT_ROWS):
+            part = batch.slice(k, CUT_ROWS)
+            names, index, counts = split_words(part.column(0))
+            ids, sizes = document_ids(known, known.numbers(names)[index], counts)
+            yield id_windows(ids, sizes, part.column(1).to_numpy())
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    return texts.select("text", F.col("h") if "h" in texts.columns else F.xxhash64("text").alias("h"))
+
+
 def stored_windows(texts: DataFrame, file: str) -> DataFrame:
     """(w, h): :func:`id_windows` of every text and a hash, half as many bytes as symbols and classes.
 
     A window follows from its row alone: its text and, if there, its hash ``h``.
     """
-    rows = texts.select("text", F.col("h") if "h" in texts.columns else F.xxhash64("text").alias("h"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = _Known(load_ranks(file))
-        for batch in batches:
-            if len(known) > CACHE_WORDS:
-                known = _Known(load_ranks(file))
-            names, index, counts = split_words(batch.column(0))
-            ids, sizes = document_ids(known, known.numbers(names)[index], counts)
-            w, tags = id_windows(ids, sizes, batch.column(1).to_numpy())
+        for w, tags in _cut(batches, file):
             for k in range(0, len(w), SHARD_WINDOWS):
                 part = pa.array([r.tobytes() for r in w[k : k + SHARD_WINDOWS]], pa.binary())
                 yield pa.RecordBatch.from_arrays([part, pa.array(tags[k : k + SHARD_WINDOWS])], ["w", "h"])
 
-    return rows.mapInArrow(cut, "w binary, h long")
+    return _hashed(texts).mapInArrow(cut, "w binary, h long")
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of windows by their hash: ``pmod(xxhash64(h), shards)`` as Spark takes it."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        x = turned(h.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42 + 8) + p5)
+        x = turned(x, 27) * p1 + p4
+        x = (x ^ (x >> np.uint64(33))) * p2
+        x = (x ^ (x >> np.uint64(29))) * p3
+    return (x ^ (x >> np.uint64(32))).view(np.int64) % shards
+
+
+def dealt_windows(texts: DataFrame, file: str, shards: int) -> DataFrame:
+    """(shard, n, w): the :func:`id_windows` of all texts, a row for each shard, in the order of their hashes; compressed.
+
+    Tasks pack the windows of one group of shards before they shuffle, which takes 6 bytes for 10 of windows that go one by one.
+    """
+    groups = min(shards, max(GROUPS, -(-shards // GROUP_SHARDS)))
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator:
+            w, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            group = shard_of(h, shards) % groups
+            order = np.argsort(group, kind="stable")
+            names, first = np.unique(group[order], return_index=True)
+            ends = [*first[1:].tolist(), len(order)]
+            for k in range(0, len(names), 64):
+                own = [order[a:b] for a, b in zip(first[k : k + 64].tolist(), ends[k : k + 64], strict=True)]
+                columns = [pa.array(names[k : k + 64]), pa.array([squeeze(w[i].tobytes()) for i in own], pa.binary()), pa.array([h[i].tobytes() for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "w", "h"])
+
+        for w, h in _cut(batches, file):
+            for k in range(0, len(w), DEAL_WINDOWS):
+                held.append((w[k : k + DEAL_WINDOWS], h[k : k + DEAL_WINDOWS]))
+                if sum(len(x) for x, _ in held) >= DEAL_WINDOWS:
+                    yield from out()
+        if held:
+            yield from out()
+
+    def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        squeeze, spread = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        h, w = np.frombuffer(b"".join(pdf["h"]), np.int64), unpacked(map(spread, pdf["w"]))
+        shard = shard_of(h, shards)
+        order = np.lexsort((h, shard))
+        if (np.diff(h[order]) == 0).any():  # repeated rows: by their bytes
+            order = np.lexsort((w.view(f"S{w.itemsize * w.shape[1]}").ravel(), h, shard))
+        names, first = np.unique(shard[order], return_index=True)
+        own = np.split(order, first[1:])
+        return pd.DataFrame({"shard": names, "n": [len(i) for i in own], "w": [squeeze(w[i].tobytes()) for i in own]})
+
+    rows = _hashed(texts).mapInArrow(tidy(pack), "g long, w binary, h binary")
+    return rows.groupBy("g").applyInPandas(sort, "shard long, n long, w binary")
 
 
 def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFrame:
@@ -472,46 +555,59 @@ def training_windows(texts: DataFrame, file: str, vocab: Vocabulary) -> DataFram
     return stored_windows(texts, file).mapInPandas(known, "x binary, y binary, h long")
 
 
-def unpacked(w: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(w), np.uint16).reshape(len(w), WINDOW + 1)
+def unpacked(w: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(w), np.uint16).reshape(-1, WINDOW + 1)
 
 
-def train(texts: DataFrame, file: str, vocab: Vocabulary, rounds: int = ROUNDS) -> dict:
+def train(texts: DataFrame, file: str, vocab: Vocabulary, rounds: int = ROUNDS, n_windows: int | None = None) -> dict:
     """Weights after ``rounds``: windows are dealt to shards, each trains from the common weights, then weights are averaged by windows.
 
-    There is a shard for each SHARD_WINDOWS windows begun; a window's hash tells its shard and its place there, so the
-    weights don't depend on how the texts are partitioned. Averages are taken in Spark, so the driver gets one number for each weight. No window:
-    the untrained weights.
+    There is a shard for each SHARD_WINDOWS windows begun, of ``n_windows`` (about how many there are; counted if not given); a window's
+    hash tells its shard and its place there, so the weights don't depend on how the texts are partitioned. Windows shuffle once, to files that all
+    rounds read. Averages are taken in Spark, so the driver gets one number for each weight. No window: the untrained weights.
     """
-    table = materialise(stored_windows(texts, file), "lm-windows")
-    shards = max(1, -(-table.count() // SHARD_WINDOWS))
-    dealt = table.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    spark = texts.sparkSession
+    shards = max(1, -(-(stored_windows(texts, file).count() if n_windows is None else n_windows) // SHARD_WINDOWS))
+    table = materialise(dealt_windows(texts, file, shards), "lm-windows")
     params = new_params(vocab.prior)
     shapes = {k: v.shape for k, v in params.items()}
 
     def learner(now: dict, r: int):
-        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            x, y = symbols_of(unpacked(pdf.sort_values(["h", "w"])["w"]), vocab)
-            local = now
-            for k in range(0, len(x), 20_000):
-                local = train_local(local, x[k : k + 20_000], y[k : k + 20_000], k + r, r)
-            flat = np.concatenate([local[k].ravel() for k in shapes]).astype(float)
-            return pd.DataFrame({"i": np.arange(len(flat)), "v": flat * len(x), "n": np.float64(len(x))})
-
-        return learn
-
-    for r in range(rounds):
-        mean = dealt.groupBy("shard").applyInPandas(learner(params, r), "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-        got = mean.toArrow().to_pandas()
-        if not len(got):
-            break
-        flat = np.zeros(len(got), np.float32)
-        flat[got["i"].to_numpy()] = got["v"].to_numpy()
-        params, at = {}, 0
-        for k, s in shapes.items():
-            n = int(np.prod(s))
-            params[k] = flat[at : at + n].reshape(s)
-            at += n
+        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import zstandard
+
+            keep_memory()
+            spread, total, count = zstandard.ZstdDecompressor().decompress, 0.0, 0
+            for pdf in batches:
+                for packed in pdf["w"]:
+                    x, y = symbols_of(unpacked([spread(packed)]), vocab)
+                    local = now
+                    for k in range(0, len(x), 20_000):
+                        local = train_local(local, x[k : k + 20_000], y[k : k + 20_000], k + r, r)
+                    flat = np.concatenate([local[k].ravel() for k in shapes]).astype(float)
+                    total, count = total + flat * len(x), count + len(x)
+            if count:
+                yield pd.DataFrame({"i": np.arange(len(total)), "v": total, "n": np.float64(count)})
+
+        return tidy(learn)
+
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    bounded_batches(spark, 4)  # a row is a whole shard
+    try:
+        for r in range(rounds):
+            mean = table.mapInPandas(learner(params, r), "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
+            got = mean.toArrow().to_pandas()
+            if not len(got):
+                break
+            flat = np.zeros(len(got), np.float32)
+            flat[got["i"].to_numpy()] = got["v"].to_numpy()
+            params, at = {}, 0
+            for k, s in shapes.items():
+                n = int(np.prod(s))
+                params[k] = flat[at : at + n].reshape(s)
+                at += n
+    finally:
+        bounded_batches(spark, int(rows))
     return params
 
 
@@ -533,7 +629,9 @@ def fit(texts: DataFrame, ranks_file: str) -> Fitted:
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
     stats = materialise(id_statistics(words, ranks_file), "lm-ids")
     vocab = vocabulary_of(stats, n_docs)
-    return Fitted(Scorer(vocab, train(texts, ranks_file, vocab)), words, n_docs, sums["words"] + (n_docs > 0), (sums["n"] or 0) + n_docs)
+    # a text's ids and its end leave half a window empty, about
+    n_windows = ((stats.where("a < 0").agg(F.sum("n")).first()[0] or 0) + n_docs) // WINDOW + n_docs // 2
+    return Fitted(Scorer(vocab, train(texts, ranks_file, vocab, n_windows=n_windows)), words, n_docs, sums["words"] + (n_docs > 0), (sums["n"] or 0) + n_docs)
 
 
 def score_documents(docs: DataFrame, ranks_file: str, training: Column | None = None, fitted: Fitted | None = None,
