@@ -9,7 +9,7 @@ both end together, which closes an irregular group and gives the next shift.
 
 Texts are cut into stretches before a space that follows no white space: neither tokenizer joins
 across such a place, so tokens, ends and groups of a text are those of its stretches in order. The
-stretches that a worker has not met before are encoded and aligned together, as one long pair of arrays.
+stretches that a task has not met before are encoded and aligned together, as one long pair of arrays.
 """
 
 from __future__ import annotations
@@ -18,19 +18,19 @@ import json
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, give_back, materialise
 
-#: Stretches that a Python worker remembers before it starts anew.
-STRETCHES = 250_000
-#: Rows whose new stretches are encoded together.
-ROWS = 200
+#: Stretches that a task remembers before it starts anew.
+STRETCHES = 150_000
+#: Rows that go to Python together, whose new stretches are encoded together.
+ROWS = 100
 #: Stretches that are encoded as one text.
 TOGETHER = 1000
 #: Linked id pairs looked up at once; more pairs make further passes, whose sums are added.
@@ -252,13 +252,30 @@ _memos: dict[str, Stretches] = {}
 
 
 def _memo(key: str, make) -> Stretches:
-    """A worker's stretches of one job, which outlive its tasks; those of other jobs go."""
+    """The stretches that a task has met; see :func:`_forgetful`."""
     if key not in _memos:
         _memos.clear()
         _memos[key] = make()
     return _memos[key]
 
 
+def _forget() -> None:
+    """Of the module, like :func:`_memo`: functions inside others go to workers with copies of the names they use, and would clear a copy."""
+    _memos.clear()
+    give_back()
+
+
+def _forgetful(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's work that leaves neither stretches nor the memory they took to the worker, which serves other stages too."""
+
+    def run(batches: Iterator) -> Iterator:
+        _forget()  # what a task that was ended early left
+        yield from work(batches)
+        _forget()
+
+    return run
+
+
 def _slices(batches: Iterator) -> Iterator:
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
@@ -275,7 +292,7 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -
     Tasks add up their pairs before they shuffle. Null and empty texts, and texts that a tokenizer
     doesn't spell as they stand, have no tokens; an empty table gives no pairs.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, ROWS)
     job = uuid.uuid4().hex
 
     def count(batches: Iterator) -> Iterator:
@@ -305,7 +322,8 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -
             seen = now
             if len(memo) > STRETCHES:
                 add_up()
-                _memos.clear()
+                del memo, ok, flat, now
+                _forget()
                 memo, seen = _memo(job, lambda: Stretches(pair)), np.zeros(0, np.int64)
         if len(memo):
             add_up()
@@ -314,7 +332,7 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -
                 c, n = codes[k : k + (1 << 16)], total[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(c >> 32), pa.array(c & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
 
-    found = docs.select(F.col(text)).mapInArrow(count, "a long, b long, n long")
+    found = docs.select(F.col(text)).mapInArrow(_forgetful(count), "a long, b long, n long")
     table = materialise(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "id-pairs")
     highest = table.groupBy("b").agg(F.max("n").alias("highest"))
     return table.join(highest, "b").select("a", "b", "n", (F.col("n") == F.col("highest")).alias("best"))
@@ -358,16 +376,18 @@ def _aligned(rows: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
     got = pairs.select(F.expr("shiftleft(a, 32) | b").alias("code"), "n", F.col("best").cast("long").alias("best")).toPandas()
     got = got.sort_values("code")
     shared = spark.sparkContext.broadcast(tuple(got[c].to_numpy(np.int64) for c in ("code", "n", "best")))
-    bounded_batches(spark)
+    bounded_batches(spark, ROWS)
     job = uuid.uuid4().hex
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         make = lambda: Stretches(_pair(a_file, b_file), shared.value)
+        memo = None
         for batch in _slices(batches):
             if len(_memo(job, make)) > STRETCHES:
-                _memos.clear()
+                memo = None
+                _forget()
             memo = _memo(job, make)
             numbers = [_numbered(memo, t.as_py()) for t in batch.column(1)]
             memo.settle()
@@ -382,4 +402,4 @@ def _aligned(rows: DataFrame, pairs: DataFrame, a_file: str, b_file: str) -> Dat
             arrays = [batch.column(0), *(pa.array(c) for c in (n_a, n_b, n_groups, n_groups, n_best, total)), pa.array(groups, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _RESULT.split(", ")])
 
-    return rows.mapInArrow(count, _RESULT)
+    return rows.mapInArrow(_forgetful(count), _RESULT)

@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from chronolens.llm import common, queries, token_output
+from chronolens.llm import alignment, common, queries, token_output
 
 
 def test_a_remembered_word_takes_few_bytes():
@@ -53,3 +53,31 @@ def test_tidy_gives_memory_back_after_the_last_batch(monkeypatch):
     for x in common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2])):
         got.append((x, len(seen)))
     assert got == [(2, 0), (3, 0)] and seen == ["back"]
+
+
+def test_an_alignment_leaves_no_stretches_behind(spark):
+    """Both passes of an alignment: a task's stretches are gone when it is over, also where they began anew meanwhile."""
+    docs = spark.createDataFrame([(i, f"words of text {i} and others that stand here") for i in range(50)], "doc_id long, text string")
+    files = [queries.tokenizer_path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert alignment.align_tokenizers(docs.coalesce(1), *files).where("n_links > 0").count() == 50
+
+    def left(batches):
+        import gc
+
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Stretches" for x in gc.get_objects())])], ["n"])
+
+    assert not any(r["n"] for r in spark.range(64).repartition(16).mapInArrow(left, "n long").collect())
+
+
+def test_a_forgetful_task_gives_memory_back_when_it_is_over(monkeypatch):
+    seen = []
+    monkeypatch.setattr(alignment, "give_back", lambda: seen.append(dict(alignment._memos)))
+    monkeypatch.setattr(alignment, "_memos", {"of a task that was ended early": None})
+
+    def work(batches):
+        assert not alignment._memos
+        for b in batches:
+            alignment._memo("job", dict)
+            yield b
+
+    assert list(alignment._forgetful(work)(iter([1, 2]))) == [1, 2] and seen == [{}, {}]
