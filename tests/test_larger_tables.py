@@ -42,6 +42,20 @@ def test_sources_of_a_phase_are_turned_once(spark, monkeypatch):
     assert means["s3"] == means["s7"] != means["s1"]
 
 
+def test_pieces_are_dealt_to_tasks_and_members_unfolded_from_lists(spark):
+    """Many short runs in one small file are no single task's work, and no column is worked out again for each source of a phase."""
+    raw = spark.range(64 * 24).select(F.lit("H1").alias("detector"), (F.col("id") + 100 * F.floor(F.col("id") / 24)).cast("double").alias("t"), F.sin("id").alias("x")).coalesce(1)
+    seg = spark.createDataFrame([("H1", 0.0, 1e6)], "detector string, start double, end double")
+    src = spark.createDataFrame([(n, 0.1, 0.0, 0.0) for n in ("a", "b", "b", None)], "source string, f0 double, f1 double, epoch double")
+    got = phase.heterodyne(raw, src, seg, 1.0, 0.125, 0.04, crop=8, decimals=6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("round(")
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in rows}) > 4 * filters.TASKS_A_CORE / 2
+    of = {n: sorted((r["t"], r["re"], r["im"]) for r in rows if r["source"] == n) for n in ("a", "b", None)}
+    assert of["a"] == of[None] and of["b"] == sorted(of["a"] * 2) and len(of["a"]) == 64
+
+
 def test_responses_are_worked_out_beside_samples(spark):
     src = spark.createDataFrame([("p", 1.0, -0.4), ("q", 5.5, 1.2), ("none", None, 0.1)], "source string, ra double, dec double")
     df = spark.range(300).select(F.element_at(F.array(F.lit("p"), F.lit("q"), F.lit("other"), F.lit("none")), (F.col("id") % 4 + 1).cast("int")).alias("source"), (F.col("id") * 977.7 - 9000).alias("t"))
