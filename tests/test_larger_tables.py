@@ -56,6 +56,29 @@ def test_pieces_are_dealt_to_tasks_and_members_unfolded_from_lists(spark):
     assert of["a"] == of[None] and of["b"] == sorted(of["a"] * 2) and len(of["a"]) == 64
 
 
+def test_second_stage_finds_spans_once_for_all_sources(spark):
+    """Runs that join or break in the second stage, nodes that end early, break off or are null: as each source alone, with no window over the sources' rows."""
+    times = [t for lo, hi in ((0, 203), (204.4, 371), (372.2, 500), (540, 900)) for t in (lo + k for k in range(int(hi - lo))) if t not in (77, 78, 641)]
+    raw = spark.createDataFrame([(d, float(t), math.sin(t * t)) for d in ("H1", "L1") for t in times if d == "H1" or t > 250], "detector string, t double, x double")
+    seg = spark.createDataFrame([(d, 0.0, 2000.0) for d in ("H1", "L1")], "detector string, start double, end double")
+    src = spark.createDataFrame([(n, 0.1 + 0.02 * k, 1e-7, 3.0) for n, k in (("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4), ("f", 0), ("g", 5))], "source string, f0 double, f1 double, epoch double")
+    reach = {"a": range(-1, 17), "b": range(3, 9), "c": [*range(-1, 5), *range(8, 17)], "d": range(-1, 17), "e": range(3), "f": range(-1, 17), "g": range(-1, 17)}
+    nodes = [(n, d, k, None if (n, k) == ("d", 6) else 0.3 * k + 0.01 * len(n + d) * k * k) for n, ks in reach.items() for d in ("H1", "L1") for k in ks if (n, d) != ("g", "L1")]
+    nodes = spark.createDataFrame(nodes, "source string, detector string, k int, y double")
+    got = phase.two_stage(raw, src, seg, nodes, 1.0, 0.25, 1 / 16, node_step=60.0, knee=0.1, crop=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate [source" in plan
+    coarse = phase.heterodyne(raw, src, seg, 1.0, 0.25, 0.1, crop=0).drop("run", "block")
+    want = phase.second_stage(coarse, src, src, 0.25, 1 / 16, nodes=nodes, node_step=60.0, shift=0.5)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    a, b = ({tuple(r)[:4]: tuple(r)[4:] for r in df.collect()} for df in (got, want))
+    assert a.keys() == b.keys() and max(abs(x - y) for k in a for x, y in zip(a[k], b[k], strict=True)) < 1e-9
+    runs = {n: {k[1:3] for k in a if k[0] == n} for n in reach}
+    assert runs["a"] == runs["f"] != runs["b"] and "e" not in {k[0] for k in a} and {d for d, _ in runs["g"]} == {"H1"} and len({frozenset(v) for v in runs.values()}) > 3
+    assert phase.two_stage(raw, src, seg, nodes.limit(0), 1.0, 0.25, 1 / 16, node_step=60.0, knee=0.1, crop=0).count() == 0
+    assert phase.two_stage(raw.limit(0), src, seg, nodes, 1.0, 0.25, 1 / 16, node_step=60.0, knee=0.1, crop=0).count() == 0
+
+
 def test_responses_are_worked_out_beside_samples(spark):
     src = spark.createDataFrame([("p", 1.0, -0.4), ("q", 5.5, 1.2), ("none", None, 0.1)], "source string, ra double, dec double")
     df = spark.range(300).select(F.element_at(F.array(F.lit("p"), F.lit("q"), F.lit("other"), F.lit("none")), (F.col("id") % 4 + 1).cast("int")).alias("source"), (F.col("id") * 977.7 - 9000).alias("t"))
